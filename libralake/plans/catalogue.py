@@ -1,4 +1,6 @@
-"""Registered queries and their oracle SQL."""
+"""All registered queries and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import relational, retrieval  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
