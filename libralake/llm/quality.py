@@ -19,6 +19,7 @@ that kind's share (0.5 without rows).  Other columns are not looked at.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -72,18 +73,27 @@ def word_hashes_cased(kind: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, n
     return word_hashes(moved, offs)
 
 
-def _context(entries: np.ndarray, at: np.ndarray, n: int, index: np.ndarray) -> np.ndarray:
+def _pairs(entries: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of entries that stand one or two places apart in a text, and how often."""
     own = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    out = np.zeros((n, DIMS), np.float32)
+    found = [np.zeros(0, np.int64)]
     for d in (1, 2):
         if len(entries) > d:
             same = own[d:] == own[:-d]
-            a, b = entries[d:][same], entries[:-d][same]
-            # Pairs are counted first, so that each distinct pair is added once.
-            pair, many = np.unique(a * n + b, return_counts=True)
-            a, b, w = pair // n, pair % n, np.log1p(many).astype(np.float32)[:, None]
-            np.add.at(out, a, index[b] * w)
-            np.add.at(out, b, index[a] * w)
+            found.append(entries[d:][same] * n + entries[:-d][same])
+    return np.unique(np.concatenate(found), return_counts=True)
+
+
+def _context(pairs: list[tuple[np.ndarray, np.ndarray]], n: int, index: np.ndarray) -> np.ndarray:
+    """Context vectors of all entries from the pairs of all slices; memory follows the distinct pairs."""
+    pair, part = np.unique(np.concatenate([p for p, _ in pairs]), return_inverse=True)
+    many = np.bincount(part, weights=np.concatenate([c for _, c in pairs]), minlength=len(pair))
+    out = np.zeros((n, DIMS), np.float32)
+    for i in range(0, len(pair), 50_000):
+        a, b = pair[i : i + 50_000] // n, pair[i : i + 50_000] % n
+        w = np.log1p(many[i : i + 50_000]).astype(np.float32)[:, None]
+        np.add.at(out, a, index[b] * w)
+        np.add.at(out, b, index[a] * w)
     out += 0.5 * index
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
 
@@ -135,10 +145,14 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 11, epochs: int = 120)
     """The model of a sample of texts with labels 0 and 1."""
     if not len(labels) or labels.min() == labels.max():
         return Model(prior=float(labels.mean()) if len(labels) else 0.5)
-    raw, offs = utf8(texts)
-    w, s, at = tokens(raw, offs)
-    m = Model(word=_context(w, at, WORDS, _index_vectors(WORDS, seed)), shape=_context(s, at, SHAPES, _index_vectors(SHAPES, seed + 1)))
-    x = m.features(raw, offs).astype(np.float64)
+    parts = list(slices(iter([pa.record_batch([texts], ["text"])]), "text", 1 << 20))
+    words, shapes = [], []
+    for part in parts:
+        w, s, at = tokens(*utf8(part.column(0)))
+        words.append(_pairs(w, at, WORDS))
+        shapes.append(_pairs(s, at, SHAPES))
+    m = Model(word=_context(words, WORDS, _index_vectors(WORDS, seed)), shape=_context(shapes, SHAPES, _index_vectors(SHAPES, seed + 1)))
+    x = np.concatenate([m.features(*utf8(part.column(0))) for part in parts]).astype(np.float64)
     y = labels.astype(np.float64)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
@@ -174,8 +188,18 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, key: str = "doc_id",
     mean = labels.where(use & labels[label].isNotNull() & labels[key].isNotNull()).groupBy(labels[key].cast("long").alias("_lk")).agg((F.avg(label) >= 0.5).cast("int").alias("_y"))
     picked = mean.orderBy(F.xxhash64("_lk"), "_lk").limit(max_fit)
     # At most max_fit rows of two numbers each: small enough to send to every task.
-    rows = docs.select(docs[key].cast("long").alias("_lk"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("_t")).join(F.broadcast(picked), "_lk").orderBy("_lk", "_t").limit(max_fit).toArrow()
-    return fit(rows.column("_t").combine_chunks() if rows.num_rows else pa.array([], pa.string()), rows.column("_y").to_numpy())
+    rows = docs.select(docs[key].cast("long").alias("_lk"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("_t")).join(F.broadcast(picked), "_lk").orderBy("_lk", "_t").limit(max_fit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        table = pa.Table.from_batches(held) if held else None
+        if table is not None and table.num_rows:
+            model = fit(table.column("_t").combine_chunks(), table.column("_y").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # The sample is one bounded partition: it is fitted in a task, and only the model comes to the driver.
+    got = rows.select("_t", "_y").mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(got[0].model)) if got else Model()
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
