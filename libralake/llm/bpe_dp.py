@@ -11,7 +11,7 @@ every prefix.  Compatibility of a pair is decided once and remembered.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import ahocorasick
 
@@ -20,16 +20,19 @@ class PrefixBpe:
     """``rank(a, b)`` is the priority of merging two adjacent symbols (None: never); lower goes first.
 
     ``symbols`` splits a string into the units that merging starts from (single characters by default).
+    Tokens are handled by number; ``names`` has their strings.
     """
 
-    def __init__(self, tokens: dict[str, int], rank: Callable[[str, str], int | None], symbols: Callable[[str], list[str]] = list):
-        self.ids, self.rank, self.symbols = tokens, rank, symbols
-        self.known = frozenset("".join(tokens))
-        self._fits: dict[tuple[str, str], bool] = {}
-        self._alone: dict[str, bool] = {}
-        self._auto = ahocorasick.Automaton()
-        for t in tokens:
-            self._auto.add_word(t, t)
+    def __init__(self, tokens: Iterable[str], rank: Callable[[str, str], int | None], symbols: Callable[[str], list[str]] = list):
+        self.names = list(tokens)
+        self.rank, self.symbols = rank, symbols
+        self.lengths = [len(t) for t in self.names]
+        self.known = frozenset("".join(self.names))
+        #: For (token before + 1) * size + token: whether the two are compatible; before 0: whether the token stands alone.
+        self._fits: dict[int, bool] = {}
+        self._auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, t in enumerate(self.names):
+            self._auto.add_word(t, i)
         self._auto.make_automaton()
 
     def merge(self, s: str) -> list[str]:
@@ -46,42 +49,38 @@ class PrefixBpe:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def last_tokens(self, s: str) -> list[str | None]:
-        """The last token of every prefix; entry i is for ``s[:i]`` (None where no encoding ends there)."""
-        last: list[str | None] = [None] * (len(s) + 1)
-        fits, alone = self._fits, self._alone
+    def _decide(self, before: int, tok: int) -> bool:
+        if len(self._fits) > 1_000_000:
+            self._fits.clear()
+        a, b = ([self.names[before]] if before >= 0 else []), self.names[tok]
+        ok = self._fits[(before + 1) * len(self.names) + tok] = self.merge("".join(a) + b) == [*a, b]
+        return ok
+
+    def last_tokens(self, s: str) -> list[int]:
+        """The last token of every prefix; entry i is for ``s[:i]`` (-1: empty, or no encoding ends there)."""
+        n = len(s)
+        last = [-2] * (n + 1)
+        last[0] = -1
+        fits, lengths, size = self._fits.get, self.lengths, len(self.names)
         for end, tok in self._auto.iter(s):
             end += 1
-            if last[end] is not None:
-                continue
-            at = end - len(tok)
-            if at == 0:
-                ok = alone.get(tok)
-                if ok is None:
-                    ok = alone[tok] = self.merge(tok) == [tok]
-            else:
-                before = last[at]
-                if before is None:
-                    continue
-                key = (before, tok)
-                ok = fits.get(key)
-                if ok is None:
-                    if len(fits) > 400_000:
-                        fits.clear()
-                    ok = fits[key] = self.merge(before + tok) == [before, tok]
-            if ok:
-                last[end] = tok
+            if last[end] == -2:
+                before = last[end - lengths[tok]]
+                if before != -2:
+                    ok = fits((before + 1) * size + tok)
+                    if ok if ok is not None else self._decide(before, tok):
+                        last[end] = tok
         return last
 
-    def encode(self, s: str) -> list[str]:
+    def encode(self, s: str) -> list[int]:
         """The tokens of ``s``, whose characters are all in the vocabulary."""
         last, at, out = self.last_tokens(s), len(s), []
         while at:
             tok = last[at]
-            if tok is None:
+            if tok < 0:
                 raise ValueError(f"no encoding of {s!r}")
             out.append(tok)
-            at -= len(tok)
+            at -= self.lengths[tok]
         out.reverse()
         return out
 
@@ -90,5 +89,30 @@ class PrefixBpe:
         counts = [0] * (len(s) + 1)
         for i, tok in enumerate(self.last_tokens(s)):
             if i:
-                counts[i] = counts[i - len(tok)] + 1 if tok is not None else -1
+                counts[i] = counts[i - self.lengths[tok]] + 1 if tok >= 0 else -1
         return counts
+
+
+class Remembered(dict):
+    """A dictionary of computed values in two generations: at ``most`` entries the older generation goes."""
+
+    most = 300_000
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def compute(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+            if len(key) > 64:
+                return value
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value

@@ -21,15 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._arrow import filled, slices
-from .bpe_dp import PrefixBpe
+from .bpe_dp import PrefixBpe, Remembered
 
 MARK = "▁"
-REMEMBERED = 500_000
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 _ODD = re.compile(f"  |^ |{MARK}")
 
 
-class PieceCounter(dict):
+class PieceCounter(Remembered):
     """Maps a segment to its number of tokens."""
 
     def __init__(self, path: str):
@@ -43,9 +42,9 @@ class PieceCounter(dict):
                 ranks[sp.id_to_piece(i)] = -sp.get_score(i)
         if any(MARK in p.lstrip(MARK) for p in ranks):
             raise ValueError("pieces reach over word marks")
+        self.most = 500_000
         self.dp = PrefixBpe(ranks, lambda a, b: ranks.get(a + b))
         self.known = frozenset(p for p in ranks if len(p) == 1)
-        self[""] = 0
 
     def runs(self, segment: str) -> Iterator[tuple[str, bool]]:
         """The segment parted into runs of known characters and single unknown ones."""
@@ -67,15 +66,10 @@ class PieceCounter(dict):
             out += [base + c for c in self.dp.prefix_counts(run)[1:]] if known else [base + len(run.encode("utf-8", "surrogatepass"))]
         return out
 
-    def __missing__(self, segment: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-            self[""] = 0
+    def compute(self, segment: str) -> int:
         n = 0
         for run, known in self.runs(segment):
             n += self.dp.prefix_counts(run)[-1] if known else len(run.encode("utf-8", "surrogatepass"))
-        if len(segment) <= 64:
-            self[segment] = n
         return n
 
     def segments(self, text: str) -> list[str]:
@@ -102,12 +96,22 @@ class PieceCounter(dict):
         return len(text)
 
 
+_held: dict[str, PieceCounter] = {}
+
+
+def held(path: str) -> PieceCounter:
+    """The counter of this process: what it remembers serves all tasks of a worker."""
+    if path not in _held:
+        _held[path] = PieceCounter(path)
+    return _held[path]
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, n_tokens, over_limit, fit_chars (length of the longest prefix within the limit, in code points)."""
     schema = pa.schema([(key, pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("fit_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(path)
+        counter = held(path)
         for batch in slices(batches, text):
             texts = filled(batch.column(text)).to_pylist()
             n = [counter.count(t) for t in texts]

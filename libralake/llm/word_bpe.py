@@ -24,11 +24,9 @@ import regex
 from pyspark.sql import DataFrame
 
 from ._arrow import filled, slices
-from .bpe_dp import PrefixBpe
+from .bpe_dp import PrefixBpe, Remembered
 
 END = "\0"
-#: Runs of non-space characters that a worker remembers before it starts afresh.
-REMEMBERED = 300_000
 #: Python's ``split`` also parts at these four controls, which are no white space for the tokenizer.
 _NOT_SPACE = regex.compile("[\x1c-\x1f]")
 _RUNS = regex.compile(r"\S+")
@@ -41,70 +39,95 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class WordBpe(dict):
-    """Maps a run of non-space characters to (count, ids joined by spaces, tokens joined by spaces)."""
+class Words(Remembered):
+    """Maps a pre-tokenised word to (count, ids joined by spaces, tokens joined by spaces)."""
 
-    def __init__(self, path: str):
+    def __init__(self, spec: dict):
         super().__init__()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
         model = spec["model"]
         suffix = model["end_of_word_suffix"]
-        self.suffix = suffix
+        special = {t["content"] for t in spec["added_tokens"]}
         own = lambda t: t[: -len(suffix)] + END if t.endswith(suffix) else t
-        ids = {own(t): i for t, i in model["vocab"].items()}
+        vocabulary = {own(t): i for t, i in model["vocab"].items() if t not in special}
         merges = {(own(a), own(b)): r for r, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"])}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        for t in self.special:
-            ids.pop(t, None)
-        self.dp = PrefixBpe(ids, lambda a, b: merges.get((a, b)), self._symbols)
-        self.name = {i: t.replace(END, suffix) for t, i in ids.items()} | {i: t for t, i in self.special.items()}
-        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(split)
-        self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.dp = PrefixBpe(vocabulary, lambda a, b: merges.get((a, b)), self._symbols)
+        self.id = [vocabulary[t] for t in self.dp.names]
+        self.shown = [t.replace(END, suffix) for t in self.dp.names]
         self.letters = _byte_letters()
-        self.hints = tuple(self.special)
 
     @staticmethod
     def _symbols(s: str) -> list[str]:
         return [*s[:-2], s[-2:]] if s.endswith(END) else list(s)
 
-    def ids_of_run(self, run: str) -> list[int]:
-        """Ids of a text without white space."""
-        out: list[int] = []
-        parts = self.at_special.split(run) if self.at_special and any(h in run for h in self.hints) else [run]
+    def compute(self, word: str) -> tuple[int, str, str]:
+        s = word if word.isascii() and word.isprintable() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        toks = self.dp.encode(s + END)
+        return len(toks), " ".join([str(self.id[t]) for t in toks]), " ".join([self.shown[t] for t in toks])
+
+
+class WordBpe(Remembered):
+    """Maps a run of non-space characters to (count, ids joined by spaces, tokens joined by spaces)."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.words = Words(spec)
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.name = dict(zip(self.words.id, self.words.shown)) | {i: t for t, i in self.special.items()}
+        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+
+    def _pieces(self, run: str) -> Iterator[tuple[int, str, str]]:
+        parts = self.at_special.split(run) if self.at_special and any(t in run for t in self.special) else [run]
         for part in parts:
             if part in self.special:
-                out.append(self.special[part])
+                yield 1, str(self.special[part]), part
                 continue
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for word in self.words.findall(part):
-                s = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-                s = s.translate(self.letters) if word.isascii() and not word.isprintable() else s
-                out.extend(self.dp.ids[t] for t in self.dp.encode(s + END))
-        return out
-
-    def __missing__(self, run: str) -> tuple[int, str, str]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self.ids_of_run(run)
-        got = (len(ids), " ".join(map(str, ids)), " ".join(self.name[i] for i in ids))
-        if len(run) <= 64:
-            self[run] = got
-        return got
+            if not part.isascii():
+                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+            part = part.lower()
+            if part.isalpha():
+                yield self.words[part]
+            elif part[:-1].isalpha() and part[-1] in ".,;:!?":
+                yield self.words[part[:-1]]
+                yield self.words[part[-1]]
+            else:
+                yield from map(self.words.__getitem__, self.split(part))
+
+    def compute(self, run: str) -> tuple[int, str, str]:
+        found = list(self._pieces(run))
+        if len(found) == 1:
+            return found[0]
+        return sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
 
     def runs(self, text: str) -> list[str]:
         return _RUNS.findall(text) if _NOT_SPACE.search(text) else text.split()
 
     def encode(self, text: str) -> tuple[int, str, str]:
         """(number of ids, ids joined by one space, decoded text) of a whole text."""
-        got = [x for x in map(self.__getitem__, self.runs(text)) if x[0]]
-        return sum(x[0] for x in got), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
+        runs = self.runs(text)
+        if not runs:
+            return 0, "", ""
+        n, ids, toks = zip(*map(self.__getitem__, runs))
+        if 0 in n:
+            n, ids, toks = zip(*(x for x in zip(n, ids, toks) if x[0])) if any(n) else ((0,), ("",), ("",))
+        return sum(n), " ".join(ids), " ".join(toks)
+
+
+_held: dict[str, WordBpe] = {}
+
+
+def held(path: str) -> WordBpe:
+    """The encoder of this process: what it remembers serves all tasks of a worker."""
+    if path not in _held:
+        _held[path] = WordBpe(path)
+    return _held[path]
 
 
 def _rows(path: str, key: str, text: str, emit, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(path)
+        bpe = held(path)
         for batch in slices(batches, text):
             found = [bpe.encode(t) for t in filled(batch.column(text)).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([x[0] for x in found], pa.int64()), *emit(found)], schema=schema)
@@ -139,7 +162,7 @@ def decode(ids: DataFrame, path: str, key: str = "doc_id", col: str = "ids") ->
     schema = pa.schema([(key, pa.int64()), ("decoded", pa.string())])
 
     def run(batches):
-        name = WordBpe(path).name
+        name = held(path).name
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array([" ".join(name[i] for i in x or ()) for x in b.column(col).to_pylist()])], schema=schema)
 
