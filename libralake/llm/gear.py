@@ -31,7 +31,7 @@ class Sizes:
 
 #: Fine chunks, for fingerprints of short texts too; coarser ones, for passages of many words.
 FINE = Sizes()
-COARSE = Sizes(32, 48, 256, 6, 4)
+COARSE = Sizes(16, 32, 96, 6, 4)
 
 
 def rolling(raw: np.ndarray) -> np.ndarray:
