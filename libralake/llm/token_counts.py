@@ -45,6 +45,8 @@ class PieceCounter(Remembered):
         self.most = 500_000
         self.dp = PrefixBpe(ranks, lambda a, b: ranks.get(a + b))
         self.known = frozenset(p for p in ranks if len(p) == 1)
+        #: Characters that stand next to each other in some piece; nothing merges between two others.
+        self.near = frozenset(x for p in ranks for x in zip(p, p[1:]))
 
     def runs(self, segment: str) -> Iterator[tuple[str, bool]]:
         """The segment parted into runs of known characters and single unknown ones."""
@@ -67,6 +69,8 @@ class PieceCounter(Remembered):
         return out
 
     def compute(self, segment: str) -> int:
+        if len(segment) > 2 and segment[-1] in ".,;:!?" and (segment[-2], segment[-1]) not in self.near:
+            return self[segment[:-1]] + self[segment[-1]]
         n = 0
         for run, known in self.runs(segment):
             n += self.dp.prefix_counts(run)[-1] if known else len(run.encode("utf-8", "surrogatepass"))

@@ -65,6 +65,11 @@ class Words(Remembered):
         return len(toks), " ".join([str(self.id[t]) for t in toks]), " ".join([self.shown[t] for t in toks])
 
 
+def _lowered(text: str) -> str:
+    """NFC and lower case, character by character."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
 class WordBpe(Remembered):
     """Maps a run of non-space characters to (count, ids joined by spaces, tokens joined by spaces)."""
 
@@ -83,22 +88,18 @@ class WordBpe(Remembered):
         for part in parts:
             if part in self.special:
                 yield 1, str(self.special[part]), part
-                continue
-            if not part.isascii():
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-            part = part.lower()
-            if part.isalpha():
-                yield self.words[part]
-            elif part[:-1].isalpha() and part[-1] in ".,;:!?":
-                yield self.words[part[:-1]]
-                yield self.words[part[-1]]
             else:
-                yield from map(self.words.__getitem__, self.split(part))
+                yield from map(self.words.__getitem__, self.split(_lowered(part)))
 
     def compute(self, run: str) -> tuple[int, str, str]:
+        low, words = _lowered(run), self.words
+        # Letters alone, or with one mark after them, part as the pattern parts them; special tokens are neither.
+        if low.isalpha():
+            return words[low]
+        if low[-1] in ".,;:!?" and low[:-1].isalpha():
+            (n, ids, toks), (m, more, last) = words[low[:-1]], words[low[-1]]
+            return n + m, f"{ids} {more}", f"{toks} {last}"
         found = list(self._pieces(run))
-        if len(found) == 1:
-            return found[0]
         return sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
 
     def runs(self, text: str) -> list[str]:
