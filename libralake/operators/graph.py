@@ -152,3 +152,54 @@ def degree(edges: DataFrame, a: str, b: str, confidence: Column | None = None) -
     """node, n_out, n_in over edges that meet the confidence predicate."""
     e = edges if confidence is None else edges.where(confidence)
     return e.select(F.col(a).alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(e.select(F.col(b).alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"))).groupBy("node").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
+
+
+def complete_mentions(docs: DataFrame, ments: DataFrame, forms: DataFrame, key: str, text: str, owner: str, form: str) -> DataFrame:
+    """Mentions that forms with a single owner have in the texts and the given mentions lack: key, owner, start, n_words."""
+    return mentions(docs, forms, key, text, owner, form).join(ments.select(key, owner, "start"), [key, owner, "start"], "left_anti")
+
+
+def search_entities(entities: DataFrame, query: str, key: str, name: str, aliases: str, weight: str, most: int = 20) -> DataFrame:
+    """Entities whose name or alias holds the query (articles left out), those that begin with it first."""
+    import re
+
+    q = re.sub(r"^(the|el|la|los|las|le|les|der|die|das) ", "", query.lower().translate(str.maketrans(T.ACCENTED, T.PLAIN)).strip())
+    n = T.key(F.col(name))
+    any_alias = F.exists(F.col(aliases), lambda a: F.contains(T.key(a), F.lit(q)))
+    hit = entities.where(F.contains(n, F.lit(q)) | F.coalesce(any_alias, F.lit(False)))
+    return hit.orderBy(F.desc(F.startswith(n, F.lit(q))), F.desc(weight), key).limit(most)
+
+
+def neighbourhood(edges: DataFrame, centre, hops: int = 2, most: int = 48, visible: float = 0.8) -> DataFrame:
+    """Edges (node, other, weight) around a node: its strongest neighbours, and theirs where strong enough to be seen."""
+    first = edges.where(F.col("node") == F.lit(centre)).orderBy(F.desc("weight"), "other").limit(most)
+    if hops == 1:
+        return first.select("node", "other", "weight")
+    held = F.broadcast(first.select(F.col("other").alias("node")))
+    inner = edges.where(F.col("weight") >= visible).join(held, "node", "left_semi").join(held.withColumnRenamed("node", "other"), "other", "left_semi").where("node < other")
+    return first.select("node", "other", "weight").unionByName(inner.select("node", "other", "weight"))
+
+
+def timeline(ments: DataFrame, dates: DataFrame, docs: DataFrame, part: str, doc: str, year: str) -> DataFrame:
+    """part, doc, year: one row for each part with a mention, with its own date else the document's; undated ones last."""
+    own = dates.groupBy(part).agg(F.min(year).alias("_own"))
+    rows = ments.select(part, doc).distinct().join(own, part, "left").join(docs.select(doc, F.col(year).alias("_doc")), doc, "left")
+    return rows.select(part, doc, F.coalesce("_own", "_doc").alias(year)).orderBy(F.asc_nulls_last(year), part)
+
+
+def entities_of(ments: DataFrame, doc: str, entity: str, part: str, target) -> DataFrame:
+    """entity, n, parts (sorted): the entities of one document and where they stand."""
+    return ments.where(F.col(doc) == target).groupBy(entity).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set(part)).alias("parts"))
+
+
+def labels_to_redo(edges: DataFrame, names: DataFrame, key: str, name: str, a: str, b: str, sentence: str) -> DataFrame:
+    """Labelled edges whose sentence does not name both ends."""
+    side = lambda c, out: names.select(F.col(key).alias(c), T.key(F.col(name)).alias(out))
+    s = T.key(F.col(sentence))
+    return edges.join(side(a, "_na"), a).join(side(b, "_nb"), b).where(~(F.contains(s, F.col("_na")) & F.contains(s, F.col("_nb")))).drop("_na", "_nb")
+
+
+def merge_entities(rows: DataFrame, kind: str, name: str, forms: str, importance: str, analysis: str) -> DataFrame:
+    """One row for each kind and comparison key: all forms, largest importance, first analysis that is there."""
+    k = T.key(F.col(name))
+    return rows.groupBy(kind, k.alias("entity_key")).agg(F.array_distinct(F.flatten(F.collect_list(forms))).alias(forms), F.max(importance).alias(importance), F.min(F.when(F.col(analysis).isNotNull(), F.struct(name, analysis))).alias("_a")).withColumn(analysis, F.col(f"_a.{analysis}")).drop("_a")
