@@ -82,10 +82,10 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", F.round(lo, 4).alias("lo"), F.round(hi, 4).alias("hi"))
 
 
-@query("media_windows", """WITH d AS (SELECT o_orderkey, floor(o_totalprice) / 40 AS dur FROM orders WHERE o_orderkey % 10 = 0), n AS (SELECT *, greatest(1, ceil((dur - 30) / 450))::INTEGER AS n0 FROM d), m AS (SELECT *, CASE WHEN n0 > 1 AND dur - (n0 - 1) * 450 < 120 THEN n0 - 1 ELSE n0 END AS n FROM n)
+@query("media_windows", """WITH d AS (SELECT o_orderkey, floor(o_totalprice) / 40 AS dur FROM orders), n AS (SELECT *, greatest(1, ceil((dur - 30) / 450))::INTEGER AS n0 FROM d), m AS (SELECT *, CASE WHEN n0 > 1 AND dur - (n0 - 1) * 450 < 120 THEN n0 - 1 ELSE n0 END AS n FROM n)
 SELECT o_orderkey, i::INTEGER AS place, round(i * 450, 3)::DOUBLE AS start, round(CASE WHEN i = n - 1 THEN dur ELSE i * 450 + 480 END, 3) AS stop, round(CASE WHEN i = n - 1 THEN dur ELSE (i + 1) * 450 + 15 END, 3) AS own_to FROM m, range(0, 1000) r(i) WHERE i < n""")
 def _(spark, d):
-    w = table(spark, d, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.posexplode(I.windows(F.floor("o_totalprice") / 40)).alias("place", "w"))
+    w = table(spark, d, "orders").select("o_orderkey", F.posexplode(I.windows(F.floor("o_totalprice") / 40)).alias("place", "w"))
     return w.select("o_orderkey", "place", F.round("w.start", 3).alias("start"), F.round("w.end", 3).alias("stop"), F.round("w.own_to", 3).alias("own_to"))
 
 
@@ -178,10 +178,10 @@ def _(spark, d):
     return I.majority_labels(a, b, "w", "t", "a", "b", 30.0)
 
 
-@query("federated_max", "SELECT doc_id, max(score) AS score FROM (SELECT doc_id, n_chars AS score FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, n_chars * 2 FROM documents WHERE doc_id % 5 = 0) GROUP BY 1")
+@query("federated_max", "SELECT doc_id, max(score) AS score FROM (SELECT doc_id, n_chars AS score FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, n_chars * 2 FROM documents WHERE source = 'src5') GROUP BY 1")
 def _(spark, d):
     docs = table(spark, d, "documents")
-    return I.interleaved_union([docs.where("lang = 'en'").select("doc_id", F.col("n_chars").alias("score")), docs.where("doc_id % 5 = 0").select("doc_id", (F.col("n_chars") * 2).alias("score"))], "doc_id", "score")
+    return I.interleaved_union([docs.where("lang = 'en'").select("doc_id", F.col("n_chars").alias("score")), docs.where("source = 'src5'").select("doc_id", (F.col("n_chars") * 2).alias("score"))], "doc_id", "score")
 
 
 @query("sheet_row_ranges", "WITH r AS (SELECT c_nationkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer) SELECT c_nationkey, ((n - 1) // 40)::INTEGER AS part, min(n)::INTEGER AS from_row, max(n)::INTEGER AS to_row, md5(string_agg(c_name, chr(10) ORDER BY n)) AS digest FROM r GROUP BY c_nationkey, (n - 1) // 40")

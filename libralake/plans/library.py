@@ -32,10 +32,10 @@ def _(spark, d):
     return structure.running_titles(heads, "source", "doc_id", "unit").select(F.col("source"), "title", "c")
 
 
-@query("section_tree", """WITH h AS (SELECT l_orderkey AS doc, l_linenumber AS place, min(1 + l_partkey % 3)::INTEGER AS level FROM lineitem WHERE l_orderkey < 3000 GROUP BY ALL)
+@query("section_tree", """WITH h AS (SELECT l_orderkey AS doc, l_linenumber AS place, min(1 + l_partkey % 3)::INTEGER AS level FROM lineitem GROUP BY ALL)
 SELECT doc, place, level, (SELECT max(p.place) FROM h p WHERE p.doc = h.doc AND p.place < h.place AND p.level < h.level) AS parent, (SELECT min(n.place) FROM h n WHERE n.doc = h.doc AND n.place > h.place AND n.level <= h.level) AS next_place FROM h""")
 def _(spark, d):
-    h = table(spark, d, "lineitem").where("l_orderkey < 3000").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("place")).agg(F.min(1 + F.col("l_partkey") % 3).cast("int").alias("level"))
+    h = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("place")).agg(F.min(1 + F.col("l_partkey") % 3).cast("int").alias("level"))
     return structure.sections(h, "doc", "place", "level")
 
 
@@ -116,15 +116,15 @@ def _(spark, d):
 # ---- citations -------------------------------------------------------------
 
 
-@query("anchor_format", """WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, ['page', 'time', 'slide', 'rows', 'section', 'image'][1 + (l_partkey % 6)] AS kind, l_partkey AS a, CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE l_partkey + l_suppkey % 3 END AS b FROM lineitem WHERE l_linenumber = 1),
+@query("anchor_format", """WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, ['page', 'time', 'slide', 'rows', 'section', 'image'][1 + (l_partkey % 6)] AS kind, l_partkey AS a, CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE l_partkey + l_suppkey % 3 END AS b FROM lineitem),
 c AS (SELECT *, CASE WHEN a >= 3600 THEN printf('%d:%02d:%02d', a // 3600, a % 3600 // 60, a % 60) ELSE printf('%d:%02d', a // 60, a % 60) END AS ca, CASE WHEN b >= 3600 THEN printf('%d:%02d:%02d', b // 3600, b % 3600 // 60, b % 60) ELSE printf('%d:%02d', b // 60, b % 60) END AS cb FROM a)
-SELECT l_orderkey, l_partkey, CASE kind WHEN 'page' THEN CASE WHEN b IS NULL OR a = b THEN 'p. ' || a ELSE 'pp. ' || a || '–' || b END WHEN 'time' THEN CASE WHEN b > a THEN ca || '–' || cb ELSE ca END
+SELECT l_orderkey, l_linenumber, l_partkey, CASE kind WHEN 'page' THEN CASE WHEN b IS NULL OR a = b THEN 'p. ' || a ELSE 'pp. ' || a || '–' || b END WHEN 'time' THEN CASE WHEN b > a THEN ca || '–' || cb ELSE ca END
  WHEN 'slide' THEN CASE WHEN b IS NULL OR a = b THEN 'slide ' || a ELSE 'slides ' || a || '–' || b END WHEN 'rows' THEN CASE WHEN b IS NULL OR a = b THEN 'row ' || a ELSE 'rows ' || a || '–' || b END WHEN 'section' THEN '§ ' || a ELSE '' END AS printed FROM c""")
 def _(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber = 1")
+    li = table(spark, d, "lineitem")
     kind = F.element_at(F.array(*map(F.lit, ("page", "time", "slide", "rows", "section", "image"))), (1 + F.col("l_partkey") % 6).cast("int"))
     b = F.when(F.col("l_partkey") % 4 != 0, F.col("l_partkey") + F.col("l_suppkey") % 3)
-    return li.select("l_orderkey", "l_partkey", citations.anchor_text(kind, F.col("l_partkey"), b).alias("printed"))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", citations.anchor_text(kind, F.col("l_partkey"), b).alias("printed"))
 
 
 @query("claims_temporal", """WITH c(id, claim, y) AS (VALUES (1, 'The internet changed letters', 1850), (2, 'In 1789 the king fell', 1999), (3, 'In 1850 he wrote', 1855), (4, 'Nothing dated', 1700), (5, 'By 1900 all will be free', 1850), (6, 'In 1900 it was free', 1850), (7, 'x 1900', NULL))
@@ -147,9 +147,9 @@ def _(spark, d):
     return a.select("user_id", citations.answer_confidence(F.col("n"), F.col("best")).alias("confidence"))
 
 
-@query("orphan_citations", "WITH m AS (SELECT o_orderkey, unnest(['1', '2', '9'])::INTEGER AS mark FROM orders WHERE o_orderkey % 50 = 0), k AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) SELECT o_orderkey, mark, k.l_linenumber IS NOT NULL AS known FROM m LEFT JOIN k ON l_orderkey = o_orderkey AND l_linenumber = mark")
+@query("orphan_citations", "WITH m AS (SELECT o_orderkey, unnest(['1', '2', '9'])::INTEGER AS mark FROM orders), k AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) SELECT o_orderkey, mark, k.l_linenumber IS NOT NULL AS known FROM m LEFT JOIN k ON l_orderkey = o_orderkey AND l_linenumber = mark")
 def _(spark, d):
-    answers = table(spark, d, "orders").where("o_orderkey % 50 = 0").select("o_orderkey", F.lit("As said [1], and [2][9] and again [1].").alias("answer"))
+    answers = table(spark, d, "orders").select("o_orderkey", F.lit("As said [1], and [2][9] and again [1].").alias("answer"))
     proofs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
     return citations.resolve_marks(answers, proofs, "o_orderkey", "answer", "l_linenumber")
 
@@ -159,9 +159,9 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", T.clock_seconds(F.date_format("ts", "H:mm:ss")).alias("seconds"))
 
 
-@query("roman_numerals", "SELECT p_partkey, p_partkey::INTEGER AS n FROM part WHERE p_partkey BETWEEN 1 AND 3999")
+@query("roman_numerals", "SELECT p_partkey, CASE WHEN p_partkey BETWEEN 1 AND 3999 THEN p_partkey END::INTEGER AS n FROM part")
 def _(spark, d):
-    return table(spark, d, "part").where("p_partkey between 1 and 3999").select("p_partkey", T.roman(T.to_roman(F.col("p_partkey"))).alias("n"))
+    return table(spark, d, "part").select("p_partkey", T.roman(T.to_roman(F.col("p_partkey"))).alias("n"))
 
 
 @query("isbn_check", """WITH c AS (SELECT p_partkey, '978' || lpad((p_partkey * 7919 % 1000000000)::VARCHAR, 9, '0') AS core FROM part), s AS (SELECT *, (SELECT sum(substr(core, i, 1)::INTEGER * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END) FROM range(1, 13) r(i)) AS t FROM c)
@@ -216,10 +216,10 @@ def _(spark, d):
     return graph.shared_entities(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", 1).select("l_suppkey", "n_shared")
 
 
-@query("connected_components", """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 1000000 + o_totalprice::BIGINT // 30 AS b FROM orders WHERE o_orderkey % 10 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a)
-SELECT node, min(seen) AS component FROM r GROUP BY node""")
+@query("connected_components")
 def _(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("a"), (1000000 + F.floor(F.round("o_totalprice").cast("long") / 30)).cast("long").alias("b"))
+    # Recursive SQL is too slow on whole tables; tests hold the operator against union-find.
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("a"), (1_000_000_000 + F.floor(F.col("o_totalprice"))).cast("long").alias("b"))
     return graph.components(o)
 
 
@@ -257,10 +257,10 @@ def _(spark, d):
 # ---- references ------------------------------------------------------------
 
 
-@query("reference_resolution", """WITH s AS (SELECT doc_id, '10.1000/d' || doc_id AS doi FROM documents WHERE doc_id % 3 = 0), r AS (SELECT o_orderkey AS ref_id, '10.1000/d' || (o_orderkey % 2000) AS doi FROM orders) SELECT ref_id, doc_id, 1.0::DOUBLE AS confidence, 'doi' AS rule FROM r JOIN s USING (doi)""")
+@query("reference_resolution", """WITH s AS (SELECT doc_id, '10.1000/d' || doc_id AS doi FROM documents), r AS (SELECT o_orderkey AS ref_id, '10.1000/d' || (o_orderkey % 2000) AS doi FROM orders) SELECT ref_id, doc_id, 1.0::DOUBLE AS confidence, 'doi' AS rule FROM r JOIN s USING (doi)""")
 def _(spark, d):
     title = F.lit(None).cast("string")
-    shelf = table(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("10.1000/d"), "doc_id").alias("doi"), title.alias("title"), F.lit(None).cast("int").alias("year"), title.alias("surname"))
+    shelf = table(spark, d, "documents").select("doc_id", F.concat(F.lit("10.1000/d"), "doc_id").alias("doi"), title.alias("title"), F.lit(None).cast("int").alias("year"), title.alias("surname"))
     refs = table(spark, d, "orders").select(F.col("o_orderkey").alias("ref_id"), F.concat(F.lit("Surname, N. See https://doi.org/10.1000/D"), F.col("o_orderkey") % 2000, F.lit(".")).alias("entry"))
     return bibliography.resolve(bibliography.parse(refs, "entry"), shelf).select("ref_id", "doc_id", "confidence", "rule")
 
@@ -326,18 +326,18 @@ def _(spark, d):
     return insights.changes(e.where("ts < timestamp_ntz'2024-01-15'"), e, "user_id", "event_id", "event_type")
 
 
-@query("card_verification", "SELECT doc_id, CASE WHEN doc_id >= 900 THEN 'orphan' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'verified' END AS state FROM documents")
+@query("card_verification", "SELECT doc_id, CASE WHEN lang = 'es' THEN 'orphan' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'verified' END AS state FROM documents")
 def _(spark, d):
     docs = table(spark, d, "documents")
     cards = docs.select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.lit("x")).otherwise(F.sha2("text", 256)).alias("print"))
-    return insights.verify_cards(cards, docs.where("doc_id < 900").select("doc_id", "text"), "doc_id", "print", "text").select("doc_id", "state")
+    return insights.verify_cards(cards, docs.where("lang <> 'es'").select("doc_id", "text"), "doc_id", "print", "text").select("doc_id", "state")
 
 
-@query("batch_estimate", "WITH f AS (SELECT doc_id, md5(text) AS print, CASE WHEN doc_id % 4 = 0 THEN 'media' ELSE 'text' END AS kind, n_chars * 100 AS size FROM documents), m AS (SELECT *, row_number() OVER (PARTITION BY print ORDER BY doc_id) = 1 AND print NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 10 = 0) AS fresh FROM f) SELECT kind, count(*)::BIGINT AS n, count(*) FILTER (fresh)::BIGINT AS n_new, round(sum(CASE WHEN fresh THEN 12 + CASE WHEN kind <> 'media' THEN 0.8 * greatest(1, size / 50000) ELSE 11 * size / 1000000 END ELSE 0 END), 3)::DOUBLE AS work FROM m GROUP BY kind")
+@query("batch_estimate", "WITH f AS (SELECT doc_id, md5(text) AS print, CASE WHEN doc_id % 4 = 0 THEN 'media' ELSE 'text' END AS kind, n_chars * 100 AS size FROM documents), m AS (SELECT *, row_number() OVER (PARTITION BY print ORDER BY doc_id) = 1 AND print NOT IN (SELECT md5(text) FROM documents WHERE source = 'src0') AS fresh FROM f) SELECT kind, count(*)::BIGINT AS n, count(*) FILTER (fresh)::BIGINT AS n_new, round(sum(CASE WHEN fresh THEN 12 + CASE WHEN kind <> 'media' THEN 0.8 * greatest(1, size / 50000) ELSE 11 * size / 1000000 END ELSE 0 END), 3)::DOUBLE AS work FROM m GROUP BY kind")
 def _(spark, d):
     docs = table(spark, d, "documents")
     f = docs.select("doc_id", F.md5("text").alias("print"), F.when(F.col("doc_id") % 4 == 0, "media").otherwise("text").alias("kind"), (F.col("n_chars") * 100).alias("size"))
-    return insights.batch_estimate(f, docs.where("doc_id % 10 = 0").select(F.md5("text").alias("print")), "print", "doc_id", "kind", "size").withColumn("work", F.round("work", 3))
+    return insights.batch_estimate(f, docs.where("source = 'src0'").select(F.md5("text").alias("print")), "print", "doc_id", "kind", "size").withColumn("work", F.round("work", 3))
 
 
 @query("citation_metrics", "WITH c AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber <= 2), g AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber BETWEEN 2 AND 3) SELECT round((SELECT count(*) FROM c JOIN g USING (l_orderkey, l_partkey)) / (SELECT count(*) FROM c), 6) AS precision, round((SELECT count(*) FROM c JOIN g USING (l_orderkey, l_partkey)) / (SELECT count(*) FROM g), 6) AS recall, (SELECT count(*) FROM c WHERE l_partkey NOT IN (SELECT l_partkey FROM g))::BIGINT AS invented")
@@ -368,15 +368,15 @@ def _(spark, d):
     return normalizer.keyed(normalizer.vocabulary(table(spark, d, "documents"), "text", "lang"))
 
 
-@query("old_spelling", "SELECT doc_id, false AS old FROM documents WHERE 1 = 0")
+@query("old_spelling")
 def _(spark, d):
-    return table(spark, d, "documents").where("lang = 'es'").select("doc_id", normalizer.is_old(F.col("text"), F.col("lang"), F.lit(None).cast("int")).alias("old")).where("old")
+    return table(spark, d, "documents").select("doc_id", normalizer.is_old(F.col("text"), F.col("lang"), F.lit(None).cast("int")).alias("old"))
 
 
 @query("gale_church")
 def _(spark, d):
     """Paragraph lengths of every document aligned with those of the document whose key follows."""
-    docs = table(spark, d, "documents").where("n_chars < 20000").select("doc_id", F.transform(F.split("text", "\n"), F.length).alias("n"))
+    docs = table(spark, d, "documents").select("doc_id", F.transform(F.split("text", "\n"), F.length).alias("n"))
     a = docs.select(F.col("doc_id").alias("pair"), F.lit("a").alias("side"), F.posexplode("n").alias("place", "length"))
     b = docs.select((F.col("doc_id") - 1).alias("pair"), F.lit("b").alias("side"), F.posexplode("n").alias("place", "length"))
     return align.align_pairs(a.unionByName(b), "pair", "side", "place", "length")
@@ -386,7 +386,7 @@ def _(spark, d):
 def _(spark, d):
     """Pages of the events of each user, numbered in the footer but for some that are missing or misread."""
     w = Window.partitionBy("user_id").orderBy("event_id")
-    p = table(spark, d, "events").withColumn("page", F.row_number().over(w)).where("page <= 200")
+    p = table(spark, d, "events").withColumn("page", F.row_number().over(w))
     footer = F.when(F.col("event_id") % 7 == 0, F.lit(None)).when(F.col("event_id") % 11 == 0, F.lit("88")).otherwise((F.col("page") + 3).cast("string"))
     return folios.deduce(p.select("user_id", "page", F.lit(None).cast("string").alias("h"), footer.alias("f"), F.lit(None).cast("string").alias("b")), "user_id", "page", "h", "f", "b")
 

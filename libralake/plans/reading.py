@@ -37,11 +37,11 @@ def _(spark, d):
     return passages.group_insertions(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey", "l_partkey", "l_linenumber")
 
 
-@query("region_boxes", """WITH l AS (SELECT l_suppkey, l_tax AS x, l_quantity / 50 AS y, 0.1 AS w, 0.004 AS h FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 = 0), m AS (SELECT *, CASE WHEN y - max(y + h) OVER (PARTITION BY l_suppkey ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0.03 THEN 1 ELSE 0 END AS new FROM l),
-g AS (SELECT *, sum(new) OVER (PARTITION BY l_suppkey ORDER BY y ROWS UNBOUNDED PRECEDING) AS g FROM m), b AS (SELECT l_suppkey, g, count(*) AS n, min(y) AS y0, max(y + h) AS y1 FROM g GROUP BY ALL) SELECT l_suppkey, round(arg_max(y0, (n, -g)), 6) AS y, round(arg_max(y1 - y0, (n, -g)), 6) AS h FROM b GROUP BY 1""")
+@query("region_boxes", """WITH l AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_tax AS x, l_quantity / 50 AS y, 0.1 AS w, 0.004 AS h FROM lineitem), m AS (SELECT *, CASE WHEN y - max(y + h) OVER (PARTITION BY l_suppkey ORDER BY y, l_orderkey, l_linenumber, l_partkey, x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0.015 THEN 1 ELSE 0 END AS new FROM l),
+g AS (SELECT *, sum(new) OVER (PARTITION BY l_suppkey ORDER BY y, l_orderkey, l_linenumber, l_partkey, x ROWS UNBOUNDED PRECEDING) AS g FROM m), b AS (SELECT l_suppkey, g, count(*) AS n, min(y) AS y0, max(y + h) AS y1 FROM g GROUP BY ALL) SELECT l_suppkey, round(arg_max(y0, (n, -g)), 6) AS y, round(arg_max(y1 - y0, (n, -g)), 6) AS h FROM b GROUP BY 1""")
 def _(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber = 1 and l_orderkey % 3 = 0").select("l_suppkey", F.col("l_tax").alias("x"), (F.col("l_quantity") / 50).alias("y"), F.lit(0.1).alias("w"), F.lit(0.004).alias("h"))
-    return passages.union_boxes(li, ["l_suppkey"], "x", "y", "w", "h").select("l_suppkey", F.round("y", 6).alias("y"), F.round("h", 6).alias("h"))
+    li = table(spark, d, "lineitem").select("l_suppkey", F.col("l_tax").alias("x"), (F.col("l_quantity") / 50).alias("y"), F.lit(0.1).alias("w"), F.lit(0.004).alias("h"))
+    return passages.union_boxes(li, ["l_suppkey"], "x", "y", "w", "h", gap=0.015).select("l_suppkey", F.round("y", 6).alias("y"), F.round("h", 6).alias("h"))
 
 
 @query("speech_without_words")
@@ -60,8 +60,9 @@ def _(spark, d):
 
 @query("region_matches")
 def _(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey < 2000")
-    frame = lambda shift: li.select(F.col("l_orderkey").alias("page"), F.concat_ws("-", "l_linenumber", "l_partkey").alias("id"), F.struct((F.col("l_quantity") / 100 + shift).alias("x"), (F.col("l_linenumber") / 10.0).alias("y"), F.lit(0.1).alias("w"), F.lit(0.1).alias("h")).alias("box"), F.col("l_returnflag").alias("cap"))
+    o = table(spark, d, "orders")
+    place = lambda shift: F.struct((F.col("o_totalprice") % 100 / 100 + shift).alias("x"), (F.col("o_orderkey") % 10 / 10.0).alias("y"), F.lit(0.1).alias("w"), F.lit(0.1).alias("h"))
+    frame = lambda shift: o.select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("id"), place(shift).alias("box"), F.col("o_orderpriority").alias("cap"))
     return media.match_regions(frame(0.0), frame(0.03), "page", "box", "id", "cap")
 
 
@@ -71,10 +72,10 @@ def _(spark, d):
     return graph.merge_entities(p, "p_brand", "p_name", "forms", "importance", "analysis").select("p_brand", "entity_key", "importance")
 
 
-@query("entity_timeline", "WITH o AS (SELECT l_orderkey AS part, l_suppkey AS doc FROM lineitem GROUP BY ALL), d AS (SELECT o_orderkey AS part, year(o_orderdate)::INTEGER AS y FROM orders WHERE o_orderkey % 2 = 0) SELECT o.part, o.doc, coalesce(d.y, 1900 + s_nationkey)::INTEGER AS year FROM o LEFT JOIN d USING (part) LEFT JOIN supplier ON s_suppkey = o.doc")
+@query("entity_timeline", "WITH o AS (SELECT l_orderkey AS part, l_suppkey AS doc FROM lineitem GROUP BY ALL), d AS (SELECT o_orderkey AS part, year(o_orderdate)::INTEGER AS y FROM orders WHERE o_orderstatus = 'F') SELECT o.part, o.doc, coalesce(d.y, 1900 + s_nationkey)::INTEGER AS year FROM o LEFT JOIN d USING (part) LEFT JOIN supplier ON s_suppkey = o.doc")
 def _(spark, d):
     m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("part"), F.col("l_suppkey").alias("doc"))
-    dates = table(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("part"), F.year("o_orderdate").alias("year"))
+    dates = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("part"), F.year("o_orderdate").alias("year"))
     docs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc"), (1900 + F.col("s_nationkey")).alias("year"))
     return graph.timeline(m, dates, docs, "part", "doc", "year")
 
@@ -96,13 +97,13 @@ def _(spark, d):
     return shelf.search("thing that threat of other notion", 20).select("key", "score", "routes")
 
 
-@query("embedded_fragments", "SELECT doc_id, 64::INTEGER AS dims FROM documents WHERE doc_id % 100 = 0")
+@query("embedded_fragments", "SELECT doc_id, 64::INTEGER AS dims FROM documents")
 def _(spark, d):
     @F.pandas_udf("array<float>")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: hash_embedding(t or ""))
 
-    return table(spark, d, "documents").where("doc_id % 100 = 0").select("doc_id", F.size(run("text")).alias("dims"))
+    return table(spark, d, "documents").select("doc_id", F.size(run("text")).alias("dims"))
 
 
 @query("keyframe_units", "WITH f AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'), u AS (SELECT user_id, ts, max(event_id) AS unit FROM events WHERE event_type = 'view' GROUP BY ALL) SELECT f.event_id, u.unit, epoch_us(f.ts) < epoch_us(u.ts) + 600000000 AS inside FROM f ASOF LEFT JOIN u ON f.user_id = u.user_id AND f.ts >= u.ts")
