@@ -18,7 +18,8 @@ def by_length(a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
     """
     n, m = len(a), len(b)
     ratio = max(0.2, sum(b) / max(1, sum(a)))
-    band = min(400, max(30, math.ceil(0.15 * max(n, m))))
+    # Wide enough that the bands of neighbouring rows meet, however unequal the sides are.
+    band = max(min(400, max(30, math.ceil(0.15 * max(n, m)))), math.ceil(m / max(1, n)) + 2)
     pa, pb = [0], [0]
     for x in a:
         pa.append(pa[-1] + x)
@@ -52,6 +53,8 @@ def align_pairs(rows: DataFrame, pair: str, side: str, place: str, length: str)
         pdf = pdf.sort_values(place)
         a, b = pdf[pdf[side] == "a"], pdf[pdf[side] == "b"]
         beads = by_length(a[length].tolist(), b[length].tolist())
+        if not beads:
+            return pd.DataFrame()
         name = lambda df, xs: ",".join(str(int(df[place].iloc[x])) for x in xs)
         return pd.DataFrame({pair: [pdf[pair].iloc[0]] * len(beads), "bead": range(len(beads)), "a": [name(a, x) for x, _ in beads], "b": [name(b, y) for _, y in beads]})
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .structure import sentences, skeleton
+from .structure import sentences, skeleton, small
 
 
 def term_pattern(terms: list[str], extra: int = 3) -> str:
@@ -55,7 +55,7 @@ def windows(docs: DataFrame, terms: list[str], key: str, text: str, size: int =
     wanted = set(terms)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in small(batches):
             found = [best_window(t or "", wanted, size) for t in pdf[text]]
             yield pd.DataFrame({key: pdf[key], "start": [a for a, _ in found], "end": [b for _, b in found]})
 
@@ -88,9 +88,10 @@ def claim_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, claim, start, end, cited: the claims of every text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in small(batches):
             rows = [(k, i, a, b, c) for k, t in zip(pdf[key], pdf[text]) for i, (a, b, c) in enumerate(claims(t or ""))]
-            yield pd.DataFrame(rows, columns=[key, "claim", "start", "end", "cited"])
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "claim", "start", "end", "cited"])
 
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).mapInPandas(run, f"{key} long, claim int, start int, end int, cited boolean")
 

@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+def small(batches: Iterator[pd.DataFrame], most: int = 1000) -> Iterator[pd.DataFrame]:
+    """The frames in slices of at most ``most`` rows, so that what is made of a slice stays small."""
+    for pdf in batches:
+        for i in range(0, len(pdf), most):
+            yield pdf.iloc[i : i + most]
+
+
 def units(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, place (from 0), unit: the non-empty lines of every text."""
     parts = F.filter(F.split(text, "\n"), lambda s: F.length(F.trim(s)) > 0)
@@ -98,9 +105,10 @@ def chunk(docs: DataFrame, key: str, text: str, least: int = 250, target: int =
     """key, place, start, end, fragment: the fragments of every text, in Arrow batches without a shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in small(batches):
             rows = [(k, i, a, b, t[a:b]) for k, t in zip(pdf[key], pdf[text].fillna("")) for i, (a, b) in enumerate(fragments(t, least, target, most))]
-            yield pd.DataFrame(rows, columns=[key, "place", "start", "end", "fragment"])
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "place", "start", "end", "fragment"])
 
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).mapInPandas(run, f"{key} long, place int, start int, end int, fragment string")
 
@@ -128,13 +136,14 @@ def passages(docs: DataFrame, terms: list[str], key: str, text: str, least_terms
     wanted = set(terms)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in small(batches):
             rows = []
             for k, t in zip(pdf[key], pdf[text].fillna("")):
                 a, b, n = passage(t, wanted)
                 if n >= least_terms:
                     rows.append((k, a, b, n, t[a:b]))
-            yield pd.DataFrame(rows, columns=[key, "start", "end", "n_terms", "passage"])
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "start", "end", "n_terms", "passage"])
 
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).mapInPandas(run, f"{key} long, start int, end int, n_terms int, passage string")
 
@@ -171,7 +180,7 @@ def locate_quotes(pairs: DataFrame, quote: str, text: str) -> DataFrame:
     out = pairs.schema.simpleString()[7:-1] + ",start:int,end:int,confidence:double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in small(batches):
             found = [locate(q or "", t or "") or (None, None, None) for q, t in zip(pdf[quote], pdf[text])]
             yield pdf.assign(start=pd.array([f[0] for f in found], "Int32"), end=pd.array([f[1] for f in found], "Int32"), confidence=[f[2] for f in found])
 

@@ -238,6 +238,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     if kind == "heading":
                         above = [h for h in above if h[0] < level] + [(level, text)]
                     rows.append((p, i, kind, level, unescape(text), " > ".join(t for _, t in above)))
-            yield pd.DataFrame(rows, columns=["path", "place", "kind", "level", "text", "section"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["path", "place", "kind", "level", "text", "section"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, place int, kind string, level int, text string, section string")

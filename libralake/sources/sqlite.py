@@ -34,7 +34,8 @@ def read_table(spark: SparkSession, path: str, table: str, columns: list[str]) -
                 rows = con.execute(f'SELECT {quoted} FROM "{table}"').fetchall()
                 con.close()
                 text = [[p, *(v.hex() if isinstance(v, bytes) else None if v is None else str(v) for v in r)] for r in rows]
-                yield pd.DataFrame(text, columns=["path", *columns])
+                if text:
+                    yield pd.DataFrame(text, columns=["path", *columns])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ", ".join(["path string", *(f"`{c}` string" for c in columns)]))
 

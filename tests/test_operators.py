@@ -112,6 +112,8 @@ def test_alignment():
     a = [100, 200, 50, 300, 120]
     assert align.by_length(a, a) == [([i], [i]) for i in range(5)]
     assert ([1, 2], [1]) in align.by_length(a, [100, 250, 300, 120])
+    beads = align.by_length([50], [40] * 600)
+    assert sorted(j for _, js in beads for j in js) == list(range(600)) and beads[0][1]
     assert align.by_length([], []) == [] and align.by_length([10], []) == [([0], [])]
     assert align.words("the cat sat".split(), "the dog sat down".split()) == [(0, 0), (1, 1), (2, 2), (None, 3)]
     old = [("the", 0.0, 1.0), ("cat", 1.0, 2.0), ("sat", 2.0, 3.0)]
