@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Accented Latin letters and what each folds to, one for one.
@@ -21,9 +23,24 @@ MARKS = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def computed(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``df`` with new columns that later filters and expressions do not compute again: they pass through a generator."""
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*keep, made.alias("_made")).select(*keep, *[F.col(f"_made.{n}").alias(n) for n in columns])
+
+
 def fold(x: Column) -> Column:
-    """Lower case without accents, the same length as the text."""
-    return F.translate(F.lower(x), ACCENTED, PLAIN)
+    """Lower case without accents, the same length as the text.
+
+    Texts of one byte for each character have no accents: most are done without looking up characters.
+    """
+    low = F.lower(x)
+    return F.when(F.octet_length(x) == F.length(x), low).otherwise(F.translate(low, ACCENTED, PLAIN))
 
 
 def tokens(x: Column) -> Column:
@@ -80,19 +97,17 @@ def bigrams(x: Column) -> Column:
 
 def dice(a: Column, b: Column) -> Column:
     """Dice similarity of the character pairs of two texts, as multisets; equal texts are 1."""
-    x, y = bigrams(a), bigrams(b)
-    count = lambda arr, g: F.size(F.filter(arr, lambda e: e == g))
-    both = F.aggregate(F.array_distinct(x), F.lit(0), lambda acc, g: acc + F.least(count(x, g), count(y, g)))
-    total = F.size(x) + F.size(y)
-    return F.when(a == b, F.lit(1.0)).when(total == 0, F.lit(0.0)).otherwise(2.0 * both / total)
+    both = lambda x, y: F.aggregate(F.array_distinct(x), F.lit(0), lambda acc, g: acc + F.least(count_of(x, g), count_of(y, g)))
+    share = lambda x, y: F.when(F.size(x) + F.size(y) == 0, F.lit(0.0)).otherwise(2.0 * both(x, y) / (F.size(x) + F.size(y)))
+    return F.when(a == b, F.lit(1.0)).otherwise(let(bigrams(a), lambda x: let(bigrams(b), lambda y: share(x, y))))
 
 
 def title_similarity(a: Column, b: Column) -> Column:
     """Shared words of more than two letters over the larger number of them."""
     x = F.array_distinct(F.filter(tokens(a), lambda t: F.length(t) > 2))
     y = F.array_distinct(F.filter(tokens(b), lambda t: F.length(t) > 2))
-    most = F.greatest(F.size(x), F.size(y))
-    return F.when(most > 0, F.size(F.array_intersect(x, y)) / most).otherwise(F.lit(0.0))
+    share = lambda x, y: F.when(F.greatest(F.size(x), F.size(y)) > 0, F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y))).otherwise(F.lit(0.0))
+    return let(x, lambda p: let(y, lambda q: share(p, q)))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -103,12 +118,11 @@ def overlap(a: Column, b: Column) -> Column:
 
 def language(x: Column, marks: dict[str, tuple[str, ...]] | None = None, least: int = 2) -> Column:
     """Language with most of its function words, the first in order where equal; null below ``least``."""
-    words = F.regexp_extract_all(F.lower(x), F.lit(r"\p{L}+"), F.lit(0))
-    counts = []
-    for lang, ms in sorted((marks or MARKS).items()):
-        counts.append(F.struct(_count_in(words, F.array(*map(F.lit, ms))).alias("n"), F.lit(lang).alias("lang")))
-    best = F.aggregate(F.array(*counts[1:]), counts[0], lambda a, b: F.when(b["n"] > a["n"], b).otherwise(a))
-    return F.when(best["n"] >= least, best["lang"])
+    def pick(words: Column) -> Column:
+        counts = [F.struct(_count_in(words, F.array(*map(F.lit, ms))).alias("n"), F.lit(lang).alias("lang")) for lang, ms in sorted((marks or MARKS).items())]
+        return F.aggregate(F.array(*counts[1:]), counts[0], lambda a, b: F.when(b["n"] > a["n"], b).otherwise(a), lambda b: F.when(b["n"] >= least, b["lang"]))
+
+    return let(F.regexp_extract_all(F.lower(x), F.lit(r"\p{L}+"), F.lit(0)), pick)
 
 
 def _count_in(words: Column, own: Column) -> Column:

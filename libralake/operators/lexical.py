@@ -50,14 +50,12 @@ def bm25(docs: DataFrame, query: str | list[str], key: str = "doc_id", columns:
     terms = query if isinstance(query, list) else query_terms(query)
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    counts = []
-    length = F.lit(0.0)
-    for name, c in columns.items():
-        toks = T.tokens(c)
-        counts.append((weights[name], F.array(*[T.count_of(toks, F.lit(t)) for t in terms])))
-        length = length + weights[name] * F.size(toks)
-    tf = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), [_times(a, w) for w, a in counts])
-    rows = docs.select(key, tf.alias("_tf"), length.alias("_len"))
+    # Words are made once for each row, in a step of their own.
+    words = T.computed(docs, [key], **{f"_t{i}": T.tokens(c) for i, c in enumerate(columns.values())})
+    shares = [(weights[name], F.col(f"_t{i}")) for i, name in enumerate(columns)]
+    tf = F.array(*[reduce(lambda a, b: a + b, [w * T.count_of(toks, F.lit(t)) for w, toks in shares]) for t in terms])
+    length = reduce(lambda a, b: a + b, [w * F.size(toks) for w, toks in shares])
+    rows = T.computed(words, [key], _tf=tf, _len=length)
     # One row: number of documents, mean length, document frequency of each term.
     stats = rows.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col("_tf")[i] > 0).alias(f"_df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
@@ -69,10 +67,6 @@ def bm25(docs: DataFrame, query: str | list[str], key: str = "doc_id", columns:
     return rows.where(has("_tf", lambda x: x > 0)).crossJoin(F.broadcast(stats)).select(key, score.alias("score"))
 
 
-def _times(a: Column, w: float) -> Column:
-    return F.transform(a, lambda x: w * x)
-
-
 def query_terms(query: str, most: int = 32) -> list[str]:
     """Distinct terms of a query without function words; with them where there are no others."""
     import re
@@ -88,8 +82,8 @@ def phrase(docs: DataFrame, words: str, key: str = "doc_id", column: str = "text
     """Documents in which the words stand next to each other, with the number of places."""
     toks = F.concat(F.lit(" "), F.array_join(T.tokens(F.col(column)), "  "), F.lit(" "))
     needle = " " + "  ".join(query_terms_all(words)) + " "
-    hits = (F.length(toks) - F.length(F.replace(toks, F.lit(needle), F.lit("")))) / len(needle)
-    return docs.select(key, hits.cast("long").alias("n_hits")).where("n_hits > 0")
+    hits = (F.length("_s") - F.length(F.replace(F.col("_s"), F.lit(needle), F.lit("")))) / len(needle)
+    return T.computed(docs, [key], _s=toks).select(key, hits.cast("long").alias("n_hits")).where("n_hits > 0")
 
 
 def query_terms_all(words: str) -> list[str]:

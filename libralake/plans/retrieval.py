@@ -43,8 +43,8 @@ SQL_DOT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p:
 
 @query("tokens_per_doc", f"SELECT doc_id, len({sql_tokens('text')})::BIGINT AS n_tokens, len(list_distinct({sql_tokens('text')}))::BIGINT AS n_distinct FROM documents")
 def _(spark, d) -> DataFrame:
-    t = T.tokens(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+    t = F.col("t")
+    return table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t")).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
 
 
 @query("term_df_top", f"SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({sql_tokens('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term ORDER BY df DESC, term LIMIT 100")

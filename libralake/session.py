@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(threads: int = 8, driver_memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
@@ -21,3 +21,9 @@ def local_session(threads: int = 8, driver_memory: str = "8g", shuffle_partition
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, dealt to all of them; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
