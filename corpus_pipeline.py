@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from libralake.llm import decontaminate, ngram_join, quality, secrets, word_bpe
 from libralake.llm._store import materialize
-from libralake.llm.queries import in_fold, tokenizer
+from libralake.llm.queries import in_fold, table, tokenizer
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage keeps is written once in the shared folder and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
