@@ -8,12 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder of a session without the setting.
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a fresh local one only where the setting is absent (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="libralake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="libralake-ckpt-"))
+        path = _own[0]
     return path.rstrip("/")
 
 
@@ -27,3 +32,9 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables under the shared folder; results that still read them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/libralake")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
