@@ -45,7 +45,7 @@ from ._words import mix, shingles
 #: Shingles of a candidate group that one task may hold.
 GROUP_SHINGLES = 12_000_000
 #: Bytes of packed shingles that a task holds back before it sends them on.
-PACK_BYTES = 24 << 20
+PACK_BYTES = 8 << 20
 #: Shingles of the classes that are compared with a large group in one round.
 ROUND_SHINGLES = 1_000_000
 _SALT = np.uint64(0xC2B2AE3D27D4EB4F)
