@@ -3,9 +3,14 @@
 The standard library's parser streams events; each block of a page is a line with its
 text and the number of tags in and before it.  Text-to-tag ratios are smoothed with a
 Gaussian and split into two clusters by threshold; the container with most text in the
-upper cluster is the content region.  Within the region every block counts, short ones
-too, but for subtrees that are no article text (menus, headers, footers, asides,
-adverts, notices, forms, scripts, styles, reader comments).
+upper cluster is the content region; all sibling articles are.  Within the region every
+block counts, short ones too; outside it containers that are mostly dense count whole,
+and of the rest the dense blocks, the main heading and headings of what is kept.
+Subtrees that are no article text (menus, headers, footers, asides, adverts, notices,
+forms, scripts, styles, reader comments) are left out.  Of these, asides, forms, headers
+and what is known by a role or name are so only where the rest of the page bears it out:
+one that holds the main element or nearly all the text counts, and one of an ambiguous
+name does where it is dense.
 
 Character references are decoded, white space inside a block is one space, blocks are
 joined by a line feed.  Null or empty html gives the empty text; broken markup gives
@@ -27,44 +32,80 @@ from ._arrow import filled, slices
 
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("script style noscript template head title svg math iframe object canvas audio video map select textarea button datalist nav footer aside form menu dialog".split())
+UNREAD = frozenset("script style noscript template head title svg math iframe object canvas audio video map select textarea button datalist nav footer menu dialog".split())
+#: What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("title meta link script style base noscript template".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 REGION = frozenset(["article", "main"])
 #: Tags whose start ends an open element of the same group.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|alert|comments?|disqus|respond|replies|discussion|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|share|sharing|social|related|recommended|newsletter|subscribe|signup|popup|modal|overlay|toolbar|pagination|widget)(?:$|[\s_-])", re.I
 )
+_PLAIN = frozenset("no not has with without hide is show".split())
+_ARTICLE = frozenset("article post entry content story chapter section paper".split())
+#: Names that sections of articles have too.
+_WEAK = frozenset("discussion related notice notices alert banner header widget social sharing navigation promotion".split())
+_REMARKS = frozenset("comment comments disqus respond replies".split())
+#: How sure a role or name is: it yields to density; to what else the page has; only to a page without other text.
+WEAK, STRONG, REMARKS = 1, 2, 3
+#: Characters a tag that prose has at least, and paragraphs of an article.
+PROSE, PARAGRAPH = 15, 45
 _ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar toolbar alertdialog form".split())
 _SPACE = re.compile(r"\s+")
 
 
+def suspicion(name: str, in_article: bool) -> int:
+    """How surely classes and identifiers say that a subtree is no article text; 0 where they do not."""
+    most = 0
+    for token in name.lower().split():
+        parts = re.split("[_-]+", token)
+        if parts[0] in _PLAIN or not _NAMES.search(token):
+            continue
+        hits = {p for p in parts if _NAMES.search(p)}
+        if hits == {"header"} and (in_article or parts[0] in _ARTICLE) or hits == {"related"} and parts[-1] in ("work", "works"):
+            continue
+        most = max(most, REMARKS if hits & _REMARKS else WEAK if hits <= _WEAK else STRONG)
+    return most
+
+
 class _Page(HTMLParser):
-    """Collects blocks: (text, tags seen since the last block, path of containers)."""
+    """Collects blocks: (pieces, tags seen since the last block, container, heading); a piece is its text, suspect subtree and whether it is a link's."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []  # tag, begins an unread subtree, has a container of its own
+        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, begins an unread subtree, has a container of its own, is suspect
         self.boxes: list[int] = [0]
         self.n_boxes, self.kinds, self.parents = 1, ["html"], [-1]
         self.unread = 0
-        self.words: list[str] = []
+        self.words: list[tuple[str, int, bool]] = []
+        self.links = self.regions = 0
         self.tags = 0
-        self.blocks: list[tuple[str, int, int]] = []
+        self.heading = ""
+        self.blocks: list[tuple[list[tuple[str, int, bool]], int, int, str]] = []
+        # Suspect subtrees: how sure, the one around, whether the main element is inside.
+        self.sure, self.around, self.main = [], [], []
+        self.suspect = -1
 
     def flush(self) -> None:
         if self.words:
-            text = _SPACE.sub(" ", "".join(self.words)).strip()
-            self.words = []
-            if text:
-                self.blocks.append((text, self.tags, self.boxes[-1]))
+            if any(not w.isspace() for w, _, _ in self.words):
+                self.blocks.append((self.words, self.tags, self.boxes[-1], self.heading))
                 self.tags = 0
+            self.words = []
 
     def _pop(self, i: int) -> None:
         while len(self.open) > i:
-            _, unread, box = self.open.pop()
+            tag, unread, box, suspect = self.open.pop()
             self.unread -= unread
+            self.links -= tag == "a"
+            self.regions -= tag in REGION
+            if tag in HEADINGS:
+                self.heading = ""
             if box:
                 self.boxes.pop()
+            if suspect:
+                self.suspect = self.around[self.suspect]
 
     def _shut(self, names: tuple[str, ...], until: tuple[str, ...]) -> None:
         for i in range(len(self.open) - 1, -1, -1):
@@ -76,8 +117,10 @@ class _Page(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        if self.open and self.open[-1][0] == "head" and tag not in IN_HEAD:
+            self._pop(len(self.open) - 1)
         if tag == "br":
-            self.words.append(" ")
+            self.words.append((" ", self.suspect, False))
             return
         if tag in BLOCK:
             self.flush()
@@ -86,18 +129,37 @@ class _Page(HTMLParser):
                 self._shut(CLOSES[tag], ("ul", "ol", "dl", "table", "select", "menu") if tag not in ("td", "th") else ("tr", "table"))
         if tag in VOID:
             return
-        unread = tag in UNREAD or (tag == "header" and not any(x[0] in REGION for x in self.open))
+        unread = tag in UNREAD
+        sure = STRONG if tag in ("aside", "form") or (tag == "header" and not self.regions) else 0
         if not unread and attrs and tag not in ("html", "body", "article", "main", "p", "a", "b", "i", "em", "strong", "h1", "h2", "h3"):
             a = dict(attrs)
             name = f"{a.get('class') or ''} {a.get('id') or ''}"
-            unread = bool(_NAMES.search(name)) or (a.get("role") or "").lower() in _ROLES or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true"
+            unread = "hidden" in a
+            if (a.get("role") or "").lower() in _ROLES or (a.get("aria-hidden") or "").lower() == "true":
+                sure = STRONG
+            if _NAMES.search(name):
+                sure = max(sure, suspicion(name, self.regions > 0))
+        if tag == "main":
+            held = self.suspect
+            while held >= 0:
+                self.main[held] = True
+                held = self.around[held]
+        if sure:
+            self.sure.append(sure)
+            self.around.append(self.suspect)
+            self.main.append(False)
+            self.suspect = len(self.sure) - 1
+        self.links += tag == "a"
+        self.regions += tag in REGION
+        if tag in HEADINGS:
+            self.heading = tag
         box = tag in ("div", "section", "article", "main", "td", "body")
         if box:
             self.kinds.append(tag)
             self.parents.append(self.boxes[-1])
             self.boxes.append(self.n_boxes)
             self.n_boxes += 1
-        self.open.append((tag, unread, box))
+        self.open.append((tag, unread, box, sure > 0))
         self.unread += unread
 
     def handle_endtag(self, tag: str) -> None:
@@ -110,8 +172,10 @@ class _Page(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.unread and self.open[-1][0] == "head" and not data.isspace():
+            self._pop(len(self.open) - 1)
         if not self.unread:
-            self.words.append(data)
+            self.words.append((data, self.suspect, self.links > 0))
 
     def finish(self) -> None:
         self.close()
@@ -126,33 +190,139 @@ def smooth(ratio: np.ndarray, sigma: float) -> np.ndarray:
     return full / np.convolve(np.ones(len(ratio)), k)[reach : reach + len(ratio)]
 
 
-def region(blocks: list[tuple[str, int, int]], kinds: list[str], parents: list[int], sigma: float = 1.0) -> int:
-    """The container whose blocks are the content.
+def density(blocks: list[tuple[str, int, int, int, str]], enough: float = math.inf, sigma: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Which blocks are in the upper cluster, and which are dense themselves and no links.
 
-    Lines at or above the mean of the smoothed ratios less half their deviation form the upper
-    cluster; its lines vote with their length for their nearest article or main container, or
-    where a page has none, for the smallest container that holds nine tenths of the votes.
+    Lines at or above the mean of the smoothed ratios less half their deviation form the upper cluster.
+    A block of ``enough`` characters a tag is dense however long the others are.
     """
-    ratio = np.array([len(t) / max(1, n) for t, n, _ in blocks])
+    ratio = np.array([len(b[0]) / max(1, b[1]) for b in blocks])
     s = smooth(ratio, sigma)
-    upper = s >= s.mean() - 0.5 * s.std()
+    least = s.mean() - 0.5 * s.std()
+    return s >= least, ((s >= least) & (ratio >= least) | (ratio >= enough)) & np.array([2 * b[3] < len(b[0]) for b in blocks])
+
+
+def regions(blocks: list[tuple[str, int, int, int, str]], kinds: list[str], parents: list[int], upper: np.ndarray) -> set[int]:
+    """The containers whose blocks are the content.
+
+    Lines of the upper cluster vote with their length.  All outermost article and main containers with
+    text are content; where a page has none, the smallest container that holds nine tenths of the votes.
+    """
     votes: dict[int, int] = {}
-    marked: dict[int, int] = {}
-    for (text, _, box), up in zip(blocks, upper):
-        if up:
-            seen = box
-            outer = -1
-            while seen >= 0:
+    marked = set()
+    for (text, _, box, _, _), up in zip(blocks, upper):
+        seen, outer = box, -1
+        while seen >= 0:
+            if up:
                 votes[seen] = votes.get(seen, 0) + len(text)
-                if kinds[seen] in REGION:
-                    outer = seen
-                seen = parents[seen]
-            if outer >= 0:
-                marked[outer] = marked.get(outer, 0) + len(text)
-    if marked:
-        return max(marked, key=lambda b: (marked[b], -b))
+            if kinds[seen] in REGION:
+                outer = seen
+            seen = parents[seen]
+        if outer >= 0:
+            marked.add(outer)
     total = votes.get(0, 0)
-    return max((b for b, v in votes.items() if v >= 0.9 * total), default=0)
+    return marked or {max((b for b, v in votes.items() if v >= 0.9 * total), default=0)}
+
+
+def content(blocks: list[tuple[str, int, int, int, str]], kinds: list[str], parents: list[int]) -> list[bool]:
+    """Which blocks are article text: all of the regions; outside, whole containers that are mostly dense, else dense blocks and headings."""
+    upper, dense = density(blocks, PROSE)
+    inside = regions(blocks, kinds, parents, upper)
+    around = set()
+    for b in inside:
+        while (b := parents[b]) >= 0:
+            around.add(b)
+    # The outermost container of each block that is no region and has none inside; -1 within a region, -2 for a block of its own.
+    apart = []
+    for b in range(len(kinds)):
+        up = parents[b]
+        apart.append(-1 if b in inside else -2 if b in around else b if up < 0 or apart[up] == -2 else apart[up])
+    held: dict[int, list[int]] = {}
+    for (text, _, box, _, _), d in zip(blocks, dense):
+        x = held.setdefault(apart[box], [0, 0])
+        x[0] += len(text)
+        x[1] += len(text) * int(d)
+    out = [False] * len(blocks)
+    for i in range(len(blocks) - 1, -1, -1):
+        _, _, box, _, heading = blocks[i]
+        at = apart[box]
+        out[i] = at == -1 or bool(dense[i]) or heading == "h1" or (at >= 0 and 2 * held[at][1] >= held[at][0]) or (heading != "" and i + 1 < len(blocks) and out[i + 1] and apart[blocks[i + 1][2]] == at)
+    return out
+
+
+def _left(page: _Page, dead: list[bool]) -> list[tuple[str, int, int, int, str]]:
+    """Blocks (text, tags before, container, characters of links, heading) without the pieces of dead subtrees."""
+    out, tags = [], 0
+    for pieces, n, box, heading in page.blocks:
+        tags += n
+        pieces = [p for p in pieces if p[1] < 0 or not dead[p[1]]]
+        text = _SPACE.sub(" ", "".join(p[0] for p in pieces)).strip()
+        if text:
+            out.append((text, tags, box, sum(len(p[0]) for p in pieces if p[2]), heading))
+            tags = 0
+    return out
+
+
+def judged(page: _Page) -> list[bool]:
+    """Which suspect subtrees are no article text."""
+    n = len(page.sure)
+    gone = [not m for m in page.main]
+    if not n:
+        return gone
+    # Own text of each subtree, without and with what links say; the last entry has the text outside.
+    own, linked, marked = [0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+    article = [k in REGION for k in page.kinds]
+    for b in range(1, page.n_boxes):
+        article[b] |= article[page.parents[b]]
+    for pieces, _, box, _ in page.blocks:
+        for text, s, link in pieces:
+            if size := len(text.strip()):
+                own[s] += size
+                linked[s] += size * link
+                marked[s] |= article[box]
+    total, whole, links = sum(own), own[:n], linked[:n]
+    for s in range(n - 1, -1, -1):
+        if page.around[s] >= 0:
+            whole[page.around[s]] += whole[s]
+            links[page.around[s]] += links[s]
+
+    def dead() -> list[bool]:
+        out: list[bool] = []
+        for s in range(n):
+            out.append(gone[s] or (page.around[s] >= 0 and out[page.around[s]]))
+        return out
+
+    # A page is not without text: the outermost subtree that has nearly all of it is no boilerplate.
+    while True:
+        d = dead()
+        live = [-1, *(s for s in range(n) if not d[s])]
+        rest = sum(own[s] for s in live)
+        if rest >= 0.1 * total or any(marked[s] for s in live):
+            break
+        free = [s for s in range(n) if gone[s] and (page.around[s] < 0 or not d[page.around[s]]) and 2 * (whole[s] - links[s]) >= total and (page.sure[s] != REMARKS or not rest)]
+        if not free:
+            break
+        gone[max(free, key=lambda s: whole[s])] = False
+    weak = [s for s in range(n) if gone[s] and page.sure[s] == WEAK]
+    if weak:
+        # Names that articles have too: density decides, over all that is not surely out.
+        mine = [gone[s] and page.sure[s] != WEAK for s in range(n)]
+        for s in range(n):
+            mine[s] = mine[s] or (page.around[s] >= 0 and mine[page.around[s]])
+        kept = [(p, box) for p, _, box, _ in page.blocks if any(not x[0].isspace() and (x[1] < 0 or not mine[x[1]]) for x in p)]
+        blocks = _left(page, mine)
+        _, dense = density(blocks, PARAGRAPH) if blocks else (None, np.zeros(0, bool))
+        sums = {s: [0, 0] for s in weak}
+        for (pieces, _), (text, *_), solid in zip(kept, blocks, dense):
+            s = max(x[1] for x in pieces)
+            while s >= 0:
+                if s in sums:
+                    sums[s][0] += len(text)
+                    sums[s][1] += len(text) * int(solid)
+                s = page.around[s]
+        for s, (size, solid) in sums.items():
+            gone[s] = 2 * solid < size or not size
+    return dead()
 
 
 def main_text(html: str | None) -> str:
@@ -162,14 +332,10 @@ def main_text(html: str | None) -> str:
     page = _Page()
     page.feed(html)
     page.finish()
-    if not page.blocks:
+    blocks = _left(page, judged(page))
+    if not blocks:
         return ""
-    top = region(page.blocks, page.kinds, page.parents)
-    inside = {top}
-    for b in range(top + 1, page.n_boxes):
-        if page.parents[b] in inside:
-            inside.add(b)
-    return "\n".join(t for t, _, b in page.blocks if b in inside)
+    return "\n".join(b[0] for b, keep in zip(blocks, content(blocks, page.kinds, page.parents)) if keep)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

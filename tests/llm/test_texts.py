@@ -172,3 +172,24 @@ def test_quality(spark):
     assert quality.train(docs, labels.limit(0), F.lit(True)).prior == 0.5
     assert quality.train(docs, labels.where("quality = 1"), F.lit(True)).prior == 1.0
     assert quality.score(frame(spark, []), model).count() == 0
+
+
+def test_html_keeps_whole_articles():
+    para = "<p>" + "Long words of an article that goes on for a while, as articles do, without an end. " * 4 + "</p>"
+    lead, far = "A lead that stands before the long part of the page and says what it is about.", "A later section of the same article, much shorter than what went before it."
+    shell = "<html><head><title>T</title></head><body>%s</body></html>"
+    for n in (1, 40):
+        text = html_text.main_text(shell % f"<h1>Its title</h1><div><p>{lead}</p></div><div>{para * n}</div><section><h2>More</h2><p>{far}</p></section>")
+        assert text.startswith("Its title\n" + lead) and text.endswith("More\n" + far) and text.count("Long words") == 4 * n
+    text = html_text.main_text(shell % f"<article>{para * 9}</article><article><p>{lead}</p></article>")
+    assert text.count("Long words") == 36 and text.endswith(lead)
+    for wrap in ('<div class="no-sidebar">%s</div>', '<div class="layout has-sidebar">%s</div>', '<form id="aspnetForm">%s</form>', '<div class="content-sidebar-wrap">%s</div>'):
+        text = html_text.main_text(shell % (wrap % f"<div class='sidebar'>Out</div><h1>Its title</h1>{para * 3}"))
+        assert text.startswith("Its title") and text.count("Long words") == 12 and "Out" not in text, wrap
+    for name in ("discussion", "related-work"):
+        text = html_text.main_text(shell % f'<article>{para * 20}<section id="{name}">{para}</section></article>')
+        assert text.count("Long words") == 84, name
+    text = html_text.main_text(shell % f'<article><div class="article-header"><h1>Its title</h1><p>{lead}</p></div>{para}<div class="share-bar"><a href="/">Share it</a></div></article>')
+    assert text.startswith("Its title\n" + lead) and "Share" not in text
+    assert html_text.main_text(f"<head><title>T</title><p>{lead}</p>") == lead
+    assert html_text.main_text(f"<head><meta charset=utf-8><body><p>{lead}</p></body>") == lead
