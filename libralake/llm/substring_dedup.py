@@ -3,7 +3,8 @@
 Texts are cut by a gear rolling hash, so a passage that stands in two documents has
 the same inner chunks in both, wherever it stands.  A chunk is repeated when its digest
 occurs in two or more documents.  Runs of neighbouring repeated chunks of at least
-``least_words`` words are the repeated spans.  A passage loses a part of one chunk at
+``least_words`` words are repeated text; a run is parted into spans wherever the first
+document of its chunks changes, so each span has one source.  A passage loses a part of one chunk at
 either end (about 20 bytes on average, 96 at most), so the default of 30 words finds
 passages of over 50 words, while single shared lines (licences, headings) stay below it.
 
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import gear
@@ -53,9 +54,10 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def repeated_spans(docs: DataFrame, least_words: int = 30, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, span_start, span_end, n_words, first_id (smallest key with its first chunk), n_docs_at_most, kept.
+    """key, span_start, span_end, n_words, first_id (smallest key with its chunks), n_seen (of its most frequent chunk), kept.
 
-    ``kept`` is true where every chunk of the span stands in no smaller key: the occurrence that stays.
+    ``kept`` is true where the span stands in no smaller key: the occurrence that stays.  The words of a
+    whole run are held against ``least_words``; its spans can be shorter.
     Counts per digest are partial sums before the shuffle; the chunks themselves meet the
     repeated digests in a join whose hot keys Spark can split, and only repeated chunks travel on.
     """
@@ -68,25 +70,26 @@ def repeated_spans(docs: DataFrame, least_words: int = 30, key: str = "doc_id",
     )
     rep = cut.join(seen, "digest").select(key, "seq", "start", "end", "words", "first_id", "n_seen").dropDuplicates([key, "seq", "start", "end"])
     run = F.col("seq") - F.row_number().over(_by(key))
+    other = (F.col("first_id") != F.coalesce(F.lag("first_id").over(_by(key)), F.col("first_id"))).cast("int")
     return (
-        rep.withColumn("_run", run)
-        .groupBy(key, "_run")
+        rep.withColumns({"_run": run, "_other": other})
+        .withColumn("_piece", F.sum("_other").over(_by(key).rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(key, "_run", "_piece")
         .agg(
             F.min("start").alias("span_start"),
             F.max("end").alias("span_end"),
             F.sum("words").alias("n_words"),
-            F.min_by("first_id", "seq").alias("first_id"),
+            F.min("first_id").alias("first_id"),
             F.max("n_seen").alias("n_seen"),
-            F.min(F.col("first_id") == F.col(key)).alias("kept"),
         )
-        .where(F.col("n_words") >= least_words)
-        .drop("_run")
+        .withColumn("_words", F.sum("n_words").over(Window.partitionBy(key, "_run")))
+        .where(F.col("_words") >= least_words)
+        .withColumn("kept", F.col("first_id") == F.col(key))
+        .drop("_run", "_piece", "_words")
     )
 
 
 def _by(key: str):
-    from pyspark.sql import Window
-
     return Window.partitionBy(key).orderBy("seq", "start", "end")
 
 

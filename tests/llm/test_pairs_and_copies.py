@@ -191,3 +191,15 @@ def test_successions(spark):
     assert fingerprints.successions(frame(spark, [])).count() == 0
     one = fingerprints.successions(frame(spark, [(1, "abcdef")])).collect()
     assert one[0].edited_sha256 == hashlib.sha256(b"abcabc").hexdigest()
+
+
+def test_spans_have_one_source(spark):
+    rng = random.Random(11)
+    a, b, x = (" ".join(words(rng, 80)) for _ in range(3))
+    docs = frame(spark, [(1, f"{a} {b}"), (2, f"{a} {x}"), (3, f"{a} {x}")])
+    spans = substring_dedup.repeated_spans(docs)
+    got = sorted((r.doc_id, r.span_start, r.span_end, r.first_id, r.kept) for r in spans.collect())
+    assert [(k, first, kept) for k, _, _, first, kept in got] == [(1, 1, True), (2, 1, False), (2, 2, True), (3, 1, False), (3, 2, False)]
+    assert got[2][1] == got[1][2] and abs(got[1][2] - len(a)) <= 96 and got[2][2] == len(a) + 1 + len(x)
+    cut = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs, spans).collect()}
+    assert cut[1] == f"{a} {b}" and cut[2].endswith(x) and cut[3] == ""
