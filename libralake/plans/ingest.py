@@ -16,12 +16,17 @@ B = Window.partitionBy
 @query("repetition_loops", r"""WITH l AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: length(s) > 3) AS l FROM documents),
 c AS (SELECT doc_id, len(l) AS n, (SELECT max(c) FROM (SELECT count(*) AS c FROM (SELECT unnest(l) AS x) GROUP BY x)) AS top FROM l) SELECT doc_id, coalesce(n >= 8 AND top >= 6 AND top > 0.4 * n, false) AS by_line FROM c""")
 def _(spark, d):
-    # The back-reference part of the detector has no counterpart in the SQL; it is tested apart.
+    # The back-reference part of the detector has no counterpart in the SQL; repetition_loops_whole has both.
     lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: F.length(s) > 3)
     top = F.array_max(F.transform(F.array_distinct(lines), lambda s: F.size(F.filter(lines, lambda t: t == s))))
     return table(spark, d, "documents").select("doc_id", F.coalesce((F.size(lines) >= 8) & (top >= 6) & (top > 0.4 * F.size(lines)), F.lit(False)).alias("by_line"))
 
 
+@query("repetition_loops_whole")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.coalesce(I.loops(F.col("text")), F.lit(False)).alias("stuck"))
+
+
 @query("page_acceptance")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", I.page_accepted(F.col("text"), (F.col("doc_id") % 10) / 10.0, F.lit(0)).alias("accepted"))
