@@ -187,6 +187,47 @@ def locate_quotes(pairs: DataFrame, quote: str, text: str) -> DataFrame:
     return pairs.mapInPandas(run, out.replace(":", " "))
 
 
+def reach(quote: str, ends: int = 24) -> set[str]:
+    """What a text's letters must have one of, for ``locate`` to find the quotation there: its first letters, folded and not."""
+    return {_loose(x)[:ends] for x in (skeleton(quote)[0], "".join(ch.lower()[:1] for ch in quote if ch.isalnum()))}
+
+
+def _loose(letters: str) -> str:
+    """Small final sigma depends on what follows, which a quotation may lack."""
+    return letters.replace("ς", "σ")
+
+
+def locate_all(docs: DataFrame, quotes: DataFrame, doc: str, text: str, item: str, quote: str) -> DataFrame:
+    """doc, item, start, end, confidence: every hit of ``locate`` among all documents and quotations.
+
+    Quotations go to the tasks by their first letters; those of a text are looked up at every place
+    of its letters, so a pair that is passed by is one that ``locate`` would not find.
+    """
+    wanted: dict[int, dict[str, list[tuple[int, str]]]] = {}
+    for k, q in quotes.select(F.col(item).cast("long"), F.col(quote).cast("string")).where(F.length(quote) > 0).collect():
+        for letters in reach(q):
+            wanted.setdefault(len(letters), {}).setdefault(letters, []).append((k, q))
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in small(batches):
+            rows = []
+            for k, t in zip(pdf[doc], pdf[text].fillna("")):
+                letters = _loose(skeleton(t)[0])
+                near: set[tuple[int, str]] = set()
+                for n, heads in sent.value.items():
+                    for head in {letters[i : i + n] for i in range(len(letters) - n + 1)} & heads.keys():
+                        near.update(heads[head])
+                for i, q in sorted(near):
+                    if hit := locate(q, t):
+                        rows.append((k, i, *hit))
+            if rows:
+                yield pd.DataFrame(rows, columns=[doc, item, "start", "end", "confidence"])
+
+    src = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias(doc), F.col(text).cast("string").alias(text))
+    return src.mapInPandas(run, f"{doc} long, {item} long, start int, end int, confidence double")
+
+
 def pack(rows: DataFrame, doc: str, order: str, size: str, most: int) -> DataFrame:
     """Adds batch: rows of a document packed greedily in order, no batch above ``most`` unless one row is."""
     schema = rows.schema.simpleString()[7:-1].replace(":", " ") + ", batch int"

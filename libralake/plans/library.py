@@ -51,15 +51,8 @@ def _(spark, d):
 
 @query("quote_locate")
 def _(spark, d):
-    """Benchmark items in the documents that hold their first eight words, found over an equality join of word runs."""
-    run = lambda df, k, t: df.select(k, t, T.tokens(F.col(t)).alias("_t")).where(F.size("_t") >= 8)
-    docs = run(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
-    # Word runs travel as hashes, texts only for the few pairs that meet.
-    starts = docs.select("doc_id", F.explode(F.sequence(F.lit(1), F.size("_t") - 7)).alias("i"), "_t").select("doc_id", F.xxhash64(F.slice("_t", F.col("i"), 8)).alias("_h"))
-    items = run(table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")), "item_id", "quote").select("item_id", "quote", F.xxhash64(F.slice("_t", 1, 8)).alias("_h"))
-    pairs = starts.join(F.broadcast(items.select("item_id", "_h")), "_h").select("doc_id", "item_id").distinct()
-    rows = pairs.join(docs.select("doc_id", "text"), "doc_id").join(F.broadcast(items.select("item_id", "quote")), "item_id")
-    return structure.locate_quotes(rows, "quote", "text").select("doc_id", "item_id", "start", "end", "confidence")
+    """Benchmark items in all documents where they can be located, short ones and broken words too."""
+    return structure.locate_all(table(spark, d, "documents"), table(spark, d, "benchmark").withColumnRenamed("text", "quote"), "doc_id", "text", "item_id", "quote")
 
 
 @query("greedy_batches")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from libralake.operators import structure
 from libralake.plans.catalogue import QUERIES
 
 
@@ -19,3 +20,17 @@ def test_loops(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.stuck for r in QUERIES["repetition_loops_whole"](spark, str(tmp_path)).collect()}
     assert got == {i: looped(t) for i, t in enumerate(texts)} and sum(got.values()) >= 5
+
+
+def test_quotes(spark, tmp_path):
+    long = "It was the best of times, it was the worst of times, it was the age of wisdom, it was the age of foolishness"
+    quotes = [long, "Two words", "é", "—", "", None, "ΑΣ", "To be or not to be that is the question of this whole long evening here"]
+    texts = [
+        "He said: " + long, long.replace("worst", "wor-\nst").replace("best", "be-\nst"), long.replace("the age of wisdom", "another one"), long.upper(),
+        "Here are two, WORDS", "İ é — x", "a — b", "ΑΣ ΣΑΣΑ", "to BE or not TO be, that is the quest; of this whole long evening here", "", None, "nothing of it",
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(tuple(r) for r in QUERIES["quote_locate"](spark, str(tmp_path)).collect())
+    want = sorted((k, i, *hit) for k, t in enumerate(texts) for i, q in enumerate(quotes) if (hit := structure.locate(q or "", t or "")))
+    assert got == want and {(1, 0), (2, 0), (4, 1), (5, 2), (5, 3), (8, 7)} <= {x[:2] for x in got}
