@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from libralake.operators import structure
+import random
+import re
+
+from libralake.operators import bibliography, structure
 from libralake.plans.catalogue import QUERIES
 
 
@@ -34,3 +37,39 @@ def test_quotes(spark, tmp_path):
     got = sorted(tuple(r) for r in QUERIES["quote_locate"](spark, str(tmp_path)).collect())
     want = sorted((k, i, *hit) for k, t in enumerate(texts) for i, q in enumerate(quotes) if (hit := structure.locate(q or "", t or "")))
     assert got == want and {(1, 0), (2, 0), (4, 1), (5, 2), (5, 3), (8, 7)} <= {x[:2] for x in got}
+
+
+def test_titles(spark):
+    rng = random.Random(4)
+    pool = ["the", "art", "war", "of", "history", "nature", "law", "on", "peace", "music", "and", "letters"] + [f"rare{i}" for i in range(30)]
+    titles = ["The Art of War", "Thermodynamics", "Wars of Roses", "On Liberty and Peace"] + [" ".join(rng.sample(pool, rng.randint(1, 12))) for _ in range(120)]
+    shelf = [(i, t, 1900 + i % 7 if i % 5 else None, None, None) for i, t in enumerate(titles)]
+    refs = [(0, "The Art of War", 1900, "x"), (1, "zThermodynamics", None, "Smith. Thermodynamics zThermodynamics"), (2, "On Liberty and Peace: a new study", 1903, "Mill. On Liberty and Peace: a new study. London")]
+    for i in range(150):
+        own = rng.choice(titles).split()
+        if i % 3:
+            own[rng.randrange(len(own))] = "mispelt"
+        refs.append((10 + i, " ".join(own), rng.choice([None, 1900, 1903]), "Name, N. " + " ".join(own) + (" with a longer tail of words" if i % 2 else "")))
+    words = lambda t: {w for w in re.findall(r"\w+", t.lower()) if len(w) > 2}
+    key = lambda t: " ".join(re.findall(r"\w+", t.lower()))
+    want = {}
+    for k, title, year, entry in refs:
+        found = []
+        for i, t, y, *_ in shelf:
+            a, b = words(title), words(t)
+            alike = max(len(a & b) / max(len(a), len(b), 1), 0.9 if key(t) in key(entry) and len(t) > 12 else 0)
+            if a & b and alike >= 0.85 and (year is None or y is None or abs(year - y) <= 1):
+                found.append((-alike, i))
+        if found:
+            want[k] = min(found)[1]
+    rows = spark.createDataFrame([(k, t, y, e, None, None) for k, t, y, e in refs], "ref_id int, title string, year int, entry string, doi string, surname string")
+    got = {r.ref_id: r.doc_id for r in bibliography.resolve(rows, spark.createDataFrame(shelf, "doc_id int, title string, year int, surname string, doi string")).collect()}
+    assert got == want and got[0] == 0 and got[2] == 3
+
+
+def test_title_query(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * 4 + str(rng.randrange(40)) for _ in range(30))) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.ref_id: (r.doc_id, r.rule) for r in QUERIES["reference_titles"](spark, str(tmp_path)).collect()}
+    assert all(got.get(i) == (i, "title") for i in range(60) if i % 3 != 1)
