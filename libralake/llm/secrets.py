@@ -3,8 +3,8 @@
 Candidates of three base kinds (assign, access, hex) and of further kinds with a fixed
 shape (jwt, github, slack, google, pem) are found in every whole text.  The value of
 a candidate is hashed, and over the whole corpus the distinct repositories and owners
-of each hash are counted.  A value with many owners is a widely copied example; one
-that belongs to a single owner looks live.  Base spans always stay; spans of the
+of each hash are counted.  A value with many owners or in many repositories is a widely
+copied example; any other that belongs to a single owner looks live.  Base spans always stay; spans of the
 further kinds stay unless their value is widely copied.
 
 Null texts are empty and have no spans.  Null owners or repositories count as one
@@ -85,10 +85,15 @@ def ownership(each: DataFrame) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, repo: Column, owner: Column, key: str = "doc_id", text: str = "text", copied_owners: int = 3) -> DataFrame:
-    """Per row: key, counts by base kind, base_spans, spans, n_live, n_shared, n_copied.
+def widely(owners: int, repos: int) -> Column:
+    """Whether a value is a widely copied example."""
+    return (F.col("n_owners") >= owners) | (F.col("n_repos") >= repos)
 
-    live: a value of one owner; copied: of ``copied_owners`` or more; shared: in between.
+
+def scan(docs: DataFrame, repo: Column, owner: Column, key: str = "doc_id", text: str = "text", copied_owners: int = 3, copied_repos: int = 10) -> DataFrame:
+    """Per row: key, counts by base kind, base_spans, spans, n_live, n_shared, n_copied, n_repos (of its most widespread value).
+
+    copied: a value of ``copied_owners`` or more owners or in ``copied_repos`` or more repositories; live: another of one owner; shared: the rest.
     The scan's small result is written once; only candidates are counted and joined back
     (partial distinct counts first, so a value that a third of all rows hold is one row
     for each task and owner), rows without candidates are never shuffled.
@@ -98,7 +103,7 @@ def scan(docs: DataFrame, repo: Column, owner: Column, key: str = "doc_id", text
     spread = ownership(each)
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     span = F.struct("start", "kind", F.concat_ws(":", name, F.col("start").cast("string"), F.col("end").cast("string")).alias("s"))
-    base, copied = F.col("kind") < len(BASE), F.col("n_owners") >= copied_owners
+    base, copied = F.col("kind") < len(BASE), widely(copied_owners, copied_repos)
     joined = lambda only: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(only, span))), lambda x: x["s"]), ",")
     judged = (
         each.join(spread, "digest")
@@ -107,24 +112,25 @@ def scan(docs: DataFrame, repo: Column, owner: Column, key: str = "doc_id", text
             *[F.count_if(F.col("kind") == i).alias(f"n_{k}") for i, k in enumerate(BASE)],
             joined(base).alias("base_spans"),
             joined(base | ~copied).alias("spans"),
-            F.count_if(F.col("n_owners") == 1).alias("n_live"),
+            F.count_if((F.col("n_owners") == 1) & ~copied).alias("n_live"),
             F.count_if((F.col("n_owners") > 1) & ~copied).alias("n_shared"),
             F.count_if(copied).alias("n_copied"),
+            F.max("n_repos").alias("n_repos"),
         )
     )
-    none = [*[F.lit(0).cast("long").alias(f"n_{k}") for k in BASE], F.lit("").alias("base_spans"), F.lit("").alias("spans"), *[F.lit(0).cast("long").alias(c) for c in ("n_live", "n_shared", "n_copied")]]
+    none = [*[F.lit(0).cast("long").alias(f"n_{k}") for k in BASE], F.lit("").alias("base_spans"), F.lit("").alias("spans"), *[F.lit(0).cast("long").alias(c) for c in ("n_live", "n_shared", "n_copied", "n_repos")]]
     have = rows.where(F.size("found") > 0).select(key, "_row").join(judged, "_row").drop("_row")
     return have.unionByName(rows.where(F.size("found") == 0).select(key, *none))
 
 
-def masked(docs: DataFrame, repo: Column, owner: Column, key: str = "doc_id", text: str = "text", copied_owners: int = 3, mask: str = "[secret]", example: str = "[example]") -> DataFrame:
+def masked(docs: DataFrame, repo: Column, owner: Column, key: str = "doc_id", text: str = "text", copied_owners: int = 3, copied_repos: int = 10, mask: str = "[secret]", example: str = "[example]") -> DataFrame:
     """The documents with every candidate's span replaced: by ``example`` where its value is widely copied, else by ``mask``.
 
     Overlapping spans become one, with the mark of the first; all other columns and all rows stay as they were.
     """
     rows = materialize(find(docs, key, text, repo, owner), "secrets").where(F.size("found") > 0)
     each = _each(rows, key, "text_hash")
-    span = F.struct("start", "end", (F.col("n_owners") >= copied_owners).alias("copied"))
+    span = F.struct("start", "end", widely(copied_owners, copied_repos).alias("copied"))
     spans = each.join(ownership(each), "digest").groupBy(key, "text_hash").agg(F.sort_array(F.collect_set(span)).alias("_at")).select(F.col(key).alias("_sk"), F.col("text_hash").alias("_sh"), "_at")
     body = docs[text].cast("string")
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))

@@ -193,3 +193,14 @@ def test_html_keeps_whole_articles():
     assert text.startswith("Its title\n" + lead) and "Share" not in text
     assert html_text.main_text(f"<head><title>T</title><p>{lead}</p>") == lead
     assert html_text.main_text(f"<head><meta charset=utf-8><body><p>{lead}</p></body>") == lead
+
+
+def test_secrets_of_many_repositories(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "token = sampletoken1") for i in range(12)] + [(100 + i, "token = ownedtoken22") for i in range(9)] + [(200, "ghp_" + "z" * 36), (201, "no")]
+    docs = frame(spark, rows)
+    got = {r.doc_id: (r.n_live, r.n_shared, r.n_copied, r.n_repos) for r in secrets.scan(docs, F.col("doc_id"), F.col("source")).collect()}
+    assert got[0] == (0, 0, 1, 12) and got[100] == (1, 0, 0, 9) and got[200] == (1, 0, 0, 1) and got[201] == (0, 0, 0, 0)
+    masked = {r.doc_id: r.text for r in secrets.masked(docs, F.col("doc_id"), F.col("source")).collect()}
+    assert masked[5] == "[example]" and masked[105] == "[secret]"
