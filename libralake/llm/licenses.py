@@ -1,7 +1,9 @@
 """Licence scans by sentence rules, with SQL functions only.
 
 A text is parted into sentences (line ends; full stops, exclamation and question marks
-before white space).  Normalised sentences (lower case, runs of other characters than
+before white space).  Known sentences of licence texts and notices are also found over
+line ends, behind comment marks and within longer sentences; titles and tags, which are
+mentioned in passing too, must be a whole line or sentence.  Normalised sentences (lower case, runs of other characters than
 a-z and 0-9 as one space) are mapped to identifiers of known licence sentences, and the
 sequence of a document's identifiers is matched against ordered licence rules: a
 rule is a run of identifiers; the first rule in the list that an identifier takes part in
@@ -93,12 +95,28 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 #: Every known sentence has one of these words.
 HINTS = ("licen", "copyright", "permission", "redistribut", "warrant")
-PARTS = r"[.!?]+\s+|[\n\r]+"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text."""
-    return F.transform(F.split(text, PARTS), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+#: Sentences that stand for a licence only where they are a whole line or sentence.
+WHOLE = frozenset(k for k in SENTENCES if k.startswith(("mit-title", "spdx-", "reserved")))
+
+
+def _pattern() -> str:
+    """Known sentences in a text of ``normalised``, the longest first."""
+    gap, runs = "[ L]+", []
+    for k, v in sorted(SENTENCES.items(), key=lambda x: -len(x[1])):
+        runs.append(f"(?<=[SL] ?){v}(?= ?[SL])")
+        if k not in WHOLE:
+            # "Or later" makes another licence of a version, and "not" none.
+            later = f"(?!{gap}(?:or|and){gap}(?:any{gap})?(?:later|newer|above|higher|greater))(?!{gap}or{gap}at{gap}your{gap}option)" if k.startswith("gpl") and "notice" in k else ""
+            runs.append(f"(?<=[ SL])(?<!not[ L]){gap.join(v.split())}(?=[ SL]){later}")
+    return "|".join(runs)
+
+
+def normalised(text: Column) -> Column:
+    """Words of a text in lower case; S stands at the end of a sentence and L at that of a line, with comment words after it left out."""
+    x = F.regexp_replace(F.regexp_replace(F.lower(text), r"[.!?]+\s+", "S"), r"[\n\r]+(?:[ \t]*(?:rem|dnl)(?=[ \t]))?", "L")
+    return F.concat(F.lit("S"), F.regexp_replace(x, "[^a-z0-9SL]+", " "), F.lit("S"))
 
 
 def identifiers(text: Column) -> Column:
@@ -108,7 +126,8 @@ def identifiers(text: Column) -> Column:
     hinted = low.contains(HINTS[0])
     for h in HINTS[1:]:
         hinted = hinted | low.contains(h)
-    ids = F.filter(F.transform(sentences(text), lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    found = F.regexp_extract_all(normalised(text), F.lit(_pattern()), F.lit(0))
+    ids = F.filter(F.transform(found, lambda s: F.try_element_at(known, F.regexp_replace(s, "[ L]+", " "))), lambda i: i.isNotNull())
     return F.when(hinted, ids).otherwise(F.array().cast("array<string>"))
 
 

@@ -204,3 +204,17 @@ def test_secrets_of_many_repositories(spark):
     assert got[0] == (0, 0, 1, 12) and got[100] == (1, 0, 0, 9) and got[200] == (1, 0, 0, 1) and got[201] == (0, 0, 0, 0)
     masked = {r.doc_id: r.text for r in secrets.masked(docs, F.col("doc_id"), F.col("source")).collect()}
     assert masked[5] == "[example]" and masked[105] == "[secret]"
+
+
+def test_licenses_of_wrapped_texts(spark):
+    import textwrap
+
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+    wrap = lambda t, mark: "\n".join(mark + x for p in t.split("\n") for x in (textwrap.wrap(p, 60) or [""]))
+    rows = [(i, wrap(t, m)) for i, (t, m) in enumerate((t, m) for t in (mit, apache) for m in ("", "# ", " * ", "// "))]
+    rows += [(10, "This project is licensed under the MIT License."), (11, "It is not licensed under the MIT License."), (12, "Licensed under the GNU General Public License version 2 or later."), (13, "Unlike the MIT License it binds."), (14, "x\nMIT License\ny"), (15, "SPDX-License-Identifier: MIT-0")]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
+    assert all(got[i].sentence_ids == "mit-grant,mit-keep,mit-warranty" and (got[i].n_rules, got[i].licenses) == (1, "MIT") for i in range(4))
+    assert all(got[i].sentence_ids == "apache-grant,apache-copy,apache-warranty,apache-see" and (got[i].n_rules, got[i].licenses) == (1, "Apache-2.0") for i in range(4, 8))
+    assert [got[i].licenses for i in range(10, 16)] == ["MIT", "", "", "", "MIT", ""]
