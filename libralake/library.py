@@ -110,7 +110,13 @@ class Library:
                 return judge(query, s)
 
             ranked = ranked.withColumn("p", probability("text")).where("p >= 0.15").withColumn("score", 0.5 * F.col("score") + 0.5 * F.col("p"))
-        out = ranked.select(self.key, "doc", "place", F.round("score", 6).alias("score"), "routes", passages.marked(F.substring("text", 1, 280), asked["terms"] or ["\u0000"]).alias("marked"))
+        wanted = asked["terms"] or ["\u0000"]
+
+        @F.pandas_udf("string")
+        def window(s: pd.Series) -> pd.Series:
+            return s.fillna("").map(lambda t: t[slice(*passages.best_window(t, set(wanted)))])
+
+        out = ranked.select(self.key, "doc", "place", F.round("score", 6).alias("score"), "routes", passages.marked(window("text"), wanted).alias("marked"))
         return out.orderBy(F.desc("score"), self.key).limit(limit)
 
     def cite(self, claim: str, limit: int = 5) -> DataFrame:

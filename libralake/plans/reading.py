@@ -94,7 +94,7 @@ def _(spark, d):
     frags = docs.select(F.col("doc_id").alias("key"), F.col("doc_id").alias("doc"), F.lit(0).alias("place"), "text")
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
     shelf = Library(frags, vectors, docs.withColumnRenamed("doc_id", "doc"))
-    return shelf.search("thing that threat of other notion", 20).select("key", "score", "routes")
+    return shelf.search("thing that threat of other notion", 20).select("key", "score", "routes", "marked")
 
 
 @query("embedded_fragments", "SELECT doc_id, 64::INTEGER AS dims FROM documents")

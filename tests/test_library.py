@@ -91,3 +91,9 @@ def test_registered(spark):
     register(spark)
     assert spark.sql("SELECT spelling_key('muger', 'es') = spelling_key('mujer', 'es') AS same").first().same
     assert spark.sql("SELECT count(*) AS n FROM fragments('One sentence. Two.')").first().n == 1
+
+
+def test_marks_far_into_a_fragment(spark):
+    frags = spark.createDataFrame([("a", 1, 0, "Plain words go on. " * 40 + "Here turns the wheel of fortune at last."), ("b", 2, 0, "Nothing of it.")], "key string, doc int, place int, text string")
+    hit = Library(frags).search("wheel fortune", 2).first()
+    assert hit.key == "a" and "<mark>wheel</mark>" in hit.marked and "<mark>fortune</mark>" in hit.marked
