@@ -11,10 +11,14 @@ every prefix.  Compatibility of a pair is decided once and remembered.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterable
 
 import ahocorasick
 
+#: Pairs of tokens whose compatibility is remembered: about 20 MB.
+MOST_PAIRS = 150_000
+
 
 class PrefixBpe:
     """``rank(a, b)`` is the priority of merging two adjacent symbols (None: never); lower goes first.
@@ -35,6 +39,9 @@ class PrefixBpe:
             self._auto.add_word(t, i)
         self._auto.make_automaton()
 
+    def forget(self) -> None:
+        self._fits.clear()
+
     def merge(self, s: str) -> list[str]:
         """Plain merging by priority, leftmost first: the definition, used on pairs of tokens only."""
         parts = self.symbols(s)
@@ -50,7 +57,7 @@ class PrefixBpe:
         return parts
 
     def _decide(self, before: int, tok: int) -> bool:
-        if len(self._fits) > 1_000_000:
+        if len(self._fits) >= MOST_PAIRS:
             self._fits.clear()
         a, b = ([self.names[before]] if before >= 0 else []), self.names[tok]
         ok = self._fits[(before + 1) * len(self.names) + tok] = self.merge("".join(a) + b) == [*a, b]
@@ -94,13 +101,19 @@ class PrefixBpe:
 
 
 class Remembered(dict):
-    """A dictionary of computed values in two generations: at ``most`` entries the older generation goes."""
+    """Computed values in bounded memory: when the newer generation fills half of ``most_bytes``, the older one goes."""
 
-    most = 300_000
+    most_bytes = 24 << 20
 
     def __init__(self):
         super().__init__()
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops all values; done at the end of every task, so that workers kept for later work hold no more than the model."""
+        self.clear()
         self.older: dict = {}
+        self.room = self.most_bytes // 2
 
     def compute(self, key):
         raise NotImplementedError
@@ -111,8 +124,11 @@ class Remembered(dict):
             value = self.compute(key)
             if len(key) > 64:
                 return value
-        if len(self) >= self.most:
+        # Both objects and their place in a dictionary that is two thirds full.
+        self.room -= sys.getsizeof(key) + sys.getsizeof(value) + 104
+        if self.room < 0:
             self.older = dict(self)
             self.clear()
+            self.room = self.most_bytes // 2
         self[key] = value
         return value

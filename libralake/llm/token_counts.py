@@ -42,12 +42,16 @@ class PieceCounter(Remembered):
                 ranks[sp.id_to_piece(i)] = -sp.get_score(i)
         if any(MARK in p.lstrip(MARK) for p in ranks):
             raise ValueError("pieces reach over word marks")
-        self.most = 500_000
         self.dp = PrefixBpe(ranks, lambda a, b: ranks.get(a + b))
         self.known = frozenset(p for p in ranks if len(p) == 1)
         #: Characters that stand next to each other in some piece; nothing merges between two others.
         self.near = frozenset(x for p in ranks for x in zip(p, p[1:]))
 
+    def forget(self) -> None:
+        super().forget()
+        if hasattr(self, "dp"):
+            self.dp.forget()
+
     def runs(self, segment: str) -> Iterator[tuple[str, bool]]:
         """The segment parted into runs of known characters and single unknown ones."""
         at = 0

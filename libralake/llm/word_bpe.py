@@ -6,7 +6,7 @@ empty decoded text; repeated rows give repeated results; other columns are not
 looked at and may have any name.  Two or more equal keys give one row each.
 
 Text never merges across white space, so a worker remembers what it has encoded
-per run of non-space characters (a bounded cache) and the prefix table is only
+per run of non-space characters (a cache bounded in bytes, dropped at the end of a task) and the prefix table is only
 built for new words.  Nothing is shuffled: one scan, Arrow batches, one row out
 per row in, so a lost executor only repeats its own input splits.
 """
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ from ._arrow import filled, slices
 from .bpe_dp import PrefixBpe, Remembered
 
 END = "\0"
+#: Ids are packed as unsigned 32-bit numbers.
+CODE = "I"
 #: Python's ``split`` also parts at these four controls, which are no white space for the tokenizer.
 _NOT_SPACE = regex.compile("[\x1c-\x1f]")
 _RUNS = regex.compile(r"\S+")
@@ -40,7 +43,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Words(Remembered):
-    """Maps a pre-tokenised word to (count, ids joined by spaces, tokens joined by spaces)."""
+    """Maps a pre-tokenised word to its ids, packed."""
 
     def __init__(self, spec: dict):
         super().__init__()
@@ -59,10 +62,14 @@ class Words(Remembered):
     def _symbols(s: str) -> list[str]:
         return [*s[:-2], s[-2:]] if s.endswith(END) else list(s)
 
-    def compute(self, word: str) -> tuple[int, str, str]:
+    def compute(self, word: str) -> bytes:
         s = word if word.isascii() and word.isprintable() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        toks = self.dp.encode(s + END)
-        return len(toks), " ".join([str(self.id[t]) for t in toks]), " ".join([self.shown[t] for t in toks])
+        return array(CODE, [self.id[t] for t in self.dp.encode(s + END)]).tobytes()
+
+    def forget(self) -> None:
+        super().forget()
+        if hasattr(self, "dp"):
+            self.dp.forget()
 
 
 def _lowered(text: str) -> str:
@@ -71,7 +78,7 @@ def _lowered(text: str) -> str:
 
 
 class WordBpe(Remembered):
-    """Maps a run of non-space characters to (count, ids joined by spaces, tokens joined by spaces)."""
+    """Maps a run of non-space characters to its ids, packed."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -80,47 +87,45 @@ class WordBpe(Remembered):
         self.words = Words(spec)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.name = dict(zip(self.words.id, self.words.shown)) | {i: t for t, i in self.special.items()}
+        self.number = {i: str(i) for i in self.name}
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
-    def _pieces(self, run: str) -> Iterator[tuple[int, str, str]]:
+    def forget(self) -> None:
+        super().forget()
+        if hasattr(self, "words"):
+            self.words.forget()
+
+    def _pieces(self, run: str) -> Iterator[bytes]:
         parts = self.at_special.split(run) if self.at_special and any(t in run for t in self.special) else [run]
         for part in parts:
             if part in self.special:
-                yield 1, str(self.special[part]), part
+                yield array(CODE, [self.special[part]]).tobytes()
             else:
                 yield from map(self.words.__getitem__, self.split(_lowered(part)))
 
-    def compute(self, run: str) -> tuple[int, str, str]:
+    def compute(self, run: str) -> bytes:
         low, words = _lowered(run), self.words
         # Letters alone, or with one mark after them, part as the pattern parts them; special tokens are neither.
         if low.isalpha():
             return words[low]
         if low[-1] in ".,;:!?" and low[:-1].isalpha():
-            (n, ids, toks), (m, more, last) = words[low[:-1]], words[low[-1]]
-            return n + m, f"{ids} {more}", f"{toks} {last}"
-        found = list(self._pieces(run))
-        return sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+            return words[low[:-1]] + words[low[-1]]
+        return b"".join(self._pieces(run))
 
     def runs(self, text: str) -> list[str]:
         return _RUNS.findall(text) if _NOT_SPACE.search(text) else text.split()
 
-    def encode(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, ids joined by one space, decoded text) of a whole text."""
-        runs = self.runs(text)
-        if not runs:
-            return 0, "", ""
-        n, ids, toks = zip(*map(self.__getitem__, runs))
-        if 0 in n:
-            n, ids, toks = zip(*(x for x in zip(n, ids, toks) if x[0])) if any(n) else ((0,), ("",), ("",))
-        return sum(n), " ".join(ids), " ".join(toks)
+    def encode(self, text: str) -> memoryview:
+        """The ids of a whole text."""
+        return memoryview(b"".join(map(self.__getitem__, self.runs(text)))).cast(CODE)
 
 
 _held: dict[str, WordBpe] = {}
 
 
 def held(path: str) -> WordBpe:
-    """The encoder of this process: what it remembers serves all tasks of a worker."""
+    """The encoder of this process; the tables of the vocabulary stay, what it remembers goes with each task."""
     if path not in _held:
         _held[path] = WordBpe(path)
     return _held[path]
@@ -129,21 +134,28 @@ def held(path: str) -> WordBpe:
 def _rows(path: str, key: str, text: str, emit, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = held(path)
-        for batch in slices(batches, text):
-            found = [bpe.encode(t) for t in filled(batch.column(text)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([x[0] for x in found], pa.int64()), *emit(found)], schema=schema)
+        try:
+            for batch in slices(batches, text):
+                found = [bpe.encode(t) for t in filled(batch.column(text)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([len(x) for x in found], pa.int64()), *emit(bpe, found)], schema=schema)
+        finally:
+            bpe.forget()
 
     return run
 
 
+def _shown(names: dict[int, str], ids: memoryview) -> str:
+    return " ".join(map(names.__getitem__, ids))
+
+
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Ids and decoded text of every row: key, n_tokens, ids array<int>, decoded string."""
     schema = pa.schema([(key, pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
-    def emit(found):
-        flat = np.array([int(i) for x in found for i in x[1].split()], np.int32)
-        offs = np.concatenate([[0], np.cumsum([x[0] for x in found])]).astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)), pa.array([x[2] for x in found])]
+    def emit(bpe, found):
+        flat = np.frombuffer(b"".join(found), CODE).astype(np.int32)
+        offs = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+        return [pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)), pa.array([_shown(bpe.name, x) for x in found])]
 
     src = docs.select(docs[key].cast("long").alias(key), docs[text].cast("string").alias(text))
     return src.mapInArrow(_rows(path, key, text, emit, schema), f"{key} long, n_tokens long, ids array<int>, decoded string")
@@ -153,7 +165,7 @@ def encode_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str =
     """As ``encode``, with SHA-256 digests (hex) of the joined ids and of the decoded text in their place."""
     schema = pa.schema([(key, pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-    emit = lambda found: [pa.array([sha(x[1]) for x in found]), pa.array([sha(x[2]) for x in found])]
+    emit = lambda bpe, found: [pa.array([sha(_shown(names, x)) for x in found]) for names in (bpe.number, bpe.name)]
     src = docs.select(docs[key].cast("long").alias(key), docs[text].cast("string").alias(text))
     return src.mapInArrow(_rows(path, key, text, emit, schema), f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -168,6 +180,3 @@ def decode(ids: DataFrame, path: str, key: str = "doc_id", col: str = "ids") ->
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array([" ".join(name[i] for i in x or ()) for x in b.column(col).to_pylist()])], schema=schema)
 
     return ids.select(ids[key].cast("long").alias(key), ids[col].cast("array<int>").alias(col)).mapInArrow(run, f"{key} long, decoded string")
-
-
-
