@@ -7,6 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once; one longer text makes a slice of its own.
 SLICE_BYTES = 4 << 20
@@ -44,3 +47,16 @@ def slices(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = SL
             end = max(at + 1, int(np.searchsorted(size, before + most, "right")))
             yield batch.slice(at, end - at)
             at = end
+
+
+def whole() -> Column:
+    """All columns of a row as one, out of the way of every other name; ``row.*`` gives them back."""
+    return F.struct("*").alias("row")
+
+
+def row_ids() -> Iterator[int]:
+    """Numbers for the rows of this task that no other partition gives; stable once they are written."""
+    at = TaskContext.get().partitionId() << 33
+    while True:
+        yield at
+        at += 1

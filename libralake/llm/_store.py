@@ -8,24 +8,32 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: The folder of a session without the setting.
+#: The folder of a local session without the setting.
 _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh local one only where the setting is absent (tests)."""
+    """The cluster's shared checkpoint folder; a local one only for a local session without the setting (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="libralake-ckpt-"))
         path = _own[0]
     return path.rstrip("/")
 
 
+def _folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/libralake/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: later jobs start from stable, replicated files."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/libralake/{tag}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -35,6 +43,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes all intermediate tables under the shared folder; results that still read them must be written before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/libralake")
+    """Deletes this application's intermediate tables; results that still read them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,27 +5,31 @@ one class.  The join works on classes:
 
 1. *Inverted lists.*  Every class sends its shingles, packed by hash partition, to tasks
    that hold whole inverted lists.  A shingle of one class only links nothing and goes.
+   Shingles that a good part of the documents hold are known before and need no list: they
+   count as shared at once, so no task gets the list of a very common shingle.
 2. *Alive classes.*  A class can have a link only if at least three quarters of its
    shingles stand in other classes too; the others are done.  Of an alive class the rarest
    shingles, as many as the threshold leaves free plus one, are its prefix: two linked
    classes share a shingle of both prefixes.
-3. *Block skipping.*  A prefix shingle's list is kept in blocks by set size; only a
-   block and its neighbour can hold linked sets, the rest of the list is skipped.  Classes that meet in
-   a block form candidate groups, which hold all links (they do not hold only linked classes).
-4. *Answers from answers.*  Within a group, one class's overlaps with all others are
-   counted from the group's inverted lists.  Those of a similar class are derived from them:
-   only the lists of shingles in one set and not in the other are read.  Bounds from
-   overlaps already known skip classes that can link with nothing outside their component.
-   Groups above a size bound are worked on in rounds over all tasks, see ``_rounds``.
-
-Equal or nearly equal texts of any number never make pairs: each group is one pass for each
-class that is not yet known to be in the group's largest component.
+3. *Block skipping by position.*  With a shingle at position i of a set of n, at most n - i
+   shingles are common from there on, which bounds the size of a partner.  A prefix
+   shingle's list is kept in blocks by the size of the smaller partner; a set goes to the blocks
+   its position admits, and a block in which no position admits a smaller partner is skipped.
+4. *Groups.*  All classes of a block go to the group of the block's head, so two linked classes
+   meet in some group.  Heads that are linked themselves share one group.  Candidates are never
+   closed transitively.  A group of more than ``TILE_BYTES`` is dealt to tiles, one for
+   every two parts of it.
+5. *Answers from answers.*  In a tile, a class is compared with those that share an admissible
+   prefix shingle.  Overlaps with all classes are counted from the tile's lists; those of a
+   similar class are derived from them: only the lists of shingles in one set and not in the
+   other are read.  Bounds from overlaps already known skip classes that cannot link.
+   Classes that are known to be in one component are not compared.
 
 Words: A-Z lower-cased, split at space and the controls 9 to 13.  Texts of fewer than five words
 have one shingle; null texts and texts without words have the empty set and link with
 nothing.  A null key takes part and never names a component that has another key; repeated
 rows link with each other; an empty table gives no rows; other columns are unread.
-Shingles are compared by 48-bit hashes within hash partitions.
+Shingles are compared by 48-bit hashes, sets are equal by 128-bit digests.
 """
 
 from __future__ import annotations
@@ -34,24 +38,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._arrow import slices, utf8
+from ._arrow import row_ids, slices, utf8, whole
 from ._components import components
 from ._store import materialize, shuffle_partitions
 from ._words import mix, shingles
 
-#: Shingles of a candidate group that one task may hold.
-GROUP_SHINGLES = 12_000_000
-#: Bytes of packed shingles that a task holds back before it sends them on.
+#: Bytes of packed shingles in one part of a group; a tile holds two parts.
+TILE_BYTES = 32 << 20
+#: Bytes of shingles that a task holds back before it sends them on.
 PACK_BYTES = 8 << 20
-#: Shingles of the classes that are compared with a large group in one round.
-ROUND_SHINGLES = 1_000_000
-_SALT = np.uint64(0xC2B2AE3D27D4EB4F)
+#: A shingle is common when it is in this share of the documents; so many are reported by a task at least.
+COMMON_SHARE, COMMON_LEAST = 1 / 256, 32
+_SALT, _SALT2 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _H48 = np.uint64(16)
 NUM, DEN = 75, 100
-_NO_KEY = -(2**63)
 
 
 def _six(x: np.ndarray) -> bytes:
@@ -66,28 +70,62 @@ def _unsix(b: bytes) -> np.ndarray:
     return wide.view("<u8").reshape(-1)
 
 
-def _sets(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, np.ndarray]]:
+def _sets(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Digest in two halves and sorted shingles of every text; zeros for the empty set."""
     raw, offs = utf8(batch.column(text))
     s, at = shingles(raw, offs)
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         u = np.unique(s[a:b])
-        yield (int(np.sum(mix(u ^ _SALT), dtype=np.uint64)) if len(u) else 0), u
+        half = lambda salt: int(np.sum(mix(u ^ salt), dtype=np.uint64)) if len(u) else 0  # noqa: B023, E731
+        yield half(_SALT), half(_SALT2), u
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, n_shingles, cls: digest of the set."""
-    schema = pa.schema([(key, pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64())])
+def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _rows(docs: DataFrame, key: str, text: str, carry: bool) -> DataFrame:
+    """at, key, n, cls, cls2 (and row) of every row; after them shingles that are common in a task: cls, cls2 their number, n -1."""
+    kinds = T.StructType([T.StructField(c, T.LongType()) for c in ("at", "key", "n", "cls", "cls2")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text):
-            found = [(len(u), _signed(d)) for d, u in _sets(b, text)]
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], schema=schema)
+        ids, held, many, seen, row = row_ids(), [], 0, set(), None
+
+        def common() -> Iterator[pa.RecordBatch]:
+            tok, count = np.unique(np.concatenate(held) >> _H48, return_counts=True)
+            often = count >= max(COMMON_LEAST, len(held) // 64)
+            if k := int(often.sum()):
+                none = pa.nulls(k, pa.int64())
+                cols = [none, none, pa.array(np.full(k, -1)), pa.array(tok[often].astype(np.int64)), pa.array(count[often])]
+                yield pa.RecordBatch.from_arrays([*cols, *([pa.nulls(k, row)] if carry else [])], names=["at", "key", "n", "cls", "cls2", *(["row"] if carry else [])])
+
+        for b in slices(batches, "text"):
+            found = list(_sets(b, "text"))
+            cols = [[next(ids) for _ in found], b.column("key"), [len(u) for *_, u in found], [_signed(d) for d, *_ in found], [_signed(d) for _, d, _ in found]]
+            cols = [pa.array(c, pa.int64()) if isinstance(c, list) else c for c in cols]
+            if carry:
+                row = b.column("row").type
+                cols.append(b.column("row"))
+            yield pa.RecordBatch.from_arrays(cols, names=["at", "key", "n", "cls", "cls2", *(["row"] if carry else [])])
+            for d, _, u in found:
+                if len(u) and d not in seen:
+                    seen.add(d)
+                    held.append(u)
+                    many += u.nbytes
+            if many > PACK_BYTES:
+                yield from common()
+                held, many = [], 0
+                if len(seen) > 500_000:
+                    seen.clear()
+        if held:
+            yield from common()
 
-    return docs.mapInArrow(run, f"{key} long, n_shingles long, cls long")
+    src = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text"), *([whole()] if carry else []))
+    return src.mapInArrow(run, kinds.add("row", docs.schema) if carry else kinds)
 
 
 def _partition_keys(spark, n: int) -> list[int]:
@@ -99,59 +137,82 @@ def _partition_keys(spark, n: int) -> list[int]:
     return [found.get(p, p) for p in range(n)]
 
 
-def _packed_lists(docs: DataFrame, text: str, keys: list[int]) -> DataFrame:
-    """pid, cls, size, count (of each class), tok: shingles of a task's classes by hash partition."""
-    schema = pa.schema([("pid", pa.int32()), ("part", pa.int32()), ("cls", pa.binary()), ("size", pa.binary()), ("cnt", pa.binary()), ("tok", pa.binary())])
-    n = len(keys)
+_PACK = [("pid", pa.int32()), ("part", pa.int32()), ("cls", pa.binary()), ("size", pa.binary()), ("cnt", pa.binary()), ("tok", pa.binary())]
+
+
+def _runs(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and length of every run of equal numbers."""
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return first, np.diff(first, append=len(own)).astype(np.uint32)
 
-    def flush(cls: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+
+def _packed_lists(docs: DataFrame, text: str, keys: list[int], common: np.ndarray) -> DataFrame:
+    """pid, part, cls, size, count (of each class), tok: shingles of a task's classes by hash partition; part -1 has common shingles."""
+    schema, n = pa.schema(_PACK), len(keys)
+    known = docs.sparkSession.sparkContext.broadcast(common)
+
+    def flush(cls: list[int], sets: list[np.ndarray], turn: int) -> Iterator[pa.RecordBatch]:
         size = np.array([len(s) for s in sets], np.int64)
         own = np.repeat(np.arange(len(sets), dtype=np.int32), size)
         h = np.concatenate(sets) >> _H48
-        part = (mix(h) % np.uint64(n)).astype(np.uint16 if n < 65536 else np.int64)
+        part = (mix(h) % np.uint64(n)).astype(np.int64)
+        if len(known.value):
+            part[known.value[np.minimum(np.searchsorted(known.value, h), len(known.value) - 1)] == h] = -1
         order = np.argsort(part, kind="stable")
         h, own = h[order], own[order]
-        cut = np.searchsorted(part[order], np.arange(n + 1))
+        cut = np.searchsorted(part[order], np.arange(-1, n + 1))
         names = np.array(cls, np.uint64)
-        for p in range(n):
-            a, b = cut[p], cut[p + 1]
+        for p in range(-1, n):
+            a, b = cut[p + 1], cut[p + 2]
             if a < b:
-                o = own[a:b]
-                first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
-                who = o[first]
-                row = [keys[p], p, names[who].tobytes(), size[who].astype(np.uint32).tobytes(), np.diff(first, append=b - a).astype(np.uint32).tobytes(), _six(h[a:b])]
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
+                first, many = _runs(own[a:b])
+                who = own[a:b][first]
+                yield _batch(schema, [(keys[p if p >= 0 else turn % n], p, names[who].tobytes(), size[who].astype(np.uint32).tobytes(), many.tobytes(), _six(h[a:b]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls, sets, held, seen = [], [], 0, set()
+        cls, sets, held, seen, turn = [], [], 0, set(), next(row_ids()) >> 33
         for b in slices(batches, text):
-            for d, u in _sets(b, text):
+            for d, _, u in _sets(b, text):
                 if len(u) and d not in seen:
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 500_000:
                         seen.clear()
                     seen.add(d)
                     cls.append(d)
                     sets.append(u)
                     held += u.nbytes
             if held > PACK_BYTES:
-                yield from flush(cls, sets)
-                cls, sets, held = [], [], 0
+                yield from flush(cls, sets, turn)
+                cls, sets, held, turn = [], [], 0, turn + 1
         if cls:
-            yield from flush(cls, sets)
+            yield from flush(cls, sets, turn)
 
     return docs.mapInArrow(run, "pid int, part int, cls binary, size binary, cnt binary, tok binary")
 
 
 def _shared(packs: DataFrame, keys: list[int]) -> DataFrame:
-    """Lists of two or more classes, packed by partition of the class: shingle, level of frequency."""
-    schema = pa.schema([("pid", pa.int32()), ("part", pa.int32()), ("cls", pa.binary()), ("size", pa.binary()), ("cnt", pa.binary()), ("tok", pa.binary()), ("freq", pa.binary())])
-    n = len(keys)
+    """Shingles of two or more classes, packed by partition of the class, with a level that grows with their frequency."""
+    schema, n = pa.schema([*_PACK, ("freq", pa.binary())]), len(keys)
+
+    def dealt(tok: np.ndarray, own: np.ndarray, size: np.ndarray, level: np.ndarray) -> Iterator[pa.RecordBatch]:
+        to = (mix(own) % np.uint64(n)).astype(np.int64)
+        order = np.lexsort((own, to))
+        tok, own, size, level, to = tok[order], own[order], size[order], level[order], to[order]
+        cut = np.searchsorted(to, np.arange(n + 1))
+        for p in range(n):
+            a, b = cut[p], cut[p + 1]
+            if a < b:
+                first, many = _runs(own[a:b])
+                yield _batch(schema, [(keys[p], p, own[a:b][first].tobytes(), size[a:b][first].tobytes(), many.tobytes(), _six(tok[a:b]), level[a:b].tobytes())])
 
-    def one(part: int, packs: list[dict]) -> Iterator[pa.RecordBatch]:
+    def opened(packs: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        many = [np.frombuffer(r["cnt"], np.uint32) for r in packs]
         tok = np.concatenate([_unsix(r["tok"]) for r in packs])
-        own = np.concatenate([np.repeat(np.frombuffer(r["cls"], np.uint64), np.frombuffer(r["cnt"], np.uint32)) for r in packs])
-        size = np.concatenate([np.repeat(np.frombuffer(r["size"], np.uint32), np.frombuffer(r["cnt"], np.uint32)) for r in packs])
+        own, size = (np.concatenate([np.repeat(np.frombuffer(r[c], kind), m) for r, m in zip(packs, many)]) for c, kind in (("cls", np.uint64), ("size", np.uint32)))
         packs.clear()
+        return tok, own, size
+
+    def one(packs: list[dict]) -> Iterator[pa.RecordBatch]:
+        tok, own, size = opened(packs)
         order = np.argsort(tok, kind="stable")
         tok, own, size = tok[order], own[order], size[order]
         same = np.concatenate([[False], tok[1:] == tok[:-1]])
@@ -164,44 +225,34 @@ def _shared(packs: DataFrame, keys: list[int]) -> DataFrame:
         tok, own, size = tok[order], own[order], size[order]
         keep = np.concatenate([[True], (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])])
         tok, own, size = tok[keep], own[keep], size[keep]
-        start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
-        many = np.diff(start, append=len(tok))
+        _, many = _runs(tok)
         freq = np.repeat(many, many)
         keep = freq > 1
-        tok, own, size, freq = tok[keep], own[keep], size[keep], freq[keep]
-        if not len(tok):
-            return
-        level = np.minimum(255, 8 * np.log2(freq)).astype(np.uint8)
-        to = (mix(own) % np.uint64(n)).astype(np.int64)
-        order = np.lexsort((own, to))
-        tok, own, size, level, to = tok[order], own[order], size[order], level[order], to[order]
-        cut = np.searchsorted(to, np.arange(n + 1))
-        for p in range(n):
-            a, b = cut[p], cut[p + 1]
-            if a < b:
-                o = own[a:b]
-                first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
-                row = [keys[p], part, o[first].tobytes(), size[a:b][first].tobytes(), np.diff(first, append=b - a).astype(np.uint32).tobytes(), _six(tok[a:b]), level[a:b].tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
+        if keep.any():
+            yield from dealt(tok[keep], own[keep], size[keep], np.minimum(254, 8 * np.log2(freq[keep])).astype(np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = -1, []
         for b in batches:
             for r in b.to_pylist():
+                if r["part"] == -1:
+                    tok, own, size = opened([r])
+                    yield from dealt(tok, own, size, np.full(len(tok), 255, np.uint8))
+                    continue
                 if r["part"] != part and held:
-                    yield from one(part, held)
+                    yield from one(held)
                     held = []
                 part = r["part"]
                 held.append(r)
         if held:
-            yield from one(part, held)
+            yield from one(held)
 
-    dealt = packs.repartition(n, "pid").sortWithinPartitions("part")
-    return dealt.mapInArrow(run, "pid int, part int, cls binary, size binary, cnt binary, tok binary, freq binary")
+    packed = packs.repartition(n, "pid").sortWithinPartitions("part")
+    return packed.mapInArrow(run, "pid int, part int, cls binary, size binary, cnt binary, tok binary, freq binary")
 
 
 def _alive(shared: DataFrame, n: int) -> DataFrame:
-    """cls, n (size of the set), toks (shingles in other classes too, rarest first), prefix (how many of them)."""
+    """cls, n (size of the set), toks (shingles in other classes too, rarest first, packed), prefix (how many of them)."""
     schema = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("toks", pa.binary()), ("prefix", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +260,7 @@ def _alive(shared: DataFrame, n: int) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 cnt = np.frombuffer(r["cnt"], np.uint32)
-                toks.append((_unsix(r["tok"]) << _H48) | np.uint64(r["part"] & 0xFFFF))
+                toks.append(_unsix(r["tok"]))
                 owns.append(np.repeat(np.frombuffer(r["cls"], np.uint64), cnt))
                 sizes.append(np.repeat(np.frombuffer(r["size"], np.uint32), cnt))
                 levels.append(np.frombuffer(r["freq"], np.uint8))
@@ -218,92 +269,112 @@ def _alive(shared: DataFrame, n: int) -> DataFrame:
         tok, own, size, level = map(np.concatenate, (toks, owns, sizes, levels))
         order = np.lexsort((tok, level, own))
         tok, own, size = tok[order], own[order], size[order].astype(np.int64)
-        at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        n_own, n = np.diff(at, append=len(own)), size[at]
+        # Common shingles come once from each task that has a copy of the class.
+        keep = np.concatenate([[True], (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])])
+        tok, own, size = tok[keep], own[keep], size[keep]
+        at, n_own = _runs(own)
+        n_own, n = n_own.astype(np.int64), size[at]
         out = []
         for i in np.flatnonzero(DEN * n_own >= NUM * n):
             free = n[i] + (-NUM * n[i]) // DEN + 1  # n - ceil(3/4 n) + 1
-            out.append((_signed(int(own[at[i]])), int(n[i]), tok[at[i] : at[i] + n_own[i]].tobytes(), int(min(n_own[i], free - (n[i] - n_own[i])))))
+            out.append((_signed(int(own[at[i]])), int(n[i]), _six(tok[at[i] : at[i] + n_own[i]]), int(min(n_own[i], free - (n[i] - n_own[i])))))
             if len(out) >= 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                yield _batch(schema, out)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            yield _batch(schema, out)
 
     return shared.repartition(n, "pid").mapInArrow(run, "cls long, n long, toks binary, prefix int")
 
 
-def _candidates(alive: DataFrame) -> DataFrame:
-    """Edges (a, b) between classes that meet in a block of a prefix shingle's list."""
-    listed = pa.schema([("tok", pa.int64()), ("block", pa.int32()), ("cls", pa.int64())])
+def _band(n: np.ndarray) -> np.ndarray:
+    """Block of a size: a factor of 4/3, the most that linked sets differ by."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(4 / 3) + 1e-9).astype(np.int32)
+
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(alive: DataFrame) -> DataFrame:
+    """tok, band, cls, small: the blocks that a class takes part in, and whether it may be the smaller set of a link there.
+
+    Of linked sets of n and m shingles at least 3 (n + m) / 7 are common.  A set with the first common
+    shingle at position i has n - i left, so as the smaller one it needs 7 (n - i) >= 6 n, and
+    as the larger one a partner of at most 7 (n - i) / 3 - n.
+    """
+    schema = pa.schema([("tok", pa.int64()), ("band", pa.int32()), ("cls", pa.int64()), ("small", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prefix = b.column("prefix").to_numpy()
-            tok = [np.frombuffer(t, np.int64)[:k] for t, k in zip(b.column("toks").to_pylist(), prefix)]
-            # Linked sets differ in size by a factor of at most 4/3: neighbouring blocks at most.
-            block = np.floor(np.log(b.column("n").to_numpy()) / np.log(4 / 3) + 1e-9).astype(np.int32)
-            k = np.array([len(t) for t in tok])
-            if not k.sum():
+            k = b.column("prefix").to_numpy().astype(np.int64)
+            packed = b.column("toks").to_pylist()
+            if not len(k) or not k.sum():
                 continue
-            tok, block, cls = np.concatenate(tok), np.repeat(block, k), np.repeat(b.column("cls").to_numpy(), k)
+            tok = np.concatenate([_unsix(t[: 6 * j]) for t, j in zip(packed, k)]).astype(np.int64)
+            own = np.array([len(t) // 6 for t in packed])
+            n, cls = np.repeat(b.column("n").to_numpy(), k), np.repeat(b.column("cls").to_numpy(), k)
+            place = np.arange(len(tok)) - np.repeat(np.cumsum(k) - k, k) + n - np.repeat(own, k)
+            small = 7 * (n - place) >= 6 * n
+            band = _band(n)
+            low, high = _band(-(-3 * n // 4)), _band(np.minimum(n, 7 * (n - place) // 3 - n))
             for move in (0, -1):
-                yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(block + move, pa.int32()), pa.array(cls)], schema=listed)
+                at = band + move
+                here = (low <= at) & (at <= high)
+                role = small if move == 0 else np.zeros(len(tok), bool)
+                here |= role
+                yield pa.RecordBatch.from_arrays([pa.array(tok[here]), pa.array(at[here].astype(np.int32)), pa.array(cls[here]), pa.array(role[here])], schema=schema)
 
-    found = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    return alive.mapInArrow(run, "tok long, band int, cls long, small boolean")
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by list and block; a star of each block's classes, without those seen already."""
-        last, head, seen = None, None, set()
-        out: list[tuple[int, int]] = []
+
+def _pairs_linked(pairs: DataFrame, alive: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that are linked."""
+    side = lambda x: alive.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("toks").alias(f"t{x}"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tok, block, cls = (b.column(i).to_numpy() for i in range(3))
-            new = np.concatenate([[True], (tok[1:] != tok[:-1]) | (block[1:] != block[:-1])])
-            if last == (tok[0], block[0]):
-                new[0] = False
-            start = np.flatnonzero(new)
-            heads = np.where(np.cumsum(new) > 0, cls[np.maximum.accumulate(np.where(new, np.arange(len(cls)), 0))], head if head is not None else 0)
-            pairs = np.unique(np.stack([cls[~new], heads[~new]]), axis=1)
-            for x, y in pairs.T.tolist():
-                if (x, y) not in seen:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add((x, y))
-                    out.append((x, y))
-            last, head = (tok[-1], block[-1]), (heads[-1] if len(start) or head is not None else head)
+            rows = zip(*(b.column(c).to_pylist() for c in ("a", "b", "na", "nb", "ta", "tb")))
+            out = [(x, y) for x, y, n, m, s, t in rows if 7 * len(np.intersect1d(_unsix(s), _unsix(t), True)) >= 3 * (n + m)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], schema=found)
-                out = []
+                yield _batch(schema, out)
 
-    lists = alive.select("cls", "n", "toks", "prefix").mapInArrow(spread, "tok long, block int, cls long")
-    n = shuffle_partitions(alive.sparkSession)
-    return lists.repartition(n, "tok", "block").sortWithinPartitions("tok", "block", "cls").mapInArrow(meet, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 class Group:
-    """Classes of one candidate group with their inverted lists."""
+    """Classes of one tile with their inverted lists: sizes of the sets, their shared shingles (rarest first), how many are the prefix."""
 
-    def __init__(self, n: np.ndarray, toks: list[np.ndarray]):
+    def __init__(self, n: np.ndarray, toks: list[np.ndarray], prefix: np.ndarray):
         self.n, self.m = n.astype(np.int64), len(n)
-        size = np.array([len(t) for t in toks], np.int64)
-        self.at = np.concatenate([[0], np.cumsum(size)])
-        _, self.ids = np.unique(np.concatenate(toks), return_inverse=True)
-        self.ids = self.ids.astype(np.int64)
-        order = np.argsort(self.ids, kind="stable")
-        self.posted = np.repeat(np.arange(self.m), size)[order]
-        self.heads = np.concatenate([[0], np.cumsum(np.bincount(self.ids))])
-        self.shared = size
+        self.shared = np.array([len(t) for t in toks], np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.shared)])
+        _, ids = np.unique(np.concatenate(toks), return_inverse=True)
+        self.ids = ids.astype(np.int64)
+        self.n_ids = int(self.ids.max()) + 1 if len(self.ids) else 0
+        self.prefix = np.minimum(prefix.astype(np.int64), self.shared)
+        own = np.repeat(np.arange(self.m), self.shared)
+        place = np.arange(len(self.ids)) - self.at[own]
+        self.posted, self.heads = self._lists(self.ids, own)
+        first = place < self.prefix[own]
+        self.first, self.first_heads = self._lists(self.ids[first], own[first])
+        left = (self.shared[own] - place)[first]
+        self.first_left = left[np.argsort(self.ids[first], kind="stable")]
+
+    def _lists(self, ids: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return own[np.argsort(ids, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=self.n_ids))])
 
     def own(self, i: int) -> np.ndarray:
         return self.ids[self.at[i] : self.at[i + 1]]
 
+    @staticmethod
+    def _places(heads: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the tokens' lists, one after another, and the length of each."""
+        a, k = heads[tokens], heads[tokens + 1] - heads[tokens]
+        return np.repeat(a - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum()), k
+
     def _count(self, tokens: np.ndarray) -> np.ndarray:
         """For every class, how many of the tokens it has: reads these tokens' lists."""
-        a, k = self.heads[tokens], self.heads[tokens + 1] - self.heads[tokens]
-        if not k.sum():
+        if not len(tokens):
             return np.zeros(self.m, np.int64)
-        at = np.repeat(a - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
-        return np.bincount(self.posted[at], minlength=self.m)
+        return np.bincount(self.posted[self._places(self.heads, tokens)[0]], minlength=self.m)
 
     def overlaps(self, i: int, known: tuple[int, np.ndarray] | None) -> np.ndarray:
         """Overlaps of class i with all, derived from those of a similar class where that reads less."""
@@ -314,133 +385,123 @@ class Group:
                 return known[1] + self._count(np.setdiff1d(own, other, True)) - self._count(np.setdiff1d(other, own, True))
         return self._count(own)
 
-    def labels(self) -> np.ndarray:
+    def candidates(self, i: int) -> np.ndarray:
+        """Classes that share a prefix shingle with class i at places that admit a link."""
+        mine = self.own(i)[: self.prefix[i]]
+        at, k = self._places(self.first_heads, mine)
+        y = self.first[at]
+        left = np.minimum(np.repeat(self.shared[i] - np.arange(len(mine)), k), self.first_left[at])
+        return np.unique(y[(7 * left >= 3 * (self.n[i] + self.n[y])) & (y != i)])
+
+    def labels(self, derive: bool = True) -> np.ndarray:
         """Component of every class: all links found, pairs only looked at where they may matter."""
-        lab, done = np.arange(self.m), np.zeros(self.m, bool)
+        lab, done, mark = np.arange(self.m), np.zeros(self.m, bool), np.zeros(self.n_ids, bool)
+        members: dict[int, list[int]] = {i: [i] for i in range(self.m)}
+        big = 0
         answers: list[tuple[int, np.ndarray]] = []
         while True:
-            sizes = np.bincount(lab, minlength=self.m)
-            left = np.flatnonzero(~done & (lab != sizes.argmax()))
+            left = np.flatnonzero(~done & (lab != big))
             if not len(left):
                 return lab
-            i = int(left[0])
-            rest = ~done & (lab != lab[i])
-            need = -(-NUM * (self.n[i] + self.n) // (NUM + DEN))  # least overlap of a link
-            best = np.minimum(self.shared[i], self.shared)
-            for p, c in answers:
-                best = np.minimum(best, np.minimum(c[i] + self.shared - c, c + self.shared[i] - c[i]))
-            done[i] = True
-            if not (rest & (best >= need)).any():
-                continue
-            near = max(answers, key=lambda x: x[1][i], default=None)
-            c = self.overlaps(i, near)
-            linked = np.flatnonzero(DEN * c >= NUM * (self.n[i] + self.n - c))
-            # A class has shingles of its own that no list holds, so it need not link with itself here.
-            joined = np.unique(np.append(lab[linked], lab[i]))
-            if len(joined) > 1:
-                lab[np.isin(lab, joined)] = joined[0]
-            answers = [*answers[-3:], (i, c)]
-
-
-def _work(group: pa.Table) -> pa.Table:
-    toks = [np.frombuffer(t, np.uint64) for t in group.column("toks").to_pylist()]
-    cls = group.column("cls").to_numpy()
-    lab = Group(group.column("n").to_numpy(), toks).labels()
+            for i in left.tolist():
+                if lab[i] == big:
+                    continue
+                done[i] = True
+                y = self.candidates(i)
+                y = y[~done[y] & (lab[y] != lab[i])]
+                need = -(-3 * (self.n[i] + self.n[y]) // 7)  # least overlap of a link
+                best = np.minimum(self.shared[i], self.shared[y])
+                for _, c in answers if derive else ():
+                    best = np.minimum(best, np.minimum(c[i] + self.shared[y] - c[y], c[y] + self.shared[i] - c[i]))
+                y, need = y[best >= need], need[best >= need]
+                if not len(y):
+                    continue
+                own = self.own(i)
+                if self.shared[y].sum() <= (self.heads[own + 1] - self.heads[own]).sum():
+                    mark[own] = True
+                    at, k = self._places(self.at, y)
+                    c = np.add.reduceat(mark[self.ids[at]], np.cumsum(k) - k, dtype=np.int64)
+                    mark[own] = False
+                    linked = y[c >= need]
+                else:
+                    c = self.overlaps(i, max(answers, key=lambda x: x[1][i], default=None) if derive else None)
+                    linked = y[c[y] >= need]
+                    answers = [*answers[-3:], (i, c)]
+                for other in set(lab[linked].tolist()):
+                    a, b = sorted((int(lab[i]), other), key=lambda x: len(members[x]))
+                    lab[members[a]] = b
+                    members[b] += members.pop(a)
+                    if len(members[b]) > len(members[big] if big in members else ()) or big == a:
+                        big = b
+
+
+def _work(tile: pa.Table) -> pa.Table:
+    """Links within a tile, as pairs of a class and the least class of its component there."""
+    cls = tile.column("cls").to_numpy()
+    lab = Group(tile.column("n").to_numpy(), [_unsix(t) for t in tile.column("toks").to_pylist()], tile.column("prefix").to_numpy()).labels()
     head = np.full(len(cls), np.iinfo(np.int64).max)
     np.minimum.at(head, lab, cls)
-    return pa.table({"cls": pa.array(cls, pa.int64()), "comp": pa.array(head[lab], pa.int64())})
-
-
-def _rounds(large: DataFrame) -> DataFrame:
-    """cls, comp for groups that no task holds: in each round a bounded number of classes meets all others.
-
-    Classes that are not yet in their group's largest component and have not met the group take
-    their turn; what they link with joins them at once, so copies of one text need few rounds.
-    """
-    spark = large.sparkSession
-    large = materialize(large, "groups")
-    links, met, turns = None, None, 4
-    while True:
-        lab = large.select("grp", "cls", F.octet_length("toks").alias("w"))
-        if links is not None:
-            lab = lab.join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")).join(met, "cls", "left")
-        else:
-            lab = lab.withColumn("label", F.col("cls")).withColumn("met", F.lit(None).cast("boolean"))
-        lab = materialize(lab, "labels")
-        top = lab.groupBy("grp", "label").count().groupBy("grp").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
-        turn = lab.where("met is null").join(top, "grp").where("label <> top").orderBy(F.xxhash64("cls"), "cls").limit(turns)
-        turns = min(4 * turns, 256)
-        picked, used = [], 0
-        for r in turn.select("cls", "w").toLocalIterator():
-            used += r["w"] // 8
-            picked.append(r["cls"])
-            if used > ROUND_SHINGLES:
-                break
-        if not picked:
-            return lab.select("cls", F.col("label").alias("comp"))
-        chosen = spark.createDataFrame([(c,) for c in picked], "cls long")
-        rows = [(r["grp"], r["cls"], r["n"], bytes(r["toks"])) for r in large.join(F.broadcast(chosen), "cls").toLocalIterator()]
-        held = spark.sparkContext.broadcast(rows)
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-        def meet(batches, held=held, schema=schema):
-            rows = held.value
-            pivot_cls, pivot_n = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-            pivot_grp, k = np.array([r[0] for r in rows]), len(rows)
-            sets = [np.frombuffer(r[3], np.uint64) for r in rows]
-            tok, which = np.concatenate(sets), np.repeat(np.arange(k), [len(s) for s in sets])
-            order = np.argsort(tok, kind="stable")
-            tok, which = tok[order], which[order]
-            for b in batches:
-                for at in range(0, b.num_rows, 1000):
-                    part = b.slice(at, 1000)
-                    grp, cls, n = (part.column(x).to_numpy() for x in ("grp", "cls", "n"))
-                    own_sets = [np.frombuffer(t, np.uint64) for t in part.column("toks").to_pylist()]
-                    own, flat = np.repeat(np.arange(len(cls)), [len(s) for s in own_sets]), np.concatenate(own_sets)
-                    low = np.searchsorted(tok, flat)
-                    many = np.searchsorted(tok, flat, "right") - low
-                    src = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-                    over = np.bincount(np.repeat(own, many) * k + which[src], minlength=len(cls) * k).reshape(len(cls), k)
-                    hit = (grp[:, None] == pivot_grp) & (DEN * over >= NUM * (n[:, None] + pivot_n - over)) & (cls[:, None] != pivot_cls)
-                    i, j = np.nonzero(hit)
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(cls[i], pa.int64()), pa.array(pivot_cls[j], pa.int64())], schema=schema)
-
-        new = materialize(large.mapInArrow(meet, "a long, b long"), "links")
-        links = new if links is None else links.union(new)
-        now = chosen.withColumn("met", F.lit(True))
-        met = now if met is None else materialize(met.union(now), "met")
+    joined = head[lab] != cls
+    return pa.table({"a": pa.array(cls[joined], pa.int64()), "b": pa.array(head[lab][joined], pa.int64())})
+
+
+def _groups(alive: DataFrame) -> DataFrame:
+    """cls, grp: every two linked classes are together in some group."""
+    lists = _blocks(alive)
+    heads = lists.groupBy("tok", "band").agg(F.min(F.when(F.col("small"), F.col("cls"))).alias("head"), F.min("cls").alias("_lo"), F.max("cls").alias("_hi"))
+    heads = heads.where(F.col("head").isNotNull() & (F.col("_lo") < F.col("_hi"))).select("tok", "band", "head")
+    meets = materialize(lists.join(heads, ["tok", "band"]).select("cls", "head").distinct(), "meets")
+    own = meets.select(F.col("head").alias("cls")).distinct()
+    met = meets.where("cls <> head").join(own, "cls").select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b")).distinct()
+    joined = components(_pairs_linked(met, alive)).select(F.col("node").alias("head"), "label")
+    return meets.join(joined, "head", "left").select("cls", F.coalesce("label", "head").alias("grp")).distinct()
+
+
+def _links(alive: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose closure has all links between alive classes."""
+    groups = materialize(_groups(alive), "groups").join(alive, "cls")
+    parts = groups.groupBy("grp").agg(F.ceil(F.sum(F.octet_length("toks")) / F.lit(TILE_BYTES)).cast("int").alias("k"))
+    part = F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")
+    others = F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("k") - 1), F.array("part")))
+    tiles = groups.join(parts, "grp").withColumn("part", part).withColumn("other", F.explode(others))
+    tiles = tiles.select("grp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cls", "n", "toks", "prefix")
+    return tiles.groupBy("grp", "i", "j").applyInArrow(_work, "a long, b long")
+
+
+def _linked(docs: DataFrame, key: str, text: str, carry: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows, and for every class cls, cls2 the struct ``best`` (no key, key, at) of the row that names its component."""
+    spark = docs.sparkSession
+    found = materialize(_rows(docs, key, text, carry), "classes")
+    rows = found.where("n >= 0")
+    # At most 1 / COMMON_SHARE times the mean size of a set.
+    common = found.where("n < 0").groupBy("cls").agg(F.sum("cls2").alias("many")).where(F.col("many") >= COMMON_SHARE * rows.count()).select("cls")
+    common = np.array(sorted(r[0] for r in common.collect()), np.uint64)
+    n = shuffle_partitions(spark)
+    keys = _partition_keys(spark, n)
+    texts = docs.select(docs[text].cast("string").alias("text"))
+    alive = materialize(_alive(_shared(_packed_lists(texts, "text", keys, common), keys), n), "alive")
+    labels = components(_links(alive)).withColumnRenamed("node", "cls")
+    best = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "at")).alias("best")
+    classes = rows.where("n > 0").groupBy("cls", "cls2").agg(best).join(labels, "cls", "left")
+    # A class without links is alone with its whole digest, whatever else has the first half of it.
+    classes = classes.select("cls", "cls2", "best", F.coalesce("label", "cls").alias("c"), F.when(F.col("label").isNull(), F.col("cls2")).otherwise(F.lit(0)).alias("c2"))
+    classes = materialize(classes, "labels")
+    least = classes.groupBy("c", "c2").agg(F.min("best").alias("least"))
+    return rows, materialize(classes.join(least, ["c", "c2"]).select("cls", "cls2", F.col("least").alias("best")), "named")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id: the smallest key reachable over links, of every row."""
-    spark = docs.sparkSession
-    src = docs.select(docs[key].cast("long").alias(key), docs[text].cast("string").alias(text))
-    own = materialize(_classes(src, key, text), "classes")
-    n = shuffle_partitions(spark)
-    keys = _partition_keys(spark, n)
-    alive = materialize(_alive(_shared(_packed_lists(src.select(text), text, keys), keys), n), "alive")
-    edges = components(_candidates(alive)).withColumnRenamed("node", "cls").withColumnRenamed("label", "grp")
-    grouped = alive.join(edges, "cls").select("grp", "cls", "n", "toks")
-    weight = edges.join(alive.select("cls", F.octet_length("toks").alias("w")), "cls").groupBy("grp").agg(F.sum("w").alias("w")).where(F.col("w") > 8 * GROUP_SHINGLES).select("grp")
-    weight = materialize(weight, "weights")
-    if weight.limit(1).count():
-        small = grouped.join(weight, "grp", "left_anti")
-        comps = small.groupBy("grp").applyInArrow(_work, "cls long, comp long").unionByName(_rounds(grouped.join(weight, "grp", "left_semi")))
-    else:
-        comps = grouped.groupBy("grp").applyInArrow(_work, "cls long, comp long")
-    least = own.where("n_shingles > 0").groupBy("cls").agg(F.min(key).alias("least"))
-    linked = comps.join(least, "cls")
-    named = linked.join(linked.groupBy("comp").agg(F.min("least").alias("id")), "comp").select("cls", "id")
-    named = least.join(materialize(named, "named"), "cls", "left").select("cls", F.coalesce("id", "least").alias("component_id"))
-    some = own.where("n_shingles > 0").join(named, "cls").select(key, "n_shingles", "component_id")
-    return some.unionByName(own.where("n_shingles = 0").select(key, "n_shingles", F.col(key).alias("component_id")))
+    rows, named = _linked(docs, key, text, False)
+    some = rows.where("n > 0").join(named, ["cls", "cls2"]).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("best.key").alias("component_id"))
+    return some.unionByName(rows.where("n = 0").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("key").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with one row of each component: that of the smallest key (of equal keys and texts one row)."""
-    keep = jaccard_components(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.coalesce(key, F.lit(_NO_KEY)).alias("_k")).distinct()
-    rows = docs.withColumn("_k", F.coalesce(docs[key].cast("long"), F.lit(_NO_KEY))).join(keep, "_k", "left_semi")
-    # The join has dealt rows by key: the window deals nothing anew.
-    nth = F.row_number().over(Window.partitionBy("_k", "_h").orderBy("_h"))
-    return rows.withColumn("_h", F.xxhash64(text)).withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    """The documents with one row of each component: that of the smallest key, null last; rows with the empty set all stay.
+
+    Of equal keys in one component one row stays; rows in different components all do, whatever their keys.
+    """
+    rows, named = _linked(docs, key, text, True)
+    keep = named.select(F.col("best.at").alias("at")).distinct()
+    return rows.where("n > 0").join(keep, "at", "left_semi").select("row.*").unionByName(rows.where("n = 0").select("row.*"))

@@ -69,13 +69,28 @@ def brute_components(rows):
     return sorted(((k, len(s), least.get(find(i))) for i, (k, s) in enumerate(sets)), key=str)
 
 
-@pytest.mark.parametrize("bound", [12_000_000, 300])
-def test_jaccard_components(spark, corpus, monkeypatch, bound):
-    monkeypatch.setattr(ngram_join, "GROUP_SHINGLES", bound)
+@pytest.mark.parametrize(("tile", "common"), [(32 << 20, 32), (600, 2)])
+def test_jaccard_components(spark, corpus, monkeypatch, tile, common):
+    """Also with groups dealt to many tiles, and with shingles that count as common from two texts on."""
+    monkeypatch.setattr(ngram_join, "TILE_BYTES", tile)
+    monkeypatch.setattr(ngram_join, "COMMON_LEAST", common)
     got = [tuple(r) for r in ngram_join.jaccard_components(frame(spark, corpus)).collect()]
     assert sorted(got, key=str) == brute_components(corpus)
 
 
+def test_jaccard_of_templates(spark, monkeypatch):
+    """A template that a third of all texts share, with fillings around the threshold, over one and many partitions."""
+    rng = random.Random(21)
+    base = words(rng, 60)
+    rows = [(i, " ".join(base[: rng.randrange(40, 60)] + words(rng, rng.randrange(0, 14)))) for i in range(150)]
+    rows += [(1000 + i, " ".join(words(rng, 30))) for i in range(200)] + [(5000 + i, " ".join(base)) for i in range(60)]
+    want = brute_components(rows)
+    monkeypatch.setattr(ngram_join, "COMMON_LEAST", 8)
+    for parts in (1, 9):
+        got = [tuple(r) for r in ngram_join.jaccard_components(frame(spark, rows).repartition(parts)).collect()]
+        assert sorted(got, key=str) == want
+
+
 def test_jaccard_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (None, "A b c d e f"), (2, long), (9, long + " x"), (4, ""), (5, None), (None, "zz")]
@@ -86,18 +101,70 @@ def test_jaccard_odd_rows(spark):
     assert kept == sorted([(7, "a b c d e f"), (2, long), (4, ""), (5, None)], key=lambda x: (x[0], x[1] or ""))
 
 
+def test_one_of_each_keeps_rows_and_columns(spark):
+    """Columns of any name stay as they are; rows stay by row, not by key."""
+    rng = random.Random(13)
+    a, b = " ".join(words(rng, 40)), " ".join(words(rng, 40))
+    rows = [(5, a, "X", "Y", 1, "p"), (5, b, "X2", "Y2", 2, "q"), (3, b + " more", "X3", "Y3", 3, "r"), (9, a, "X4", "Y4", 4, "s"), (9, a, "X5", "Y5", 4, "s"), (None, "", "X6", None, 5, "t"), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _k string, _h string, at int, row string")
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([rows[0], rows[2], rows[5], rows[6]], key=str)
+    assert ngram_join.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_derived_overlaps_equal_counted():
     import numpy as np
 
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, rng.integers(5, 40)).astype(np.uint64)) for _ in range(40)]
-    g = ngram_join.Group(np.array([len(s) for s in sets]), sets)
+    n = np.array([len(s) for s in sets])
+    g = ngram_join.Group(n, sets, n)
     for i in range(40):
         exact = [len(np.intersect1d(sets[i], s)) for s in sets]
         assert g.overlaps(i, None).tolist() == exact
         assert g.overlaps(i, (0, g.overlaps(0, None))).tolist() == exact
 
 
+def test_derived_answers_read_less():
+    """Near copies: the same components with and without derived answers, from fewer entries of lists."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = np.arange(400)
+    sets = []
+    for i in range(120):
+        own = base.copy()
+        own[rng.integers(0, 400, 20 if i % 2 else 70)] = 1000 + 100 * i + np.arange(20 if i % 2 else 70)
+        sets.append(np.unique(own).astype(np.uint64))
+    n, read = np.array([len(s) for s in sets]), {}
+    count = ngram_join.Group._count
+    for derive in (False, True):
+        g = ngram_join.Group(n, sets, n - -(-3 * n // 4) + 1)
+        g._count = lambda t, g=g, derive=derive: read.__setitem__(derive, read.get(derive, 0) + int((g.heads[t + 1] - g.heads[t]).sum())) or count(g, t)
+        lab = g.labels(derive)
+        exact = [[7 * len(np.intersect1d(a, b)) >= 3 * (len(a) + len(b)) for b in sets] for a in sets]
+        assert all(lab[i] == lab[j] for i in range(120) for j in range(120) if exact[i][j])
+        read[derive, "labels"] = sorted(np.bincount(lab, minlength=120).tolist())
+    assert read[False, "labels"] == read[True, "labels"] and read[True] < 0.7 * read[False]
+
+
+def test_many_classes_of_one_template_take_linear_work():
+    """Classes that share half their shingles and link with nothing are not compared with each other."""
+    import time
+
+    import numpy as np
+
+    took = []
+    for m in (1000, 4000):
+        sets = [np.concatenate([1_000_000 + 50 * i + np.arange(50), np.arange(50)]).astype(np.uint64) for i in range(m)]
+        g = ngram_join.Group(np.full(m, 100), sets, np.full(m, 26))
+        began = time.process_time()
+        assert len(set(g.labels().tolist())) == m
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * max(took[0], 0.05)
+
+
 def test_contaminated(spark, corpus, monkeypatch):
     rng = random.Random(8)
     items = [words(rng, n) for n in (1, 2, 3, 4, 5, 6, 8, 20, 40, 60)]
@@ -121,13 +188,15 @@ def test_contaminated(spark, corpus, monkeypatch):
     bench = spark.createDataFrame(rows, "item_id long, text string")
     got = [tuple(r)[:4] for r in decontaminate.contaminated(frame(spark, docs), bench).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(decontaminate, "HELD_SHINGLES", 1)
     again = [tuple(r)[:4] for r in decontaminate.contaminated(frame(spark, docs), bench).collect()]
     assert sorted(again, key=str) == sorted(want, key=str)
     bad = {(k, i) for k, i, _, _ in want}
-    clean = decontaminate.clean(frame(spark, docs), bench)
-    assert clean.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert sorted((r.doc_id, r.text) for r in clean.collect() if r.doc_id is not None and r.text) == sorted((k, t) for k, t in docs if k is not None and t and not any(k == b for b, _ in bad))
+    for held in (1, 1 << 20):
+        monkeypatch.setattr(decontaminate, "HELD_SHINGLES", held)
+        clean = decontaminate.clean(frame(spark, docs).withColumnsRenamed({"lang": "t1", "source": "row"}), bench)
+        assert clean.columns == ["doc_id", "text", "t1", "row", "n_chars"]
+        assert sorted((r.doc_id, r.text) for r in clean.collect() if r.doc_id is not None and r.text) == sorted((k, t) for k, t in docs if k is not None and t and not any(k == b for b, _ in bad))
     assert decontaminate.contaminated(frame(spark, []), bench).count() == 0
     assert decontaminate.contaminated(frame(spark, docs), bench.limit(0)).count() == 0
 
@@ -203,3 +272,63 @@ def test_spans_have_one_source(spark):
     assert got[2][1] == got[1][2] and abs(got[1][2] - len(a)) <= 96 and got[2][2] == len(a) + 1 + len(x)
     cut = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs, spans).collect()}
     assert cut[1] == f"{a} {b}" and cut[2].endswith(x) and cut[3] == ""
+
+
+def test_words_of_spans_do_not_depend_on_batches(spark):
+    """Two equal rows of 120 words: the same spans from one partition and from many, whatever text stands before."""
+    rng = random.Random(31)
+    same = " ".join(words(rng, 120))
+    rows = [(1, same), (2, same), (3, same + " "), (2, same), (2, " ".join(words(rng, 20)))]
+    seen = set()
+    for parts in (1, 2, 5):
+        got = substring_dedup.repeated_spans(frame(spark, rows).repartition(parts)).collect()
+        seen.add(tuple(sorted((r.doc_id, r.span_start, r.n_words, r.first_id, r.kept) for r in got)))
+        assert {r.n_words for r in got if r.doc_id < 3} == {120}
+    assert len(seen) == 1
+
+
+def test_spans_against_counting_of_chunks(spark):
+    """Every span of random texts, from a plain count of the chunks."""
+    import numpy as np
+
+    rng = random.Random(17)
+    pool = [" ".join(words(rng, 45)) for _ in range(6)]
+    rows = [(i, " ".join(x for _ in range(5) for x in (rng.choice(pool), " ".join(words(rng, 25)))) + rng.choice(["", "\n", " é"])) for i in range(30)]
+    cut, seen = {}, {}
+    for k, t in rows:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        ends, _ = gear.boundaries(raw, np.array([0, len(raw)]), gear.COARSE)
+        cut[k] = [t.encode()[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        for c in cut[k]:
+            seen.setdefault(c, []).append(k)
+    want = set()
+    for k, parts in cut.items():
+        at, run = 0, []
+        for c in [*parts, None]:
+            if c is not None and len(set(seen[c])) > 1:
+                run.append((at, c, min(seen[c])))
+            elif run:
+                if sum(len(re.findall(rb"(?:^|(?<=[ \t-\r]))[^ \t-\r]", text_at)) for text_at in [b"".join(x for _, x, _ in run)]) >= 31:
+                    for i, (a, x, first) in enumerate(run):
+                        if i == 0 or run[i - 1][2] != first:
+                            want.add((k, a, first))
+                run = []
+            at += len((c or b"").decode("utf-8", "ignore")) if c and not any(b >= 128 for b in c) else len(c or b"")
+    got = {(r.doc_id, r.span_start, r.first_id) for r in substring_dedup.repeated_spans(frame(spark, rows)).collect()}
+    assert want <= got and len(got - want) <= 0.1 * len(got)
+
+
+def test_without_repeats_keeps_columns(spark):
+    rng = random.Random(19)
+    p = " ".join(words(rng, 80))
+    docs = spark.createDataFrame([(1, p, "a", "b", 1), (2, p, "c", "d", 2), (2, "short", "e", "f", 3), (None, p, None, None, 4)], "doc_id long, text string, _sk string, row string, seq int")
+    out = substring_dedup.without_repeats(docs, substring_dedup.repeated_spans(docs))
+    assert out.columns == docs.columns
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted([(1, p, "a", "b", 1), (2, "", "c", "d", 2), (2, "short", "e", "f", 3), (None, p, None, None, 4)], key=str)
+
+
+def test_fingerprints_of_very_long_texts(spark):
+    rng = random.Random(23)
+    long = " ".join(words(rng, 60_000))
+    got = {r.doc_id: r for r in fingerprints.successions(frame(spark, [(1, long), (2, long + " x"), (3, "a")])).collect()}
+    assert got[2].near_next > 0.999 and 0.4 < got[1].near_edited and got[3].n_chars == 1
