@@ -41,7 +41,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secrets.scan(docs, repo=F.col("doc_id"), owner=F.col("source"))
-    return found.withColumn("base_sha256", F.sha2("base_spans", 256)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_shared", "n_copied", "n_repos")
+    return found.withColumn("base_sha256", F.sha2("base_spans", 256)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "verdicts", "n_live", "n_shared", "n_copied", "n_repos")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
