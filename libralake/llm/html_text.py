@@ -3,14 +3,15 @@
 The standard library's parser streams events; each block of a page is a line with its
 text and the number of tags in and before it.  Text-to-tag ratios are smoothed with a
 Gaussian and split into two clusters by threshold; the container with most text in the
-upper cluster is the content region; all sibling articles are.  Within the region every
-block counts, short ones too; outside it containers that are mostly dense count whole,
+upper cluster is the content region; all sibling articles are.  Within a marked region (article, main) every
+block counts, short ones too; within one that density found, all but blocks of links
+in the lower cluster.  Outside the region containers that are mostly dense count whole,
 and of the rest the dense blocks, the main heading and headings of what is kept.
 Subtrees that are no article text (menus, headers, footers, asides, adverts, notices,
 forms, scripts, styles, reader comments) are left out.  Of these, asides, forms, headers
 and what is known by a role or name are so only where the rest of the page bears it out:
 one that holds the main element or nearly all the text counts, and one of an ambiguous
-name does where it is dense.
+name does where it is dense.  Work and memory are in proportion to the page, however deep or broken it is.
 
 Character references are decoded, white space inside a block is one space, blocks are
 joined by a line feed.  Null or empty html gives the empty text; broken markup gives
@@ -75,6 +76,7 @@ class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, bool, bool]] = []  # tag, begins an unread subtree, has a container of its own, is suspect
+        self.places: dict[str, list[int]] = {}  # where in ``open`` each tag stands
         self.boxes: list[int] = [0]
         self.n_boxes, self.kinds, self.parents = 1, ["html"], [-1]
         self.unread = 0
@@ -97,6 +99,7 @@ class _Page(HTMLParser):
     def _pop(self, i: int) -> None:
         while len(self.open) > i:
             tag, unread, box, suspect = self.open.pop()
+            self.places[tag].pop()
             self.unread -= unread
             self.links -= tag == "a"
             self.regions -= tag in REGION
@@ -107,13 +110,14 @@ class _Page(HTMLParser):
             if suspect:
                 self.suspect = self.around[self.suspect]
 
+    def _last(self, tags: tuple[str, ...]) -> int:
+        """Place of the innermost open element of some tags, -1 where none is open."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=-1)
+
     def _shut(self, names: tuple[str, ...], until: tuple[str, ...]) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in names:
-                self._pop(i)
-                return
-            if self.open[i][0] in until:
-                return
+        at = self._last(names)
+        if at >= 0 and at > self._last(until):
+            self._pop(at)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -131,7 +135,7 @@ class _Page(HTMLParser):
             return
         unread = tag in UNREAD
         sure = STRONG if tag in ("aside", "form") or (tag == "header" and not self.regions) else 0
-        if not unread and attrs and tag not in ("html", "body", "article", "main", "p", "a", "b", "i", "em", "strong", "h1", "h2", "h3"):
+        if not unread and attrs and tag not in ("html", "body", "article", "main", "b", "i", "em", "strong"):
             a = dict(attrs)
             name = f"{a.get('class') or ''} {a.get('id') or ''}"
             unread = "hidden" in a
@@ -141,7 +145,7 @@ class _Page(HTMLParser):
                 sure = max(sure, suspicion(name, self.regions > 0))
         if tag == "main":
             held = self.suspect
-            while held >= 0:
+            while held >= 0 and not self.main[held]:
                 self.main[held] = True
                 held = self.around[held]
         if sure:
@@ -159,6 +163,7 @@ class _Page(HTMLParser):
             self.parents.append(self.boxes[-1])
             self.boxes.append(self.n_boxes)
             self.n_boxes += 1
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, unread, box, sure > 0))
         self.unread += unread
 
@@ -166,10 +171,8 @@ class _Page(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.flush()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self._pop(i)
-                return
+        if (at := self._last((tag,))) >= 0:
+            self._pop(at)
 
     def handle_data(self, data: str) -> None:
         if self.unread and self.open[-1][0] == "head" and not data.isspace():
@@ -202,35 +205,34 @@ def density(blocks: list[tuple[str, int, int, int, str]], enough: float = math.i
     return s >= least, ((s >= least) & (ratio >= least) | (ratio >= enough)) & np.array([2 * b[3] < len(b[0]) for b in blocks])
 
 
-def regions(blocks: list[tuple[str, int, int, int, str]], kinds: list[str], parents: list[int], upper: np.ndarray) -> set[int]:
-    """The containers whose blocks are the content.
+def regions(blocks: list[tuple[str, int, int, int, str]], kinds: list[str], parents: list[int], upper: np.ndarray) -> tuple[set[int], bool]:
+    """The containers whose blocks are the content, and whether the page marks them.
 
     Lines of the upper cluster vote with their length.  All outermost article and main containers with
     text are content; where a page has none, the smallest container that holds nine tenths of the votes.
     """
-    votes: dict[int, int] = {}
-    marked = set()
+    votes, outer, marked = [0] * len(kinds), [], set()
+    for b, kind in enumerate(kinds):
+        above = outer[parents[b]] if parents[b] >= 0 else -1
+        outer.append(above if above >= 0 else b if kind in REGION else -1)
     for (text, _, box, _, _), up in zip(blocks, upper):
-        seen, outer = box, -1
-        while seen >= 0:
-            if up:
-                votes[seen] = votes.get(seen, 0) + len(text)
-            if kinds[seen] in REGION:
-                outer = seen
-            seen = parents[seen]
-        if outer >= 0:
-            marked.add(outer)
-    total = votes.get(0, 0)
-    return marked or {max((b for b, v in votes.items() if v >= 0.9 * total), default=0)}
+        votes[box] += len(text) * int(up)
+        if outer[box] >= 0:
+            marked.add(outer[box])
+    if marked:
+        return marked, True
+    for b in range(len(kinds) - 1, 0, -1):
+        votes[parents[b]] += votes[b]
+    return {max((b for b, v in enumerate(votes) if v >= 0.9 * votes[0]), default=0)}, False
 
 
 def content(blocks: list[tuple[str, int, int, int, str]], kinds: list[str], parents: list[int]) -> list[bool]:
-    """Which blocks are article text: all of the regions; outside, whole containers that are mostly dense, else dense blocks and headings."""
+    """Which blocks are article text: those of the regions; outside, whole containers that are mostly dense, else dense blocks and headings."""
     upper, dense = density(blocks, PROSE)
-    inside = regions(blocks, kinds, parents, upper)
+    inside, marked = regions(blocks, kinds, parents, upper)
     around = set()
     for b in inside:
-        while (b := parents[b]) >= 0:
+        while (b := parents[b]) >= 0 and b not in around:
             around.add(b)
     # The outermost container of each block that is no region and has none inside; -1 within a region, -2 for a block of its own.
     apart = []
@@ -244,9 +246,12 @@ def content(blocks: list[tuple[str, int, int, int, str]], kinds: list[str], pare
         x[1] += len(text) * int(d)
     out = [False] * len(blocks)
     for i in range(len(blocks) - 1, -1, -1):
-        _, _, box, _, heading = blocks[i]
+        text, _, box, links, heading = blocks[i]
         at = apart[box]
-        out[i] = at == -1 or bool(dense[i]) or heading == "h1" or (at >= 0 and 2 * held[at][1] >= held[at][0]) or (heading != "" and i + 1 < len(blocks) and out[i + 1] and apart[blocks[i + 1][2]] == at)
+        if at == -1:
+            out[i] = marked or bool(upper[i]) or 2 * links < len(text)
+        else:
+            out[i] = bool(dense[i]) or heading == "h1" or (at >= 0 and 2 * held[at][1] >= held[at][0]) or (heading != "" and i + 1 < len(blocks) and out[i + 1] and apart[blocks[i + 1][2]] == at)
     return out
 
 
@@ -286,43 +291,46 @@ def judged(page: _Page) -> list[bool]:
             whole[page.around[s]] += whole[s]
             links[page.around[s]] += links[s]
 
-    def dead() -> list[bool]:
+    def dead(gone: list[bool]) -> list[bool]:
         out: list[bool] = []
         for s in range(n):
             out.append(gone[s] or (page.around[s] >= 0 and out[page.around[s]]))
         return out
 
-    # A page is not without text: the outermost subtree that has nearly all of it is no boilerplate.
-    while True:
-        d = dead()
-        live = [-1, *(s for s in range(n) if not d[s])]
-        rest = sum(own[s] for s in live)
-        if rest >= 0.1 * total or any(marked[s] for s in live):
-            break
-        free = [s for s in range(n) if gone[s] and (page.around[s] < 0 or not d[page.around[s]]) and 2 * (whole[s] - links[s]) >= total and (page.sure[s] != REMARKS or not rest)]
-        if not free:
-            break
-        gone[max(free, key=lambda s: whole[s])] = False
-    weak = [s for s in range(n) if gone[s] and page.sure[s] == WEAK]
-    if weak:
+    # A page is not without text: from the outside in, subtrees that have nearly all of it are no boilerplate until some is left.
+    by: list[int] = []  # the innermost subtree that takes each one out, n for none
+    for s in range(n):
+        by.append(s if gone[s] else by[page.around[s]] if page.around[s] >= 0 else n)
+    back, shown = [0] * (n + 1), [False] * (n + 1)
+    for s, k in enumerate([*by, n]):
+        back[k] += own[s]
+        shown[k] |= marked[s]
+    rest, seen, live = back[n], shown[n], [False] * n
+    for s in range(n):
+        outer = page.around[s] < 0 or live[page.around[s]]
+        if gone[s] and outer and rest < 0.1 * total and not seen and 2 * (whole[s] - links[s]) >= total and (page.sure[s] != REMARKS or not rest):
+            gone[s] = False
+            rest += back[s]
+            seen |= shown[s]
+        live[s] = outer and not gone[s]
+    weak = [gone[s] and page.sure[s] == WEAK for s in range(n)]
+    if any(weak):
         # Names that articles have too: density decides, over all that is not surely out.
-        mine = [gone[s] and page.sure[s] != WEAK for s in range(n)]
-        for s in range(n):
-            mine[s] = mine[s] or (page.around[s] >= 0 and mine[page.around[s]])
-        kept = [(p, box) for p, _, box, _ in page.blocks if any(not x[0].isspace() and (x[1] < 0 or not mine[x[1]]) for x in p)]
+        mine = dead([g and not w for g, w in zip(gone, weak)])
+        kept = [p for p, *_ in page.blocks if any(not x[0].isspace() and (x[1] < 0 or not mine[x[1]]) for x in p)]
         blocks = _left(page, mine)
         _, dense = density(blocks, PARAGRAPH) if blocks else (None, np.zeros(0, bool))
-        sums = {s: [0, 0] for s in weak}
-        for (pieces, _), (text, *_), solid in zip(kept, blocks, dense):
+        size, solid = [0] * (n + 1), [0] * (n + 1)
+        for pieces, (text, *_), d in zip(kept, blocks, dense):
             s = max(x[1] for x in pieces)
-            while s >= 0:
-                if s in sums:
-                    sums[s][0] += len(text)
-                    sums[s][1] += len(text) * int(solid)
-                s = page.around[s]
-        for s, (size, solid) in sums.items():
-            gone[s] = 2 * solid < size or not size
-    return dead()
+            size[s] += len(text)
+            solid[s] += len(text) * int(d)
+        for s in range(n - 1, -1, -1):
+            size[page.around[s]] += size[s]
+            solid[page.around[s]] += solid[s]
+            if weak[s]:
+                gone[s] = 2 * solid[s] < size[s] or not size[s]
+    return dead(gone)
 
 
 def main_text(html: str | None) -> str:
