@@ -17,6 +17,8 @@ columns are not looked at.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,14 +53,62 @@ SENTENCES: dict[str, str] = {
     "cc-by-nc-notice": "licensed under cc by nc 4 0",
     "cc-by-nd-notice": "licensed under cc by nd 4 0",
     "cc-by-text": "this work is licensed under a creative commons attribution 4 0 international license",
-    "mpl-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "spdx-mit": "spdx license identifier mit",
-    "spdx-apache": "spdx license identifier apache 2 0",
-    "spdx-gpl3": "spdx license identifier gpl 3 0 or later",
-    "spdx-gpl3-only": "spdx license identifier gpl 3 0 only",
-    "spdx-bsd": "spdx license identifier bsd 3 clause",
+    "mpl-notice": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl-obtain": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "mpl-obtain-2": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "mpl-title": "mozilla public license version 2 0",
+    "mpl11-notice": "the contents of this file are subject to the mozilla public license version 1 1 the license you may not use this file except in compliance with the license",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "0bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "isc-warranty": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "isc-title": "isc license",
+    "bsd-warranty": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "bsd-advertising": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "bsd3-title": "bsd 3 clause license",
+    "bsd2-title": "bsd 2 clause license",
+    "unlicense-free": "this is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "cc0-waiver": "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "cc0-title": "cc0 1 0 universal",
+    "gpl2-only-redistribute": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "gpl3-title": "gnu general public license version 3 29 june 2007",
+    "gpl2-title": "gnu general public license version 2 june 1991",
+    "lgpl21-redistribute": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3-redistribute": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl3-redistribute-2": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl-see": "see the gnu lesser general public license for more details",
+    "lgpl3-title": "gnu lesser general public license version 3 29 june 2007",
+    "lgpl21-title": "gnu lesser general public license version 2 1 february 1999",
+    "gpl-lgpl3-notice": "licensed under the gnu lesser general public license version 3",
+    "gpl-lgpl21-notice": "licensed under the gnu lesser general public license version 2 1",
+    "agpl3-redistribute": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-see": "see the gnu affero general public license for more details",
+    "agpl3-title": "gnu affero general public license version 3 19 november 2007",
+    "gpl-agpl3-notice": "licensed under the gnu affero general public license version 3",
+    "epl2-notice": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+    "epl1-notice": "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0",
+    "zlib-warranty": "this software is provided as is without any express or implied warranty",
+    "zlib-liable": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "bsl-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "bsl-title": "boost software license version 1 0 august 17th 2003",
+    "bsl-notice": "distributed under the boost software license version 1 0",
+    "artistic-title": "the artistic license 2 0",
+    "cc-by-sa-text": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "cc-by-nc-text": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "cc-by-nd-text": "this work is licensed under a creative commons attribution noderivatives 4 0 international license",
+    "cc-by-nc-sa-text": "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license",
+    "cc-by-nc-nd-text": "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license",
+    "cc-by-3-text": "this work is licensed under a creative commons attribution 3 0 unported license",
     "reserved": "all rights reserved copyright",
 }
+#: Licences that a tag may name.
+TAGS = (
+    "MIT Apache-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later "
+    "BSD-2-Clause BSD-3-Clause BSD-4-Clause ISC 0BSD MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0 Zlib BSL-1.0 Unlicense CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 Artistic-2.0"
+).split()
+SENTENCES |= {f"spdx-{t.lower()}": "spdx license identifier " + " ".join(re.findall("[a-z0-9]+", t.lower())) for t in TAGS}
 #: In order: licence, the identifiers that follow one another.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit-grant", "mit-keep", "mit-warranty")),
@@ -67,38 +117,87 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Apache-2.0", ("apache-grant", "apache-warranty")),
     ("GPL-3.0-or-later", ("gpl-redistribute", "gpl-hope", "gpl-see")),
     ("GPL-2.0-or-later", ("gpl2-redistribute", "gpl-hope", "gpl-see")),
+    ("GPL-2.0-only", ("gpl2-only-redistribute", "gpl-hope", "gpl-see")),
+    ("AGPL-3.0-or-later", ("agpl3-redistribute", "gpl-hope", "agpl-see")),
+    ("LGPL-2.1-or-later", ("lgpl21-redistribute", "lgpl-hope", "lgpl-see")),
+    ("LGPL-3.0-or-later", ("lgpl3-redistribute", "lgpl-hope", "lgpl-see")),
+    ("LGPL-3.0-or-later", ("lgpl3-redistribute-2", "gpl-hope", "lgpl-see")),
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-endorse")),
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("ISC", ("isc-title", "isc-grant", "isc-warranty")),
+    ("ISC", ("isc-grant", "isc-warranty")),
+    ("0BSD", ("0bsd-grant", "isc-warranty")),
+    ("Zlib", ("zlib-warranty", "zlib-liable", "zlib-grant")),
+    ("BSL-1.0", ("bsl-title", "bsl-grant")),
+    ("Unlicense", ("unlicense-free", "unlicense-anyone")),
+    ("MPL-2.0", ("mpl-notice", "mpl-obtain")),
+    ("MPL-2.0", ("mpl-notice", "mpl-obtain-2")),
     ("MIT", ("mit-notice",)),
     ("MIT", ("mit-notice-2",)),
     ("MIT", ("mit-title",)),
     ("MIT", ("mit-title-2",)),
-    ("MIT", ("spdx-mit",)),
     ("Apache-2.0", ("apache-notice",)),
     ("Apache-2.0", ("apache-title",)),
     ("Apache-2.0", ("apache-grant",)),
-    ("Apache-2.0", ("spdx-apache",)),
     ("GPL-3.0-only", ("gpl3-notice",)),
     ("GPL-3.0-only", ("gpl3-notice-2",)),
-    ("GPL-3.0-only", ("spdx-gpl3-only",)),
     ("GPL-3.0-or-later", ("gpl-redistribute",)),
-    ("GPL-3.0-or-later", ("spdx-gpl3",)),
     ("GPL-2.0-only", ("gpl2-notice",)),
     ("GPL-2.0-or-later", ("gpl2-redistribute",)),
-    ("BSD-3-Clause", ("spdx-bsd",)),
     ("CC-BY-4.0", ("cc-by-notice",)),
     ("CC-BY-4.0", ("cc-by-text",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-notice",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-notice",)),
     ("CC-BY-ND-4.0", ("cc-by-nd-notice",)),
     ("MPL-2.0", ("mpl-notice",)),
+    ("MPL-2.0", ("mpl-title",)),
+    ("MPL-1.1", ("mpl11-notice",)),
+    ("ISC", ("isc-grant",)),
+    ("ISC", ("isc-title",)),
+    ("0BSD", ("0bsd-grant",)),
+    ("BSD-3-Clause", ("bsd3-title",)),
+    ("BSD-2-Clause", ("bsd2-title",)),
+    ("Unlicense", ("unlicense-free",)),
+    ("CC0-1.0", ("cc0-waiver",)),
+    ("CC0-1.0", ("cc0-title",)),
+    ("GPL-2.0-only", ("gpl2-only-redistribute",)),
+    ("GPL-3.0-only", ("gpl3-title",)),
+    ("GPL-2.0-only", ("gpl2-title",)),
+    ("LGPL-2.1-or-later", ("lgpl21-redistribute",)),
+    ("LGPL-3.0-or-later", ("lgpl3-redistribute",)),
+    ("LGPL-3.0-or-later", ("lgpl3-redistribute-2",)),
+    ("LGPL-3.0-only", ("lgpl3-title",)),
+    ("LGPL-2.1-only", ("lgpl21-title",)),
+    ("LGPL-3.0-only", ("gpl-lgpl3-notice",)),
+    ("LGPL-2.1-only", ("gpl-lgpl21-notice",)),
+    ("AGPL-3.0-or-later", ("agpl3-redistribute",)),
+    ("AGPL-3.0-only", ("agpl3-title",)),
+    ("AGPL-3.0-only", ("gpl-agpl3-notice",)),
+    ("EPL-2.0", ("epl2-notice",)),
+    ("EPL-1.0", ("epl1-notice",)),
+    ("Zlib", ("zlib-grant",)),
+    ("BSL-1.0", ("bsl-grant",)),
+    ("BSL-1.0", ("bsl-title",)),
+    ("BSL-1.0", ("bsl-notice",)),
+    ("Artistic-2.0", ("artistic-title",)),
+    ("CC-BY-SA-4.0", ("cc-by-sa-text",)),
+    ("CC-BY-NC-4.0", ("cc-by-nc-text",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-text",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-text",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-text",)),
+    ("CC-BY-3.0", ("cc-by-3-text",)),
+    *((t, (f"spdx-{t.lower()}",)) for t in TAGS),
 )
 #: Every known sentence has one of these words.
-HINTS = ("licen", "copyright", "permission", "redistribut", "warrant")
+HINTS = ("licen", "copyright", "permission", "redistribut", "warrant", "public domain", "anyone is free to copy", "advertising materials", "held liable", "cc0", "mpl was not")
 
 
 #: Sentences that stand for a licence only where they are a whole line or sentence.
-WHOLE = frozenset(k for k in SENTENCES if k.startswith(("mit-title", "spdx-", "reserved")))
+WHOLE = frozenset(k for k in SENTENCES if k.startswith(("mit-title", "isc-title", "bsd3-title", "bsd2-title", "mpl-title", "artistic-title", "cc0-title", "spdx-", "reserved")))
 
 
 def _pattern() -> str:
