@@ -7,9 +7,9 @@ are not looked at.
 No piece holds a word mark after another character, so a text parts before every
 word mark (and at each character outside all pieces, such as a line feed) into
 segments that are encoded independently.  The table of a segment holds the count
-of each of its prefixes; segments are remembered per worker in a bounded cache.
-Counts of earlier segments plus the prefix count inside the segment where a budget
-runs out answer truncation questions without encoding the text again.
+of each of its prefixes; totals of segments are remembered per task in a cache bounded in bytes.
+``prefix_table`` stores the count of every prefix of a text; ``fitting`` and ``counted`` answer
+truncation and budget questions from it with SQL functions, without the text.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ._arrow import filled, slices
 from .bpe_dp import PrefixBpe, Remembered
@@ -90,6 +91,16 @@ class PieceCounter(Remembered):
     def count(self, text: str) -> int:
         return sum(map(self.__getitem__, self.segments(text)))
 
+    def every_prefix(self, text: str) -> list[int]:
+        """Tokens of the first 0, 1, 2, ... code points of the text."""
+        out, before = [0], 0
+        for i, seg in enumerate(self.segments(text)):
+            inner = self.prefix_counts(seg)
+            # The first mark stands for no character of the text.
+            out += [before + c for c in inner[1 if i else 2 :]]
+            before += inner[-1]
+        return out
+
     def fitting_prefix(self, text: str, budget: int) -> int:
         """Code points of the longest prefix of the text that has at most ``budget`` tokens."""
         used = at = 0
@@ -120,19 +131,51 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, key: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = held(path)
-        for batch in slices(batches, text):
-            texts = filled(batch.column(text)).to_pylist()
-            n = [counter.count(t) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(key),
-                    pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
-                    pa.array(n, pa.int64()),
-                    pa.array([c > limit for c in n]),
-                    pa.array([counter.fitting_prefix(t, limit) if c > limit else len(t) for t, c in zip(texts, n)], pa.int64()),
-                ],
-                schema=schema,
-            )
+        try:
+            for batch in slices(batches, text):
+                yield rows(counter, batch)
+        finally:
+            counter.forget()
+
+    def rows(counter: PieceCounter, batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = filled(batch.column(text)).to_pylist()
+        n = [counter.count(t) for t in texts]
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column(key),
+                pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
+                pa.array(n, pa.int64()),
+                pa.array([c > limit for c in n]),
+                pa.array([counter.fitting_prefix(t, limit) if c > limit else len(t) for t, c in zip(texts, n)], pa.int64()),
+            ],
+            schema=schema,
+        )
 
     src = docs.select(docs[key].cast("long").alias(key), docs[text].cast("string").alias(text))
     return src.mapInArrow(run, f"{key} long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+
+
+def prefix_table(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, counts: entry i has the tokens of the text's first i code points (null and empty texts: one entry, 0)."""
+    schema = pa.schema([(key, pa.int64()), ("counts", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = held(path)
+        try:
+            for batch in slices(batches, text, 1 << 20):
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(map(counter.every_prefix, filled(batch.column(text)).to_pylist()), schema.field(1).type)], schema=schema)
+        finally:
+            counter.forget()
+
+    src = docs.select(docs[key].cast("long").alias(key), docs[text].cast("string").alias(text))
+    return src.mapInArrow(run, f"{key} long, counts array<int>")
+
+
+def counted(n_chars, counts: str = "counts") -> Column:
+    """Tokens of the first ``n_chars`` code points (all of them where the text is shorter)."""
+    return F.element_at(counts, F.least(F.lit(n_chars), F.size(counts) - 1) + 1)
+
+
+def fitting(budget, counts: str = "counts") -> Column:
+    """Code points of the longest prefix that has at most ``budget`` tokens."""
+    return F.array_max(F.transform(counts, lambda c, i: F.when(c <= F.lit(budget), i)))

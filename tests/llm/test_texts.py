@@ -63,6 +63,41 @@ def test_token_counts(spark, texts):
             assert r.fit_chars == max(i for i in range(len(t)) if len(lib.encode(t[:i])) <= 20)
 
 
+def test_prefix_table(spark, texts):
+    import sentencepiece
+    from pyspark.sql import functions as F
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    rows = [(i, t) for i, t in enumerate(texts) if len(t) < 70][:200] + [(-1, None), (-2, "")]
+    table = token_counts.prefix_table(frame(spark, rows), PIECE)
+    got = {r.doc_id: r for r in table.select("doc_id", "counts", token_counts.counted(7).alias("seven"), token_counts.fitting(5).alias("fit")).collect()}
+    for k, t in rows:
+        t = t or ""
+        want = [len(lib.encode(t[:i])) for i in range(len(t) + 1)]
+        assert got[k].counts == want, repr(t)
+        assert got[k].seven == want[min(7, len(t))] and got[k].fit == max(i for i, c in enumerate(want) if c <= 5)
+    again = token_counts.token_counts(frame(spark, [(1, "a b"), (1, "a b"), (2, "x")]), PIECE).collect()
+    assert sorted(r.n_tokens for r in again) == sorted(len(lib.encode(t)) for t in ("a b", "a b", "x"))
+    assert token_counts.token_counts(frame(spark, []), PIECE).count() == 0
+
+
+def test_remembered_stays_in_its_bytes():
+    from libralake.llm.bpe_dp import Remembered
+
+    class Doubled(Remembered):
+        most_bytes = 40_000
+
+        def compute(self, key):
+            return key + key
+
+    d = Doubled()
+    for i in range(5000):
+        assert d[f"k{i}"] == f"k{i}k{i}"
+    assert len(d) + len(d.older) < 250 and d["k4999"] == "k4999k4999"
+    d.forget()
+    assert not d and not d.older
+
+
 def test_prefix_counts(texts):
     import sentencepiece
 
@@ -83,6 +118,19 @@ def base_spans(t):
     return sorted(out + [(m.start(), 2, m.end(), m[0]) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
 
 
+def all_candidates(t):
+    """Candidates of all kinds, by plain reading of the definition."""
+    out = [(a, secrets.BASE[k], b, v) for a, k, b, v in base_spans(t)]
+    shapes = {"jwt": r"eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}", "github": r"gh[pousr]_[A-Za-z0-9]{36,}", "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}", "google": r"AIza[\w-]{35}"}
+    for kind, shape in shapes.items():
+        out += [(m.start(), kind, m.end(), m[0]) for m in re.finditer(shape, t, re.A)]
+    taken = {i for a, _, b, _ in out for i in range(a, b)}
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", t):
+        if 16 <= len(m[0]) <= 256 and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not taken & set(range(*m.span())):
+            out.append((m.start(), "value", m.end(), m[0]))
+    return sorted(out, key=lambda x: (x[0], secrets.KINDS.index(x[1])))
+
+
 def test_secrets(spark):
     rng = random.Random(9)
     bits = ["token", "TOKEN", "apikey", "api_key", "Secret", "paſſword", "passwd", "=", ":", " ", "  ", '"', "'", "é", "AKIA", "abcdef0123456789", "ABCDEFGH12345678", "x_y.z", "=", ":", "\n", "0" * 12, "short"]
@@ -90,29 +138,44 @@ def test_secrets(spark):
     hot = "é token = \"deadbeefdeadbeefdeadbeef00\" 😀"
     rows += [(1000 + i, hot) for i in range(30)] + [(2000, "secret: onlymine77"), (2000, "secret: onlymine77"), (2001, None), (2002, ""), (None, "password=abcdef"), (2003, "ghp_" + "a" * 36)]
     rows += [(3000 + i, "ghp_" + "b" * 36) for i in range(4)]
+    rows += [(4000, "xoxb-0123456789a eyJabcdefgh1.eyJabcdefgh2.abcdefgh3 AIza" + "k" * 35), (4001, "secret = knownvalue1234567."), (4008, "see knownvalue1234567 there"), (4002, "bare unnamed12345678901 only"), (4003, "q7Xb9Kd2Lm5Nc8Rt1VwZ here")]
+    rows += [(4010 + i, "copied everywhere t5Fg7Hj9Kl1Zx3Cv5Bn7 it is") for i in range(12)]
     docs = frame(spark, rows, source=lambda k: f"s{(k or 0) % 7}")
     from pyspark.sql import functions as F
 
     got = secrets.scan(docs, F.col("doc_id"), F.col("source")).collect()
     assert len(got) == len(rows)
-    owners = {}
-    for k, t in rows:
-        for *_, v in secrets.candidates(t or ""):
-            owners.setdefault(v, set()).add(f"s{(k or 0) % 7}")
     texts = {}
     for k, t in rows:
         texts[k] = t or ""
+    every = {k: all_candidates(t) for k, t in texts.items()}
+    where, named = {}, set()
+    for k, t in rows:
+        for _, kind, _, v in every[k]:
+            where.setdefault(v.rstrip("."), set()).add((f"s{(k or 0) % 7}", k))
+            if kind != "value":
+                named.add(v.rstrip("."))
+    verdict = {v: "copied" if len({o for o, _ in w}) >= 3 or len(w) >= 10 else "live" if len({o for o, _ in w}) == 1 else "shared" for v, w in where.items()}
     for r in got:
         want = base_spans(texts[r.doc_id])
         joined = ",".join(f"{secrets.BASE[k]}:{a}:{b}" for a, k, b, _ in want)
         assert r.base_spans == joined and [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _, _ in want) for i in range(3)]
-        every = secrets.candidates(texts[r.doc_id])
-        assert r.spans == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b, v in every if k < 3 or len(owners[v]) < 3)
-        assert r.n_live == sum(len(owners[v]) == 1 for *_, v in every) and r.n_copied == sum(len(owners[v]) >= 3 for *_, v in every)
+        spans = []
+        for a, kind, b, v in every[r.doc_id]:
+            own = verdict[v.rstrip(".")]
+            if kind in secrets.BASE or (kind != "value" and own != "copied") or (kind == "value" and own == "live" and (v in named or secrets.random_looking(v))):
+                spans.append((f"{kind}:{a}:{b}", own))
+        assert r.spans == ",".join(x for x, _ in spans) and r.verdicts == ",".join(v for _, v in spans)
     masked = {r.doc_id: r for r in secrets.masked(docs, F.col("doc_id"), F.col("source")).collect()}
     assert masked[1000].text == "é [example]\" 😀" and masked[2000].text == "[secret]" and masked[2003].text == "[secret]"
     assert masked[2001].text is None and masked[2002].text == "" and masked[None].text == "[secret]"
+    spans = {r.doc_id: r.spans for r in got}
+    assert spans[4008] == "value:4:21" and spans[4002] == "" and spans[4003] == "value:0:20" and spans[4010] == ""
+    assert masked[4008].text == "see [secret] there" and masked[4010].text.startswith("copied everywhere t5Fg")
     assert secrets.masked(docs, F.col("doc_id"), F.col("source")).count() == len(rows)
+    odd = docs.withColumnsRenamed({"lang": "_at", "n_chars": "at", "source": "row"}).withColumn("found", F.lit(1))
+    out = secrets.masked(odd, F.col("doc_id"), F.col("row"))
+    assert out.columns == odd.columns and sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted((r.doc_id or 0, r.text or "") for r in secrets.masked(docs, F.col("doc_id"), F.col("source")).collect())
     assert secrets.scan(frame(spark, []), F.col("doc_id"), F.col("source")).count() == 0
 
 
@@ -218,3 +281,79 @@ def test_licenses_of_wrapped_texts(spark):
     assert all(got[i].sentence_ids == "mit-grant,mit-keep,mit-warranty" and (got[i].n_rules, got[i].licenses) == (1, "MIT") for i in range(4))
     assert all(got[i].sentence_ids == "apache-grant,apache-copy,apache-warranty,apache-see" and (got[i].n_rules, got[i].licenses) == (1, "Apache-2.0") for i in range(4, 8))
     assert [got[i].licenses for i in range(10, 16)] == ["MIT", "", "", "", "MIT", ""]
+
+
+def test_html_is_linear():
+    import time
+
+    def seconds(html):
+        began = time.process_time()
+        html_text.main_text(html)
+        return time.process_time() - began
+
+    for piece in ("<div>x", "</span>", "<div class='advert'>x", "<li><b>x", "<section id=notice><p>y"):
+        small, large = seconds(piece * 4000), seconds(piece * 16_000)
+        assert large < 9 * max(small, 0.05), piece
+
+
+def test_html_density_decides(monkeypatch):
+    """On a page that marks no article, the smoothed ratios choose the region and the lines."""
+    para = "<p>" + "Prose of an article that goes on for a while, as it does, without an end. " * 3 + "</p>"
+    links = "".join(f"<div><a href='/{i}'>A link that is long enough to be a line number {i}</a></div>" for i in range(12))
+    page = f"<html><body><div>{links}</div><div><h1>Title</h1>{para * 4}<p>Short.</p>{para * 4}</div><div>{links}</div></body></html>"
+    text = html_text.main_text(page)
+    assert text.startswith("Title") and "Short." in text and "A link" not in text and text.count("Prose of") == 24
+    import numpy as np
+
+    monkeypatch.setattr(html_text, "smooth", lambda ratio, sigma: np.ones(len(ratio)))
+    assert html_text.main_text(page) != text
+
+
+def test_html_names_on_any_tag():
+    para = "<p>" + "Long words of an article that goes on for a while, as articles do, without an end. " * 4 + "</p>"
+    text = html_text.main_text(f'<body><article>{para * 5}<p class="advert">Buy our shoes, which are the best shoes that you can buy today.</p><p class="cookie-notice">We use cookies to make this page better for all of its readers.</p><a class="share" href="/">Share</a><section id="related-work">{para}</section></article>')
+    assert text.count("Long words") == 24 and not any(x in text for x in ("shoes", "cookies", "Share"))
+    whole = html_text.main_text(f'<body><div id="related-work">{para * 3}</div>')
+    assert whole.count("Long words") == 12
+
+
+def test_html_against_planted_pages(spark):
+    """Random pages whose article blocks are known."""
+    import html as h
+
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abdeiorst&<é") for _ in range(rng.randint(2, 9)))
+    sentence = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [], {}
+    for i in range(60):
+        blocks = [sentence(rng.randint(3, 80)) for _ in range(rng.randint(3, 12))]
+        inner = "".join(f"<p>{h.escape(b)}</p>" if rng.random() < 0.8 else f"<blockquote>\n  {h.escape(b)}\t</blockquote>" for b in blocks)
+        page = PAGE % f"<article>{inner}</article>"
+        want[i] = "\n".join(" ".join(b.split()) for b in blocks)
+        rows.append((i, f"u{i}", page))
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "'z' as _html")
+    got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract(docs).collect()}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+    assert html_text.extract(docs.limit(0)).count() == 0
+
+
+def test_more_licenses(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"
+    lgpl = "# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU Lesser General Public\n# License as published by the Free Software Foundation; either\n# version 2.1 of the License, or (at your option) any later version."
+    cases = {
+        "BSD-2-Clause": bsd,
+        "MPL-2.0": mpl,
+        "LGPL-2.1-or-later": lgpl,
+        "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.",
+        "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+        "EPL-2.0": "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/",
+        "AGPL-3.0-only": "SPDX-License-Identifier: AGPL-3.0-only",
+        "CC0-1.0": "// SPDX-License-Identifier: CC0-1.0",
+        "Zlib": "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:",
+    }
+    rows = list(enumerate(cases.values())) + [(50, "an example of MIT"), (51, None), (51, None), (52, "x " * 200_000 + cases["ISC"])]
+    got = sorted((r.doc_id, r.licenses) for r in licenses.scan(frame(spark, rows)).collect())
+    assert got == sorted([*enumerate(cases), (50, ""), (51, ""), (51, ""), (52, "ISC")])
+    assert licenses.scan(frame(spark, [])).count() == 0
+    assert len({n for n, _ in licenses.RULES}) >= 25
