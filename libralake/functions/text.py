@@ -12,14 +12,39 @@ ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüýÿçñ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuyycn"
 WORD = r"[\p{L}\p{N}]+"
 
-#: Function words left out of queries; a parameter wherever it is used.
-STOPWORDS = ("the", "of", "and", "to", "in", "is", "that", "for", "it", "on", "with", "as", "de", "la", "el", "que", "en", "le", "les", "des", "et", "un", "une", "der", "die", "das", "und", "los", "las", "del", "se", "por")
+#: Function words left out of queries, of six languages; a parameter wherever it is used.
+STOPWORDS = tuple(
+    dict.fromkeys(
+        (
+            "the of and to in is that for it on with as by at from this be are was or not "
+            "de la el que en los las del se por con un una para como su al lo "
+            "le les des et une du au aux dans pour qui sur est pas ce "
+            "der die das und den dem ein eine ist mit von zu im auf nicht "
+            "il gli di che per della dei nel sono "
+            "ad cum ut quod sed"
+        ).split()
+    )
+)
 #: Function words that mark a language; a parameter of ``language``.
 MARKS = {
     "en": ("the", "of", "and", "to", "that", "is", "with", "for", "was", "this"),
     "fr": ("le", "les", "des", "et", "est", "une", "dans", "pour", "qui", "pas"),
     "de": ("der", "die", "das", "und", "ist", "nicht", "ein", "mit", "von", "zu"),
     "es": ("el", "los", "las", "del", "que", "por", "para", "con", "una", "se"),
+    "it": ("il", "gli", "della", "che", "di", "per", "non", "nel", "sono", "dei"),
+    "pt": ("os", "da", "dos", "uma", "não", "para", "com", "ao", "mais", "pelo"),
+    "ca": ("els", "amb", "dels", "una", "per", "és", "són", "aquest", "les", "seva"),
+    "la": ("et", "est", "non", "ad", "cum", "quod", "sed", "ut", "atque", "sunt"),
+}
+# Folded words and phrases that tell what a query asks for.
+INTENTS = {
+    "visual": (
+        "show, image, picture, photo, diagram, chart, graph, figure, illustration, look like, video, frame, scene, screenshot, "
+        "imagen, foto, diagrama, grafico, mostrar, figura, lamina, ilustracion, esquema, mapa, tabla, grabado, manuscrito, portada, "
+        "diagramme, graphique, montrer, immagine, bild, diagramm, grafik, zeigen, abbildung"
+    ).split(", "),
+    "quote": "quote, said, stated, according to, cited, who said, testimony, cita textual, dijo, quien dijo, frase, literal, citation, qui a dit, chi disse, zitat, sagte, wer sagte".split(", "),
+    "temporal": "when, timeline, chronology, cuando, cronologia, en que ano, en que siglo, fecha, epoca, periodo, quand, chronologie, quando, wann, zeitlinie, siglo, century, siecle, secolo, jahrhundert".split(", "),
 }
 
 
@@ -65,9 +90,14 @@ def key_keeping_ene(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(x), at, to), r"[^\p{L}\p{N}]+", " "))
 
 
+#: Opening marks, and the marks that close them.
+QUOTES = (("«", "»"), ('"', '"'), ("“", "”"), ("„", "“”"))
+QUOTED = "|".join(f"{a}[^{z}]{{2,}}[{z}]" for a, z in QUOTES)
+
+
 def quoted(x: Column) -> Column:
     """Passages between quotation marks, of two characters or more."""
-    found = F.regexp_extract_all(x, F.lit(r"«[^»]{2,}»|\"[^\"]{2,}\"|“[^”]{2,}”|„[^“”]{2,}[“”]"), F.lit(0))
+    found = F.regexp_extract_all(x, F.lit(QUOTED), F.lit(0))
     return F.transform(found, lambda q: F.trim(F.substring(q, F.lit(2), F.length(q) - 2)))
 
 
@@ -85,7 +115,7 @@ def garbage_ratio(x: Column) -> Column:
 
 def truncate_words(x: Column, most: int) -> Column:
     """At most ``most`` characters, cut at a word end, with an ellipsis where cut."""
-    head = F.regexp_replace(F.substring(x, 1, most), r"\s+\S*$", "")
+    head = F.regexp_replace(F.substring(x, 1, most), r"\s+\S*\z", "")
     return F.when(F.length(x) <= most, x).otherwise(F.concat(head, F.lit("…")))
 
 
@@ -134,17 +164,18 @@ def count_of(words: Column, word: Column) -> Column:
     return F.size(F.filter(words, lambda w: w == word))
 
 
-def intent(x: Column) -> Column:
+def intent_pattern(kind: str, intents: dict[str, list[str]] | None = None) -> str:
+    """Pattern of a folded text that has one of a kind's words."""
+    return r"(^|[^\p{L}])(" + "|".join((intents or INTENTS)[kind]) + r")([^\p{L}]|$)"
+
+
+def intent(x: Column, intents: dict[str, list[str]] | None = None) -> Column:
     """What a query asks for: a quotation, a picture, a time, or a concept."""
-    t = F.concat(F.lit(" "), key(x), F.lit(" "))
-    has = lambda *ws: t.rlike(" (" + "|".join(ws) + ") ")
-    return (
-        F.when(F.size(quoted(x)) > 0, "quote")
-        .when(has("image", "picture", "photo", "diagram", "figure", "map", "imagen", "mapa", "figura", "bild", "carte"), "visual")
-        .when(has("quote", "said", "stated", "frase", "dijo", "citation", "zitat", "sagte"), "quote")
-        .when(has("when", "timeline", "century", "cuando", "fecha", "siglo", "quand", "wann", "jahrhundert"), "temporal")
-        .otherwise("conceptual")
-    )
+    t = fold(x)
+    out = F.when(F.size(quoted(x)) > 0, "quote")
+    for kind in ("visual", "quote", "temporal"):
+        out = out.when(t.rlike(intent_pattern(kind, intents)), kind)
+    return out.otherwise("conceptual")
 
 
 def clock_seconds(x: Column) -> Column:

@@ -120,11 +120,25 @@ def _(spark, d):
     return li.select("l_orderkey", "l_linenumber", "l_partkey", citations.anchor_text(kind, F.col("l_partkey"), b).alias("printed"))
 
 
-@query("claims_temporal", """WITH c(id, claim, y) AS (VALUES (1, 'The internet changed letters', 1850), (2, 'In 1789 the king fell', 1999), (3, 'In 1850 he wrote', 1855), (4, 'Nothing dated', 1700), (5, 'By 1900 all will be free', 1850), (6, 'In 1900 it was free', 1850), (7, 'x 1900', NULL))
-SELECT id, CASE WHEN y IS NULL THEN 'plausible' WHEN id = 1 THEN 'impossible' WHEN id = 6 THEN 'impossible' WHEN id = 2 THEN 'framework' ELSE 'plausible' END AS verdict FROM c""")
-def _(spark, d):
-    rows = [(1, "The internet changed letters", 1850), (2, "In 1789 the king fell", 1999), (3, "In 1850 he wrote", 1855), (4, "Nothing dated", 1700), (5, "By 1900 all will be free", 1850), (6, "In 1900 it was free", 1850), (7, "x 1900", None)]
-    return spark.createDataFrame(rows, "id int, claim string, y int").select("id", citations.plausibility(F.col("claim"), F.col("y")).alias("verdict"))
+@query("claims_temporal", """WITH c AS (SELECT o_orderkey, o_orderkey % 9 AS k, year(o_orderdate) AS y, CASE WHEN o_orderkey % 9 <> 8 THEN 1900 + o_custkey % 110 END AS s FROM orders)
+SELECT o_orderkey, CASE WHEN s IS NULL THEN 'plausible' WHEN k = 1 AND y <= s + 5 THEN 'impossible' WHEN k = 2 AND y > s + 1 THEN 'impossible' WHEN k = 3 AND abs(y - s) <= 1 AND 1543 <= s + 5 THEN 'impossible' WHEN k = 6 THEN 'impossible'
+ WHEN k IN (0, 1, 3) AND y - s > 20 THEN 'framework' WHEN k = 4 AND 2007 > s THEN 'framework' ELSE 'plausible' END AS verdict FROM c""")
+def _(spark, d):
+    y = F.year("o_orderdate").cast("string")
+    said = [
+        F.concat(F.lit("This idea applies to networks of "), y),
+        F.concat(F.lit("The author anticipated the school of "), y),
+        F.concat(F.lit("The author was based on the method of "), y),
+        F.concat(F.lit("The method of "), y, F.lit(" anticipated Copernicus")),
+        F.lit("Nobody had a smartphone then"),
+        F.lit("Nothing dated"),
+        F.lit("Surname anticipated Darwin"),
+        F.lit("Copernicus anticipated Surname"),
+        F.concat(F.lit("This idea applies to networks of "), y),
+    ]
+    claim = F.element_at(F.array(*said), (1 + F.col("o_orderkey") % 9).cast("int"))
+    year = F.when(F.col("o_orderkey") % 9 != 8, (1900 + F.col("o_custkey") % 110).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", citations.plausibility(claim, year, F.array(F.lit("Surname"))).alias("verdict"))
 
 
 @query("autocite_decisions", """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity / 50 AS support, CASE WHEN l_returnflag = 'R' THEN 'context' ELSE 'direct' END AS kind, l_tax > 0.07 AS contra, CASE WHEN l_discount > 0.09 THEN 'impossible' ELSE 'plausible' END AS pl, l_linestatus = 'F' AS neg FROM lineitem),

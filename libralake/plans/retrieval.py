@@ -249,17 +249,24 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(points / 9.0, 6).alias("score")).where("score > 0")
 
 
-@query("intent_classify", rf"""WITH t AS (SELECT conv_id, turn, text, ' ' || {sql_key('text')} || ' ' AS k FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, CASE WHEN regexp_matches(text, '«[^»]{{2,}}»|"[^"]{{2,}}"|“[^”]{{2,}}”|„[^“”]{{2,}}[“”]') THEN 'quote'
- WHEN regexp_matches(k, ' (image|picture|photo|diagram|figure|map|imagen|mapa|figura|bild|carte) ') THEN 'visual' WHEN regexp_matches(k, ' (quote|said|stated|frase|dijo|citation|zitat|sagte) ') THEN 'quote'
- WHEN regexp_matches(k, ' (when|timeline|century|cuando|fecha|siglo|quand|wann|jahrhundert) ') THEN 'temporal' ELSE 'conceptual' END AS intent FROM t""")
+SQL_INTENT = f"CASE WHEN regexp_matches(q, '{T.QUOTED}') THEN 'quote' " + " ".join(f"WHEN regexp_matches({sql_fold('q')}, '{T.intent_pattern(k)}') THEN '{k}'" for k in ("visual", "quote", "temporal")) + " ELSE 'conceptual' END"
+
+
+@query("intent_classify", f"SELECT conv_id, turn, {SQL_INTENT} AS intent FROM (SELECT conv_id, turn, text AS q FROM conversations WHERE role = 'user')")
 def _(spark, d):
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", T.intent(F.col("text")).alias("intent"))
 
 
+@query("intent_of_questions", f"WITH w AS (SELECT o_orderkey, ['Lámina del diagrama', '¿Cuándo se escribió?', 'who said it', 'plain ideas', 'a «molinos» b', 'mapas', 'WER SAGTE das', 'siglo XVI'][1 + o_orderkey % 8] || ' ' || o_custkey AS q FROM orders) SELECT o_orderkey, {SQL_INTENT} AS intent FROM w")
+def _(spark, d):
+    said = ["Lámina del diagrama", "¿Cuándo se escribió?", "who said it", "plain ideas", "a «molinos» b", "mapas", "WER SAGTE das", "siglo XVI"]
+    q = F.concat_ws(" ", F.element_at(F.array(*map(F.lit, said)), (1 + F.col("o_orderkey") % 8).cast("int")), "o_custkey")
+    return table(spark, d, "orders").select("o_orderkey", T.intent(q).alias("intent"))
+
+
 @query("lang_detect", "WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\\p{L}+') AS w FROM documents), m(lang, mark) AS (VALUES " + ", ".join(f"('{g}', '{m}')" for g, ms in sorted(T.MARKS.items()) for m in ms) + """),
 c AS (SELECT doc_id, lang, sum(len(list_filter(w, lambda x: x = mark))) AS n FROM w, m GROUP BY doc_id, lang)
-SELECT doc_id, max_by(lang, n * 10 - CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END) FILTER (n >= 2) AS lang_found FROM c GROUP BY doc_id""")
+SELECT doc_id, max_by(lang, n * 10 - list_position(list_sort([""" + ", ".join(f"'{g}'" for g in T.MARKS) + """]), lang)) FILTER (n >= 2) AS lang_found FROM c GROUP BY doc_id""")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", T.language(F.col("text")).alias("lang_found"))
 

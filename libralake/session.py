@@ -14,6 +14,10 @@ def local_session(threads: int = 8, driver_memory: str = "8g", shuffle_partition
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # A copy of a task that takes over 2.2 times the median is started once four fifths are done; of no effect in local mode.
+        .config("spark.speculation", "true")
+        .config("spark.speculation.multiplier", "2.2")
+        .config("spark.speculation.quantile", "0.8")
         .config("spark.driver.memory", driver_memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
