@@ -6,7 +6,10 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
 
 _ROMAN = re.compile("^(?=.)m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$")
 _VALUE = dict(zip("ivxlcdm", (1, 5, 10, 50, 100, 500, 1000)))
@@ -113,3 +116,123 @@ def deduce(rows: DataFrame, doc: str, page: str, header: str, footer: str, body:
         return pd.DataFrame({doc: pdf[doc].to_numpy(), page: pages, "printed": pd.array([g[0] for g in got], "Int32"), "roman": [g[1] for g in got], "origin": [g[2] for g in got], "confidence": [g[3] for g in got]})
 
     return rows.groupBy(doc).applyInPandas(one, f"{doc} {rows.schema[doc].dataType.simpleString()}, {page} int, printed int, roman boolean, origin string, confidence double")
+
+
+def estimate_step(cands: DataFrame, doc: str, page: str, value: str, roman: str, weight: str) -> DataFrame:
+    """doc, step, and the votes for 1, 2 and 1/2: by how much printed numbers grow from page to page.
+
+    Reliable readings (weight 0.5 or more) of one kind, one to four pages apart, vote with the smaller weight; 2 or
+    1/2 needs half as much again as 1 has, and two votes.
+    """
+    c = cands.where(F.col(weight) >= 0.5).select(doc, F.col(page).alias("_p"), F.col(value).alias("_v"), F.col(roman).alias("_r"), F.col(weight).alias("_w"))
+    later = c.select(doc, F.col("_p").alias("_q"), F.col("_v").alias("_u"), F.col("_r").alias("_r"), F.col("_w").alias("_x"))
+    ahead = c.withColumn("_q", F.explode(F.array(*[F.col("_p") + i for i in (1, 2, 3, 4)])))
+    slope = (F.col("_u") - F.col("_v")) / (F.col("_q") - F.col("_p"))
+    votes = ahead.join(later, [doc, "_r", "_q"]).select(doc, slope.alias("_s"), F.least("_w", "_x").alias("_w"))
+    by = lambda s: F.round(F.sum(F.when(F.abs(F.col("_s") - s) < 1e-9, F.col("_w")).otherwise(0.0)), 6)
+    got = votes.groupBy(doc).agg(by(1).alias("v1"), by(2).alias("v2"), by(0.5).alias("v05"))
+    step = F.when((F.col("v2") > F.col("v1") * 1.5) & (F.col("v2") >= 2), 2.0).when((F.col("v05") > F.col("v1") * 1.5) & (F.col("v05") >= 2), 0.5).otherwise(1.0)
+    return got.withColumn("step", step)
+
+
+#: Headings that mark parts of a book, as patterns over comparison keys; a parameter of ``markers``.
+MARKERS = {
+    "contents": r"^(table of )?contents$|^(tabla de contenidos|indice( general)?|sumario|table des matieres|inhalt(sverzeichnis)?)$",
+    "preface": r"^(preface|foreword|prologo|prefacio|avant propos|vorwort|prefazione)( |$)",
+    "introduction": r"^(introduction|introduccion|einleitung|introduzione)( |$)",
+    "chapter": r"^(chapter|capitulo|chapitre|kapitel|capitolo) (\d+|[ivxlc]+)( |$)",
+    "part": r"^(part|parte|partie|teil) (\d+|[ivxlc]+|primera|segunda|first|second)( |$)",
+    "index": r"^(index|indice (analitico|onomastico|de nombres)|register)$",
+    "references": r"^(references|bibliography|bibliografia|bibliographie|literatur(verzeichnis)?)$",
+}
+
+
+def markers(line: Column, patterns: dict[str, str] | None = None) -> Column:
+    """Which part of a book a heading line begins; null for other lines."""
+    k = T.key(line)
+    out = F.lit(None).cast("string")
+    for name, pattern in reversed((patterns or MARKERS).items()):
+        out = F.when(k.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def zones(pages: list[int], read: list[tuple[int, bool] | None]) -> list[tuple[int, int, int, bool]]:
+    """(from, to, page less number, roman) of stretches that agree on the difference; two misses in a row are borne, two readings are needed."""
+    out = []
+    for kind in (True, False):
+        rows = [(p, r[0]) for p, r in zip(pages, read) if r is not None and r[1] == kind]
+        at = 0
+        while at < len(rows):
+            shift, last, agreed, missed = rows[at][0] - rows[at][1], at, 0, 0
+            for j in range(at, len(rows)):
+                if rows[j][0] - rows[j][1] == shift:
+                    agreed, last, missed = agreed + 1, j, 0
+                else:
+                    missed += 1
+                    if missed > 2:
+                        break
+            if agreed >= 2 or (agreed == 1 and len(rows) <= 2):
+                out.append((rows[at][0], rows[last][0], shift, kind))
+            at = last + 1
+    return sorted(out)
+
+
+def by_zones(pages: list[int], read: list[tuple[int, bool] | None]) -> list[tuple[int | None, bool, str, float]]:
+    """(number, roman, origin, confidence) of every page from its zones: read 0.98, within 0.9, beyond the last reading less and less, before the first at most six pages."""
+    found = zones(pages, read)
+    none = (None, False, "none", 0.0)
+    if not found:
+        return [(*r, "read", 0.5) if r else none for r in read]
+    out = []
+    for p, r in zip(pages, read):
+        i = max((i for i, z in enumerate(found) if z[0] <= p), default=None)
+        if i is not None:
+            _, to, shift, roman = found[i]
+            n = p - shift
+            if n < 1:
+                out.append(none)
+            elif r == (n, roman):
+                out.append((n, roman, "read", 0.98))
+            else:
+                sure = 0.9 if p <= to else max(0.55, 0.88 - 0.01 * (p - to))
+                out.append((n, roman, "deduced", round(sure - (0.1 if r else 0), 6)))
+            continue
+        begin, _, shift, roman = found[0]
+        if not roman and p - shift >= 1 and begin - p <= 6:
+            out.append((p - shift, False, "deduced", 0.6))
+        elif r and r[0] <= len(pages) + 20:
+            out.append((*r, "read", 0.4))
+        else:
+            out.append(none)
+    return out
+
+
+def deduce_by_zones(rows: DataFrame, doc: str, page: str, value: str, roman: str) -> DataFrame:
+    """doc, page, printed, roman, origin, confidence: pages whose visible number is ``value`` (null where none), one group for each document."""
+    kind = rows.schema[doc].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(page)
+        read = [None if pd.isna(v) else (int(v), bool(r)) for v, r in zip(pdf[value], pdf[roman])]
+        got = by_zones(pdf[page].astype(int).tolist(), read)
+        out = pd.DataFrame(got, columns=["printed", "roman", "origin", "confidence"])
+        out.insert(0, "page", pdf[page].astype(int).tolist())
+        out.insert(0, doc, pdf[doc].tolist())
+        out["printed"] = out["printed"].astype("Int64")
+        return out
+
+    return rows.groupBy(doc).applyInPandas(run, f"{doc} {kind}, page int, printed long, roman boolean, origin string, confidence double")
+
+
+def reanchor(rows: DataFrame, folios: DataFrame, doc: str, columns: dict[str, str]) -> DataFrame:
+    """Rows with their printed numbers taken anew from ``folios`` (doc, page, printed): ``columns`` maps each physical page column to its printed one; adds changed."""
+    out = rows
+    for i, physical in enumerate(columns):
+        f = folios.select(F.col(doc), F.col("page").alias(physical), F.col("printed").alias(f"_p{i}"))
+        out = out.join(f, [doc, physical], "left")
+    differs = [~F.col(f"_p{i}").eqNullSafe(F.col(printed)) for i, printed in enumerate(columns.values())]
+    changed = differs[0]
+    for x in differs[1:]:
+        changed = changed | x
+    new = {printed: F.col(f"_p{i}") for i, printed in enumerate(columns.values())}
+    return out.select(*[new.get(c, F.col(c)).alias(c) for c in rows.columns], changed.alias("changed"))

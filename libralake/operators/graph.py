@@ -203,3 +203,58 @@ def merge_entities(rows: DataFrame, kind: str, name: str, forms: str, importance
     """One row for each kind and comparison key: all forms, largest importance, first analysis that is there."""
     k = T.key(F.col(name))
     return rows.groupBy(kind, k.alias("entity_key")).agg(F.array_distinct(F.flatten(F.collect_list(forms))).alias(forms), F.max(importance).alias(importance), F.min(F.when(F.col(analysis).isNotNull(), F.struct(name, analysis))).alias("_a")).withColumn(analysis, F.col(f"_a.{analysis}")).drop("_a")
+
+
+def compatible(a: Column, b: Column) -> Column:
+    """Whether two forms may name one entity: a shared word of three letters or more, words alike for five letters, or initials in order."""
+    x, y = T.tokens(a), T.tokens(b)
+    long = lambda ws: F.filter(ws, lambda w: F.length(w) >= 3)
+    heads = lambda ws: F.transform(F.filter(ws, lambda w: F.length(w) >= 5), lambda w: F.substring(w, 1, 5))
+    first = lambda ws: F.array_join(F.transform(ws, lambda w: F.substring(w, 1, 1)), "")
+    short = lambda ws: (F.size(ws) > 1) & F.forall(ws, lambda w: F.length(w) == 1)
+    initials = (short(x) & (F.array_join(x, "") == first(y))) | (short(y) & (F.array_join(y, "") == first(x)))
+    return F.arrays_overlap(long(x), long(y)) | F.arrays_overlap(heads(x), heads(y)) | initials
+
+
+#: Words of descriptions that say nothing; a parameter of ``corroborated``.
+GENERIC = ("american", "british", "english", "french", "german", "italian", "spanish", "writer", "person", "author", "escritor", "persona", "autor", "espanol", "espanola", "estadounidense")
+
+
+def corroborated(description: Column, context: Column, generic: tuple[str, ...] = GENERIC) -> Column:
+    """Whether the passages about someone have a telling word of a description: five letters or more, whole, or seven or more but for the last two."""
+    told = F.filter(F.split(T.key(description), " "), lambda w: (F.length(w) >= 5) & ~w.isin(*generic) & ~w.rlike(r"^\d+$"))
+    seen = F.concat(F.lit(" "), T.key(context), F.lit(" "))
+    begins = lambda w: (F.length(w) >= 7) & F.contains(seen, F.concat(F.lit(" "), F.substring(w, F.lit(1), F.length(w) - 2)))
+    return F.exists(told, lambda w: F.contains(seen, F.concat(F.lit(" "), w, F.lit(" "))) | begins(w))
+
+
+def rehome(ments: DataFrame, doc: str, kind: str, name: str, form: str) -> DataFrame:
+    """doc, kind, name, form, home: the name that each form of a mention belongs to.
+
+    Its own name where the form can name it; else the only other name of the document that it can name; else the form itself.
+    """
+    each = ments.select(doc, kind, name, form).distinct()
+    others = each.select(doc, kind, F.col(name).alias("_other")).distinct()
+    lost = each.where(~compatible(F.col(form), F.col(name)))
+    met = lost.join(others, [doc, kind]).where((F.col("_other") != F.col(name)) & compatible(F.col(form), F.col("_other")))
+    one = met.groupBy(doc, kind, name, form).agg(F.min("_other").alias("_home"), F.countDistinct(T.key(F.col("_other"))).alias("_c"))
+    lost = lost.join(one, [doc, kind, name, form], "left").select(doc, kind, name, form, F.when(F.col("_c") == 1, F.col("_home")).otherwise(F.trim(F.regexp_replace(form, r"\s+", " "))).alias("home"))
+    return each.where(compatible(F.col(form), F.col(name))).withColumn("home", F.col(name)).unionByName(lost)
+
+
+def recount(ments: DataFrame, entity: str, doc: str) -> DataFrame:
+    """entity, n_mentions, n_docs."""
+    return ments.groupBy(entity).agg(F.count(F.lit(1)).alias("n_mentions"), F.countDistinct(doc).alias("n_docs"))
+
+
+def lookup(names: DataFrame, forms: DataFrame, name: str, owner: str, form: str) -> DataFrame:
+    """names' columns and owner: by the whole form, else by its first word; null where two owners claim it or none does."""
+    k = forms.select(T.key(F.col(form)).alias("_k"), F.col(owner).alias("_o")).distinct()
+    single = lambda df: df.groupBy("_k").agg(F.min("_o").alias("_o"), F.countDistinct("_o").alias("_c")).where("_c = 1").drop("_c")
+    heads = k.select(F.split_part("_k", F.lit(" "), F.lit(1)).alias("_k"), "_o").distinct()
+    rows = names.withColumn("_full", T.key(F.col(name))).withColumn("_head", F.split_part("_full", F.lit(" "), F.lit(1)))
+    claimed = k.select("_k").distinct().withColumn("_known", F.lit(True))
+    rows = rows.join(single(k).withColumnRenamed("_o", "_a"), F.col("_full") == F.col("_k"), "left").drop("_k").join(claimed, F.col("_full") == F.col("_k"), "left").drop("_k")
+    rows = rows.join(single(heads).withColumnRenamed("_o", "_b"), F.col("_head") == F.col("_k"), "left").drop("_k")
+    # A form that two owners claim is not looked up by its first word.
+    return rows.select(*names.columns, F.coalesce("_a", F.when(F.col("_known").isNull(), F.col("_b"))).alias(owner))

@@ -319,3 +319,65 @@ def inflections(term: str, lang: str) -> list[str]:
     """A term with the endings of its language, itself first."""
     stem = term[:-1] if lang in ("it", "la") and len(term) > 3 and term[-1] in "aeo" else term
     return list(dict.fromkeys([term, *(stem + e for e in ENDINGS.get(lang, ()))]))
+
+
+def language_vote(parts: DataFrame, doc: str, lang: str, text: str) -> DataFrame:
+    """doc, lang: the language of most of a document's words; the first in order of equal ones."""
+    n = parts.where(F.col(lang).isNotNull()).groupBy(doc, lang).agg(F.sum(F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))).alias("_n"))
+    return n.groupBy(doc).agg(F.min(F.struct((-F.col("_n")).alias("_m"), lang)).alias("_b")).select(doc, F.col(f"_b.{lang}").alias(lang))
+
+
+def natural_key(name: Column) -> Column:
+    """Sorting key of a file name in which numbers count by their value."""
+    parts = F.regexp_extract_all(T.fold(name), F.lit(r"\d+|\D+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), 20, "0")).otherwise(p)), "")
+
+
+def metadata_scores(found: DataFrame, gold: DataFrame, doc: str, fields: list[str], authors: str) -> DataFrame:
+    """doc and for each field whether it is right: equal but for case and accents, null for null; authors: all surnames of the gold, one more at most."""
+    f = found.select(doc, *[F.col(c).alias(f"_f_{c}") for c in (*fields, authors)])
+    same = lambda c: F.when(F.col(c).isNull(), F.col(f"_f_{c}").isNull()).otherwise(F.coalesce(T.fold(F.col(c).cast("string")) == T.fold(F.col(f"_f_{c}").cast("string")), F.lit(False))).alias(f"{c}_ok")
+    surname = lambda a: F.split_part(F.regexp_replace(T.fold(a), r"^(de|del|van|von)\s+", ""), F.lit(" "), F.lit(1))
+    mine = F.transform(F.coalesce(F.col(f"_f_{authors}"), F.array().cast("array<string>")), surname)
+    ok = (F.size(F.array_except(F.transform(authors, surname), mine)) == 0) & (F.size(mine) <= F.size(authors) + 1)
+    return gold.join(f, doc, "left").select(doc, *map(same, fields), ok.alias(f"{authors}_ok"))
+
+
+def clean_authors(names: Column) -> Column:
+    """Struct of people and channels: parentheses out, one person once in the fullest form, bodies aside; without people the first body is the author."""
+    plain = F.filter(F.transform(names, lambda n: F.trim(F.regexp_replace(n, r"\s*\([^)]*\)", ""))), lambda n: n != "")
+    empty = F.array().cast("array<string>")
+    start = F.struct(empty.alias("people"), empty.alias("channels"))
+
+    def take(acc, n):
+        fuller = lambda p: F.when(same_person(p, n) & (F.size(T.tokens(n)) > F.size(T.tokens(p))), n).otherwise(p)
+        people = F.when(F.exists(acc["people"], lambda p: same_person(p, n)), F.transform(acc["people"], fuller)).otherwise(F.array_append(acc["people"], n))
+        return F.struct(F.when(is_organisation(n), acc["people"]).otherwise(people).alias("people"), F.when(is_organisation(n), F.array_append(acc["channels"], n)).otherwise(acc["channels"]).alias("channels"))
+
+    def end(acc):
+        alone = (F.size(acc["people"]) == 0) & (F.size(acc["channels"]) > 0)
+        people = F.when(alone, F.slice(acc["channels"], 1, 1)).otherwise(acc["people"])
+        rest = F.when(alone, F.slice(acc["channels"], 2, F.greatest(F.size(acc["channels"]), F.lit(1)))).otherwise(F.array_distinct(acc["channels"]))
+        return F.struct(people.alias("people"), rest.alias("channels"))
+
+    return F.aggregate(plain, start, take, end)
+
+
+def quality_floor(frags: DataFrame, doc: str, section: str, text: str, order: str, letters: int = 12, long: int = 200) -> DataFrame:
+    """Fragments of so many letters at least; of long ones with one section and text the first stays."""
+    some = frags.where(F.length(F.regexp_replace(text, r"[^\p{L}]", "")) >= letters)
+    first = F.min(order).over(Window.partitionBy(doc, section, F.xxhash64(text), text))
+    return some.withColumn("_f", first).where((F.length(text) <= long) | (F.col("_f") == F.col(order))).drop("_f")
+
+
+def visual_route(hits: DataFrame, frags: DataFrame, plates: DataFrame, unit: str, rank: str, frag: str, standing: str, order: str) -> DataFrame:
+    """frag, unit, place, text, rank: what visual hits on units stand for, in the order of the hits.
+
+    The unit's best-ranked fragment (smallest ``standing``, unranked ones after all others by ``order``); a plate without
+    text gives a fragment of its own (place -1) of its caption and description.
+    """
+    best = frags.groupBy(unit).agg(F.min(F.struct(F.col(standing).isNull().alias("_u"), standing, order, frag, "text")).alias("_b"))
+    found = hits.join(best, unit).select(F.col(f"_b.{frag}").cast("string").alias(frag), unit, F.col(f"_b.{order}").cast("int").alias("place"), F.col("_b.text").alias("text"), rank)
+    made = hits.join(frags.select(unit).distinct(), unit, "left_anti").join(plates, unit)
+    made = made.select(F.concat(F.lit("u:"), F.col(unit).cast("string")).alias(frag), unit, F.lit(-1).alias("place"), F.concat_ws(" ", F.nullif("caption", F.lit("")), F.nullif("description", F.lit(""))).alias("text"), rank)
+    return found.unionByName(made)
