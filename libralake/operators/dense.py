@@ -98,3 +98,10 @@ def ivf_search(vectors: DataFrame, assigned: DataFrame, query: list[float], cell
     near = assign(q, cells, "_q", vector, probes).select("cell")
     inside = vectors.join(assigned.where("rank = 1").join(F.broadcast(near), "cell", "left_semi").select(key), key, "left_semi")
     return knn(inside, query, k, key, vector)
+
+
+def embedded_once(rows: DataFrame, text: str, embed, out: str = "vector") -> DataFrame:
+    """Rows with ``embed`` (a column function) of their text, which is run once for each distinct text."""
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    pieces = rows.select(digest.alias("_d"), F.coalesce(F.col(text), F.lit("")).alias("_t")).dropDuplicates(["_d"]).select("_d", embed(F.col("_t")).alias(out))
+    return rows.withColumn("_d", digest).join(pieces, "_d").drop("_d")

@@ -77,11 +77,13 @@ def keyed(vocab: DataFrame, lang: str = "lang", word: str = "word") -> DataFrame
     return vocab.withColumn("spelling_key", run(word, lang))
 
 
+# Signs that only old prints have.
+OLD_SIGNS = {"es": r"ſ|q̃|[ãõẽĩũ]|\b(?:assi|quando|dixo|muger|mesmo|agora)\b|sse\b", "fr": r"ſ|\b(?:estoit|avoit|icelle?|desquelz)\b", "it": r"ſ|\b(?:huomo|havere|et)\b"}
+
+
 def old_signals(text: Column, lang: str) -> Column:
     """How many signs of old spelling a text has."""
-    # Signs that only old prints have.
-    patterns = {"es": r"ſ|q̃|[ãõẽĩũ]|\b(?:assi|quando|dixo|muger|mesmo|agora)\b|sse\b", "fr": r"ſ|\b(?:estoit|avoit|icelle?|desquelz)\b", "it": r"ſ|\b(?:huomo|havere|et)\b"}
-    return F.size(F.regexp_extract_all(F.lower(text), F.lit(patterns.get(lang, "ſ")), F.lit(0)))
+    return F.size(F.regexp_extract_all(F.lower(text), F.lit(OLD_SIGNS.get(lang, "ſ")), F.lit(0)))
 
 
 def is_old(text: Column, lang: Column, year: Column) -> Column:
@@ -99,3 +101,26 @@ def variants(query: str, langs: tuple[str, ...] = ("es", "la", "fr", "it")) -> l
     """Keys of a query's word in every language, without the word itself."""
     plain = prepare(query)
     return sorted({key_of(query, g) for g in langs} - {plain})
+
+
+def shadowed(docs: DataFrame, key: str, text: str, lang: str, year: str) -> DataFrame:
+    """key, shadow: the text to search an old-spelling text by, words by their keys in order and Latin stems once each after them; empty where it gains nothing.
+
+    Keys are made for distinct words only and joined to the places of the words.
+    """
+    src = docs.select(key, F.col(text).alias("_t"), F.col(lang).alias("_g"), F.col(year).alias("_y"))
+    old = src.where(F.coalesce(is_old(F.col("_t"), F.col("_g"), F.col("_y")), F.lit(False)))
+    words = old.select(key, "_g", F.posexplode(F.regexp_extract_all(F.lower("_t"), F.lit(r"\p{L}+"), F.lit(0))).alias("_p", "word"))
+    known = keyed(words.select("_g", "word").distinct(), "_g", "word")
+
+    @F.pandas_udf("string")
+    def stems(w: pd.Series, g: pd.Series) -> pd.Series:
+        return pd.Series([(stem(a) if b == "la" and isinstance(a, str) else None) for a, b in zip(w, g)])
+
+    known = known.withColumn("_s", stems("spelling_key", "_g"))
+    each = words.join(known, ["_g", "word"]).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_p", "spelling_key", "_s", "word"))).alias("_w"))
+    main = F.array_join(F.transform("_w", lambda x: x["spelling_key"]), " ")
+    plain = F.array_join(F.transform("_w", lambda x: T.fold(x["word"])), " ")
+    more = F.array_distinct(F.filter(F.transform("_w", lambda x: F.when(x["_s"] != x["spelling_key"], x["_s"])), lambda s: s.isNotNull()))
+    made = each.select(key, F.when((main == plain) & (F.size(more) == 0), "").otherwise(F.concat_ws(" ", main, F.nullif(F.array_join(more, " "), F.lit("")))).alias("shadow"))
+    return docs.select(key).join(made, key, "left").select(key, F.coalesce("shadow", F.lit("")).alias("shadow"))

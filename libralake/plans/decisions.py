@@ -290,3 +290,81 @@ def _(spark, d):
     n = F.col("l_linenumber")
     rows = li.select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("k2"), n.alias("a"), (n + 1).alias("b"), (n + 1).cast("string").alias("pa"), (n + 2).cast("string").alias("pb"))
     return folios.reanchor(rows, f, "doc", {"a": "pa", "b": "pb"})
+
+
+# ---- whole results of operators that other queries see only in part ---------
+
+
+@query("filter_operators", "SELECT vec_id FROM embeddings WHERE label <> 2 AND label IN (0, 1, 3, 4, 5) AND vec_id > 10 AND vec_id <= 400")
+def _(spark, d):
+    spec = {"label": {"$ne": 2, "$in": [0, 1, 3, 4, 5]}, "vec_id": {"$gt": 10, "$lte": 400}}
+    e = table(spark, d, "embeddings")
+    none = e.where(filters.compile_filter({"label": {"$near": 1}}))
+    return e.where(filters.compile_filter(spec)).select("vec_id").unionByName(none.select("vec_id"))
+
+
+@query("roman_written", "SELECT p_partkey, CASE WHEN p_partkey BETWEEN 1 AND 3999 THEN repeat('M', (p_partkey // 1000)::INT) || ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][1 + p_partkey // 100 % 10] || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][1 + p_partkey // 10 % 10] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][1 + p_partkey % 10] END AS numeral, [14, 1994, NULL, NULL, NULL, 40][1 + p_partkey % 6]::INTEGER AS odd FROM part")
+def _(spark, d):
+    odd = pick(["XIV", "mcmxciv", "IIII", "VX", "", "xl"], 1 + F.col("p_partkey") % 6)
+    return table(spark, d, "part").select("p_partkey", T.to_roman(F.col("p_partkey")).alias("numeral"), T.roman(odd).alias("odd"))
+
+
+@query("clock_readings", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_linenumber % 5 WHEN 0 THEN l_quantity * 3600 + 61 WHEN 1 THEN l_quantity * 60 + 5.5 WHEN 2 THEN l_quantity WHEN 3 THEN l_quantity + 0.25 END::DOUBLE AS seconds FROM lineitem")
+def _(spark, d):
+    q = F.col("l_quantity").cast("int").cast("string")
+    k = F.col("l_linenumber") % 5
+    said = F.when(k == 0, F.concat(q, F.lit(":01:01"))).when(k == 1, F.concat(q, F.lit(":05,5"))).when(k == 2, q).when(k == 3, F.concat(q, F.lit(".25"))).otherwise(F.concat(q, F.lit(" h")))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", T.clock_seconds(said).alias("seconds"))
+
+
+@query("stale_groups", "SELECT o_custkey, bool_or(o_orderkey % 50 = 0) AS changed FROM orders GROUP BY 1")
+def _(spark, d):
+    """Groups whose fingerprint differs after some of their rows changed."""
+    o = table(spark, d, "orders")
+    later = o.withColumn("o_totalprice", F.col("o_totalprice") + F.when(F.col("o_orderkey") % 50 == 0, 1.0).otherwise(0.0)).orderBy(F.desc("o_orderkey"))
+    a, b = (tables.fingerprint(x, ["o_custkey"], o.columns) for x in (o, later))
+    return a.join(b.withColumnRenamed("print", "_p"), "o_custkey").select("o_custkey", (F.col("print") != F.col("_p")).alias("changed"))
+
+
+FULL = ["Maria Lopez Garcia", "Ana Ruiz", "Editorial Norte", "RTVE", "J. Perez", "canalSur2"]
+SHORT = ["M. Lopez", "Ana Ruiz Perez", "Lopez Garcia", "Perez Juan"]
+SQL_FULL = "['Maria Lopez Garcia', 'Ana Ruiz', 'Editorial Norte', 'RTVE', 'J. Perez', 'canalSur2'][1 + l_partkey % 6]"
+SQL_SHORT = "['M. Lopez', 'Ana Ruiz Perez', 'Lopez Garcia', 'Perez Juan'][1 + l_suppkey % 4]"
+
+
+@query("name_matching", rf"""WITH n AS (SELECT DISTINCT l_partkey % 6 AS i, l_suppkey % 4 AS j, {SQL_FULL} AS a, {SQL_SHORT} AS b FROM lineitem), w AS (SELECT *, list_filter({sql_tokens('a')}, lambda t: length(t) > 1) AS x, list_filter({sql_tokens('b')}, lambda t: length(t) > 1) AS y FROM n)
+SELECT i, j, CASE WHEN len(x) <= len(y) THEN len(x) > 0 AND len(list_filter(x, lambda t: NOT list_contains(y, t))) = 0 ELSE len(y) > 0 AND len(list_filter(y, lambda t: NOT list_contains(x, t))) = 0 END AS same, regexp_matches({sql_key('a')}, '(^| )(universidad|university|instituto|institute|fundacion|foundation|editorial|press|museo|museum|tv|channel|canal|radio|ministerio|ministry|society|sociedad)( |$)') OR regexp_matches(a, '^[A-Z]{{2,6}}$|\p{{Ll}}\p{{Lu}}|\d') AS organisation FROM w""")
+def _(spark, d):
+    a, b = pick(FULL, 1 + F.col("l_partkey") % 6), pick(SHORT, 1 + F.col("l_suppkey") % 4)
+    n = table(spark, d, "lineitem").select((F.col("l_partkey") % 6).alias("i"), (F.col("l_suppkey") % 4).alias("j"), a.alias("a"), b.alias("b")).distinct()
+    return n.select("i", "j", ingest.same_person(F.col("a"), F.col("b")).alias("same"), ingest.is_organisation(F.col("a")).alias("organisation"))
+
+
+@query("embedded_once", "SELECT p_partkey, md5(p_type) AS vector FROM part")
+def _(spark, d):
+    return dense.embedded_once(table(spark, d, "part").select("p_partkey", "p_type"), "p_type", F.md5).select("p_partkey", "vector")
+
+
+@query("fused_observations", """WITH o AS (SELECT user_id, event_type, epoch_us(ts) / 1e6 AS s, epoch_us(ts) / 1e6 + 40000 AS e FROM events), m AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY user_id, event_type ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 20000 THEN 0 ELSE 1 END AS new FROM o), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id, event_type ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m)
+SELECT user_id, event_type, min(s) AS s, max(e) AS e, count(*)::BIGINT AS n FROM g GROUP BY user_id, event_type, g""")
+def _(spark, d):
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    o = table(spark, d, "events").select("user_id", "event_type", t.alias("s"), (t + 40000).alias("e"))
+    return media.fuse(o, "user_id", "event_type", "s", "e", 20000.0).select("user_id", "event_type", "s", "e", "n")
+
+
+@query("merged_entities", f"SELECT p_brand, {sql_key('p_name')} AS entity_key, max(p_retailprice) AS importance, array_to_string(list_sort(list_distinct(list(p_type))), '|') AS forms, struct_extract(min({{'n': p_name, 'a': p_type || p_size}}) FILTER (p_size % 3 = 0), 'a') AS analysis FROM part GROUP BY ALL")
+def _(spark, d):
+    p = table(spark, d, "part").select("p_brand", "p_name", F.array("p_type").alias("forms"), F.col("p_retailprice").alias("importance"), F.when(F.col("p_size") % 3 == 0, F.concat("p_type", F.col("p_size").cast("string"))).alias("analysis"))
+    return graph.merge_entities(p, "p_brand", "p_name", "forms", "importance", "analysis").select("p_brand", "entity_key", "importance", F.array_join(F.array_sort("forms"), "|").alias("forms"), "analysis")
+
+
+@query("closest_units", """WITH u AS (SELECT user_id, min(event_id) AS unit, epoch_us(ts) AS t0, epoch_us(ts) + 300000000 AS t1 FROM events WHERE event_type = 'view' GROUP BY user_id, ts), k AS (SELECT * FROM u QUALIFY coalesce(t0 >= lag(t1) OVER (PARTITION BY user_id ORDER BY t0), true)), f AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'error'),
+d AS (SELECT event_id, unit, t >= t0 AND t < t1 AS inside, CASE WHEN t >= t0 AND t < t1 THEN -1 WHEN t0 <= t THEN t - t1 ELSE t0 - t END AS gap, t0 FROM f JOIN k USING (user_id)) SELECT f.event_id, arg_min(unit, (gap, t0)) AS unit, coalesce(bool_or(inside), false) AS inside FROM f LEFT JOIN d USING (event_id) GROUP BY 1""")
+def _(spark, d):
+    e = table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    u = e.where("event_type = 'view'").groupBy("user_id", F.col("t").alias("t0")).agg(F.min("event_id").alias("unit")).withColumn("t1", F.col("t0") + 300000000)
+    w = Window.partitionBy("user_id").orderBy("t0")
+    u = u.withColumn("_l", F.lag("t1").over(w)).where("_l is null or t0 >= _l").drop("_l")
+    frames = e.where("event_type = 'error'").select("event_id", "user_id", "t")
+    return media.closest_units(frames, u, "user_id", "t", "t0", "t1", "unit").select("event_id", "unit", "inside")

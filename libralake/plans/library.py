@@ -55,7 +55,8 @@ def _(spark, d):
     return structure.locate_all(table(spark, d, "documents"), table(spark, d, "benchmark").withColumnRenamed("text", "quote"), "doc_id", "text", "item_id", "quote")
 
 
-@query("greedy_batches")
+@query("greedy_batches", """WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents), r AS (SELECT source, doc_id, n_chars, i, 0 AS batch, n_chars AS held FROM o WHERE i = 1 UNION ALL SELECT o.source, o.doc_id, o.n_chars, o.i, CASE WHEN r.held + o.n_chars > 48000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.held + o.n_chars > 48000 THEN o.n_chars ELSE r.held + o.n_chars END FROM r JOIN o ON o.source = r.source AND o.i = r.i + 1)
+SELECT source, doc_id, n_chars, batch::INTEGER AS batch FROM r""")
 def _(spark, d):
     docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
     return structure.pack(docs, "source", "doc_id", "n_chars", 48_000)
@@ -244,7 +245,8 @@ def _(spark, d):
     return graph.resolve(p, "p_partkey", "p_name", "p_brand", "fic", "linked", "p_retailprice")
 
 
-@query("mention_places")
+@query("mention_places", f"""WITH f AS (SELECT array_to_string({sql_tokens('text')}[1:2], ' ') AS form, min(item_id) AS item_id FROM benchmark GROUP BY 1 HAVING count(DISTINCT item_id) = 1), t AS (SELECT doc_id, {sql_tokens('text')} AS t FROM documents), r AS (SELECT doc_id, unnest(range(1, len(t))) AS start, t FROM t)
+SELECT doc_id, item_id, start::INTEGER AS start, 2::INTEGER AS n_words FROM (SELECT doc_id, start, t[start] || ' ' || t[start + 1] AS form FROM r) JOIN f USING (form)""")
 def _(spark, d):
     forms = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(T.tokens(F.col("text")), 1, 2), " ").alias("form"))
     return graph.mentions(table(spark, d, "documents"), forms, "doc_id", "text", "item_id", "form", 2)
@@ -385,9 +387,10 @@ def _(spark, d):
     return normalizer.keyed(normalizer.vocabulary(table(spark, d, "documents"), "text", "lang"))
 
 
-@query("old_spelling")
+@query("old_spelling", rf"""WITH c AS (SELECT doc_id, lang, len({sql_tokens('text')}) AS w, len(regexp_extract_all(lower(text), '{normalizer.OLD_SIGNS['es']}')) AS es, len(regexp_extract_all(lower(text), '{normalizer.OLD_SIGNS['fr']}')) AS fr, len(regexp_extract_all(lower(text), '{normalizer.OLD_SIGNS['it']}')) AS it FROM documents), n AS (SELECT *, CASE lang WHEN 'es' THEN es WHEN 'fr' THEN fr WHEN 'it' THEN it ELSE 0 END AS n FROM c)
+SELECT doc_id, coalesce(lang = 'la' OR (lang IN ('es', 'fr', 'it') AND ((n >= 2 AND n >= w * 0.01) OR (w < 40 AND n >= 1 AND n * 20 >= w))), false) AS old FROM n""")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", normalizer.is_old(F.col("text"), F.col("lang"), F.lit(None).cast("int")).alias("old"))
+    return table(spark, d, "documents").select("doc_id", F.coalesce(normalizer.is_old(F.col("text"), F.col("lang"), F.lit(None).cast("int")), F.lit(False)).alias("old"))
 
 
 @query("gale_church")
@@ -433,8 +436,9 @@ def _(spark, d):
     return table(spark, d, "embeddings").where(filters.compile_filter({"label": {"$nin": [2], "$gte": 1, "$lt": 8}})).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("cells_mean_similarity")
+@query("cells_mean_similarity", """WITH x AS (SELECT label, i, round(avg(v::DOUBLE), 9) AS m FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL), c AS (SELECT label, list(m ORDER BY i) AS c FROM x GROUP BY 1), s AS (SELECT e.vec_id, c.label, round(list_cosine_similarity(e.embedding::DOUBLE[], c.c), 6) AS s FROM embeddings e, c), b AS (SELECT vec_id, arg_min(label, (-s, label)) AS cell, max(s) AS s FROM s GROUP BY 1)
+SELECT cell, count(*)::BIGINT AS n, round(avg(s) + 1e-9, 4) AS mean_score FROM b GROUP BY 1""")
 def _(spark, d):
     e = table(spark, d, "embeddings")
     c = dense.centroids(e, "label").withColumnRenamed("label", "cell")
-    return dense.assign(e, c).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 4).alias("mean_score"))
+    return dense.assign(e, c).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score") + 1e-9, 4).alias("mean_score"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..library import Library, hash_embedding
 from ..operators import graph, media, passages
-from .registry import query, sql_key, table
+from .registry import query, sql_key, sql_tokens, table
 
 
 @query("best_windows")
@@ -21,7 +21,7 @@ def _(spark, d):
     return passages.claim_rows(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("highlighted_terms")
+@query("highlighted_terms", f"SELECT doc_id, n::INTEGER AS n_marks FROM (SELECT doc_id, len(list_filter({sql_tokens('text')}, lambda t: regexp_full_match(t, '(thing|threat)\\p{{L}}{{0,3}}'))) AS n FROM documents) WHERE n > 0")
 def _(spark, d):
     m = passages.marked(F.col("text"), ["thing", "threat"])
     return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all(m, F.lit("<mark>"), F.lit(0))).alias("n_marks")).where("n_marks > 0")
@@ -44,7 +44,9 @@ def _(spark, d):
     return passages.union_boxes(li, ["l_suppkey"], "x", "y", "w", "h", gap=0.015).select("l_suppkey", F.round("y", 6).alias("y"), F.round("h", 6).alias("h"))
 
 
-@query("speech_without_words")
+@query("speech_without_words", """WITH e AS (SELECT user_id, event_type, epoch_us(ts) / 1e6 AS t0 FROM events), s AS (SELECT user_id, t0, t0 + 3600 AS t1 FROM e WHERE event_type = 'view'), w AS (SELECT user_id, greatest(0, t0 - 1.2) AS t0, t0 + 3600 + 1.2 AS t1 FROM e WHERE event_type = 'click'), b AS (SELECT DISTINCT user_id, unnest([t0, t1]) AS b FROM (SELECT * FROM s UNION ALL SELECT * FROM w)), g AS (SELECT user_id, b AS a, lead(b) OVER (PARTITION BY user_id ORDER BY b) AS z FROM b),
+k AS (SELECT * FROM g WHERE z IS NOT NULL AND EXISTS (SELECT 1 FROM s WHERE s.user_id = g.user_id AND s.t0 <= a AND s.t1 >= z) AND NOT EXISTS (SELECT 1 FROM w WHERE w.user_id = g.user_id AND w.t0 <= a AND w.t1 >= z)), i AS (SELECT *, CASE WHEN a = lag(z) OVER (PARTITION BY user_id ORDER BY a) THEN 0 ELSE 1 END AS new FROM k), j AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY a) AS n FROM i)
+SELECT user_id, min(a) AS t0, max(z) AS t1 FROM j GROUP BY user_id, n HAVING max(z) - min(a) >= 3""")
 def _(spark, d):
     t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     e = table(spark, d, "events").select("user_id", "event_type", t.alias("t0"), (t + 3600).alias("t1"))
@@ -80,7 +82,8 @@ def _(spark, d):
     return graph.timeline(m, dates, docs, "part", "doc", "year")
 
 
-@query("entity_neighbourhood")
+@query("entity_neighbourhood", """WITH p AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), e AS (SELECT a.l_partkey AS a, b.l_partkey AS b FROM p a JOIN p b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey), t AS (SELECT node, other, count(*)::DOUBLE AS weight FROM (SELECT a AS node, b AS other FROM e UNION ALL SELECT b, a FROM e) GROUP BY ALL), n AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY node ORDER BY weight DESC, other) <= 40),
+f AS (SELECT * FROM n WHERE node = 1 ORDER BY weight DESC, other LIMIT 48) SELECT * FROM f UNION ALL SELECT * FROM n WHERE weight >= 0.8 AND node IN (SELECT other FROM f) AND other IN (SELECT other FROM f) AND node < other""")
 def _(spark, d):
     from .library import edges
 

@@ -242,7 +242,7 @@ def _(spark, d):
 
 @query("noisy_or", "SELECT l_orderkey, round(1 - exp(sum(ln(1 - l_discount))) + 1e-7, 4) AS strength FROM lineitem GROUP BY 1")
 def _(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(1 - F.exp(F.sum(F.log1p(-F.col("l_discount")))) + 1e-7, 4).alias("strength"))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(T.noisy_or(F.collect_list("l_discount")) + 1e-7, 4).alias("strength"))
 
 
 @query("upsert_last_wins", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY 1")
