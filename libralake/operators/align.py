@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Paragraphs taken on either side and what the shape costs.
 SHAPES = ((1, 1, 0.0), (1, 0, 3.0), (0, 1, 3.0), (2, 1, 1.2), (1, 2, 1.2), (2, 2, 2.0))
@@ -20,45 +22,63 @@ def by_length(a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
     ratio = max(0.2, sum(b) / max(1, sum(a)))
     # Wide enough that the bands of neighbouring rows meet, however unequal the sides are.
     band = max(min(400, max(30, math.ceil(0.15 * max(n, m)))), math.ceil(m / max(1, n)) + 2)
-    pa, pb = [0], [0]
-    for x in a:
-        pa.append(pa[-1] + x)
-    for x in b:
-        pb.append(pb[-1] + x)
-    cost: dict[tuple[int, int], tuple[float, tuple[int, int]]] = {(0, 0): (0.0, (0, 0))}
+    # Logarithms of the lengths of no, one and two paragraphs that end at each place.
+    logs = lambda xs, scale: [[math.log((sum(xs[max(0, i - d) : i]) + 20) * scale) for i in range(len(xs) + 1)] for d in range(3)]
+    la, lb = logs(a, ratio), logs(b, 1.0)
+    inf = math.inf
+    lows: list[int] = []
+    costs: list[list[float]] = []
+    moves: list[list[tuple[int, int] | None]] = []
     for i in range(n + 1):
         mid = round(i * m / max(1, n))
-        for j in range(max(0, mid - band), min(m, mid + band) + 1):
-            best = cost.get((i, j))
+        low, high = max(0, mid - band), min(m, mid + band)
+        row, move = [inf] * (high - low + 1), [None] * (high - low + 1)
+        before = [(row, low), *((costs[i - d], lows[i - d]) if i >= d else ([], 0) for d in (1, 2))]
+        for j in range(low, high + 1):
+            best, how = (0.0, None) if i == j == 0 else (inf, None)
             for di, dj, shape in SHAPES:
-                prev = cost.get((i - di, j - dj)) if i >= di and j >= dj else None
-                if prev is not None:
-                    c = prev[0] + shape + 4 * abs(math.log((pb[j] - pb[j - dj] + 20) / ((pa[i] - pa[i - di] + 20) * ratio)))
-                    if best is None or c < best[0]:
-                        best = (c, (di, dj))
-            if best is not None:
-                cost[(i, j)] = best
+                prev, start = before[di]
+                k = j - dj - start
+                if 0 <= k < len(prev) and j >= dj:
+                    c = prev[k] + shape + 4 * abs(lb[dj][j] - la[di][i])
+                    if c < best:
+                        best, how = c, (di, dj)
+            row[j - low], move[j - low] = best, how
+        lows.append(low)
+        costs.append(row)
+        moves.append(move)
     out, i, j = [], n, m
-    while (i or j) and (i, j) in cost:
-        di, dj = cost[(i, j)][1]
+    while (i or j) and 0 <= j - lows[i] < len(moves[i]) and moves[i][j - lows[i]]:
+        di, dj = moves[i][j - lows[i]]
         out.append((list(range(i - di, i)), list(range(j - dj, j))))
         i, j = i - di, j - dj
     return out[::-1]
 
 
-def align_pairs(rows: DataFrame, pair: str, side: str, place: str, length: str) -> DataFrame:
-    """pair, bead, a, b (places joined by commas): rows hold the paragraphs of sides 'a' and 'b' of each pair."""
+def align_arrays(rows: DataFrame, pair: str, a: str, b: str) -> DataFrame:
+    """pair, bead, a, b (places from 0, joined by commas) for rows with the lengths of both sides' paragraphs in order; null sides are empty."""
+    kind = rows.schema[pair].dataType
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        named = lambda xs: ",".join(map(str, xs))
+        some = lambda x: [] if x is None else x.tolist() if hasattr(x, "tolist") else list(x)
+        for pdf in batches:
+            out = [(k, i, named(x), named(y)) for k, s, t in zip(pdf["_p"], pdf["_a"], pdf["_b"]) for i, (x, y) in enumerate(by_length(some(s), some(t)))]
+            if out:
+                yield pd.DataFrame(out, columns=["_p", "bead", "a", "b"])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(place)
-        a, b = pdf[pdf[side] == "a"], pdf[pdf[side] == "b"]
-        beads = by_length(a[length].tolist(), b[length].tolist())
-        if not beads:
-            return pd.DataFrame()
-        name = lambda df, xs: ",".join(str(int(df[place].iloc[x])) for x in xs)
-        return pd.DataFrame({pair: [pdf[pair].iloc[0]] * len(beads), "bead": range(len(beads)), "a": [name(a, x) for x, _ in beads], "b": [name(b, y) for _, y in beads]})
+    src = rows.select(F.col(pair).alias("_p"), F.col(a).cast("array<int>").alias("_a"), F.col(b).cast("array<int>").alias("_b"))
+    return src.mapInPandas(run, f"_p {kind.simpleString()}, bead int, a string, b string").withColumnRenamed("_p", pair)
 
-    return rows.groupBy(pair).applyInPandas(one, f"{pair} {rows.schema[pair].dataType.simpleString()}, bead int, a string, b string")
+
+def align_pairs(rows: DataFrame, pair: str, side: str, place: str, length: str) -> DataFrame:
+    """pair, bead, a, b (places joined by commas): rows hold the paragraphs of sides 'a' and 'b' of each pair."""
+    of = lambda s: F.sort_array(F.collect_list(F.when(F.col(side) == s, F.struct(place, length))))
+    sides = rows.groupBy(pair).agg(of("a").alias("_sa"), of("b").alias("_sb"))
+    lengths = sides.select(pair, F.transform("_sa", lambda x: x[length]).alias("_la"), F.transform("_sb", lambda x: x[length]).alias("_lb"))
+    names = sides.select(pair, F.transform("_sa", lambda x: x[place].cast("string")).alias("_na"), F.transform("_sb", lambda x: x[place].cast("string")).alias("_nb"))
+    named = lambda col, own: F.array_join(F.transform(F.filter(F.split(col, ","), lambda i: i != ""), lambda i: F.get(F.col(own), i.cast("int"))), ",")
+    return align_arrays(lengths, pair, "_la", "_lb").join(names, pair).select(pair, "bead", named("a", "_na").alias("a"), named("b", "_nb").alias("b"))
 
 
 def words(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:

@@ -36,7 +36,8 @@ def mentions(docs: DataFrame, forms: DataFrame, key: str, text: str, owner: str,
     # A form that two owners claim names neither.
     known = known.groupBy("_run").agg(F.min(owner).alias(owner), F.count(F.lit(1)).alias("_c")).where("_c = 1 and _run <> ''").drop("_c")
     hit = reduce(DataFrame.unionByName, runs).join(known, "_run").drop("_run")
-    w = Window.partitionBy(key)
+    # A longer form over a word begins less than ``most_words`` words before it or after it.
+    w = Window.partitionBy(key).orderBy("start").rangeBetween(1 - most_words, most_words - 1)
     spans = hit.withColumn("_all", F.collect_list(F.struct("start", "n_words")).over(w))
     inside = F.exists("_all", lambda o: (o["n_words"] > F.col("n_words")) & (o["start"] < F.col("start") + F.col("n_words")) & (o["start"] + o["n_words"] > F.col("start")))
     return spans.where(~inside).drop("_all")

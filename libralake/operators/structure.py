@@ -37,17 +37,20 @@ def running_titles(heads: DataFrame, doc: str, unit: str, text: str, least: int
     return k.groupBy(doc, "title").agg(F.countDistinct(unit).alias("c")).join(n, doc).where(F.col("c") >= F.greatest(F.lit(float(least)), share * F.col("n"))).select(doc, "title", "c")
 
 
-def sections(heads: DataFrame, doc: str, place: str, level: str) -> DataFrame:
-    """Adds parent (place of the last heading of a smaller level), next_place (first later heading of the same or a smaller level)."""
-    w = Window.partitionBy(doc).orderBy(place)
-    before = F.collect_list(F.struct(place, level)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.collect_list(F.struct(place, level)).over(w.rowsBetween(1, Window.unboundedFollowing))
-    up = F.element_at(F.filter(before, lambda h: h[level] < F.col(level)), -1)
-    down = F.filter(after, lambda h: h[level] <= F.col(level))
-    out = heads.withColumn("_b", before).withColumn("_a", after)
-    up = F.filter(F.col("_b"), lambda h: h[level] < F.col(level))
-    down = F.filter(F.col("_a"), lambda h: h[level] <= F.col(level))
-    return out.withColumn("parent", F.when(F.size(up) > 0, F.element_at(up, -1)[place])).withColumn("next_place", F.when(F.size(down) > 0, down[0][place])).drop("_a", "_b")
+def sections(heads: DataFrame, doc: str, place: str, level: str, deepest: int = 9) -> DataFrame:
+    """Adds parent (place of the last heading of a smaller level), next_place (first later heading of the same or a smaller level).
+
+    One place is carried along for each level from 1 to ``deepest``; deeper headings count as of that level.
+    """
+    own = F.greatest(F.lit(1), F.least(F.col(level), F.lit(deepest))).cast("int")
+
+    def seen(order) -> list:
+        w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return [F.last(F.when(own == n, F.col(place)), ignorenulls=True).over(w) for n in range(1, deepest + 1)]
+
+    out = heads.withColumn("_b", F.array(*seen(F.col(place).asc()))).withColumn("_a", F.array(*seen(F.col(place).desc())))
+    parent = F.when(own > 1, F.array_max(F.slice("_b", F.lit(1), own - 1)))
+    return out.withColumn("parent", parent).withColumn("next_place", F.array_min(F.slice("_a", F.lit(1), own))).drop("_a", "_b")
 
 
 _ABBREVIATED = re.compile(r"(?:\b(?:dr|mr|mrs|ms|st|sr|sra|vol|cap|ed|eds|fig|no|núm|pp?|cf|etc|vs|bzw|z\.b)|\b\p{Lu})\.$".replace(r"\p{Lu}", "[A-ZÁÉÍÓÚÑ]"), re.I)

@@ -397,9 +397,8 @@ def _(spark, d):
 def _(spark, d):
     """Paragraph lengths of every document aligned with those of the document whose key follows."""
     docs = table(spark, d, "documents").select("doc_id", F.transform(F.split("text", "\n"), F.length).alias("n"))
-    a = docs.select(F.col("doc_id").alias("pair"), F.lit("a").alias("side"), F.posexplode("n").alias("place", "length"))
-    b = docs.select((F.col("doc_id") - 1).alias("pair"), F.lit("b").alias("side"), F.posexplode("n").alias("place", "length"))
-    return align.align_pairs(a.unionByName(b), "pair", "side", "place", "length")
+    both = docs.select(F.col("doc_id").alias("pair"), F.col("n").alias("a")).join(docs.select((F.col("doc_id") - 1).alias("pair"), F.col("n").alias("b")), "pair", "full")
+    return align.align_arrays(both, "pair", "a", "b")
 
 
 @query("folio_sequence")
