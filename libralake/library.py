@@ -89,7 +89,7 @@ class Library:
             vectors = self.vectors if not allowed else self.vectors.join(frags.select(self.key), self.key, "left_semi")
             lists.append(fusion.ranked(dense.knn(vectors, self.ports.embed(query), pool, self.key, "vector"), self.key, "dense", pool))
         if asked["quotes"]:
-            exact = fusion.ranked(lexical.phrase(frags, asked["quotes"][0], self.key).withColumnRenamed("n_hits", "score"), self.key, "quote", pool)
+            exact = fusion.ranked(lexical.all_phrases(frags, asked["quotes"], self.key).withColumnRenamed("n_hits", "score"), self.key, "quote", pool)
             lists = [exact.withColumn("route", F.lit("lexical")), *lists[1:]]
         fused = fusion.rrf(lists, self.key, fusion.INTENT_WEIGHTS[asked["intent"]]).orderBy(F.desc("score"), self.key).limit(2 * pool)
         hits = F.broadcast(fused).join(frags, self.key)

@@ -1,14 +1,16 @@
 """Inverted lists, BM25 over weighted columns, phrases and query terms.
 
-Lists are built from the query's terms only: other words are dropped before anything is
-counted or shuffled, so that frequent words cost nothing unless a query has them.
+Without an index, lists are built from the query's terms only: other words are dropped before anything is
+counted or shuffled, so that frequent words cost nothing unless a query has them.  ``build`` stores all
+lists once, dealt and sorted by term; ``Index.search`` then reads the row groups of its terms and no text.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -90,3 +92,66 @@ def query_terms_all(words: str) -> list[str]:
     import re
 
     return re.findall(r"[^\W_]+", words.lower().translate(str.maketrans(T.ACCENTED, T.PLAIN)))
+
+
+def all_phrases(docs: DataFrame, phrases: list[str], key: str = "doc_id", column: str = "text") -> DataFrame:
+    """Documents that have every one of the phrases, with the number of all places; each text is read once."""
+    toks = F.concat(F.lit(" "), F.array_join(T.tokens(F.col(column)), "  "), F.lit(" "))
+    needles = [" " + "  ".join(w) + " " for p in phrases if (w := query_terms_all(p))]
+    if not needles:
+        return docs.select(key, F.lit(0).cast("long").alias("n_hits")).limit(0)
+    count = lambda n: ((F.length("_s") - F.length(F.replace(F.col("_s"), F.lit(n), F.lit("")))) / len(n)).cast("long")
+    found = T.computed(T.computed(docs, [key], _s=toks), [key], _n=F.array(*map(count, needles)))
+    return found.where(F.forall("_n", lambda n: n > 0)).select(key, F.aggregate("_n", F.lit(0).cast("long"), lambda a, b: a + b).alias("n_hits"))
+
+
+@dataclass(frozen=True)
+class Index:
+    """Stored lists of a table of documents: postings (term, key, tf and length of each column) and one row of totals."""
+
+    spark: SparkSession
+    path: str
+    key: str
+    columns: tuple[str, ...]
+
+    def search(self, terms: list[str], weights: dict[str, float] | None = None, every: bool = False, prefix: str | None = None) -> DataFrame:
+        """key, score as ``bm25`` gives it; ``prefix`` is one more term that stands for all words it begins."""
+        w = [(weights or {}).get(c, 1.0) for c in self.columns]
+        terms = [t for t in terms if t != prefix]
+        want = F.col("term").isin(terms) if terms else F.lit(False)
+        asked = F.col("term")
+        if prefix:
+            # A range of terms, which the sorted files are skipped by.
+            inside = (F.col("term") >= prefix) & (F.col("term") < prefix + "\U0010ffff")
+            want = want | inside
+            asked = F.when(inside & ~F.col("term").isin(terms) if terms else inside, F.lit(prefix + "*")).otherwise(F.col("term"))
+        total = lambda arr: reduce(lambda a, b: a + b, [F.lit(x) * F.col(arr)[i] for i, x in enumerate(w)])
+        rows = self.spark.read.parquet(f"{self.path}/postings").where(want).select(self.key, asked.alias("_q"), total("tf").alias("_tf"), total("len").alias("_len"))
+        rows = rows.groupBy(self.key, "_q").agg(F.sum("_tf").alias("_tf"), F.first("_len").alias("_len")).where("_tf > 0")
+        # At most one row for each term of the query, and one row of totals.
+        df = rows.groupBy("_q").agg(F.count(F.lit(1)).alias("_df"))
+        stats = self.spark.read.parquet(f"{self.path}/totals").select(F.col("n").alias("_n"), (total("len") / F.col("n")).alias("_avg"))
+        idf = F.greatest(F.ln((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(1e-6))
+        score = idf * F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
+        hits = rows.join(F.broadcast(df), "_q").crossJoin(F.broadcast(stats)).groupBy(self.key).agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("_c"))
+        return hits.where(F.col("_c") == len(terms) + bool(prefix)).drop("_c") if every else hits.drop("_c")
+
+
+def build(docs: DataFrame, path: str, key: str = "doc_id", columns: dict[str, Column] | None = None, partitions: int | None = None) -> Index:
+    """Stores the lists of all words of the columns under ``path``.
+
+    The words of a document are counted where it is read; lists are dealt by ranges of the term, which splits no
+    file by hand and leaves every file with a narrow range of terms.
+    """
+    columns = columns or {"text": F.col("text")}
+    spark, names = docs.sparkSession, tuple(columns)
+    words = T.computed(docs, [key], **{f"_t{i}": F.coalesce(T.tokens(c), F.array().cast("array<string>")) for i, c in enumerate(columns.values())})
+    lens = F.array(*[F.size(f"_t{i}") for i in range(len(names))])
+    named = lambda i: F.transform(f"_t{i}", lambda t: F.struct(t.alias("term"), F.lit(i).alias("c")))
+    each = F.explode(F.flatten(F.array(*map(named, range(len(names))))))
+    rows = words.select(key, lens.alias("len"), each.alias("_e")).groupBy("_e.term", key, "len").agg(F.array(*[F.count_if(F.col("_e.c") == i).cast("int") for i in range(len(names))]).alias("tf"))
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows.repartitionByRange(n, "term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
+    sums = words.select(lens.alias("len")).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("len")[i]) for i in range(len(names))]).alias("len"))
+    sums.write.mode("overwrite").parquet(f"{path}/totals")
+    return Index(spark, path, key, names)

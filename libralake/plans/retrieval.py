@@ -63,9 +63,35 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", T.key(F.col("p_name")).alias("name_key"), T.fold(F.col("p_brand")).alias("brand_fold"))
 
 
+_indexes: dict[tuple[str, str], lexical.Index] = {}
+COLUMNS = {"text": 1.0, "context": 0.35, "section": 0.6, "normalised": 0.9}
+
+
+def index_of(spark, d) -> lexical.Index:
+    """The stored lists of all documents over four columns, built once in a session."""
+    import tempfile
+    import uuid
+
+    held = (spark.sparkContext.applicationId, d)
+    if held not in _indexes:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = f"{(base or tempfile.mkdtemp(prefix='libralake-index-')).rstrip('/')}/libralake/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
+        head = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
+        cols = {"text": F.col("text"), "context": F.concat_ws(" ", "source", "lang"), "section": head, "normalised": F.upper(head)}
+        _indexes[held] = lexical.build(table(spark, d, "documents"), path, columns=cols)
+    return _indexes[held]
+
+
+def text_scores(spark, d, terms: list[str], every: bool = False) -> DataFrame:
+    """BM25 over the texts alone, from the stored lists."""
+    return index_of(spark, d).search(terms, {"text": 1.0, "context": 0.0, "section": 0.0, "normalised": 0.0}, every)
+
+
 @query("bm25_topk", f"WITH {sql_bm25({'text': 1.0})} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 6) DESC, doc_id LIMIT 50")
 def _(spark, d):
-    s = lexical.bm25(table(spark, d, "documents"), TERMS)
+    s = text_scores(spark, d, TERMS)
     return s.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
 
 
@@ -75,12 +101,36 @@ def _(spark, d):
     return s.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
 
 
+SQL_COLUMNS = {"text": 1.0, "(source || ' ' || lang)": 0.35, "split_part(text, chr(10), 1)": 0.6, "upper(split_part(text, chr(10), 1))": 0.9}
+
+
+@query("bm25_four_columns", f"WITH {sql_bm25(SQL_COLUMNS)} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 6) DESC, doc_id LIMIT 50")
+def _(spark, d):
+    s = index_of(spark, d).search(TERMS, COLUMNS)
+    return s.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
+
+
+SQL_PREFIX = sql_bm25({"text": 1.0}, True, "('the'), ('thr')").replace("list_filter(t_0, lambda x: x = term)", "list_filter(t_0, lambda x: CASE WHEN term = 'thr' THEN starts_with(x, 'thr') ELSE x = term END)")
+
+
+@query("bm25_with_prefix", f"WITH {SQL_PREFIX} SELECT doc_id, round(score, 6) AS score FROM scored")
+def _(spark, d):
+    """All terms, the last one as the beginning of a word."""
+    s = index_of(spark, d).search(["the"], {"text": 1.0, "context": 0.0, "section": 0.0, "normalised": 0.0}, every=True, prefix="thr")
+    return s.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("mandatory_phrases", f"""WITH t AS (SELECT doc_id, ' ' || array_to_string({sql_tokens('text')}, '  ') || ' ' AS s FROM documents), n AS (SELECT doc_id, (length(s) - length(replace(s, ' of  the ', ''))) // length(' of  the ') AS a, (length(s) - length(replace(s, ' in  the ', ''))) // length(' in  the ') AS b FROM t) SELECT doc_id, (a + b)::BIGINT AS n_hits FROM n WHERE a > 0 AND b > 0""")
+def _(spark, d):
+    return lexical.all_phrases(table(spark, d, "documents"), ["of the", "in the"])
+
+
 AND_TERMS = ["the", "of", "are"]
 
 
 @query("bm25_all_terms", f"WITH {sql_bm25({'text': 1.0}, True, '(' + chr(39) + 'the' + chr(39) + '), (' + chr(39) + 'of' + chr(39) + '), (' + chr(39) + 'are' + chr(39) + ')')} SELECT doc_id, round(score, 6) AS score FROM scored")
 def _(spark, d):
-    return lexical.bm25(table(spark, d, "documents"), AND_TERMS, every=True).select("doc_id", F.round("score", 6).alias("score"))
+    return text_scores(spark, d, AND_TERMS, every=True).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("bm25_prefix_terms", f"""WITH t AS (SELECT doc_id, unnest({sql_tokens('text')}) AS term FROM documents)
@@ -160,7 +210,7 @@ den AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank F
 
 
 def lists(spark, d):
-    lex = fusion.ranked(lexical.bm25(table(spark, d, "documents"), TERMS), "doc_id", "lexical", 50)
+    lex = fusion.ranked(text_scores(spark, d, TERMS), "doc_id", "lexical", 50)
     near = dense.knn(table(spark, d, "embeddings"), vector_of(spark, d, 7), 50).withColumnRenamed("vec_id", "doc_id")
     return [lex, fusion.ranked(near, "doc_id", "dense", 50)]
 
@@ -177,7 +227,7 @@ def _(spark, d):
 
 @query("minmax_scores", f"WITH {sql_bm25({'text': 1.0})} SELECT doc_id, round(CASE WHEN max(score) OVER () > min(score) OVER () THEN (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) ELSE 1 END, 5) AS scaled FROM scored")
 def _(spark, d):
-    s = fusion.min_max(lexical.bm25(table(spark, d, "documents"), TERMS), "score")
+    s = fusion.min_max(text_scores(spark, d, TERMS), "score")
     return s.select("doc_id", F.round("scaled", 5).alias("scaled"))
 
 
@@ -186,7 +236,7 @@ o AS (SELECT doc_id, count(*) / {len(TERMS)}.0 AS rr FROM tfs WHERE tf > 0 GROUP
 SELECT doc_id, round(0.2 * fused + 0.8 * rr, 5) AS score FROM m JOIN o USING (doc_id)""")
 def _(spark, d):
     docs = table(spark, d, "documents")
-    s = fusion.min_max(lexical.bm25(docs, TERMS), "score").withColumnRenamed("scaled", "fused")
+    s = fusion.min_max(text_scores(spark, d, TERMS), "score").withColumnRenamed("scaled", "fused")
     share = docs.select("doc_id", T.overlap(F.array(*map(F.lit, TERMS)), T.tokens(F.col("text"))).alias("rr"))
     return fusion.blend(s.join(share, "doc_id"), "fused", "rr").select("doc_id", F.round("score", 5).alias("score"))
 
@@ -203,7 +253,7 @@ def _(spark, d):
 @query("unit_penalty", f"WITH {sql_bm25({'text': 1.0})}, s AS (SELECT doc_id, source, score FROM scored JOIN documents USING (doc_id)) SELECT doc_id, round(score * pow(0.85, row_number() OVER (PARTITION BY source ORDER BY round(score, 9) DESC, doc_id) - 1), 5) AS score FROM s")
 def _(spark, d):
     docs = table(spark, d, "documents")
-    s = lexical.bm25(docs, TERMS).withColumn("r", F.round("score", 9)).join(docs.select("doc_id", "source"), "doc_id")
+    s = text_scores(spark, d, TERMS).withColumn("r", F.round("score", 9)).join(docs.select("doc_id", "source"), "doc_id")
     return fusion.unit_penalty(s, "source", "r", "doc_id", 0.85).select("doc_id", F.round("score_penalised", 5).alias("score"))
 
 
@@ -229,7 +279,7 @@ def _(spark, d):
     docs = table(spark, d, "documents")
     own = docs.where("doc_id = 7").select(F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term")).orderBy(F.desc(F.length("term")), "term").limit(12)
     terms = [r.term for r in own.collect()]
-    lex = fusion.ranked(lexical.bm25(docs, terms), "doc_id", "lexical", 50)
+    lex = fusion.ranked(text_scores(spark, d, terms), "doc_id", "lexical", 50)
     near = fusion.ranked(dense.knn(table(spark, d, "embeddings"), vector_of(spark, d, 7), 50).withColumnRenamed("vec_id", "doc_id"), "doc_id", "dense", 50)
     out = fusion.rrf([lex, near], "doc_id", {"lexical": 0.7, "dense": 1.0}).where(~F.col("doc_id").isin(6, 7, 8))
     return out.select("doc_id", F.round("score", 6).alias("score"))
@@ -287,6 +337,6 @@ dcg AS (SELECT sum((pow(2, coalesce(grade, 0)) - 1) / log2(rank + 1)) AS v FROM
 SELECT round((SELECT v FROM dcg) / (SELECT v FROM ideal), 6) AS ndcg, round((SELECT count(*) FROM j WHERE rank <= 20 AND grade >= 2) / (SELECT count(*) FROM g WHERE grade >= 2), 6) AS recall,
  round(coalesce((SELECT 1.0 / min(rank) FROM j WHERE rank <= 10 AND grade >= 2), 0), 6) AS mrr""")
 def _(spark, d):
-    run = fusion.ranked(lexical.bm25(table(spark, d, "documents"), TERMS), "doc_id", "q", 50).select(F.lit(1).alias("query"), "doc_id", "rank")
+    run = fusion.ranked(text_scores(spark, d, TERMS), "doc_id", "q", 50).select(F.lit(1).alias("query"), "doc_id", "rank")
     grades = table(spark, d, "labels").select(F.lit(1).alias("query"), "doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade"))
     return metrics.retrieval(run, grades, "doc_id").select(*[F.round(c, 6).alias(c) for c in ("ndcg", "recall", "mrr")])
