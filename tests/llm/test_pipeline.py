@@ -112,3 +112,48 @@ def test_stages(spark, tables):
         held = now
     whole = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, path).collect()}
     assert whole == {r.doc_id: r.n_tokens for r in got}
+
+
+def test_odd_rows_and_columns(spark, tables, tmp_path):
+    """Nulls in any column, empty, long and repeated texts, columns with names that operators use, and empty tables."""
+    from pyspark.sql import functions as F
+
+    path, texts, _, items = tables
+    good = [k for k in sorted(texts) if k < 700 and k % 5][:3]
+    long = " ".join(texts[k] for k in sorted(texts) if k < 700 and k % 5)
+    rows = [(1, texts[good[0]]), (1, texts[good[0]]), (2, None), (None, texts[good[1]]), (3, ""), (None, None), (4, long), (4, texts[good[2]]), (5, "one two")]
+    names = ["_k", "_h", "_nth", "_at", "_sk", "_sh", "_sp", "seq", "digest", "row", "at", "key", "cls", "n", "text_hash", "body", "found", "marks", "t1", "best", "copy", "id"]
+    docs = spark.createDataFrame([(k, t, None if k == 2 else "en", None if k is None else f"s{k}", None) for k, t in rows], SCHEMA)
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c}-"), F.coalesce("doc_id", F.lit(0)).cast("string")) for c in names})
+    held = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, held, path).cache()
+        n = out.count()
+        if name == "bpe_encoding":
+            assert n == held.count() and out.where("n_tokens = 0 and decoded <> ''").count() == 0
+            break
+        assert out.schema.names == docs.schema.names and n <= held.count()
+        for c in names:
+            assert out.where(F.col(c) != F.concat(F.lit(f"{c}-"), F.coalesce("doc_id", F.lit(0)).cast("string"))).count() == 0, (name, c)
+        if name == "ngram_jaccard_join":
+            assert out.where("doc_id = 1").count() <= 1
+        held = out
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        kept[name] = sorted(((r.doc_id, r.text) for r in stage(spark, docs, path).collect()), key=str)
+    once = sorted([r for i, r in enumerate(rows) if i != 1], key=str)
+    assert kept["ngram_jaccard_join"] == once
+    assert [r[0] for r in kept["secret_scan"]] == [r[0] for r in sorted(rows, key=str)]
+    clean = lambda t: not any(len(shingles(x) & shingles(t or "")) >= 0.75 * len(shingles(x)) for _, x in items)
+    assert kept["benchmark_decontamination"] == sorted([r for r in rows if clean(r[1])], key=str)
+
+
+def test_empty_tables(spark, tables, tmp_path):
+    path, *_ = tables
+    for name in ("documents", "labels", "benchmark"):
+        other = tmp_path / name
+        for t in ("documents", "labels", "benchmark"):
+            df = spark.read.parquet(f"{path}/{t}.parquet")
+            (df.limit(0) if t == name else df.where("doc_id < 60 or doc_id is null") if "doc_id" in df.columns else df).write.parquet(f"{other}/{t}.parquet")
+        n = corpus_pipeline.run(spark, str(other)).count()
+        assert n == 0 if name != "benchmark" else n > 0
