@@ -1,4 +1,9 @@
-"""The training-corpus pipeline: five stages over ``documents``, each on what the one before it kept."""
+"""The training-corpus pipeline: five stages over ``documents``, each on what the one before it kept.
+
+All stages but the last return the columns they are given, whatever their names.  Null texts count as empty, a null
+key is a key of its own; repeated rows are judged alike, and the Jaccard stage keeps one of those that have
+words; empty tables give no rows.  Each stage says below what that means for it.
+"""
 
 from __future__ import annotations
 
@@ -11,29 +16,39 @@ from libralake.llm.queries import in_fold, table, tokenizer
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality score of 0.7 or more stay."""
+    """Documents with a quality score of 0.7 or more stay.
+
+    Null and empty texts have a score like others.  Without labels, or with labels of one kind, the score is that
+    kind's share for all: 0.5 without any, so that nothing stays.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels, in_fold(F.col("doc_id")))
     return quality.good(docs, model, least=0.7)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays: the one with the smallest doc_id."""
+    """One document of each group of linked documents stays: the one with the smallest doc_id, null last.
+
+    Null texts and texts without words link with nothing and all stay.
+    """
     return ngram_join.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go; null texts contain none, and items without words are in none."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text: owner-specific ones as ``[secret]``, widely copied ones as ``[example]``; all documents stay."""
+    """Secrets are masked in the text: owner-specific ones as ``[secret]``, widely copied ones as ``[example]``; all documents stay.
+
+    A null text stays null; a null source is an owner of its own.
+    """
     return secrets.masked(docs, repo=F.col("doc_id"), owner=F.col("source"))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and decoded text of every document that is left."""
+    """doc_id, n_tokens, ids and decoded text of every document that is left; null texts have no ids and the empty text."""
     return word_bpe.encode(docs, tokenizer("word_bpe_49k.json"))
 
 
@@ -45,7 +60,7 @@ STAGES = [
     ("bpe_encoding", bpe_encoding),
 ]
 
-#: Learned scores and 48-bit set hashes have no SQL; tests/llm hold the stages against brute force.
+#: Learned scores and token ids have no SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
