@@ -11,8 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Bytes of text handled at once; one longer text makes a slice of its own.
-SLICE_BYTES = 4 << 20
+#: Bytes of text handled at once; one longer text makes a slice of its own.  Arrays over its bytes take up to fifty times as much.
+SLICE_BYTES = 1 << 20
 
 
 def filled(column: pa.Array) -> pa.Array:
@@ -36,7 +36,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the text of a slice stays near ``most`` bytes."""
+    """The batches cut so that the text of a slice stays near ``most`` bytes; at the end of the task Arrow gives free memory back."""
+    try:
+        yield from _cut(batches, name, most)
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
+def _cut(batches: Iterator[pa.RecordBatch], name: str, most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -60,3 +67,10 @@ def row_ids() -> Iterator[int]:
     while True:
         yield at
         at += 1
+
+
+def with_text(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
+    """Batches with a column ``row``, and in ``text`` its field at ``place`` as a string: whole rows need not carry their text twice."""
+    for b in batches:
+        field = pc.struct_field(b.column("row"), [place])
+        yield pa.RecordBatch.from_arrays([*b.columns, field if pa.types.is_string(field.type) or pa.types.is_large_string(field.type) else field.cast(pa.string())], names=[*b.schema.names, "text"])

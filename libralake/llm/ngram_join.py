@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._arrow import row_ids, slices, utf8, whole
+from ._arrow import row_ids, slices, utf8, whole, with_text
 from ._components import components
 from ._store import materialize, shuffle_partitions
 from ._words import mix, shingles
@@ -103,7 +103,7 @@ def _rows(docs: DataFrame, key: str, text: str, carry: bool) -> DataFrame:
                 cols = [none, none, pa.array(np.full(k, -1)), pa.array(tok[often].astype(np.int64)), pa.array(count[often])]
                 yield pa.RecordBatch.from_arrays([*cols, *([pa.nulls(k, row)] if carry else [])], names=["at", "key", "n", "cls", "cls2", *(["row"] if carry else [])])
 
-        for b in slices(batches, "text"):
+        for b in slices(with_text(batches, place) if carry else batches, "text"):
             found = list(_sets(b, "text"))
             cols = [[next(ids) for _ in found], b.column("key"), [len(u) for *_, u in found], [_signed(d) for d, *_ in found], [_signed(d) for _, d, _ in found]]
             cols = [pa.array(c, pa.int64()) if isinstance(c, list) else c for c in cols]
@@ -124,7 +124,8 @@ def _rows(docs: DataFrame, key: str, text: str, carry: bool) -> DataFrame:
         if held:
             yield from common()
 
-    src = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text"), *([whole()] if carry else []))
+    place = docs.columns.index(text)
+    src = docs.select(docs[key].cast("long").alias("key"), whole() if carry else docs[text].cast("string").alias("text"))
     return src.mapInArrow(run, kinds.add("row", docs.schema) if carry else kinds)
 
 
@@ -213,14 +214,13 @@ def _shared(packs: DataFrame, keys: list[int]) -> DataFrame:
 
     def one(packs: list[dict]) -> Iterator[pa.RecordBatch]:
         tok, own, size = opened(packs)
-        order = np.argsort(tok, kind="stable")
-        tok, own, size = tok[order], own[order], size[order]
-        same = np.concatenate([[False], tok[1:] == tok[:-1]])
-        twice = same.copy()
-        twice[:-1] |= same[1:]
-        tok, own, size = tok[twice], own[twice], size[twice]
-        if not len(tok):
+        # What stands once goes before anything else is sorted.
+        repeated = np.sort(tok)
+        repeated = np.unique(repeated[1:][repeated[1:] == repeated[:-1]])
+        if not len(repeated):
             return
+        twice = repeated[np.minimum(np.searchsorted(repeated, tok), len(repeated) - 1)] == tok
+        tok, own, size = tok[twice], own[twice], size[twice]
         order = np.lexsort((own, tok))
         tok, own, size = tok[order], own[order], size[order]
         keep = np.concatenate([[True], (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])])
@@ -476,7 +476,8 @@ def _linked(docs: DataFrame, key: str, text: str, carry: bool) -> tuple[DataFram
     # At most 1 / COMMON_SHARE times the mean size of a set.
     common = found.where("n < 0").groupBy("cls").agg(F.sum("cls2").alias("many")).where(F.col("many") >= COMMON_SHARE * rows.count()).select("cls")
     common = np.array(sorted(r[0] for r in common.collect()), np.uint64)
-    n = shuffle_partitions(spark)
+    # Lists are held in a task whole: half as much in each as in other shuffles.
+    n = 2 * shuffle_partitions(spark)
     keys = _partition_keys(spark, n)
     texts = docs.select(docs[text].cast("string").alias("text"))
     alive = materialize(_alive(_shared(_packed_lists(texts, "text", keys, common), keys), n), "alive")

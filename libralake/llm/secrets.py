@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._arrow import filled, row_ids, slices, whole
+from ._arrow import filled, row_ids, slices, whole, with_text
 from ._store import materialize
 
 BASE = ("assign", "access", "hex")
@@ -92,21 +92,22 @@ _FOUND = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end"
 
 
 def find(docs: DataFrame, key: str, text: str, repo: Column, owner: Column, carry: bool = False) -> DataFrame:
-    """at (number of the row), key, repo, owner, found: array of (start, kind, end, digest of the value, random); with ``carry`` also text and row."""
-    more = ["text", "row"] if carry else []
+    """at (number of the row), key, repo, owner, found: array of (start, kind, end, digest of the value, random); with ``carry`` also row."""
+    more = ["row"] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = row_ids()
         # A full stop at its end is none of a value.
         hashed = lambda v: int.from_bytes(hashlib.blake2b(v.rstrip(".").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-        for b in slices(batches, "text"):
+        for b in slices(with_text(batches, place) if carry else batches, "text"):
             found = [[{"start": s, "kind": k, "end": e, "digest": hashed(v), "random": k == VALUE and random_looking(v)} for s, k, e, v in candidates(t)] for t in filled(b.column("text")).to_pylist()]
             cols = [pa.array([next(ids) for _ in found], pa.int64()), *map(b.column, ("key", "repo", "owner")), pa.array(found, _FOUND), *map(b.column, more)]
             yield pa.RecordBatch.from_arrays(cols, names=["at", "key", "repo", "owner", "found", *more])
 
-    src = docs.select(docs[key].cast("long").alias("key"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), docs[text].cast("string").alias("text"), *([whole()] if carry else []))
+    place = docs.columns.index(text)
+    src = docs.select(docs[key].cast("long").alias("key"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), whole() if carry else docs[text].cast("string").alias("text"))
     schema = T.StructType().add("at", "long").add("key", "long").add("repo", "string").add("owner", "string").add("found", FOUND)
-    return src.mapInArrow(run, schema.add("text", "string").add("row", docs.schema) if carry else schema)
+    return src.mapInArrow(run, schema.add("row", docs.schema) if carry else schema)
 
 
 def _each(rows: DataFrame) -> DataFrame:
@@ -175,12 +176,13 @@ def masked(docs: DataFrame, repo: Column, owner: Column, key: str = "doc_id", te
     with the mark of the first; all other columns and all rows stay as they were.  The texts are written once with
     what was found in them; only rows with candidates are shuffled.
     """
+    place = docs.columns.index(text)
     rows = materialize(find(docs, key, text, repo, owner, carry=True), "secrets")
     found = judged(rows, copied_owners, copied_repos).where((F.col("kind") != VALUE) | F.col("span"))
     marks = found.groupBy("at").agg(F.sort_array(F.collect_set(F.struct("start", "end", (F.col("verdict") == "copied").alias("copied")))).alias("marks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(with_text(batches, place), "text"):
             out = []
             for t, spans in zip(b.column("text").to_pylist(), b.column("marks").to_pylist()):
                 parts, at = [], 0
@@ -191,7 +193,7 @@ def masked(docs: DataFrame, repo: Column, owner: Column, key: str = "doc_id", te
                 out.append("".join([*parts, t[at:]]))
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.string())], names=["row", "text"])
 
-    some = rows.where(F.size("found") > 0).join(marks, "at", "left").select("row", "text", "marks")
+    some = rows.where(F.size("found") > 0).join(marks, "at", "left").select("row", "marks")
     some = some.mapInArrow(run, T.StructType().add("row", docs.schema).add("text", "string"))
     changed = some.select(*[F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
     return rows.where(F.size("found") == 0).select("row.*").unionByName(changed)
