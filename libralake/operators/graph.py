@@ -22,14 +22,15 @@ def _saved(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mentions(docs: DataFrame, forms: DataFrame, key: str, text: str, owner: str, form: str, most_words: int = 3) -> DataFrame:
+def mentions(docs: DataFrame, forms: DataFrame, key: str, text: str, owner: str, form: str, most_words: int = 3, lengths: list[int] | None = None) -> DataFrame:
     """key, owner, start (word place), n_words: where a form stands in a text, longer forms first, none inside another.
 
-    Forms are joined by equality with the runs of one to ``most_words`` words of each text: no text meets all forms.
+    Forms are joined by equality with the runs of one to ``most_words`` words of each text (of ``lengths`` only, where given):
+    no text meets all forms.
     """
     toks = docs.select(key, T.tokens(F.col(text)).alias("_t"))
     runs = []
-    for n in range(1, most_words + 1):
+    for n in lengths or range(1, most_words + 1):
         at = F.when(F.size("_t") >= n, F.sequence(F.lit(1), F.size("_t") - (n - 1))).otherwise(F.array().cast("array<int>"))
         runs.append(toks.select(key, F.explode(at).alias("start"), "_t").select(key, "start", F.lit(n).alias("n_words"), F.array_join(F.slice("_t", F.col("start"), n), " ").alias("_run")))
     known = forms.select(F.array_join(T.tokens(F.col(form)), " ").alias("_run"), owner).distinct()

@@ -22,10 +22,17 @@ def content_signals(texts: DataFrame, works: DataFrame, doc: str, text: str, wor
     tell the relation; else it is cited (0.5 with the author, else 0.35).  Titles meet texts by equality of word runs.
     """
     named = works.select(work, T.key(F.col(title)).alias("_t"), T.key(F.col(surname)).alias("_s")).where(F.length("_t") >= 6)
-    hits = graph.mentions(texts, named, doc, text, work, "_t", 12).groupBy(doc, work).agg(F.min("start").alias("_at"))
-    rows = hits.join(named, work).join(texts.select(doc, T.key(F.col(text)).alias("_k")), doc)
+    # At most twelve numbers.
+    lengths = sorted(r[0] for r in named.select(F.size(F.split("_t", " "))).distinct().collect() if r[0] <= 12)
+    if not lengths:
+        return texts.join(works, F.lit(False)).select(doc, work, F.lit("cites").alias("relation"), F.lit(0.0).alias("weight"))
+    hits = graph.mentions(texts, named, doc, text, work, "_t", 12, lengths).groupBy(doc, work).agg(F.min("start").alias("_at"))
+    # Keys are made of the few texts that name a work, once each.
+    rows = T.computed(hits.join(named, work).join(texts.select(doc, text), doc), [doc, work, "_t", "_s"], _k=T.key(F.col(text)))
     at = F.instr(F.concat(F.lit(" "), "_k", F.lit(" ")), F.concat(F.lit(" "), "_t", F.lit(" ")))
     near = F.substring("_k", F.greatest(F.lit(1), at - around), F.length("_t") + 2 * around - F.greatest(F.lit(0), around - at + 1))
+    rows = T.computed(rows, [doc, work, "_t", "_s"], _near=near)
+    near = F.col("_near")
     by = F.contains(F.concat(F.lit(" "), near, F.lit(" ")), F.concat(F.lit(" "), "_s", F.lit(" "))) & (F.col("_s") != "")
     whole = (F.size(F.split("_t", " ")) >= 2) & (F.length("_t") >= 10)
     relation = F.when(near.rlike(TRANSLATION), "translation").when(near.rlike(ADAPTATION), "adaptation").otherwise("cites")
