@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -142,6 +142,8 @@ class Library:
         mine = self.search(query, limit).select(F.col(self.key).alias("id"), "score", F.lit("text").alias("layer"))
         other = lexical.bm25(cards, query, "key").select(F.col("key").alias("id"), "score", F.lit("card").alias("layer"))
         both = mine.unionByName(other)
-        top = F.max("score").over(Window.partitionBy("layer"))
+        # One row for each layer.
+        top = F.broadcast(both.groupBy("layer").agg(F.max("score").alias("_top")))
         weight = F.when(F.col("layer") == "card", 0.8).otherwise(1.0)
-        return both.withColumn("score", F.round(weight * F.col("score") / F.greatest(top, F.lit(1e-9)), 6)).orderBy(F.desc("score"), "id").limit(limit)
+        scaled = both.join(top, "layer").withColumn("score", F.round(weight * F.col("score") / F.greatest("_top", F.lit(1e-9)), 6))
+        return scaled.select("id", "score", "layer").orderBy(F.desc("score"), "id").limit(limit)

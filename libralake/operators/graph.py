@@ -63,8 +63,9 @@ def cooccurrence(ments: DataFrame, doc: str, part: str, entity: str, at: str | N
 def neighbours(edges: DataFrame, k: int, a: str = "a", b: str = "b", weight: str = "weight", doc: str | None = None) -> DataFrame:
     """node, other, weight, n_docs, rank: the k strongest neighbours of every node."""
     cols = [F.sum(weight).alias("weight"), (F.countDistinct(doc) if doc else F.count(F.lit(1))).alias("n_docs")]
-    both = edges.select(F.col(a).alias("node"), F.col(b).alias("other"), weight, *([doc] if doc else [])).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("other"), weight, *([doc] if doc else [])))
-    total = both.groupBy("node", "other").agg(*cols)
+    # A pair is summed once, then seen from both ends.
+    pair = edges.groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(*cols)
+    total = pair.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight", "n_docs").unionByName(pair.where("a <> b").select(F.col("b").alias("node"), F.col("a").alias("other"), "weight", "n_docs"))
     w = Window.partitionBy("node").orderBy(F.desc(F.round("weight", 6)), "other")
     return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -368,3 +368,12 @@ def _(spark, d):
     u = u.withColumn("_l", F.lag("t1").over(w)).where("_l is null or t0 >= _l").drop("_l")
     frames = e.where("event_type = 'error'").select("event_id", "user_id", "t")
     return media.closest_units(frames, u, "user_id", "t", "t0", "t1", "unit").select("event_id", "unit", "inside")
+
+
+ASKED = ["small ring", "RING", "red wid", "id", "12", "nothing like it", "é", "large"]
+
+
+@query("resolve_titles", f"""WITH q(q) AS (VALUES {', '.join(f"('{q}')" for q in ASKED)}), k AS (SELECT q, p_partkey, {sql_key('p_name')} AS t, {sql_key('q')} AS k FROM part, q), r AS (SELECT q, p_partkey, CASE WHEN p_partkey::VARCHAR = q THEN 0 WHEN t = k THEN 1 WHEN k <> '' AND starts_with(t, k) THEN 2 WHEN k <> '' AND contains(t, k) THEN 3 END AS r FROM k)
+SELECT q, arg_min(p_partkey, (r, p_partkey)) AS p_partkey FROM r WHERE r IS NOT NULL GROUP BY q""")
+def _(spark, d):
+    return ingest.resolve_document(spark.createDataFrame([(q,) for q in ASKED], "q string"), table(spark, d, "part"), "q", "p_partkey", "p_name")
