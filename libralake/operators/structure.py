@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -200,12 +201,25 @@ def _loose(letters: str) -> str:
     return letters.replace("ς", "σ")
 
 
+#: Characters of quotations that one pass sends to the tasks.
+QUOTE_CHARS = 16_000_000
+
+
 def locate_all(docs: DataFrame, quotes: DataFrame, doc: str, text: str, item: str, quote: str) -> DataFrame:
     """doc, item, start, end, confidence: every hit of ``locate`` among all documents and quotations.
 
-    Quotations go to the tasks by their first letters; those of a text are looked up at every place
-    of its letters, so a pair that is passed by is one that ``locate`` would not find.
+    Quotations go to the tasks in blocks of ``QUOTE_CHARS`` characters (one pass over the documents for each) by their
+    first letters; those of a text are looked up at every place of its letters, so a pair that is passed by is one
+    that ``locate`` would not find.
     """
+    total = quotes.agg(F.sum(F.length(quote))).first()[0] or 0
+    n = max(1, -(-total // QUOTE_CHARS))
+    own = F.pmod(F.xxhash64(F.col(item), F.col(quote)), F.lit(n))
+    return reduce(DataFrame.unionByName, [_locate_block(docs, quotes.where(own == i) if n > 1 else quotes, doc, text, item, quote) for i in range(n)])
+
+
+def _locate_block(docs: DataFrame, quotes: DataFrame, doc: str, text: str, item: str, quote: str) -> DataFrame:
+    """As ``locate_all``, for quotations that fit in one broadcast."""
     wanted: dict[int, dict[str, list[tuple[int, str]]]] = {}
     for k, q in quotes.select(F.col(item).cast("long"), F.col(quote).cast("string")).where(F.length(quote) > 0).collect():
         for letters in reach(q):

@@ -25,7 +25,7 @@ def test_loops(spark, tmp_path):
     assert got == {i: looped(t) for i, t in enumerate(texts)} and sum(got.values()) >= 5
 
 
-def test_quotes(spark, tmp_path):
+def test_quotes(spark, tmp_path, monkeypatch):
     long = "It was the best of times, it was the worst of times, it was the age of wisdom, it was the age of foolishness"
     quotes = [long, "Two words", "é", "—", "", None, "ΑΣ", "To be or not to be that is the question of this whole long evening here"]
     texts = [
@@ -35,6 +35,9 @@ def test_quotes(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = sorted(tuple(r) for r in QUERIES["quote_locate"](spark, str(tmp_path)).collect())
+    monkeypatch.setattr(structure, "QUOTE_CHARS", 60)
+    parted = sorted(tuple(r) for r in QUERIES["quote_locate"](spark, str(tmp_path)).collect())
+    assert parted == got
     want = sorted((k, i, *hit) for k, t in enumerate(texts) for i, q in enumerate(quotes) if (hit := structure.locate(q or "", t or "")))
     assert got == want and {(1, 0), (2, 0), (4, 1), (5, 2), (5, 3), (8, 7)} <= {x[:2] for x in got}
 
