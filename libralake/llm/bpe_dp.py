@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterable
 
 import ahocorasick
 
-#: Pairs of tokens whose compatibility is remembered: about 20 MB.
+#: Pairs of tokens whose compatibility is remembered, over all tasks of a worker: about 20 MB.
 MOST_PAIRS = 150_000
 
 
@@ -39,9 +39,6 @@ class PrefixBpe:
             self._auto.add_word(t, i)
         self._auto.make_automaton()
 
-    def forget(self) -> None:
-        self._fits.clear()
-
     def merge(self, s: str) -> list[str]:
         """Plain merging by priority, leftmost first: the definition, used on pairs of tokens only."""
         parts = self.symbols(s)

@@ -32,6 +32,8 @@ _ODD = re.compile(f"  |^ |{MARK}")
 class PieceCounter(Remembered):
     """Maps a segment to its number of tokens."""
 
+    most_bytes = 64 << 20
+
     def __init__(self, path: str):
         super().__init__()
         import sentencepiece
@@ -48,11 +50,6 @@ class PieceCounter(Remembered):
         #: Characters that stand next to each other in some piece; nothing merges between two others.
         self.near = frozenset(x for p in ranks for x in zip(p, p[1:]))
 
-    def forget(self) -> None:
-        super().forget()
-        if hasattr(self, "dp"):
-            self.dp.forget()
-
     def runs(self, segment: str) -> Iterator[tuple[str, bool]]:
         """The segment parted into runs of known characters and single unknown ones."""
         at = 0

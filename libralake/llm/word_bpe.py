@@ -45,6 +45,8 @@ def _byte_letters() -> dict[int, str]:
 class Words(Remembered):
     """Maps a pre-tokenised word to its ids, packed."""
 
+    most_bytes = 8 << 20
+
     def __init__(self, spec: dict):
         super().__init__()
         model = spec["model"]
@@ -66,11 +68,6 @@ class Words(Remembered):
         s = word if word.isascii() and word.isprintable() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
         return array(CODE, [self.id[t] for t in self.dp.encode(s + END)]).tobytes()
 
-    def forget(self) -> None:
-        super().forget()
-        if hasattr(self, "dp"):
-            self.dp.forget()
-
 
 def _lowered(text: str) -> str:
     """NFC and lower case, character by character."""
@@ -78,7 +75,12 @@ def _lowered(text: str) -> str:
 
 
 class WordBpe(Remembered):
-    """Maps a run of non-space characters to its ids, packed."""
+    """Maps a run of non-space characters to its ids, packed.
+
+    Words of letters are runs too, so they are remembered here alone; ``words`` has the other pieces.
+    """
+
+    most_bytes = 64 << 20
 
     def __init__(self, path: str):
         super().__init__()
@@ -108,9 +110,9 @@ class WordBpe(Remembered):
         low, words = _lowered(run), self.words
         # Letters alone, or with one mark after them, part as the pattern parts them; special tokens are neither.
         if low.isalpha():
-            return words[low]
+            return words.compute(low) if low == run else self[low]
         if low[-1] in ".,;:!?" and low[:-1].isalpha():
-            return words[low[:-1]] + words[low[-1]]
+            return self[low[:-1]] + words[low[-1]]
         return b"".join(self._pieces(run))
 
     def runs(self, text: str) -> list[str]:
