@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import citations, dense, filters, folios, fusion, graph, ingest, intervals, media, passages, structure, tables, transcripts
+from ..operators import citations, dense, filters, folios, fusion, graph, ingest, intervals, media, structure, tables
 from .registry import query, sql_fold, sql_key, sql_tokens, table
 from .works import SQL_LINES, pick
 

@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bibliography, citations, dense, filters, folios, fusion, graph, history, ingest, intervals, media, passages, structure, tables, transcripts, works
-from .registry import query, sql_fold, sql_key, sql_tokens, table
+from ..operators import bibliography, dense, graph, history, ingest, structure, works
+from .registry import query, sql_key, sql_tokens, table
 
 SQL_LINES = "u AS (SELECT doc_id, p.i - 1 AS place, p.u AS unit FROM (SELECT doc_id, unnest(list_transform(list_filter(string_split(text, chr(10)), lambda s: length(trim(s)) > 0), lambda s, i: {'i': i, 'u': s})) AS p FROM documents))"
 
