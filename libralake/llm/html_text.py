@@ -142,7 +142,9 @@ class _Page(HTMLParser):
             if (a.get("role") or "").lower() in _ROLES or (a.get("aria-hidden") or "").lower() == "true":
                 sure = STRONG
             if _NAMES.search(name):
-                sure = max(sure, suspicion(name, self.regions > 0))
+                found = suspicion(name, self.regions > 0)
+                # A title may be called a header or a banner.
+                sure = max(sure, 0 if found == WEAK and tag in HEADINGS else found)
         if tag == "main":
             held = self.suspect
             while held >= 0 and not self.main[held]:

@@ -313,6 +313,8 @@ def test_html_names_on_any_tag():
     para = "<p>" + "Long words of an article that goes on for a while, as articles do, without an end. " * 4 + "</p>"
     text = html_text.main_text(f'<body><article>{para * 5}<p class="advert">Buy our shoes, which are the best shoes that you can buy today.</p><p class="cookie-notice">We use cookies to make this page better for all of its readers.</p><a class="share" href="/">Share</a><section id="related-work">{para}</section></article>')
     assert text.count("Long words") == 24 and not any(x in text for x in ("shoes", "cookies", "Share"))
+    titled = html_text.main_text(f'<body><h1 class="page-header">Its title</h1>{para * 3}<h2 class="comments-title">Comments</h2>')
+    assert titled.startswith("Its title") and "Comments" not in titled
     whole = html_text.main_text(f'<body><div id="related-work">{para * 3}</div>')
     assert whole.count("Long words") == 12
 
