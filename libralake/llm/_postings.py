@@ -1,7 +1,8 @@
 """Inverted lists by block of documents: one row for each block and term, as Arrow arrays.
 
 A block is a slice of neighbouring rows of bounded bytes, so a term that every document holds
-is one row for each block, and no list outgrows its block.
+is one row for each block, and no list outgrows its block.  An entry of a list is a document's place in the
+block, times 2**32, plus how often it holds the term.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-SCHEMA = "block long, term string, n long, docs array<int>, counts array<int>, keys array<long>, sizes array<long>, words array<long>"
+SCHEMA = "block long, term string, n long, held array<long>, keys array<long>, sizes array<long>, words array<long>"
 
 
 def words_of(raw: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -61,19 +62,18 @@ def lists(rows: pa.Array, column: pa.Array, longest: int, block: int) -> pa.Reco
     first = np.searchsorted(term, np.arange(n + 1)).astype(np.int32)
     total = np.add.reduceat(counts, first[:-1]) if n else np.zeros(0, np.int64)
     sizes = np.sum([np.maximum(n_words - j, 0) for j in range(longest)], axis=0)
-    listed = lambda flat: pa.ListArray.from_arrays(pa.array(np.append(first, first[-1])), pa.array(flat.astype(np.int32)))
     head = lambda values: pa.concat_arrays([pa.nulls(n, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), values)])
     cols = [
         pa.array(np.full(n + 1, block), pa.int64()),
         pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.nulls(1, pa.string())]),
         pa.array(np.append(total, 0), pa.int64()),
-        *map(listed, (doc, counts)),
+        pa.ListArray.from_arrays(pa.array(np.append(first, first[-1])), pa.array(doc << 32 | counts)),
         *map(head, (rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows, pa.array(sizes, pa.int64()), pa.array(n_words, pa.int64()))),
     ]
-    return pa.RecordBatch.from_arrays(cols, names=["block", "term", "n", "docs", "counts", "keys", "sizes", "words"])
+    return pa.RecordBatch.from_arrays(cols, names=["block", "term", "n", "held", "keys", "sizes", "words"])
 
 
-def postings(docs: DataFrame, key: str, text: str, longest: int = 1, most: int = 2 << 20) -> DataFrame:
+def postings(docs: DataFrame, key: str, text: str, longest: int = 1, most: int = 4 << 20) -> DataFrame:
     """The lists of all blocks of at most ``most`` bytes (one longer text is a block of its own); null texts have no words.
 
     Numbers of blocks hold for one evaluation: write the table before it is read twice.
@@ -93,5 +93,5 @@ def heads(index: DataFrame) -> DataFrame:
 
 
 def terms(index: DataFrame) -> DataFrame:
-    """block, term, n, docs, counts: the lists alone."""
-    return index.where("term is not null").select("block", "term", "n", "docs", "counts")
+    """block, term, n, held: the lists alone."""
+    return index.where("term is not null").select("block", "term", "n", "held")

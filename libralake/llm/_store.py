@@ -38,6 +38,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_uri(spark: SparkSession) -> str:
+    """A folder for files that live as long as a task, in the shared folder."""
+    return f"{_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

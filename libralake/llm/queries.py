@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
-from . import decontaminate, fingerprints, html_text, licenses, ngram_join, quality, ranked_search, resample, secrets, substring_dedup, token_counts, word_bpe
+from . import decontaminate, fingerprints, html_text, licenses, ngram_join, quality, ranked_search, resample, secrets, substring_dedup, suffix_dedup, token_counts, word_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(ranked_search.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"), digest=True)
+
+
 QUERIES = {
     "op1_substring_dedup": op1,
     "op2_document_fingerprints": op2,
@@ -91,6 +95,7 @@ QUERIES = {
     "op10_license_scan": op10,
     "op11_resample": op11,
     "op12_ranked_search": op12,
+    "op13_suffix_dedup": op13,
 }
 
 

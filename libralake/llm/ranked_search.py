@@ -88,6 +88,13 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return materialize(postings(docs, key, text), "lists")
 
 
+def _entries(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, document and number of every entry of a column of lists."""
+    column = column.combine_chunks()
+    flat = column.flatten().to_numpy()
+    return np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())), flat >> 32, flat & 0xFFFFFFFF
+
+
 def _searched(k: int, n_docs: int, n_words: int):
     """Searches one block of documents for all blocks of queries that share a term with it."""
 
@@ -101,16 +108,12 @@ def _searched(k: int, n_docs: int, n_words: int):
         order = np.empty(len(keys), np.int64)
         order[sorted(range(len(keys)), key=lambda i: (keys[i] is None, keys[i] or 0, i))] = np.arange(len(keys))
         block = lists.column("block")[0].as_py()
-        flat = lambda t, c: (t.column(c).combine_chunks().flatten().to_numpy().astype(np.int64), np.diff(t.column(c).combine_chunks().offsets.to_numpy()))
         asked = lists.column("query_block").to_numpy()
         for q in np.unique(asked):
             t = lists.filter(pa.array(asked == q)).combine_chunks()
-            doc, n = flat(t, "docs")
-            term = np.repeat(np.arange(t.num_rows), n)
-            tf = flat(t, "counts")[0]
+            term, doc, tf = _entries(t.column("held"))
             trees = MaxTrees(term, doc, t.column("w").to_numpy()[term] * ((1_000_000_000 * tf) // (1000 * tf + 12 * m[doc])), t.num_rows, len(keys))
-            query, n = flat(t, "queries")
-            own, times = np.repeat(np.arange(t.num_rows), n), flat(t, "times")[0]
+            own, query, times = _entries(t.column("queries"))
             by = np.argsort(query, kind="stable")
             for part in np.split(by, np.flatnonzero(np.diff(query[by])) + 1):
                 out += [(int(q), int(query[part[0]]), keys[d], s, block, d) for s, d in trees.best(own[part], times[part], k, order)]
@@ -123,11 +126,11 @@ def search(lists: DataFrame, queries: DataFrame, k: int = 20, key: str = "item_i
     """key, rank, doc_key, score: the k best documents of each query, all with a score above 0 where there are fewer."""
     asked = materialize(postings(queries, key, text, most=QUERY_BYTES), "queries")
     n_docs, n_words = heads(lists).agg(F.count_if(F.col("size") > 0), F.coalesce(F.sum("size"), F.lit(0))).first()
-    uses = terms(asked).select(F.col("block").alias("query_block"), "term", F.col("docs").alias("queries"), F.col("counts").alias("times"))
-    df = terms(lists).select("term", F.size("docs").cast("long").alias("n")).join(uses.select("term").distinct(), "term").groupBy("term").agg(F.sum("n").alias("df"))
+    uses = terms(asked).select(F.col("block").alias("query_block"), "term", F.col("held").alias("queries"))
+    df = terms(lists).select("term", F.size("held").cast("long").alias("n")).join(uses.select("term").distinct(), "term").groupBy("term").agg(F.sum("n").alias("df"))
     w = F.floor(1000 * F.ln(F.lit(2.0 * n_docs + 2) / (2.0 * F.col("df") + 1))).cast("long")
     known = materialize(uses.join(df.select("term", w.alias("w")), "term").where("w > 0"), "weights")
-    hits = terms(lists).select("block", "term", "docs", "counts").join(known, "term").select("block", "query_block", "w", "docs", "counts", "queries", "times")
+    hits = terms(lists).select("block", "term", "held").join(known, "term").select("block", "query_block", "w", "held", "queries")
     found = hits.groupBy("block").cogroup(heads(lists).select(F.col("block").alias("at"), "doc", "key", "size").groupBy("at")).applyInArrow(_searched(k, n_docs, max(1, n_words)), FOUND)
     best = Window.partitionBy("query_block", "query").orderBy(F.col("score").desc(), F.col("key").asc_nulls_last(), "block", "doc")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -50,10 +50,10 @@ def weights(index: DataFrame, features: DataFrame, buckets: int) -> DataFrame:
     known = features.where("s > 0").join(F.broadcast(gains(features, buckets)), "bucket").select("term", "s", "gain")
     least = (features.agg(F.sum("s")).first()[0] or 0) / HOT
     hot = F.broadcast(known.where(F.col("s") >= least).drop("s"))
-    seen = terms(index).select("block", "term", F.arrays_zip("docs", "counts").alias("held"))
+    seen = terms(index).select("block", "term", "held")
     met = seen.join(hot, "term").unionByName(seen.join(hot, "term", "left_anti").join(known.where(F.col("s") < least).drop("s"), "term"))
     none = F.lit(None).cast("long")
-    parts = met.select("block", F.explode("held").alias("h"), "gain").select("block", F.col("h.docs").alias("doc"), (F.col("h.counts") * F.col("gain")).alias("weight"), none.alias("key"), none.alias("size"), none.alias("words"))
+    parts = met.select("block", F.explode("held").alias("h"), "gain").select("block", F.shiftright("h", 32).cast("int").alias("doc"), (F.col("h").bitwiseAND(0xFFFFFFFF) * F.col("gain")).alias("weight"), none.alias("key"), none.alias("size"), none.alias("words"))
     whole = heads(index).withColumn("weight", F.lit(0).cast("long"))
     return parts.unionByName(whole).groupBy("block", "doc").agg(*[F.max(c).alias(c) for c in ("key", "size", "words")], F.sum("weight").alias("weight"))
 
