@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._postings import heads, postings, terms
-from ._store import materialize, shuffle_partitions
+from ._store import settled, shuffle_partitions
 
 #: Features broadcast with their gains: those with at least one in so many of all occurrences.
 HOT = 10_000
@@ -63,16 +63,16 @@ def resample(docs: DataFrame, target: DataFrame, longest: int = 1, buckets: int
 
     Of the N documents with at least ``least_words`` words the floor(percent * N / 100) with the highest scores are drawn.
     """
-    index = materialize(postings(docs, key, text, longest), "features")
-    aim = materialize(postings(target.select(F.lit(0).alias("key"), F.col(target_text).alias("text")), "key", "text", longest), "target")
-    features = materialize(dictionary(index, aim, buckets), "dictionary")
+    index = settled(postings(docs, key, text, longest), "features")
+    aim = settled(postings(target.select(F.lit(0).alias("key"), F.col(target_text).alias("text")), "key", "text", longest), "target")
+    features = settled(dictionary(index, aim, buckets), "dictionary")
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.ln(-F.ln((h + 0.5) / 4294967296.0)))
     scored = weights(index, features, buckets).withColumn("score", (F.col("weight") + noise).cast("long")).withColumn("out", F.col("words") < least_words)
     # Documents that may be drawn come first; ids that grow by one within a partition number them.
     order = [F.col("out"), F.col("score").desc(), F.col("key").asc_nulls_last(), F.col("block"), F.col("doc")]
     placed = scored.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
-    placed = materialize(placed.select("key", "size", "weight", "score", "out", F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND((1 << 33) - 1).alias("place")), "ordered")
+    placed = settled(placed.select("key", "size", "weight", "score", "out", F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND((1 << 33) - 1).alias("place")), "ordered")
     # One row for each partition.
     sizes = placed.groupBy("part").agg(F.count_if(~F.col("out")).alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
