@@ -150,14 +150,28 @@ class Queue:
                 for c in run.take(key):
                     some = True
                     yield tuple(c)
-            for c in self.near.pop(key, ()):
+            near = self.near.pop(key, [])
+            self.size -= sum(len(c[0]) for c in near)
+            for part in _batches(near):
                 some = True
-                self.size -= len(c[0])
-                yield c
+                yield part
             if not some:
                 return
 
 
+def _batches(parts: list[tuple]) -> Iterator[tuple]:
+    """Small parts put together."""
+    some, n = [], 0
+    for part in parts:
+        some.append(part)
+        n += len(part[0])
+        if n >= BATCH:
+            yield tuple(np.concatenate(c) for c in zip(*some)) if len(some) > 1 else part
+            some, n = [], 0
+    if some:
+        yield tuple(np.concatenate(c) for c in zip(*some)) if len(some) > 1 else some[0]
+
+
 class Symbols:
     """A text on disk; one of at most ``most`` symbols is held, a longer one read by blocks."""
 
@@ -233,7 +247,8 @@ class Inducer:
         if not len(i):
             self.since = {s: min(v, floor) for s, v in self.since.items()}
             return
-        i = i[np.argsort(d[i], kind="stable")]
+        # Small numbers are sorted by digits.
+        i = i[np.argsort(d[i].astype(np.uint16) if d.max() < 1 << 16 else d[i], kind="stable")]
         s = d[i]
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         low = np.zeros(len(i), np.int64)
