@@ -38,12 +38,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settled(df: DataFrame, tag: str) -> DataFrame:
-    """As ``materialize``, packed closer; then the driver forgets the shuffles behind the table, so that Spark deletes their files."""
+    """As ``materialize``, packed closer; Spark deletes the shuffle files behind the table once it is written."""
     spark = df.sparkSession
     path = f"{_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    spark._jvm.System.gc()
+    before = spark.conf.get(_DROP_SHUFFLES)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,9 +3,8 @@
 The standard library's parser streams events; each block of a page is a line with its
 text and the number of tags in and before it.  Text-to-tag ratios are smoothed with a
 Gaussian and split into two clusters by threshold; the container with most text in the
-upper cluster is the content region; all sibling articles are.  Within a marked region (article, main) every
-block counts, short ones too; within one that density found, all but blocks of links
-in the lower cluster.  Outside the region containers that are mostly dense count whole,
+upper cluster is the content region; of marked ones (article, main) all that have a dense line.  Within a region
+all blocks count, short ones too, but blocks of links in the lower cluster.  Outside the region containers that are mostly dense count whole,
 and of the rest the dense blocks, the main heading and headings of what is kept.
 Subtrees that are no article text (menus, headers, footers, asides, adverts, notices,
 forms, scripts, styles, reader comments) are left out.  Of these, asides, forms, headers
@@ -23,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -33,7 +33,7 @@ from ._arrow import filled, slices
 
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("script style noscript template head title svg math iframe object canvas audio video map select textarea button datalist nav footer menu dialog".split())
+UNREAD = frozenset("script style noscript template head title svg annotation annotation-xml iframe object canvas audio video map select textarea button datalist nav footer menu dialog".split())
 #: What may stand in a head; anything else ends it.
 IN_HEAD = frozenset("title meta link script style base noscript template".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -133,7 +133,8 @@ class _Page(HTMLParser):
                 self._shut(CLOSES[tag], ("ul", "ol", "dl", "table", "select", "menu") if tag not in ("td", "th") else ("tr", "table"))
         if tag in VOID:
             return
-        unread = tag in UNREAD
+        # The footer of a quotation says whose it is.
+        unread = tag in UNREAD and not (tag == "footer" and self.places.get("blockquote"))
         sure = STRONG if tag in ("aside", "form") or (tag == "header" and not self.regions) else 0
         if not unread and attrs and tag not in ("html", "body", "article", "main", "b", "i", "em", "strong"):
             a = dict(attrs)
@@ -207,31 +208,33 @@ def density(blocks: list[tuple[str, int, int, int, str]], enough: float = math.i
     return s >= least, ((s >= least) & (ratio >= least) | (ratio >= enough)) & np.array([2 * b[3] < len(b[0]) for b in blocks])
 
 
-def regions(blocks: list[tuple[str, int, int, int, str]], kinds: list[str], parents: list[int], upper: np.ndarray) -> tuple[set[int], bool]:
-    """The containers whose blocks are the content, and whether the page marks them.
+def regions(blocks: list[tuple[str, int, int, int, str]], kinds: list[str], parents: list[int], upper: np.ndarray, dense: np.ndarray) -> set[int]:
+    """The containers whose blocks are the content.
 
     Lines of the upper cluster vote with their length.  All outermost article and main containers with
-    text are content; where a page has none, the smallest container that holds nine tenths of the votes.
+    a dense line are content (with any text, where none has one); where a page has none, the smallest container that holds nine tenths of the votes.
     """
-    votes, outer, marked = [0] * len(kinds), [], set()
+    votes, outer, marked, solid = [0] * len(kinds), [], set(), set()
     for b, kind in enumerate(kinds):
         above = outer[parents[b]] if parents[b] >= 0 else -1
         outer.append(above if above >= 0 else b if kind in REGION else -1)
-    for (text, _, box, _, _), up in zip(blocks, upper):
+    for (text, _, box, _, _), up, own in zip(blocks, upper, dense):
         votes[box] += len(text) * int(up)
         if outer[box] >= 0:
             marked.add(outer[box])
+            if own:
+                solid.add(outer[box])
     if marked:
-        return marked, True
+        return solid or marked
     for b in range(len(kinds) - 1, 0, -1):
         votes[parents[b]] += votes[b]
-    return {max((b for b, v in enumerate(votes) if v >= 0.9 * votes[0]), default=0)}, False
+    return {max((b for b, v in enumerate(votes) if v >= 0.9 * votes[0]), default=0)}
 
 
 def content(blocks: list[tuple[str, int, int, int, str]], kinds: list[str], parents: list[int]) -> list[bool]:
     """Which blocks are article text: those of the regions; outside, whole containers that are mostly dense, else dense blocks and headings."""
     upper, dense = density(blocks, PROSE)
-    inside, marked = regions(blocks, kinds, parents, upper)
+    inside = regions(blocks, kinds, parents, upper, dense)
     around = set()
     for b in inside:
         while (b := parents[b]) >= 0 and b not in around:
@@ -251,7 +254,7 @@ def content(blocks: list[tuple[str, int, int, int, str]], kinds: list[str], pare
         text, _, box, links, heading = blocks[i]
         at = apart[box]
         if at == -1:
-            out[i] = marked or bool(upper[i]) or 2 * links < len(text)
+            out[i] = bool(upper[i]) or 2 * links < len(text) or heading != ""
         else:
             out[i] = bool(dense[i]) or heading == "h1" or (at >= 0 and 2 * held[at][1] >= held[at][0]) or (heading != "" and i + 1 < len(blocks) and out[i + 1] and apart[blocks[i + 1][2]] == at)
     return out
@@ -335,13 +338,38 @@ def judged(page: _Page) -> list[bool]:
     return dead(gone)
 
 
+_COMMENT_END = re.compile(r"--\s*>")
+_ZEROS, _BEYOND = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
+
+
+def closed(html: str) -> tuple[str, str]:
+    """The part of a page that a parser reads in one go, and the rest, which is text.
+
+    What would make the parser look for an end that never comes, once for each beginning, is taken out: comments without an
+    end, marked sections (comments up to the next >, as in browsers), anything after the last >.
+    """
+    last = 0
+    for m in _COMMENT_END.finditer(html):
+        last = m.end()
+    html = html[:last] + html[last:].replace("<!--", "")
+    html = html.replace("<![", "<!_[")
+    # Numbers that are no characters, however long.
+    html = _BEYOND.sub("\ufffd", _ZEROS.sub("&#", html))
+    end = html.rfind(">") + 1
+    return html[:end], html[end:]
+
+
 def main_text(html: str | None) -> str:
     """The article text of one page."""
     if not html:
         return ""
     page = _Page()
-    page.feed(html)
+    head, tail = closed(html)
+    page.feed(head)
     page.finish()
+    if tail:
+        page.handle_data(unescape(tail))
+        page.flush()
     blocks = _left(page, judged(page))
     if not blocks:
         return ""

@@ -1,7 +1,7 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Candidates of three base kinds (assign, access, hex), of further kinds with a fixed
-shape (jwt, github, slack, google, pem) and bare values (runs of 16 to 256 letters, digits and
+shape (jwt, github, slack, google, pem) and bare values (runs of 16 or more letters, digits and
 ``+/_=-`` with a letter and a digit, outside all other candidates) are found in every whole text.
 The value of a candidate is hashed, and over the whole corpus the distinct repositories and
 owners of each hash are counted.  The counts give each candidate a verdict:
@@ -42,17 +42,39 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
+_DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
+
+
+class _Jwt:
+    """Three runs with dots between them, the first two of eyJ and 8 more, the last of 8; every run is looked at once."""
+
+    @staticmethod
+    def finditer(text: str) -> Iterator[re.Match]:
+        for m in _DOTTED.finditer(text):
+            parts = m[0].split(".")
+            at, i = m.start(), 0
+            while i + 2 < len(parts):
+                first = parts[i].find("eyJ")
+                if first >= 0 and len(parts[i]) - first >= 11 and parts[i + 1].startswith("eyJ") and len(parts[i + 1]) >= 11 and len(parts[i + 2]) >= 8:
+                    size = sum(map(len, parts[i : i + 3])) + 2
+                    yield _ANY.match(text, at + first, at + size)
+                    at, i = at + size + 1, i + 3
+                else:
+                    at, i = at + len(parts[i]) + 1, i + 1
+
+
+_ANY = re.compile(".*", re.S)
 #: Kind, a string that every match has, pattern.
 FURTHER = (
-    ("jwt", "eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    ("jwt", "eyJ", _Jwt),
     ("github", "gh", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")),
     ("slack", "xox", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")),
     ("google", "AIza", re.compile(r"AIza[A-Za-z0-9_-]{35}")),
-    ("pem", "-----BEGIN", re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,20}PRIVATE KEY-----")),
+    ("pem", "-----BEGIN", re.compile(r"-----BEGIN [A-Z ]*?PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*?PRIVATE KEY-----")),
 )
 KINDS = (*BASE, *(k for k, _, _ in FURTHER), "value")
 VALUE = len(KINDS) - 1
-_VALUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,256}(?![A-Za-z0-9+/_=-])")
+_VALUE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
 
 def candidates(text: str) -> list[tuple[int, int, int, str]]:

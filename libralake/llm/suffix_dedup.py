@@ -230,18 +230,18 @@ def _spans(docs: DataFrame, width: int, held: int) -> DataFrame:
     spark = docs.sparkSession
     live = live_places(docs, width)
     first = live.groupBy("anchor", "digest").agg(F.min(F.struct("id", "place")).alias("first"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    first = settled(first, "first_places")
+    first = settled(first.select("anchor", "digest", "first.*", "size", "n"), "first_places")
     n_places = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # Places that are not the first of their piece.
-    known = first.where("n > 1").select("anchor", "digest", "first", "n")
+    known = first.where("n > 1").select("anchor", "digest", F.col("id").alias("first_id"), F.col("place").alias("first_place"), "size", "n")
     hot, rest = F.broadcast(known.where(F.col("n") * HOT >= n_places)), known.where(F.col("n") * HOT < n_places)
-    at = live.select("anchor", "digest", F.struct("id", "place").alias("here"), "size")
-    met = at.join(hot, ["anchor", "digest"]).unionByName(at.join(hot, ["anchor", "digest"], "left_anti").join(rest, ["anchor", "digest"])).where("here <> first")
-    whole = met.select(F.col("here.id").alias("id"), F.col("here.place").alias("place"), F.lit(0).alias("low"), F.col("size").cast("int").alias("high"))
+    at = live.drop("size")
+    met = at.join(hot, ["anchor", "digest"]).unionByName(at.join(hot, ["anchor", "digest"], "left_anti").join(rest, ["anchor", "digest"])).where("id <> first_id or place <> first_place")
+    whole = met.select("id", "place", F.lit(0).alias("low"), F.col("size").cast("int").alias("high"))
     # Pieces that share their anchor with other pieces.
     several = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("pieces"), F.sum("size").alias("bytes")).where("pieces > 1")
     n_bytes = several.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    unlike = first.join(several.select("anchor"), "anchor").select("anchor", "first.*", "size")
+    unlike = first.join(several.select("anchor"), "anchor").select("anchor", "id", "place", "size")
     uri = scratch_uri(spark)
     schema = pa.schema([("id", pa.int64()), ("place", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
 

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 
 from ._arrow import filled, slices
@@ -33,6 +34,8 @@ CODE = "I"
 #: Python's ``split`` also parts at these four controls, which are no white space for the tokenizer.
 _NOT_SPACE = regex.compile("[\x1c-\x1f]")
 _RUNS = regex.compile(r"\S+")
+#: Latin, Greek, Cyrillic, kana, Han and Hangul in use for long: all tables of characters agree on them.  Others are parted by the library's own tables.
+_SETTLED = regex.compile("[\0-\u036f\u0370-\u052f\u3040-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]*")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -90,7 +93,10 @@ class WordBpe(Remembered):
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.name = dict(zip(self.words.id, self.words.shown)) | {i: t for t, i in self.special.items()}
         self.number = {i: str(i) for i in self.name}
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.split = regex.compile(pattern).findall
+        self.split_any = tokenizers.pre_tokenizers.Split(tokenizers.Regex(pattern), "removed", invert=True).pre_tokenize_str
+        self.lowered_any = tokenizers.Tokenizer.from_file(path).normalizer.normalize_str
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def forget(self) -> None:
@@ -103,10 +109,14 @@ class WordBpe(Remembered):
         for part in parts:
             if part in self.special:
                 yield array(CODE, [self.special[part]]).tobytes()
-            else:
+            elif _SETTLED.fullmatch(part):
                 yield from map(self.words.__getitem__, self.split(_lowered(part)))
+            else:
+                yield from (self.words[piece] for piece, _ in self.split_any(self.lowered_any(part)))
 
     def compute(self, run: str) -> bytes:
+        if not _SETTLED.fullmatch(run):
+            return b"".join(self._pieces(run))
         low, words = _lowered(run), self.words
         # Letters alone, or with one mark after them, part as the pattern parts them; special tokens are neither.
         if low.isalpha():
