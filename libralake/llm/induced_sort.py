@@ -28,6 +28,8 @@ from pyarrow import fs as pafs
 BLOCK = 1 << 16
 #: Tuples that are handled at once.
 BATCH = 1 << 18
+#: Bytes of a log that stay in memory.
+HOLD = 16 << 20
 _TUPLE = (np.int64, np.uint64, np.uint8, np.uint8)  # place, symbols before it, how many of them, common prefix
 
 
@@ -48,13 +50,15 @@ class Scratch:
 
 
 class Log:
-    """Batches of columns on disk, in the order of writing."""
+    """Batches of columns in the order of writing: in memory up to ``HOLD`` bytes, on disk beyond."""
 
-    def __init__(self, scratch: Scratch, kinds: tuple, batch: int = BATCH):
-        self.scratch, self.kinds, self.batch = scratch, [np.dtype(k) for k in kinds], batch
-        self.path = scratch.path()
-        self.out, self.file = scratch.fs.open_output_stream(self.path), None
-        self.at, self.index, self.near, self.size = 0, [], [], 0
+    def __init__(self, scratch: Scratch, kinds: tuple, batch: int | None = None):
+        self.scratch, self.kinds, self.batch = scratch, [np.dtype(k) for k in kinds], batch or BATCH
+        self.path = self.out = self.file = None
+        self.at, self.bytes = 0, 0
+        self.index: list[tuple[int, int, list[np.ndarray] | None]] = []  # place on disk, rows, columns in memory
+        self.near: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
 
     def add(self, *columns: np.ndarray) -> None:
         self.near.append(columns)
@@ -63,25 +67,40 @@ class Log:
             self._write()
 
     def _write(self) -> None:
-        if self.size:
-            for k, kind in enumerate(self.kinds):
-                self.out.write(np.concatenate([c[k] for c in self.near]).astype(kind, copy=False).tobytes())
-            self.index.append((self.at, self.size))
-            self.at += self.size * sum(k.itemsize for k in self.kinds)
-            self.near, self.size = [], 0
+        if not self.size:
+            return
+        cols = [np.concatenate([c[k] for c in self.near]).astype(kind, copy=False) for k, kind in enumerate(self.kinds)]
+        size = self.size * sum(k.itemsize for k in self.kinds)
+        if self.bytes + size <= HOLD:
+            self.index.append((0, self.size, cols))
+            self.bytes += size
+        else:
+            if self.out is None:
+                self.path = self.scratch.path()
+                self.out = self.scratch.fs.open_output_stream(self.path)
+            for c in cols:
+                self.out.write(c.tobytes())
+            self.index.append((self.at, self.size, None))
+            self.at += size
+        self.near, self.size = [], 0
 
     def close(self) -> Log:
         self._write()
-        self.out.close()
-        self.file = self.scratch.fs.open_input_file(self.path)
+        if self.out is not None:
+            self.out.close()
+            self.file = self.scratch.fs.open_input_file(self.path)
         return self
 
     def drop(self) -> None:
-        self.file.close()
-        self.scratch.fs.delete_file(self.path)
+        self.index = []
+        if self.file is not None:
+            self.file.close()
+            self.scratch.fs.delete_file(self.path)
 
     def read(self, i: int) -> list[np.ndarray]:
-        at, n = self.index[i]
+        at, n, held = self.index[i]
+        if held is not None:
+            return held
         out = []
         for k in self.kinds:
             out.append(np.frombuffer(self.file.read_at(n * k.itemsize, at), k))
@@ -177,7 +196,7 @@ class Symbols:
 
     def __init__(self, log: Log, n: int, bits: int, most: int):
         self.log, self.n, self.bits, self.most = log, n, bits, most
-        self.ends = np.cumsum([k for _, k in log.index])
+        self.ends = np.cumsum([k for _, k, _ in log.index])
         self.held = np.concatenate([log.read(i)[0] for i in range(len(log.index))]) if n <= most else None
         self.blocks: dict[int, np.ndarray] = {}
 
@@ -279,27 +298,39 @@ def _cut(columns: tuple, size: int = BATCH) -> Iterator[tuple]:
         yield tuple(c[a : a + size] for c in columns)
 
 
+def _place(n: int) -> type:
+    """The kind of number for places in a text."""
+    return np.uint32 if n < 1 << 32 else np.int64
+
+
+def _unread(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For tuples that carry no symbols yet."""
+    return np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint8)
+
+
 def induce(text: Symbols, seeds: Log, scratch: Scratch, most: int, depth: int, emit: Callable[[np.ndarray, np.ndarray], None]) -> None:
     """From the seeds in ascending order (symbol and tuple), all suffixes in descending order: ``emit`` gets places, and what each has in common with the one before it."""
     queue, heads = Queue(scratch, most), Cursor(seeds)
     inducer = Inducer(queue, 1, depth)
-    larger = Log(scratch, (np.int64, *_TUPLE, np.bool_))
+    larger = Log(scratch, (text.log.kinds[0], _place(text.n), np.uint8, np.bool_))
     while (c := min((x for x in (queue.head(), heads.head()) if x is not None), default=None)) is not None:
         inducer.next_symbol()
         last = -1
         for whole in queue.take(c):
             for place, ctx, left, lcp in _cut(whole):
                 d, ctx2, left2 = text.previous(place, ctx, left)
-                larger.add(np.full(len(place), c, np.int64), place, ctx, left, lcp, (place > 0) & (d < c))
+                larger.add(np.full(len(place), c, text.log.kinds[0]), place, lcp, (place > 0) & (d < c))
                 inducer.push((place > 0) & (d >= c), d, place, ctx2, left2, lcp)
                 last = int(place[-1])
         for whole in heads.take(c):
-            for place, ctx, left, lcp in _cut(whole):
+            for place, lcp in _cut(whole):
+                place = place.astype(np.int64)
                 if last >= 0:
                     lcp = lcp.copy()
                     lcp[0] = min(text.run(last, depth), text.run(int(place[0]), depth))
                     last = -1
-                inducer.push(place > 0, *(d := text.previous(place, ctx, left))[:1], place, *d[1:], lcp)
+                d, ctx, left = text.previous(place, *_unread(place))
+                inducer.push(place > 0, d, place, ctx, left, lcp)
     larger.close()
     queue = Queue(scratch, most)
     inducer = Inducer(queue, -1, depth)
@@ -316,14 +347,15 @@ def induce(text: Symbols, seeds: Log, scratch: Scratch, most: int, depth: int, e
                 last = int(place[-1])
         ahead = None  # what the suffix handled last has in common with the next smaller one
         while now is not None and now[0] == c:
-            _, place, ctx, left, lcp, star = now
+            _, place, lcp, star = now
+            place = place.astype(np.int64)
             mine = np.concatenate([[0 if ahead is None else ahead], lcp[:-1]]).astype(np.uint8)
             if ahead is None and last >= 0:
                 mine[0] = min(text.run(last, depth), text.run(int(place[0]), depth))
             ahead = int(lcp[-1])
             emit(place, mine)
-            d, ctx2, left2 = text.previous(place, ctx, left)
-            inducer.push(star, d, place, ctx2, left2, mine)
+            d, ctx, left = text.previous(place, *_unread(place))
+            inducer.push(star, d, place, ctx, left, mine)
             now = next(back, None)
     larger.drop()
     emit(np.array([text.n - 1]), np.zeros(1, np.uint8))
@@ -483,20 +515,20 @@ def sort(text: Symbols, scratch: Scratch, most: int, depth: int, emit: Callable[
     log, m = seed_places(text, scratch, min(most, BATCH))
     seeds = Symbols(log, m, 64, most)
     reduced, top = _reduced(text, seeds, scratch, most, depth)
-    sorted_seeds = Log(scratch, (np.int64, *_TUPLE))
-    before = [np.int64(text.n - 1)]
+    sorted_seeds = Log(scratch, (text.log.kinds[0], _place(text.n), np.uint8))
+    before = [np.int64(-1)]
 
     def seed(i: np.ndarray, same: np.ndarray) -> None:
         """Seeds in ascending order, and how many names each has in common with the one before it."""
         place = seeds.at(i)
         prev = np.append(before[0], place[:-1])
         known = np.minimum(seeds.at(np.minimum(i + same, m - 1)) - place, depth)
-        if first := not sorted_seeds.index and not sorted_seeds.size:
+        if first := before[0] < 0:
             known[0] = depth
         lcp = _common(text, prev, place, known, depth)
         lcp[0] *= not first
         before[0] = place[-1]
-        sorted_seeds.add(text.at(place).astype(np.int64), place, np.zeros(len(i), np.uint64), np.zeros(len(i), np.uint8), lcp.astype(np.uint8))
+        sorted_seeds.add(text.at(place), place, lcp.astype(np.uint8))
 
     if m <= most:
         name = np.concatenate([reduced.read(i)[0] for i in range(len(reduced.index))])

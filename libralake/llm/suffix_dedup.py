@@ -254,7 +254,7 @@ def _spans(docs: DataFrame, width: int, held: int) -> DataFrame:
     dealt = cut(docs, unlike).repartition(shards, "anchor").select("piece", "id", "place")
     part = dealt.mapInArrow(run, "id long, place long, low int, high int")
     start = F.col("place").bitwiseAND(0xFFFFFFFF)
-    return whole.unionByName(part).select("id", F.shiftright("place", 32).alias("copy"), (start + F.col("low")).alias("begin"), (start + F.col("high")).alias("end"))
+    return settled(whole.unionByName(part), "spans").select("id", F.shiftright("place", 32).alias("copy"), (start + F.col("low")).alias("begin"), (start + F.col("high")).alias("end"))
 
 
 def deduplicated(docs: DataFrame, width: int = 100, key: str = "doc_id", text: str = "text", digest: bool = False, held: int = HELD) -> DataFrame:

@@ -142,6 +142,7 @@ def test_max_trees_open_few_leaves():
 
 def order_of(data, depth, most, batch, tmp_path, monkeypatch):
     monkeypatch.setattr(induced_sort, "BATCH", batch)
+    monkeypatch.setattr(induced_sort, "HOLD", 16 << 20 if batch > 50 else 100)
     scratch = induced_sort.Scratch(str(tmp_path / "scratch"))
     log = induced_sort.Log(scratch, (np.uint8,), 64)
     text = np.append(np.frombuffer(data, np.uint8) + 2, 0).astype(np.uint8)

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from libralake.llm import html_text, licenses, quality, queries, secrets, token_counts, word_bpe
@@ -359,3 +360,63 @@ def test_more_licenses(spark):
     assert got == sorted([*enumerate(cases), (50, ""), (51, ""), (51, ""), (52, "ISC")])
     assert licenses.scan(frame(spark, [])).count() == 0
     assert len({n for n, _ in licenses.RULES}) >= 25
+
+
+def test_word_bpe_on_every_character():
+    """Tables of characters differ between libraries: letters, digits, white space, lower case, composition."""
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(WORD), word_bpe.WordBpe(WORD)
+    # Beyond these planes no character has been assigned but tags and variants.
+    chars = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x13500), *range(0x16800, 0x19000), *range(0x1AFF0, 0x20000), *range(0x2A6D0, 0x32500), *range(0xE0000, 0xE0200)]]
+    texts = [f".{c}/a" for c in chars]
+    for text, want in zip(texts, lib.encode_batch(texts, add_special_tokens=False)):
+        assert list(own.encode(text)) == want.ids, ascii(text)
+
+
+def test_secrets_in_linear_time():
+    """No shape of text makes the scan look at a run over and over."""
+    import time
+
+    for unit in ("eyJ", "eyJaaaaaaaa.", "ghp_", "xoxb-", "-----BEGIN ", "-----BEGIN A PRIVATE KEY-----a-----END ", "password ", "AKIA", "a1", "token: "):
+        began = time.process_time()
+        secrets.candidates(unit * (1_000_000 // len(unit)))
+        assert time.process_time() - began < 5, unit
+
+
+def test_secrets_of_any_length():
+    value = "aB3" * 200
+    assert secrets.candidates(f"x {value} y") == [(2, secrets.VALUE, 602, value)]
+    jwt = "eyJ" + "x" * 500 + ".eyJ" + "y" * 500 + "." + "z" * 500
+    assert secrets.candidates(f"eyJshort.{jwt}.d-e") == [(9, 3, 9 + len(jwt), jwt)]
+    assert [c[1] for c in secrets.candidates("-----BEGIN " + "A" * 40 + " PRIVATE KEY-----\nabc\n-----END X PRIVATE KEY-----")] == [7]
+
+
+def test_html_broken_markup_in_linear_time():
+    import time
+
+    for unit in ("<a ", "<!--", "<![CDATA[", "</a", "<script></", "<!x", "<?", "<a x='", '<a x="', "<!-->", "&#9", "<style><!--", "<blockquote><footer>"):
+        for tail in ("", ">", "-->x"):
+            began = time.process_time()
+            html_text.main_text(unit * (60_000 // len(unit)) + tail)
+            assert time.process_time() - began < 5, (unit, tail)
+    assert html_text.main_text("<p>a &#" + "9" * 6000 + "; b &#" + "0" * 6000 + "65;</p>") == "a \ufffd b A"
+    assert html_text.main_text("<p>One.</p><!-- open <p>Two.</p>") == "One.\nopen\nTwo."
+
+
+def test_html_density_decides_in_articles(monkeypatch):
+    """Within a marked page too: which articles count, and which lines in them."""
+    prose = "One sentence of prose that is long enough to be dense, with a few words more. "
+    links = "".join(f"<li><a href=/{i}>Tag {i}</a></li>" for i in range(6))
+    page = f"<body><article><h1>Its title</h1><p>{prose * 3}</p><p>Short.</p><p>{prose * 2}</p><ul>{links}</ul></article><article><h2><a href=/x>A teaser</a></h2></article></body>"
+    # The first link stands close enough to prose.
+    want = "\n".join(["Its title", (prose * 3).strip(), "Short.", (prose * 2).strip(), "Tag 0"])
+    assert html_text.main_text(page) == want
+    monkeypatch.setattr(html_text, "smooth", lambda ratio, sigma: np.ones(len(ratio)))
+    assert html_text.main_text(page) != want
+
+
+def test_html_formulas_and_quotations():
+    prose = "One sentence of prose that is long enough to be dense, with a few words more. "
+    page = f"<article><p>{prose}</p><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> they say.</p><blockquote><p>{prose}</p><footer>Its author</footer></blockquote></article><footer>Imprint</footer>"
+    assert html_text.main_text(page) == "\n".join([prose.strip(), "Energy is E=m they say.", prose.strip(), "Its author"])
