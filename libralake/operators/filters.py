@@ -76,9 +76,37 @@ def said_years(query: Column) -> tuple[Column, Column]:
     return low, high
 
 
+# What a query that asks for a page begins with, how it says page, and what comes before a title.
+GO_TO = "ir a, ir a la, ve a, ve a la, abre, abre la, go to, go to page, aller a la"
+PAGE = "pagina, pag, pag., p., p, page, folio, fol., seite, pagine"
+OF = "de, del, of, in, en, di, von"
+
+
+def said_folio(query: Column) -> tuple[Column, Column]:
+    """(folio, title) of a query that asks for a page and nothing else («p. xiv», «page 199 of Don Quixote»); null where not said.
+
+    Folios are as written, in Arabic or small Roman numbers; the title is as the query has it.
+    """
+    among = lambda words: "(?:" + "|".join(sorted((re.escape(w) for w in words.split(", ")), key=len, reverse=True)) + ")"
+    k = T.fold(query)
+    form = rf"^\s*(?:{among(GO_TO)}\s+)?(?:{among(PAGE)}\s*)?([0-9]{{1,5}}|[ivxlcdm]{{1,8}})(?![\p{{L}}\p{{N}}])(?:\s+{among(OF)}\s+(.+?))?\s*$"
+    asked = k.rlike(rf"^\s*(?:{among(GO_TO)}\s+)?{among(PAGE)}(?!\p{{L}})\s*([0-9]|[ivxlcdm])") | k.rlike(r"^\s*go to page\s")
+    folio = F.when(asked, F.nullif(F.regexp_extract(k, form, 1), F.lit("")))
+    rest = F.when(asked, F.regexp_extract(k, form, 2))
+    # Folding keeps lengths, so the title is cut from the query itself.
+    tail = F.regexp_replace(query, r"\s+$", "")
+    return folio, F.nullif(F.trim(F.substring(tail, F.length(tail) - F.length(rest) + 1, F.length(rest))), F.lit(""))
+
+
 def said_page(query: Column) -> Column:
-    """Page asked for in a query («go to page 12», «p. 12»), else null."""
-    return F.nullif(F.regexp_extract(T.key(query), r"(?:go to page|ve a la pagina|page|pagina|seite|p) (\d{1,4})(?: |$)", 1), F.lit("")).cast("int")
+    """Number of the page asked for in a query («go to page 12», «p. 12»), else null."""
+    return F.try_to_number(said_folio(query)[0], F.lit("99999")).cast("int")
+
+
+def said_authors(query: Column, authors: Column) -> Column:
+    """Which of a list of known authors a query names, as whole words, of three characters or more."""
+    k = F.concat(F.lit(" "), T.key(query), F.lit(" "))
+    return F.array_distinct(F.filter(authors, lambda a: (F.length(T.key(a)) >= 3) & F.contains(k, F.concat(F.lit(" "), T.key(a), F.lit(" ")))))
 
 
 def overlaps_span(lo: Column, hi: Column, start, end) -> Column:

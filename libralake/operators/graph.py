@@ -22,26 +22,35 @@ def _saved(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mentions(docs: DataFrame, forms: DataFrame, key: str, text: str, owner: str, form: str, most_words: int = 3, lengths: list[int] | None = None) -> DataFrame:
-    """key, owner, start (word place), n_words: where a form stands in a text, longer forms first, none inside another.
+def mentions(docs: DataFrame, forms: DataFrame, key: str, text: str, owner: str, form: str, cased: str | None = None) -> DataFrame:
+    """key, owner, start (word place), n_words: where a form stands in a text; of overlapping ones the longest, then the first, stays.
 
-    Forms are joined by equality with the runs of one to ``most_words`` words of each text (of ``lengths`` only, where given):
-    no text meets all forms.
+    Forms of any length are joined by equality with the word runs of each text: no text meets all forms.  A form that
+    two owners claim names neither, but covers what is inside it.  Where ``cased`` is true, the words must stand as the form writes them.
     """
-    toks = docs.select(key, T.tokens(F.col(text)).alias("_t"))
+    raw = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    known = forms.select(F.array_join(T.tokens(F.col(form)), " ").alias("_run"), F.array_join(raw(F.col(form)), " ").alias("_own"), F.size(T.tokens(F.col(form))).alias("n_words"), F.col(owner).alias("_o"), (F.col(cased) if cased else F.lit(False)).alias("_c"))
+    known = known.where("_run <> ''").groupBy("_run", "n_words").agg(F.min("_o").alias("_o"), F.max("_o").alias("_o2"), F.collect_set("_own").alias("_own"), F.min("_c").alias("_c"))
+    known = known.withColumn(owner, F.when(F.col("_o") == F.col("_o2"), F.col("_o"))).drop("_o", "_o2")
+    # One number for each length of forms that occurs.
+    lengths = sorted(r[0] for r in known.select("n_words").distinct().collect())
+    if not lengths:
+        return docs.select(key).join(forms.select(owner), F.lit(False)).select(key, owner, F.lit(0).alias("start"), F.lit(0).alias("n_words"))
+    toks = docs.select(key, T.tokens(F.col(text)).alias("_t"), (raw(F.col(text)) if cased else F.array().cast("array<string>")).alias("_r"))
     runs = []
-    for n in lengths or range(1, most_words + 1):
+    for n in lengths:
         at = F.when(F.size("_t") >= n, F.sequence(F.lit(1), F.size("_t") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        runs.append(toks.select(key, F.explode(at).alias("start"), "_t").select(key, "start", F.lit(n).alias("n_words"), F.array_join(F.slice("_t", F.col("start"), n), " ").alias("_run")))
-    known = forms.select(F.array_join(T.tokens(F.col(form)), " ").alias("_run"), owner).distinct()
-    # A form that two owners claim names neither.
-    known = known.groupBy("_run").agg(F.min(owner).alias(owner), F.count(F.lit(1)).alias("_c")).where("_c = 1 and _run <> ''").drop("_c")
-    hit = reduce(DataFrame.unionByName, runs).join(known, "_run").drop("_run")
-    # A longer form over a word begins less than ``most_words`` words before it or after it.
-    w = Window.partitionBy(key).orderBy("start").rangeBetween(1 - most_words, most_words - 1)
-    spans = hit.withColumn("_all", F.collect_list(F.struct("start", "n_words")).over(w))
-    inside = F.exists("_all", lambda o: (o["n_words"] > F.col("n_words")) & (o["start"] < F.col("start") + F.col("n_words")) & (o["start"] + o["n_words"] > F.col("start")))
-    return spans.where(~inside).drop("_all")
+        own = F.array_join(F.slice("_r", F.col("start"), n), " ") if cased else F.lit("")
+        runs.append(toks.select(key, F.explode(at).alias("start"), "_t", "_r").select(key, "start", F.array_join(F.slice("_t", F.col("start"), n), " ").alias("_run"), own.alias("_is")))
+    hit = reduce(DataFrame.unionByName, runs).join(known, "_run").where(~F.col("_c") | F.array_contains("_own", F.col("_is"))).drop("_run", "_own", "_c", "_is")
+    # Chains of overlapping forms; in each the longest are taken first.
+    w = Window.partitionBy(key).orderBy("start", "n_words")
+    reach = F.max(F.col("start") + F.col("n_words")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    chained = hit.withColumn("_new", F.when(F.col("start") < reach, 0).otherwise(1)).withColumn("_chain", F.sum("_new").over(w))
+    spans = chained.groupBy(key, "_chain").agg(F.sort_array(F.collect_list(F.struct((-F.col("n_words")).alias("m"), "start", "n_words", owner))).alias("_all"))
+    clear = lambda kept, x: ~F.exists(kept, lambda o: (o["start"] < x["start"] + x["n_words"]) & (x["start"] < o["start"] + o["n_words"]))
+    kept = F.aggregate("_all", F.slice("_all", 1, 0), lambda acc, x: F.when(clear(acc, x), F.array_append(acc, x)).otherwise(acc))
+    return spans.select(key, F.explode(kept).alias("_m")).where(F.col("_m")[owner].isNotNull()).select(key, F.col("_m")[owner].alias(owner), F.col("_m.start").alias("start"), F.col("_m.n_words").alias("n_words"))
 
 
 def cooccurrence(ments: DataFrame, doc: str, part: str, entity: str, at: str | None = None, most: int = 40, adjacent: float = 0.15) -> DataFrame:

@@ -9,35 +9,51 @@ from ..functions import text as T
 from . import graph
 from .intervals import overlap_join
 
-# Words that tell a translation or an adaptation of a work named beside them.
-TRANSLATION = r"\b(translated|translation|translator|traduccion|traducido|traducida|traductor|traduction|traduit|traduzione|ubersetzung|ubersetzt)\b"
-ADAPTATION = r"\b(adapted|adaptation|based on|basada en|basado en|adaptacion|inspirada en|adapte|d apres|tratto da|nach dem roman)\b"
+# Phrases that tell an adaptation or a translation of a work named beside them.
+ADAPTATION = (
+    "basado en, basada en, basados en, basadas en, inspirado en, inspirada en, inspirados en, inspiradas en, adaptacion de, adaptado de, adaptada de, adaptados de, adaptadas de, version cinematografica de, version libre de, "
+    "version teatral de, version radiofonica de, a partir de, guion, based on, adapted from, inspired by, from the novel, from the story, from the book, from the play, screenplay, d apres, adapte de, tratto da, basato su, ispirato a"
+)
+TRANSLATION = (
+    "traduccion de, traducido del, traducida del, traducidos del, traducidas del, traducido de la, traducida de la, traducidos de la, traducidas de la, traducido de, traducida de, traducidos de, traducidas de, traducido por, "
+    "traducida por, traducidos por, traducidas por, version castellana de, version espanola de, version inglesa de, version francesa de, version italiana de, translated from, translated by, translation of, translator, traduit de, "
+    "traduit par, traduction de, tradotto da, tradotto dal, traduzione di"
+)
+#: Spanish also says on what story, told or written, a film is made.
+ADAPTATION += "".join(f", sobre {the} {what}" for the in ("el", "la", "un", "una", "su") for what in ("cuento", "relato", "novela", "obra"))
+
+
+def cue_pattern(phrases: str) -> str:
+    return "(?:^| )(?:" + "|".join(phrases.split(", ")) + ")(?: |$)"
 
 
 def content_signals(texts: DataFrame, works: DataFrame, doc: str, text: str, work: str, title: str, surname: str, around: int = 220) -> DataFrame:
-    """doc, work, relation, weight: titles of other works that texts name.
+    """doc, work, relation, weight, n_places: titles of other works that texts name, one row for each relation.
 
     A title of two words and ten letters counts alone, one of six letters or more only with its author within
-    ``around`` characters.  Beside the title, words of translation (0.75) or adaptation (0.85 with the author, else 0.75)
-    tell the relation; else it is cited (0.5 with the author, else 0.35).  Titles meet texts by equality of word runs.
+    ``around`` characters.  Beside each place of the title, phrases of translation (0.75) or adaptation (0.85 with the author, else 0.75)
+    tell the relation; else it is cited (0.5 with the author, else 0.35); the weight is the best of a relation's places.  Titles meet
+    texts by equality of word runs, whatever their length.
     """
     named = works.select(work, T.key(F.col(title)).alias("_t"), T.key(F.col(surname)).alias("_s")).where(F.length("_t") >= 6)
-    # At most twelve numbers.
-    lengths = sorted(r[0] for r in named.select(F.size(F.split("_t", " "))).distinct().collect() if r[0] <= 12)
-    if not lengths:
-        return texts.join(works, F.lit(False)).select(doc, work, F.lit("cites").alias("relation"), F.lit(0.0).alias("weight"))
-    hits = graph.mentions(texts, named, doc, text, work, "_t", 12, lengths).groupBy(doc, work).agg(F.min("start").alias("_at"))
-    # Keys are made of the few texts that name a work, once each.
-    rows = T.computed(hits.join(named, work).join(texts.select(doc, text), doc), [doc, work, "_t", "_s"], _k=T.key(F.col(text)))
-    at = F.instr(F.concat(F.lit(" "), "_k", F.lit(" ")), F.concat(F.lit(" "), "_t", F.lit(" ")))
-    near = F.substring("_k", F.greatest(F.lit(1), at - around), F.length("_t") + 2 * around - F.greatest(F.lit(0), around - at + 1))
-    rows = T.computed(rows, [doc, work, "_t", "_s"], _near=near)
-    near = F.col("_near")
-    by = F.contains(F.concat(F.lit(" "), near, F.lit(" ")), F.concat(F.lit(" "), "_s", F.lit(" "))) & (F.col("_s") != "")
+    hits = graph.mentions(texts, named, doc, text, work, "_t").join(named, work).groupBy(doc).agg(F.collect_list(F.struct(work, "start", "n_words", "_t", "_s")).alias("_hits"))
+    # Each text is taken apart once for all its places; as many words as ``around`` characters can hold are looked at.
+    words = T.computed(hits.join(texts.select(doc, text), doc), [doc, "_hits"], _w=T.tokens(F.col(text)))
+    most = around // 2 + 1
+
+    def near(h: Column) -> Column:
+        first, end = F.greatest(F.lit(1), h["start"] - most), h["start"] + h["n_words"]
+        before = F.concat(F.array_join(F.slice("_w", first, h["start"] - first), " "), F.lit(" "))
+        after = F.concat(F.lit(" "), F.array_join(F.slice("_w", end, most), " "))
+        return F.concat(F.substring(before, F.greatest(F.lit(1), F.length(before) - around + 1), F.lit(around)), h["_t"], F.substring(after, 1, around))
+
+    rows = words.select(doc, F.explode(F.transform("_hits", lambda h: F.struct(h[work].alias(work), h["_t"].alias("_t"), h["_s"].alias("_s"), near(h).alias("_near")))).alias("h")).select(doc, "h.*")
+    near_by = F.contains(F.concat(F.lit(" "), F.col("_near"), F.lit(" ")), F.concat(F.lit(" "), "_s", F.lit(" "))) & (F.col("_s") != "")
     whole = (F.size(F.split("_t", " ")) >= 2) & (F.length("_t") >= 10)
-    relation = F.when(near.rlike(TRANSLATION), "translation").when(near.rlike(ADAPTATION), "adaptation").otherwise("cites")
+    relation = F.when(F.col("_near").rlike(cue_pattern(TRANSLATION)), "translation").when(F.col("_near").rlike(cue_pattern(ADAPTATION)), "adaptation").otherwise("cites")
     weight = F.when(F.col("relation") == "translation", 0.75).when(F.col("relation") == "adaptation", F.when(F.col("_by"), 0.85).otherwise(0.75)).otherwise(F.when(F.col("_by"), 0.5).otherwise(0.35))
-    return rows.withColumn("_by", by).where(F.col("_by") | whole).withColumn("relation", relation).select(doc, work, "relation", weight.alias("weight"))
+    each = rows.withColumn("_by", near_by).where(F.col("_by") | whole).withColumn("relation", relation).withColumn("weight", weight)
+    return each.groupBy(doc, work, "relation").agg(F.max("weight").alias("weight"), F.count(F.lit(1)).alias("n_places"))
 
 
 def card_similarity(cosine: Column | None = None, jaccard: Column | None = None) -> Column:

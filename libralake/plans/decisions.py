@@ -22,17 +22,23 @@ def _(spark, d):
     return filters.allowed(docs, types=["book"], authors=["SRC1", "src2"], languages=["EN-gb", "fr"], years=filters.merge_years((1600, None), (1500, 1850)), columns={"authors": "source"}).select("doc_id")
 
 
-@query("said_filters", """WITH q AS (SELECT o_orderkey, o_orderkey % 7 AS k, 1500 + o_custkey % 500 AS y FROM orders) SELECT o_orderkey, CASE k WHEN 0 THEN y WHEN 2 THEN y + 1 WHEN 4 THEN y END::INTEGER AS low, CASE k WHEN 0 THEN y + 20 WHEN 1 THEN y - 1 WHEN 3 THEN y END::INTEGER AS high, CASE k WHEN 5 THEN y END::INTEGER AS page FROM q""")
+@query("said_filters", """WITH q AS (SELECT o_orderkey, o_orderkey % 9 AS k, 1500 + o_custkey % 500 AS y, 'Márquez ' || o_custkey AS c FROM orders)
+SELECT o_orderkey, CASE k WHEN 0 THEN y WHEN 2 THEN y + 1 WHEN 4 THEN y END::INTEGER AS low, CASE k WHEN 0 THEN y + 20 WHEN 1 THEN y - 1 WHEN 3 THEN y END::INTEGER AS high, CASE WHEN k IN (5, 6) THEN y END::INTEGER AS page, CASE WHEN k IN (5, 6) THEN y::VARCHAR WHEN k = 7 THEN 'xiv' END AS folio, CASE k WHEN 6 THEN 'Çaín y ' || c END AS title, CASE WHEN k IN (1, 6) THEN [c] ELSE [] END AS authors FROM q""")
 def _(spark, d):
     y = (1500 + F.col("o_custkey") % 500).cast("string")
-    k = F.col("o_orderkey") % 7
+    k = F.col("o_orderkey") % 9
+    author = F.concat(F.lit("Márquez "), F.col("o_custkey").cast("string"))
     q = (
         F.when(k == 0, F.concat(F.lit("letters between "), y, F.lit(" and "), (y.cast("int") + 20).cast("string")))
-        .when(k == 1, F.concat(F.lit("liberty before "), y)).when(k == 2, F.concat(F.lit("después de "), y)).when(k == 3, F.concat(F.lit("until "), y))
-        .when(k == 4, F.concat(F.lit("seit "), y)).when(k == 5, F.concat(F.lit("go to page "), y)).otherwise("liberty")
+        .when(k == 1, F.concat(F.lit("liberty in "), author, F.lit(" before "), y)).when(k == 2, F.concat(F.lit("después de "), y)).when(k == 3, F.concat(F.lit("until "), y))
+        .when(k == 4, F.concat(F.lit("seit "), y)).when(k == 5, F.concat(F.lit("go to page "), y)).when(k == 6, F.concat(F.lit("Página "), y, F.lit(" de Çaín y "), author, F.lit(" ")))
+        .when(k == 7, "ir a la p. xiv").otherwise(F.concat(F.lit("the page of liberty "), y))
     )
+    asked = T.computed(table(spark, d, "orders"), ["o_orderkey"], q=q, author=author)
+    q = F.col("q")
     low, high = filters.said_years(q)
-    return table(spark, d, "orders").select("o_orderkey", low.alias("low"), high.alias("high"), filters.said_page(q).alias("page"))
+    folio, title = filters.said_folio(q)
+    return asked.select("o_orderkey", low.alias("low"), high.alias("high"), filters.said_page(q).alias("page"), folio.alias("folio"), title.alias("title"), filters.said_authors(q, F.array("author", F.lit("zz"))).alias("authors"))
 
 
 @query("span_filter", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag <> 'N' AND l_quantity <= 30 AND l_quantity + l_linenumber >= 20")
@@ -204,9 +210,24 @@ def _(spark, d):
 # ---- passages and claims ----------------------------------------------------
 
 
-@query("negative_claims", f"SELECT conv_id, turn, regexp_matches({sql_key('text')}, '(^| )(no|not|never|none|nothing|nunca|jamas|ningun|ninguna|pas|jamais|nicht|kein|keine|nie)( |$)') AS negative FROM conversations")
+@query("negative_claims", f"""WITH w AS (SELECT doc_id, array_to_string({sql_tokens('text')}[1:4], ' ') AS s, doc_id % 12 AS k FROM documents) SELECT doc_id, CASE WHEN k < 7 AND s <> '' THEN s WHEN k = 7 THEN 'Of this the print ' || s || ' is notably absent' END AS subject FROM w""")
 def _(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", citations.is_negative(F.col("text")).alias("negative"))
+    """Claims in four languages about the first words of each document; the last five deny no mention."""
+    s = F.array_join(F.slice(T.tokens(F.col("text")), 1, 4), " ")
+    said = ("The author does not mention %s.", "Cervantes nunca habla de %s", "L'auteur ne mentionne pas %s!", "C'è assenza di menzione di %s;", "There is a lack of any discussion about %s", "Hay omisión de toda referencia a %s.", "They NEVER discuss %s",
+            "Of this the print %s is notably absent", "It is not only a satire of %s", "There is no doubt that %s", "He never came to %s", "No one minds %s")
+    claim = F.element_at(F.array(*[F.format_string(c, s) for c in said]), (F.col("doc_id") % 12 + 1).cast("int"))
+    claims = T.computed(table(spark, d, "documents"), ["doc_id"], claim=claim)
+    return claims.select("doc_id", citations.absent_subject(F.col("claim")).alias("subject"))
+
+
+@query("missing_terms", f"""WITH w AS (SELECT doc_id, text, {sql_tokens('text')} AS t, doc_id % 90 + 10 AS n FROM documents), c AS (SELECT *, upper(t[1][1]) || t[1][2:] AS a FROM w)
+SELECT doc_id, CASE WHEN len(t) = 0 THEN [] WHEN length(a) >= 3 AND regexp_matches(a, '^\\p{{Lu}}') AND a <> upper(a) AND NOT contains({sql_fold('text')}, {sql_fold('a')}) THEN [a] ELSE [] END || ['Zyxwvut'] || CASE WHEN contains(text, n || ' %') THEN [] ELSE [n || ' %'] END AS missing FROM c""")
+def _(spark, d):
+    """A name of the text, one that no text has, a share and a year."""
+    first = F.initcap(F.coalesce(F.get(T.tokens(F.col("text")), F.lit(0)), F.lit("x")))
+    claim = F.concat(F.lit("Then "), first, F.lit(" met Zyxwvut. Both ABC took "), (F.col("doc_id") % 90 + 10).cast("string"), F.lit(" % in 1860."))
+    return table(spark, d, "documents").select("doc_id", citations.missing_terms(claim, F.col("text")).alias("missing"))
 
 
 @query("claim_verdicts", "SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'contradicted' WHEN max(l_quantity) / 50 >= 0.7 THEN 'supported' WHEN max(l_quantity) / 50 >= 0.4 THEN 'partial' ELSE 'unsupported' END AS verdict FROM lineitem GROUP BY 1")

@@ -245,11 +245,15 @@ def _(spark, d):
     return graph.resolve(p, "p_partkey", "p_name", "p_brand", "fic", "linked", "p_retailprice")
 
 
-@query("mention_places", f"""WITH f AS (SELECT array_to_string({sql_tokens('text')}[1:2], ' ') AS form, min(item_id) AS item_id FROM benchmark GROUP BY 1 HAVING count(DISTINCT item_id) = 1), t AS (SELECT doc_id, {sql_tokens('text')} AS t FROM documents), r AS (SELECT doc_id, unnest(range(1, len(t))) AS start, t FROM t)
-SELECT doc_id, item_id, start::INTEGER AS start, 2::INTEGER AS n_words FROM (SELECT doc_id, start, t[start] || ' ' || t[start + 1] AS form FROM r) JOIN f USING (form)""")
-def _(spark, d):
-    forms = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(T.tokens(F.col("text")), 1, 2), " ").alias("form"))
-    return graph.mentions(table(spark, d, "documents"), forms, "doc_id", "text", "item_id", "form", 2)
+@query("mention_places", f"""WITH f AS (SELECT array_to_string({sql_tokens('text')}[1:2 + item_id % 5], ' ') AS form, CASE WHEN min(item_id) = max(item_id) THEN min(item_id) END AS item_id FROM benchmark GROUP BY 1), t AS (SELECT doc_id, {sql_tokens('text')} AS t FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(t) + 1)) AS start, t FROM t), r AS MATERIALIZED (SELECT doc_id, start, k, array_to_string(t[start : start + k - 1], ' ') AS form FROM p, (SELECT unnest(range(2, 7)) AS k) WHERE start + k - 1 <= len(t)),
+hits AS (SELECT doc_id, start, k AS n, item_id FROM r JOIN f USING (form)),
+taken AS (SELECT doc_id, list_reduce(list([{{'s': start, 'n': n, 'o': item_id}}] ORDER BY n DESC, start), lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.s < x[1].s + x[1].n AND x[1].s < y.s + y.n)) > 0 THEN a ELSE a || x END) AS m FROM hits GROUP BY doc_id)
+SELECT doc_id, m.o AS item_id, m.s::INTEGER AS start, m.n::INTEGER AS n_words FROM (SELECT doc_id, unnest(m) AS m FROM taken) WHERE m.o IS NOT NULL""")
+def _(spark, d):
+    """Forms of two to six words, the first of the benchmark texts."""
+    forms = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(T.tokens(F.col("text")), F.lit(1), (2 + F.col("item_id") % 5).cast("int")), " ").alias("form"))
+    return graph.mentions(table(spark, d, "documents"), forms, "doc_id", "text", "item_id", "form")
 
 
 @query("redirect_chains", "WITH RECURSIVE l AS (SELECT c_custkey AS s, c_custkey // 2 AS t FROM customer WHERE c_custkey > 1), r(s, t, n) AS (SELECT s, t, 1 FROM l UNION ALL SELECT r.s, l.t, n + 1 FROM r JOIN l ON r.t = l.s WHERE n < 16) SELECT s AS c_custkey, min(t) AS final FROM r GROUP BY s")

@@ -22,11 +22,13 @@ def pick(values, i):
 SQL_TITLES = f"w AS (SELECT item_id, array_to_string({sql_tokens('text')}[1:3], ' ') AS t, {sql_tokens('text')}[4] AS s FROM benchmark)"
 
 
-@query("content_signals", rf"""WITH {SQL_TITLES}, k AS (SELECT doc_id, {sql_key('text')} AS k FROM documents), m AS (SELECT doc_id, item_id, t, s, k, strpos(' ' || k || ' ', ' ' || t || ' ') AS p FROM k JOIN w ON contains(' ' || k || ' ', ' ' || t || ' ') WHERE length(t) >= 6 AND item_id IN (SELECT min(item_id) FROM w GROUP BY t HAVING count(*) = 1)),
-n AS (SELECT *, substr(k, greatest(1, p - 220), length(t) + 440 - greatest(0, 220 - p + 1)) AS near FROM m), b AS (SELECT *, contains(' ' || near || ' ', ' ' || s || ' ') AND s <> '' AS by_author FROM n)
-SELECT doc_id, item_id, CASE WHEN regexp_matches(near, '{works.TRANSLATION}') THEN 'translation' WHEN regexp_matches(near, '{works.ADAPTATION}') THEN 'adaptation' ELSE 'cites' END AS relation,
- CASE WHEN regexp_matches(near, '{works.TRANSLATION}') THEN 0.75 WHEN regexp_matches(near, '{works.ADAPTATION}') THEN CASE WHEN by_author THEN 0.85 ELSE 0.75 END WHEN by_author THEN 0.5 ELSE 0.35 END::DOUBLE AS weight FROM b WHERE by_author OR (length(t) >= 10 AND contains(t, ' '))""")
+@query("content_signals", rf"""WITH {SQL_TITLES}, own AS (SELECT t, min(item_id) AS item_id, min(s) AS s, len(string_split(t, ' ')) AS n FROM w WHERE length(t) >= 6 GROUP BY t HAVING count(*) = 1), toks AS (SELECT doc_id, {sql_tokens('text')} AS w FROM documents),
+m AS (SELECT doc_id, item_id, t, s, ' ' || substr(' ' || array_to_string(w[greatest(1, p - 111) : p - 1], ' ') || ' ', greatest(1, length(array_to_string(w[greatest(1, p - 111) : p - 1], ' ')) + 3 - 220)) || t || substr(' ' || array_to_string(w[p + n : p + n + 110], ' '), 1, 220) || ' ' AS near
+ FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM toks) JOIN own ON array_to_string(w[p : p + 2], ' ') = t),
+b AS (SELECT *, contains(near, ' ' || s || ' ') AND s <> '' AS by_author, CASE WHEN list_aggregate([contains(near, ' ' || c || ' ') FOR c IN string_split('{works.TRANSLATION}', ', ')], 'bool_or') THEN 'translation' WHEN list_aggregate([contains(near, ' ' || c || ' ') FOR c IN string_split('{works.ADAPTATION}', ', ')], 'bool_or') THEN 'adaptation' ELSE 'cites' END AS relation FROM m)
+SELECT doc_id, item_id, relation, max(CASE WHEN relation = 'translation' THEN 0.75 WHEN relation = 'adaptation' THEN CASE WHEN by_author THEN 0.85 ELSE 0.75 END WHEN by_author THEN 0.5 ELSE 0.35 END)::DOUBLE AS weight, count(*) AS n_places FROM b WHERE by_author OR (length(t) >= 10 AND contains(t, ' ')) GROUP BY ALL""")
 def _(spark, d):
+    """Three words of a benchmark text as a title, the fourth as its author; every fifth document says that it translates or adapts."""
     words = T.tokens(F.col("text"))
     w = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(words, 1, 3), " ").alias("t"), F.get(words, F.lit(3)).alias("s"))
     return works.content_signals(table(spark, d, "documents"), w, "doc_id", "text", "item_id", "t", "s")

@@ -7,6 +7,7 @@ import random
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from libralake.functions import text as T
 from libralake.operators import align, bibliography, citations, filters, folios, fusion, graph, intervals, normalizer, structure, tables, transcripts
@@ -40,7 +41,11 @@ def test_said_filters(spark):
     low, high = filters.said_years(__import__("pyspark.sql.functions", fromlist=["col"]).col("q"))
     df = spark.createDataFrame([("letters between 1600 and 1650",), ("cartas antes de 1700",), ("since 1900",), ("none",)], "q string").select(low.alias("a"), high.alias("b"))
     assert [tuple(r) for r in df.collect()] == [(1600, 1650), (None, 1699), (1900, None), (None, None)]
-    assert one(spark, filters.said_page, q="go to page 12") == 12
+    folio = lambda q: one(spark, lambda x: F.struct(*filters.said_folio(x)), q=q)
+    assert tuple(folio("página 199 de Don Quijote")) == ("199", "Don Quijote") and tuple(folio("ir a la p. xiv")) == ("xiv", None) and tuple(folio("go to page 12")) == ("12", None)
+    assert tuple(folio("the page 12 of it")) == (None, None) and tuple(folio("pages of 12")) == (None, None) and tuple(folio("12")) == (None, None)
+    assert one(spark, filters.said_page, q="go to page 12") == 12 and one(spark, filters.said_page, q="p. xiv") is None
+    assert one(spark, lambda q, a: filters.said_authors(q, F.split(a, ",")), q="la libertad en Cervantes antes de 1900", a="Cervantes,Darwin,en") == ["Cervantes"]
     assert filters.merge_years((1600, None), (1500, 1700)) == (1600, 1700)
     docs = spark.createDataFrame([(1, "es", 1999, 1605, "Cervantes"), (2, "en", None, None, "Mill")], "doc_id int, lang string, year int, original_year int, authors string")
     assert [r.doc_id for r in filters.allowed(docs, years=(1600, 1700)).collect()] == [1]
@@ -186,8 +191,15 @@ def test_references(spark):
 
 
 def test_citations(spark):
-    assert one(spark, citations.is_negative, x="He never came") is True
-    assert one(spark, lambda a, b: citations.missing_terms(a, b), a="Then Darwin met Huxley in 1860", b="darwin alone") == ["huxley", "1860"]
+    said = {
+        "Cervantes no menciona la imprenta de Gutenberg.": "la imprenta de Gutenberg", "Darwin does not discuss the printing press.": "the printing press", "El panóptico es una torre.": None,
+        "The novel is not only a satire.": None, "There is no doubt that Darwin wrote it.": None, "He never came": None, "Il n'aborde jamais la guerre": "la guerre", "Non menziona Dante": "Dante",
+    }
+    for claim, subject in said.items():
+        assert one(spark, citations.absent_subject, x=claim) == subject and one(spark, citations.is_negative, x=claim) == (subject is not None)
+    missing = lambda a, b: one(spark, lambda x, y: citations.missing_terms(x, y), a=a, b=b)
+    assert missing("El modelo de Bentham llegó al 40 % de las cárceles.", "El Panóptico de Bentham es la figura") == ["40 %"]
+    assert missing("Then Darwin met Huxley in 1860. And so did Ácana of the BBC.", "darwin alone") == ["Huxley", "Ácana"]
     rows = spark.createDataFrame([(0.9, "context", False, "plausible", False), (0.9, "direct", False, "plausible", False), (0.9, "direct", True, "plausible", False), (0.9, "direct", False, "impossible", False), (0.9, "direct", False, "plausible", True)], "s double, k string, c boolean, p string, n boolean")
     assert [r.decision for r in citations.decide(rows, "s", "k", "c", "p", "n").collect()] == ["review", "accept", "review", "discard", "review"]
 

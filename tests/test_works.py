@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from libralake.functions import text as T
-from libralake.operators import align, citations, folios, graph, history, lexical, normalizer, structure
+from libralake.operators import align, citations, folios, graph, history, lexical, normalizer, structure, works
 
 
 def test_plausibility(spark):
@@ -126,11 +126,34 @@ def test_sections_and_mentions(spark):
         assert got[d, p] == (max((q for q, m in own if q < p and m < lev), default=None), min((q for q, m in own if q > p and m <= lev), default=None))
     forms = [(1, "red ring"), (2, "ring"), (3, "the red ring"), (4, "day"), (5, "night day night"), (6, "day")]
     docs = [(k, " ".join(rng.choice(["the", "red", "ring", "day", "night"]) for _ in range(40))) for k in range(12)] + [(99, None)]
-    once = {f: o for o, f in forms if sum(f == g for _, g in forms) == 1}
+    forms += [(7, "the red ring day night night"), (8, "Day night")]
+    once = {f.lower(): o if sum(f == g for _, g in forms) == 1 else None for o, f in forms}
     want = set()
     for k, t in docs:
-        w = (t or "").split()
-        hits = [(i + 1, n, once[" ".join(w[i : i + n])]) for n in (1, 2, 3) for i in range(len(w) - n + 1) if " ".join(w[i : i + n]) in once]
-        want |= {(k, s, n, o) for s, n, o in hits if not any(m > n and t < s + n and t + m > s for t, m, _ in hits)}
-    found = graph.mentions(spark.createDataFrame(docs, "k int, t string"), spark.createDataFrame(forms, "o int, f string"), "k", "t", "o", "f", 3)
+        w, kept = (t or "").split(), []
+        hits = sorted((-n, i + 1) for n in range(1, 7) for i in range(len(w) - n + 1) if " ".join(w[i : i + n]) in once)
+        for n, s in hits:
+            if all(s >= b - m or b >= s - n for m, b in kept):
+                kept.append((n, s))
+        want |= {(k, s, -n, o) for n, s in kept if (o := once[" ".join(w[s - 1 : s - 1 - n])]) is not None}
+    found = graph.mentions(spark.createDataFrame(docs, "k int, t string"), spark.createDataFrame(forms, "o int, f string"), "k", "t", "o", "f")
     assert {(r.k, r.start, r.n_words, r.o) for r in found.collect()} == want
+    cased = spark.createDataFrame([(1, "Rose", True), (2, "rose garden", False)], "o int, f string, c boolean")
+    texts = spark.createDataFrame([(1, "A rose, Rose and the ROSE Garden; Roselyn")], "k int, t string")
+    assert sorted((r.o, r.start) for r in graph.mentions(texts, cased, "k", "t", "o", "f", "c").collect()) == [(1, 3), (2, 6)]
+    assert graph.mentions(texts, cased.limit(0), "k", "t", "o", "f").count() == 0
+
+
+def test_content_signals(spark):
+    """Titles of any length, at any place; only phrases of translation or adaptation tell more than a citation."""
+    titles = [(1, "The wolf the forest and the new man a tale of two friends in one summer", "Paz"), (2, "Marianela", "Galdos"), (3, "Strawberry and chocolate", "")]
+    filler = "word " * 300
+    texts = [
+        (1, f"{titles[0][1]}. {filler} Based on {titles[0][1]}, by Paz."),
+        (2, f"Marianela {filler} the translation is new. {filler} Marianela, translated from Galdós"),
+        (3, "A bare translation near Strawberry and chocolate"),
+        (4, "Marianela alone"),
+        (5, None),
+    ]
+    got = works.content_signals(spark.createDataFrame(texts, "d int, t string"), spark.createDataFrame(titles, "w int, t string, s string"), "d", "t", "w", "t", "s").collect()
+    assert sorted((r.d, r.w, r.relation, r.weight, r.n_places) for r in got) == [(1, 1, "adaptation", 0.85, 1), (1, 1, "cites", 0.35, 1), (2, 2, "translation", 0.75, 1), (3, 3, "cites", 0.35, 1)]
