@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import citations, dense, filters, fusion, lexical, passages, structure
+from .operators import citations, dense, filters, fusion, lexical, normalizer, passages, structure
 
 
 def hash_embedding(text: str, dims: int = 64) -> list[float]:
@@ -43,17 +43,24 @@ class Ports:
 
 @dataclass
 class Library:
-    """``fragments``: key, doc, place, text; ``vectors``: key, vector; ``documents``: doc and metadata."""
+    """``fragments``: key, doc, place, text and, where texts may be in old spelling, shadow; ``vectors``: key, vector; ``documents``: doc and metadata.
+
+    With an ``index`` (see ``indexed``) searches read the lists of their terms; without one they read the texts.
+    """
 
     fragments: DataFrame
     vectors: DataFrame | None = None
     documents: DataFrame | None = None
     key: str = "key"
     ports: Ports = field(default_factory=Ports)
+    index: lexical.Index | None = None
 
     @staticmethod
-    def of_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ports: Ports | None = None) -> Library:
-        """A library of the fragments of a table of documents, embedded by the port."""
+    def of_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ports: Ports | None = None, lang: str | None = None, year: str | None = None) -> Library:
+        """A library of the fragments of a table of documents, embedded by the port.
+
+        With the column ``lang`` (and ``year``) fragments in old spelling get a shadow that modern words find.
+        """
         ports = ports or Ports()
         frags = structure.chunk(docs, key, text).select(F.concat_ws(":", key, "place").alias("key"), F.col(key).alias("doc"), "place", F.col("fragment").alias("text"))
         embed = ports.embed
@@ -64,8 +71,30 @@ class Library:
 
         # Equal pieces are embedded once.
         pieces = frags.select("text").distinct().select("text", run("text").alias("vector"))
+        if lang:
+            own = docs.select(F.col(key).alias("doc"), F.col(lang).alias("lang"), (F.col(year) if year else F.lit(None)).cast("int").alias("year"))
+            frags = frags.join(normalizer.shadowed(frags.join(own, "doc"), "key", "text", "lang", "year"), "key")
         return Library(frags, frags.join(pieces, "text").select("key", "vector"), docs.withColumnRenamed(key, "doc"), "key", ports)
 
+    def indexed(self, path: str) -> Library:
+        """The same library with the lists of its fragments, texts and shadows, stored under ``path``."""
+        columns = {"text": F.col("text")} | ({"normalised": F.col("shadow")} if "shadow" in self.fragments.columns else {})
+        return replace(self, index=lexical.build(self.fragments, path, self.key, columns))
+
+    def _lexical(self, terms: list[str], frags: DataFrame, limited: bool) -> DataFrame:
+        """key, score by words: their old spellings too, where there is a stored shadow."""
+        if self.index is None:
+            return lexical.bm25(frags, terms, self.key)
+        also = {t: [v for v in normalizer.variants(t) if " " not in v] for t in terms} if "normalised" in self.index.columns else None
+        found = self.index.search(terms, {"text": 1.0, "normalised": 0.9}, also=also)
+        return found.join(frags.select(self.key), self.key, "left_semi") if limited else found
+
+    def _quoted(self, quotes: list[str], frags: DataFrame) -> DataFrame:
+        """Fragments that have every quotation, as it is or as its words stand in a shadow."""
+        old = "shadow" in frags.columns
+        groups = [[("text", q), *[("shadow", v) for v in (q, *normalizer.variants(q)) if old]] for q in quotes]
+        return lexical.any_phrases(frags, groups, self.key)
+
     def analyse(self, query: str) -> dict:
         """Intent, terms, quotations and filters said in the query."""
         spark = self.fragments.sparkSession
@@ -84,12 +113,12 @@ class Library:
         if allowed:
             docs = filters.allowed(self.documents, key="doc", **allowed).select("doc")
             frags = frags.join(docs, "doc", "left_semi")
-        lists = [fusion.ranked(lexical.bm25(frags, asked["terms"], self.key), self.key, "lexical", pool)]
+        lists = [fusion.ranked(self._lexical(asked["terms"], frags, bool(allowed)), self.key, "lexical", pool)]
         if self.vectors is not None:
             vectors = self.vectors if not allowed else self.vectors.join(frags.select(self.key), self.key, "left_semi")
             lists.append(fusion.ranked(dense.knn(vectors, self.ports.embed(query), pool, self.key, "vector"), self.key, "dense", pool))
         if asked["quotes"]:
-            exact = fusion.ranked(lexical.all_phrases(frags, asked["quotes"], self.key).withColumnRenamed("n_hits", "score"), self.key, "quote", pool)
+            exact = fusion.ranked(self._quoted(asked["quotes"], frags).withColumnRenamed("n_hits", "score"), self.key, "quote", pool)
             lists = [exact.withColumn("route", F.lit("lexical")), *lists[1:]]
         fused = fusion.rrf(lists, self.key, fusion.INTENT_WEIGHTS[asked["intent"]]).orderBy(F.desc("score"), self.key).limit(2 * pool)
         hits = F.broadcast(fused).join(frags, self.key)
@@ -129,7 +158,7 @@ class Library:
         """Fragments like one of the library, itself and its neighbours left out."""
         own = self.fragments.where(F.col(self.key) == key).first()
         terms = sorted(set(lexical.query_terms(own.text, 10_000)), key=lambda t: (-len(t), t))[:12]
-        lists = [fusion.ranked(lexical.bm25(self.fragments, terms, self.key), self.key, "lexical", 60)]
+        lists = [fusion.ranked(self._lexical(terms, self.fragments, False), self.key, "lexical", 60)]
         if self.vectors is not None:
             v = self.vectors.where(F.col(self.key) == key).first()
             lists.append(fusion.ranked(dense.knn(self.vectors, list(v.vector), 60, self.key, "vector"), self.key, "dense", 60))

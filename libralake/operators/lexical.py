@@ -105,6 +105,23 @@ def all_phrases(docs: DataFrame, phrases: list[str], key: str = "doc_id", column
     return found.where(F.forall("_n", lambda n: n > 0)).select(key, F.aggregate("_n", F.lit(0).cast("long"), lambda a, b: a + b).alias("n_hits"))
 
 
+def any_phrases(docs: DataFrame, groups: list[list[tuple[str, str]]], key: str = "doc_id") -> DataFrame:
+    """Documents that have, for every group of (column, phrase), one of its phrases in its column, with the number of all places; each column is read once."""
+    groups = [[(c, w) for c, p in g if (w := query_terms_all(p))] for g in groups]
+    groups = [g for g in groups if g]
+    if not groups:
+        return docs.select(key, F.lit(0).cast("long").alias("n_hits")).limit(0)
+    names = sorted({c for g in groups for c, _ in g})
+    words = T.computed(docs, [key], **{f"_{c}": F.concat(F.lit(" "), F.array_join(F.coalesce(T.tokens(F.col(c)), F.array().cast("array<string>")), "  "), F.lit(" ")) for c in names})
+
+    def count(column: str, phrase: list[str]) -> Column:
+        needle = " " + "  ".join(phrase) + " "
+        return ((F.length(f"_{column}") - F.length(F.replace(F.col(f"_{column}"), F.lit(needle), F.lit("")))) / len(needle)).cast("long")
+
+    found = T.computed(words, [key], _n=F.array(*[reduce(lambda a, b: a + b, [count(c, w) for c, w in g]) for g in groups]))
+    return found.where(F.forall("_n", lambda n: n > 0)).select(key, F.aggregate("_n", F.lit(0).cast("long"), lambda a, b: a + b).alias("n_hits"))
+
+
 @dataclass(frozen=True)
 class Index:
     """Stored lists of a table of documents: postings (term, key, tf and length of each column) and one row of totals."""
@@ -114,27 +131,39 @@ class Index:
     key: str
     columns: tuple[str, ...]
 
-    def search(self, terms: list[str], weights: dict[str, float] | None = None, every: bool = False, prefix: str | None = None) -> DataFrame:
-        """key, score as ``bm25`` gives it; ``prefix`` is one more term that stands for all words it begins."""
+    def search(self, terms: list[str], weights: dict[str, float] | None = None, every: bool = False, prefix: str | None = None, also: dict[str, list[str]] | None = None, also_in: str = "normalised") -> DataFrame:
+        """key, score as ``bm25`` gives it; ``prefix`` is one more term that stands for all words it begins.
+
+        ``also`` has other words for a term, each a term of its own in the score but looked for in the column ``also_in`` only;
+        with ``every`` a document needs, for each term, the term or one of its other words.
+        """
         w = [(weights or {}).get(c, 1.0) for c in self.columns]
         terms = [t for t in terms if t != prefix]
-        want = F.col("term").isin(terms) if terms else F.lit(False)
-        asked = F.col("term")
+        # What a word of the lists stands for: a label, the term it counts for, whether in one column only.
+        asked = [(t, t, t, False) for t in terms] + [(v, f"{v} for {t}", t, True) for t in terms if also for v in also.get(t, ())]
+        label = lambda q, g, only: F.struct(F.lit(q).alias("q"), F.lit(g).alias("g"), F.lit(only).alias("only"))
+        words = sorted({a[0] for a in asked})
+        want = F.col("term").isin(words) if words else F.lit(False)
+        hits = [F.when(F.col("term") == word, label(q, g, only)) for word, q, g, only in asked]
         if prefix:
             # A range of terms, which the sorted files are skipped by.
             inside = (F.col("term") >= prefix) & (F.col("term") < prefix + "\U0010ffff")
             want = want | inside
-            asked = F.when(inside & ~F.col("term").isin(terms) if terms else inside, F.lit(prefix + "*")).otherwise(F.col("term"))
+            hits.append(F.when(inside & ~F.col("term").isin(terms) if terms else inside, label(prefix + "*", prefix + "*", False)))
+        if not hits:
+            return self.spark.read.parquet(f"{self.path}/postings").select(self.key, F.lit(0.0).alias("score")).limit(0)
         total = lambda arr: reduce(lambda a, b: a + b, [F.lit(x) * F.col(arr)[i] for i, x in enumerate(w)])
-        rows = self.spark.read.parquet(f"{self.path}/postings").where(want).select(self.key, asked.alias("_q"), total("tf").alias("_tf"), total("len").alias("_len"))
-        rows = rows.groupBy(self.key, "_q").agg(F.sum("_tf").alias("_tf"), F.first("_len").alias("_len")).where("_tf > 0")
-        # At most one row for each term of the query, and one row of totals.
+        one = F.lit(w[self.columns.index(also_in)]) * F.col("tf")[self.columns.index(also_in)] if also_in in self.columns else F.lit(0.0)
+        rows = self.spark.read.parquet(f"{self.path}/postings").where(want).withColumn("_a", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())))
+        rows = rows.select(self.key, F.col("_a.q").alias("_q"), F.col("_a.g").alias("_g"), F.when(F.col("_a.only"), one).otherwise(total("tf")).alias("_tf"), total("len").alias("_len"))
+        rows = rows.groupBy(self.key, "_q", "_g").agg(F.sum("_tf").alias("_tf"), F.first("_len").alias("_len")).where("_tf > 0")
+        # At most one row for each word asked for, and one row of totals.
         df = rows.groupBy("_q").agg(F.count(F.lit(1)).alias("_df"))
         stats = self.spark.read.parquet(f"{self.path}/totals").select(F.col("n").alias("_n"), (total("len") / F.col("n")).alias("_avg"))
         idf = F.greatest(F.ln((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(1e-6))
         score = idf * F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-        hits = rows.join(F.broadcast(df), "_q").crossJoin(F.broadcast(stats)).groupBy(self.key).agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("_c"))
-        return hits.where(F.col("_c") == len(terms) + bool(prefix)).drop("_c") if every else hits.drop("_c")
+        found = rows.join(F.broadcast(df), "_q").crossJoin(F.broadcast(stats)).groupBy(self.key).agg(F.sum(score).alias("score"), F.countDistinct("_g").alias("_c"))
+        return found.where(F.col("_c") == len(terms) + bool(prefix)).drop("_c") if every else found.drop("_c")
 
 
 def build(docs: DataFrame, path: str, key: str = "doc_id", columns: dict[str, Column] | None = None, partitions: int | None = None) -> Index:

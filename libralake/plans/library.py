@@ -386,6 +386,28 @@ def _(spark, d):
     return metrics.pool(up.unionByName(down), "vec_id", 5)
 
 
+PLANTED = [("cua", "qua"), ("f", "ph"), ("([aeiou])s([aeiou])", "\\1ss\\2"), ("^u([^aeiou])", "v\\1"), ("([aeiou])b([aeiou])", "\\1u\\2")]
+
+
+def _planted_sql(word: str) -> str:
+    for a, b in PLANTED:
+        word = f"regexp_replace({word}, '{a}', '{b}', 'g')"
+    return word
+
+
+@query("old_spelling_recall", f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}]+')) AS word FROM documents WHERE lang = 'es'), p AS (SELECT word, {_planted_sql('word')} AS old FROM w WHERE regexp_full_match(word, '[a-z]{{4,}}') AND NOT regexp_matches(word, 'ph|ss|[hxyv]|f[smpcqt]')) SELECT word, old, true AS found FROM p WHERE old <> word""")
+def _(spark, d):
+    """Whether modern words find the old spellings of them: quatro, philosophia, cassa, vn, cauallo, by keys of the word and of its variants."""
+    docs = table(spark, d, "documents").where("lang = 'es'")
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("word")).distinct().where(F.col("word").rlike("^[a-z]{4,}$") & ~F.col("word").rlike("ph|ss|[hxyv]|f[smpcqt]"))
+    old = F.col("word")
+    for a, b in PLANTED:
+        old = F.regexp_replace(old, a, b.replace("\\", "$"))
+    pairs = words.withColumn("old", old).where("old <> word").withColumn("lang", F.lit("es"))
+    keyed = normalizer.keyed(normalizer.keyed(pairs, word="old").withColumnRenamed("spelling_key", "old_key"), word="word")
+    return keyed.select("word", "old", (F.col("old_key") == F.col("spelling_key")).alias("found"))
+
+
 @query("historical_key")
 def _(spark, d):
     return normalizer.keyed(normalizer.vocabulary(table(spark, d, "documents"), "text", "lang"))

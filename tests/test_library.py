@@ -36,6 +36,26 @@ def test_search(library):
     assert {r.layer for r in library.layered("fortune and philosophy", cards).collect()} == {"text", "card"}
 
 
+def test_old_spelling(spark, tmp_path):
+    """Modern words and quotations find old prints, and modern texts as before."""
+    texts = [
+        (1, "prenden a los que hallan en palacio, y no pudiendo prenderlos, puedē matarlos, ſi con rieſgo de muerte ſe les defienden", "es", None),
+        (2, "el qual apedimiento del reyno eſtablecio ley del numero dellos que dize aſsi.", "es", None),
+        (3, "Don Sancho Fernandez, hijo del famoſo Conde Fernan Gonçalez, y de la Condeſſa Doña Sancha ſu muger, la qual deſſeando caſar con vn Rey Moro", "es", None),
+        (4, "La libertad, Sancho, es uno de los más preciosos dones que a los hombres dieron los cielos; por la libertad se puede y debe aventurar la vida", "es", 1605),
+        (5, "This preservation of favourable variations and the rejection of injurious variations, I call Natural Selection.", "en", 1859),
+        (6, "Gallia est omnis divisa in partes tres", "la", None),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, year int")
+    shelf = Library.of_documents(docs, lang="lang", year="year").indexed(str(tmp_path / "lists"))
+    shelf = __import__("dataclasses").replace(shelf, vectors=None)
+    for query, doc in {"riesgo de muerte": 1, "mujer": 3, "famoso conde": 3, "estableció ley": 2, "aventurar la vida": 4, "natural selection": 5, "«Doña Sancha»": 3, "«riesgo de muerte»": 1, "partem galliae": 6}.items():
+        assert shelf.search(query, 5).first().doc == doc, query
+    assert shelf.search("mujer", 5, ids=[1, 2]).count() == 0 and shelf.search("zzz", 5).count() == 0
+    plain = Library.of_documents(docs).indexed(str(tmp_path / "plain"))
+    assert [r.doc for r in plain.search("natural selection", 1).collect()] == [5]
+
+
 def test_passages(spark):
     assert passages.claims("Short. This is a claim that is long enough (Mill, 1859). Here stands another long claim.")[0][2] is True
     assert passages.paragraphs("# Head\n\nBody one.\n\nBody two.") == [(0, 6), (8, 28)]

@@ -154,6 +154,19 @@ def test_normalizer(spark):
     same = [("es", "muger", "mujer"), ("es", "dixo", "dijo"), ("es", "honrra", "honra"), ("es", "quando", "cuando"), ("es", "agora", "ahora"), ("la", "causae", "cause"), ("la", "iuuenis", "juvenis"), ("fr", "estoit", "etait"), ("it", "huomo", "uomo")]
     for lang, old, new in same:
         assert normalizer.key_of(old, lang) == normalizer.key_of(new, lang), (lang, old, new)
+    es = lambda t: " ".join(normalizer.key_of(w, "es") for w in t.split())
+    for old, new in {
+        "aſsi": "así", "q̃": "que", "viẽto": "viento", "cõpañia": "compañía", "tãbien": "también", "vengarfe": "vengarse", "fiempre": "siempre", "hiço": "hizo", "çiudad": "ciudad", "vn": "un", "cauallo": "caballo", "iuez": "juez",
+        "traygo": "traigo", "aora": "ahora", "havemos": "habemos", "Quantos": "cuántos", "frequente": "frecuente", "Enrrique": "Enrique", "prission": "prisión", "Exercito": "ejército", "Ximena": "Jimena", "philosophia": "filosofía",
+        "monarcha": "monarca", "sancto": "santo", "sciencia": "ciencia", "spiritu": "espíritu", "conoscer": "conocer", "fermosa": "hermosa", "escrevir": "escribir", "vuessa merced": "vuestra merced", "desta": "de esta", "dellos": "de ellos",
+    }.items():
+        assert es(old) == es(new), (old, es(old), es(new))
+    assert es("examen éxito texto acción calle perro mayor") == "examen exito texto aczion calle perro mayor"
+    assert [normalizer.long_s(w) for w in ("efte", "mifmo", "afsi", "nafta", "oftalmologia", "fiesta")] == ["este", "mismo", "assi", "nafta", "oftalmologia", "fiesta"]
+    assert [normalizer.enclitic(w) for w in ("uirumque", "atque", "estne", "nonne", "bene", "plusue")] == [("uirum", "que"), ("atque", ""), ("est", "ne"), ("non", "ne"), ("bene", ""), ("plus", "ue")]
+    assert [normalizer.verb_stem(w) for w in ("amabant", "amauerunt", "legebatur", "amabo")] == ["amaba", "amaui", "legeba", "amabi"]
+    assert normalizer.variants("honra") == ["onra", "honr"] and normalizer.variants("así es la vida") == ["asi es la bida", "asi es la uida"] and "que" not in normalizer.variants("virumque")
+    assert normalizer.key_of("il", "fr") == "il" and [normalizer.key_of(w, "it") for w in ("ho", "et", "operatione")] == ["ho", "e", "operazione"]
     assert normalizer.prepare("ſeñor Æneas".split()[0]) == "señor" and normalizer.stem("rosarum") == "rosar"
     assert one(spark, lambda x: normalizer.is_old(x, __import__("pyspark.sql.functions", fromlist=["lit"]).lit("es"), __import__("pyspark.sql.functions", fromlist=["lit"]).lit(None).cast("int")), x="assi dixo la muger quando vino") is True
 
