@@ -149,6 +149,78 @@ def resolve(entities: DataFrame, key: str, name: str, kind: str, fictional: str,
     return e.select(key, F.when(F.col("_k") == "", F.col(key)).otherwise(first).alias("winner"))
 
 
+def merge_links(entities: DataFrame, places: DataFrame, key: str, doc: str, name: str, kind: str, aliases: str, linked: str, n_mentions: str) -> DataFrame:
+    """rule, a, b: which entities of one kind may be one.
+
+    1: one catalogue record.  2: a form of one is the name of another and fits its own name; a form of one word only where both
+    stand in one document.  3: a person known by the last word alone, with the only full name of a shared document that ends in it and is
+    mentioned as often.  4: first and last word of the only longer name that has all the words.
+    """
+    e = entities.select(F.col(key).alias("id"), F.col(kind).alias("kind"), F.col(name).alias("name"), T.key(F.col(name)).alias("k"), F.col(aliases).alias("forms"), F.col(linked).alias("link"), F.col(n_mentions).alias("m"))
+    e = e.withColumn("w", F.split("k", " ")).where("k <> '' and kind <> 'date'")
+    at = places.select(F.col(key).alias("id"), F.col(doc).alias("doc")).distinct()
+    # The first entity of a record, so that records with many entities make no pairs.
+    named = e.where("link is not null").select("kind", "link", "id")
+    one = named.join(named.groupBy("kind", "link").agg(F.min("id").alias("a")), ["kind", "link"]).where("a <> id").select(F.lit(1).alias("rule"), "a", F.col("id").alias("b"))
+    forms = e.select("id", "kind", "name", F.explode("forms").alias("form"))
+    forms = forms.where(compatible(F.col("form"), F.col("name"))).select(F.col("id").alias("a"), "kind", T.key(F.col("form")).alias("k"))
+    met = forms.join(e.groupBy("kind", "k").agg(F.max("id").alias("b")), ["kind", "k"]).where("a <> b")
+    long = met.where("instr(k, ' ') > 0").select("a", "b")
+    short = met.where("instr(k, ' ') = 0").select("a", "b").distinct()
+    together = short.join(at.withColumnRenamed("id", "a"), "a").join(at.withColumnRenamed("id", "b"), ["b", "doc"]).select("a", "b").distinct()
+    two = long.unionByName(together).select(F.lit(2).alias("rule"), "a", "b")
+    people = e.where("kind = 'person'")
+    full = people.where(F.size("w") >= 2).select("id", "m", "w", F.element_at("w", -1).alias("last"), F.col("w")[0].alias("first"))
+    alone = people.where((F.size("w") == 1) & (F.length("k") >= 3)).select(F.col("id").alias("a"), F.col("m").alias("m_a"), F.col("k").alias("last"))
+    near = alone.join(at.withColumnRenamed("id", "a"), "a").join(full.join(at, "id").select(F.col("id").alias("b"), "m", "last", "doc"), ["last", "doc"]).select("a", "m_a", "b", "m").distinct()
+    three = near.groupBy("a", "m_a").agg(F.count(F.lit(1)).alias("n"), F.max("b").alias("b"), F.max("m").alias("m")).where("n = 1 and m >= m_a").select(F.lit(3).alias("rule"), "a", "b")
+    other = full.select(F.col("id").alias("b"), F.col("w").alias("w_b"), "first", "last")
+    inner = full.select(F.col("id").alias("a"), "w", "first", "last").join(other, ["first", "last"]).where((F.size("w_b") > F.size("w")) & (F.size(F.array_except("w", "w_b")) == 0))
+    four = inner.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.max("b").alias("b")).where("n = 1").select(F.lit(4).alias("rule"), "a", "b")
+    return one.unionByName(two).unionByName(three).unionByName(four)
+
+
+def constrained(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key, winner: components of links taken in the order of their rule, without those that would join the real and the fictional.
+
+    ``links``: rule, a, b; ``nodes``: key, rank (a struct, the smallest of a component names it), fic (true, false or null: unknown).
+    A link that is the first of all at both its ends is decided: it joins the two components, or is dropped for good where
+    one is known as real and the other as fictional.  All such links of a round are decided at once, as one after the other would;
+    within a rule the order is that of a hash, so that rounds are few.
+    """
+    now = _saved(nodes.select("key", F.col("key").alias("label")), "labels")
+    groups = _saved(nodes.select(F.col("key").alias("label"), "rank", "fic"), "groups")
+    left = links.select("rule", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").groupBy("a", "b").agg(F.min("rule").alias("rule"))
+    left = _saved(left.select(F.struct("rule", F.xxhash64("a", "b").alias("h"), F.col("a").alias("x"), F.col("b").alias("y")).alias("o"), "a", "b"), "links")
+    while left.limit(1).count():
+        ends = left.select("o", F.explode(F.array("a", "b")).alias("label")).groupBy("label").agg(F.min("o").alias("first"))
+        due = left.join(ends.withColumnRenamed("label", "a").withColumnRenamed("first", "_a"), "a").where("o = _a").join(ends.withColumnRenamed("label", "b").withColumnRenamed("first", "_b"), "b").where("o = _b").select("o", "a", "b")
+        side = lambda s: groups.select(F.col("label").alias(s), F.col("rank").alias(f"r{s}"), F.col("fic").alias(f"f{s}"))
+        due = due.join(side("a"), "a").join(side("b"), "b")
+        apart = F.coalesce(F.col("fa") != F.col("fb"), F.lit(False))
+        first = F.col("ra") <= F.col("rb")
+        due = _saved(due.select("o", apart.alias("apart"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("win"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("lose"), F.coalesce("fa", "fb").alias("fic")), "due")
+        moved = due.where("not apart").select(F.col("lose").alias("label"), F.col("win").alias("_to"))
+        known = due.where("not apart").select(F.col("win").alias("label"), F.col("fic").alias("_f"), F.lit(True).alias("_w"))
+        now = _saved(now.join(moved, "label", "left").select("key", F.coalesce("_to", "label").alias("label")), "labels")
+        groups = _saved(groups.join(moved, "label", "left_anti").join(known, "label", "left").select("label", "rank", F.when(F.col("_w"), F.col("_f")).otherwise(F.col("fic")).alias("fic")), "groups")
+        end = lambda df, s: df.join(moved.select(F.col("label").alias(s), F.col("_to").alias(f"_{s}")), s, "left").withColumn(s, F.coalesce(f"_{s}", s)).drop(f"_{s}")
+        rest = end(end(left.join(due.select("o"), "o", "left_anti"), "a"), "b").where("a <> b")
+        left = _saved(rest.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("o").alias("o")).select("o", "a", "b"), "links")
+    return now.select("key", F.col("label").alias("winner"))
+
+
+def merged(entities: DataFrame, places: DataFrame, key: str, doc: str, name: str, kind: str, aliases: str, linked: str, n_mentions: str, fictional: str) -> DataFrame:
+    """key, winner of every entity, after all rules of ``merge_links``; people known as real and as fictional are never one.
+
+    The winner is linked before unlinked, then has more words, more mentions, the smaller key.
+    """
+    links = merge_links(entities, places, key, doc, name, kind, aliases, linked, n_mentions)
+    rank = F.struct(F.col(linked).isNull().alias("l"), (-F.size(F.split(T.key(F.col(name)), " "))).alias("w"), (-F.col(n_mentions)).alias("m"), F.col(key).alias("k"))
+    nodes = entities.select(F.col(key).alias("key"), rank.alias("rank"), F.when(F.col(kind) == "person", F.col(fictional)).alias("fic"))
+    return constrained(links, nodes).withColumnRenamed("key", key)
+
+
 def idf_overlap(ments: DataFrame, pairs: DataFrame, doc: str, entity: str, a: str, b: str) -> DataFrame:
     """a, b, overlap: shared weight of rare entities over the smaller total of the two documents, for given pairs."""
     own = ments.select(doc, entity).distinct()

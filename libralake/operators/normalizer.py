@@ -205,27 +205,28 @@ def keyed(vocab: DataFrame, lang: str = "lang", word: str = "word") -> DataFrame
     return vocab.withColumn("spelling_key", run(word, lang))
 
 
-def _words(text: str) -> str:
-    return r"(?<!\p{L})(?:" + "|".join(text.split()) + r")(?!\p{L})"
+# Signs that only old prints have, and words and ends of words.
+OLD_SIGNS = {"es": "ſ|q\u0303|[ãẽĩõũ]|[àèìòù]|ç", "fr": "ſ", "it": "ſ"}
+OLD_WORDS = {
+    "es": "assi ansi quando qual quales quanto quanta quantos quantas quatro dixo dixe dixeron muger mugeres agora aora desta deste destos destas dello della dellos mesmo mesma hazer haze hazen hazia dezir dize dizen dezia vn vna vnos "
+    "vnas avia havia avian havian aver haver huvo uvo proprio propria traygo reyno reyna ayre oyr essa esso esse essos essas excesso sucesso exercito exemplo baxo dexar dexo quexa fee vuessa vuesa cuydado cuydar christiano christiana "
+    "christo iusticia iuez aqueste aquesta aquesto fazer fizo fasta vido truxo trujo estonces",
+    "fr": "estoit estoient avoit avoient faisoit disoit estre mesme mesmes nostre vostre aussy ainsy icy faict dict aultre eust fust nuict sçavoir scavoir cognoistre connoistre roy loy foy moy luy celuy vray maistre teste beste feste isle ung",
+    "it": "huomo huomini hoggi hauere havere haueua haveva hauea havea hebbe anchora imperoche percioche et",
+}
+OLD_ENDS = {"es": r"\p{L}+ss(?:e|en|emos|es)", "fr": r"\p{L}{3,}oient", "it": r"\p{L}+ti(?:a|one)"}
 
 
-# Signs and words that only old prints have.
-OLD_SIGNS = {
-    "es": "ſ|q\u0303" + r"|[ãẽĩõũ]|[àèìòù]|ç|\p{L}+ss(?:e|en|emos|es)(?!\p{L})|"
-    + _words(
-        "assi ansi quando qual quales quanto quanta quantos quantas quatro dixo dixe dixeron muger mugeres agora aora desta deste destos destas dello della dellos mesmo mesma hazer haze hazen hazia dezir dize dizen dezia vn vna vnos vnas "
-        "avia havia avian havian aver haver huvo uvo proprio propria traygo reyno reyna ayre oyr essa esso esse essos essas excesso sucesso exercito exemplo baxo dexar dexo quexa fee vuessa vuesa cuydado cuydar christiano christiana "
-        "christo iusticia iuez aqueste aquesta aquesto fazer fizo fasta vido truxo trujo estonces"
-    ),
-    "fr": "ſ|" + _words("estoit estoient avoit avoient faisoit disoit estre mesme mesmes nostre vostre aussy ainsy icy faict dict aultre eust fust nuict sçavoir scavoir cognoistre connoistre roy loy foy moy luy celuy vray maistre teste beste feste isle ung")
-    + r"|\p{L}{3,}oient(?!\p{L})",
-    "it": "ſ|" + _words("huomo huomini hoggi hauere havere haueua haveva hauea havea hebbe anchora imperoche percioche et") + r"|\p{L}+tione(?!\p{L})|\p{L}+tia(?!\p{L})",
-}
+def old_word_pattern(lang: str) -> str:
+    """Pattern of a whole word that only old prints have."""
+    return f"^(?:{OLD_ENDS[lang]}|{'|'.join(OLD_WORDS[lang].split())})$"
 
 
 def old_signals(text: Column, lang: str) -> Column:
-    """How many signs of old spelling a text has."""
-    return F.size(F.regexp_extract_all(F.lower(text), F.lit(OLD_SIGNS.get(lang, "ſ")), F.lit(0)))
+    """How many signs and words of old spelling a text has."""
+    low = F.lower(text)
+    words = F.filter(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{M}]+"), F.lit(0)), lambda w: w.rlike(old_word_pattern(lang)))
+    return F.size(F.regexp_extract_all(low, F.lit(OLD_SIGNS[lang]), F.lit(0))) + F.size(words)
 
 
 def is_old(text: Column, lang: Column, year: Column) -> Column:

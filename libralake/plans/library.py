@@ -245,6 +245,22 @@ def _(spark, d):
     return graph.resolve(p, "p_partkey", "p_name", "p_brand", "fic", "linked", "p_retailprice")
 
 
+ENTITY = "'n' || c_custkey // 6 || CASE WHEN c_custkey % 6 < 2 THEN ' ' || chr(97 + c_custkey % 6) || ' z' || c_custkey // 6 ELSE '' END"
+
+
+@query("entity_merges", f"""WITH RECURSIVE e AS (SELECT c_custkey AS k, {ENTITY} AS name, c_nationkey AS doc, CASE WHEN c_custkey % 6 IN (2, 3) THEN c_custkey // 6 END AS q, 'n' || c_custkey // 6 AS alias, c_custkey % 6 AS r, c_acctbal AS m FROM customer),
+l AS (SELECT a.k AS a, b.k AS b FROM e a JOIN e b ON a.q = b.q AND a.k <> b.k UNION SELECT a.k, b.k FROM e a JOIN e b ON a.r = 0 AND b.name = a.alias AND a.k <> b.k AND a.doc = b.doc),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), reach(k, o) AS (SELECT k, k FROM e UNION SELECT r.k, u.b FROM reach r JOIN u ON u.a = r.o)
+SELECT k AS c_custkey, first(o ORDER BY q IS NULL, len(string_split(name, ' ')) DESC, m DESC, o) AS winner FROM (SELECT reach.k, o, e.q, e.name, e.m FROM reach JOIN e ON e.k = o) GROUP BY k""")
+def _(spark, d):
+    """Customers as entities: links by catalogue number, and by a form of one word within one nation."""
+    six = F.expr("c_custkey div 6").cast("string")
+    r = F.col("c_custkey") % 6
+    name = F.concat(F.lit("n"), six, F.when(r < 2, F.concat(F.lit(" "), F.when(r == 0, "a").otherwise("b"), F.lit(" z"), six)).otherwise(""))
+    e = table(spark, d, "customer").select("c_custkey", "c_nationkey", name.alias("name"), F.lit("work").alias("kind"), F.when(r.isin(2, 3), six).alias("q"), F.when(r == 0, F.array(F.concat(F.lit("n"), six))).otherwise(F.array().cast("array<string>")).alias("alias"), F.col("c_acctbal").alias("m"), F.lit(None).cast("boolean").alias("fic"))
+    return graph.merged(e, e.select("c_custkey", F.col("c_nationkey").alias("doc")), "c_custkey", "doc", "name", "kind", "alias", "q", "m", "fic")
+
+
 @query("mention_places", f"""WITH f AS (SELECT array_to_string({sql_tokens('text')}[1:2 + item_id % 5], ' ') AS form, CASE WHEN min(item_id) = max(item_id) THEN min(item_id) END AS item_id FROM benchmark GROUP BY 1), t AS (SELECT doc_id, {sql_tokens('text')} AS t FROM documents),
 p AS (SELECT doc_id, unnest(range(1, len(t) + 1)) AS start, t FROM t), r AS MATERIALIZED (SELECT doc_id, start, k, array_to_string(t[start : start + k - 1], ' ') AS form FROM p, (SELECT unnest(range(2, 7)) AS k) WHERE start + k - 1 <= len(t)),
 hits AS (SELECT doc_id, start, k AS n, item_id FROM r JOIN f USING (form)),
@@ -413,8 +429,13 @@ def _(spark, d):
     return normalizer.keyed(normalizer.vocabulary(table(spark, d, "documents"), "text", "lang"))
 
 
-@query("old_spelling", rf"""WITH c AS (SELECT doc_id, lang, len({sql_tokens('text')}) AS w, len(regexp_extract_all(lower(text), '{normalizer.OLD_SIGNS['es']}')) AS es, len(regexp_extract_all(lower(text), '{normalizer.OLD_SIGNS['fr']}')) AS fr, len(regexp_extract_all(lower(text), '{normalizer.OLD_SIGNS['it']}')) AS it FROM documents), n AS (SELECT *, CASE lang WHEN 'es' THEN es WHEN 'fr' THEN fr WHEN 'it' THEN it ELSE 0 END AS n FROM c)
-SELECT doc_id, coalesce(lang = 'la' OR (lang IN ('es', 'fr', 'it') AND ((n >= 2 AND n >= w * 0.01) OR (w < 40 AND n >= 1 AND n * 20 >= w))), false) AS old FROM n""")
+def _signals_sql(lang: str) -> str:
+    words = f"len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}]+'), lambda w: regexp_matches(w, '{normalizer.old_word_pattern(lang)}')))"
+    return f"len(regexp_extract_all(lower(text), '{normalizer.OLD_SIGNS[lang]}')) + {words}"
+
+
+@query("old_spelling", f"""WITH c AS (SELECT doc_id, lang, len({sql_tokens('text')}) AS w, CASE lang WHEN 'es' THEN {_signals_sql('es')} WHEN 'fr' THEN {_signals_sql('fr')} WHEN 'it' THEN {_signals_sql('it')} ELSE 0 END AS n FROM documents)
+SELECT doc_id, coalesce(lang = 'la' OR (lang IN ('es', 'fr', 'it') AND ((n >= 2 AND n >= w * 0.01) OR (w < 40 AND n >= 1 AND n * 20 >= w))), false) AS old FROM c""")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.coalesce(normalizer.is_old(F.col("text"), F.col("lang"), F.lit(None).cast("int")), F.lit(False)).alias("old"))
 

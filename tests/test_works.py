@@ -158,3 +158,43 @@ def test_content_signals(spark):
     ]
     got = works.content_signals(spark.createDataFrame(texts, "d int, t string"), spark.createDataFrame(titles, "w int, t string, s string"), "d", "t", "w", "t", "s").collect()
     assert sorted((r.d, r.w, r.relation, r.weight, r.n_places) for r in got) == [(1, 1, "adaptation", 0.85, 1), (1, 1, "cites", 0.35, 1), (2, 2, "translation", 0.75, 1), (3, 3, "cites", 0.35, 1)]
+
+
+def test_entities_merge(spark):
+    """The four rules, and what keeps entities apart."""
+    e = lambda k, name, doc, alias=(), q=None, kind="person", m=3, fic=None: (k, name, doc, list(alias), q, kind, m, fic)
+    rows = [
+        e("cp", "charlie parker", "entrevista", ["Bird", "Dedee"]), e("dedee", "dedee", "entrevista", m=60), e("horace", "horace", "discarded"), e("hw", "horace walpole", "discarded"), e("p1", "parker", "entrevista"),
+        e("p2", "parker", "discarded"), e("bird", "bird", "perseguidor"), e("jc", "julio cortazar", "entrevista"), e("jfc", "julio florencio cortazar", "otro"), e("x1", "el perseguidor", "a", q="Q1", kind="work"), e("x2", "the pursuer", "b", q="Q1", kind="work"),
+    ]
+    schema = "k string, name string, doc string, alias array<string>, q string, kind string, m int, fic boolean"
+
+    def winners(rows):
+        df = spark.createDataFrame(rows, schema)
+        return {r.k: r.winner for r in graph.merged(df, df.select("k", "doc"), "k", "doc", "name", "kind", "alias", "q", "m", "fic").collect()}
+
+    got = winners(rows)
+    assert got["p1"] == "cp" and got["jc"] == "jfc" and got["x1"] == got["x2"]
+    assert all(got[k] == k for k in ("p2", "bird", "dedee", "horace", "hw", "cp"))
+    # A real and a fictional namesake stay apart, whoever else links them; the unknown goes with the earlier link.
+    got = winners([e("a", "john smith", "d", q="Q", fic=False), e("b", "john smith", "d", q="Q", fic=True), e("c", "john x smith", "d", q="Q")])
+    assert got["a"] != got["b"] and got["c"] in (got["a"], got["b"])
+
+
+def test_components_with_a_constraint(spark):
+    """Rounds of links decided at once against one link after the other."""
+    rng = random.Random(13)
+    nodes = [(i, rng.choice([True, False, None, None, None])) for i in range(120)]
+    links = {(min(p), max(p)): rng.randint(1, 4) for p in ((rng.randrange(120), rng.randrange(120)) for _ in range(150)) if p[0] != p[1]}
+    df = spark.createDataFrame([(r, a, b) for (a, b), r in links.items()], "rule int, a long, b long")
+    order = [(r.a, r.b) for r in df.orderBy("rule", F.xxhash64("a", "b"), "a", "b").collect()]
+    label, fic = {i: i for i, _ in nodes}, dict(nodes)
+    for a, b in order:
+        x, y = label[a], label[b]
+        if x == y or (fic[x] is not None and fic[y] is not None and fic[x] != fic[y]):
+            continue
+        win, lose = min(x, y), max(x, y)
+        fic[win] = fic[x] if fic[x] is not None else fic[y]
+        label = {k: win if v == lose else v for k, v in label.items()}
+    got = graph.constrained(df, spark.createDataFrame(nodes, "key long, fic boolean").select("key", F.struct("key").alias("rank"), "fic"))
+    assert {r.key: r.winner for r in got.collect()} == label
