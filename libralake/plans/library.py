@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import align, bibliography, citations, clusters, dense, filters, folios, graph, insights, metrics, normalizer, structure, tables, transcripts
+from ..operators import align, bibliography, citations, clusters, dense, filters, folios, graph, insights, metrics, normalizer, pages, structure, tables, transcripts
 from .registry import query, sql_fold, sql_key, sql_tokens, table
 
 SQL_UNITS = "units AS (SELECT doc_id, p.i - 1 AS place, p.u AS unit FROM (SELECT doc_id, unnest(list_transform(list_filter(string_split(text, chr(10)), lambda s: length(trim(s)) > 0), lambda s, i: {'i': i, 'u': s})) AS p FROM documents))"
@@ -44,6 +44,26 @@ def _(spark, d):
     return structure.chunk(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "place", "start", "end", T.token_estimate(F.col("fragment")).alias("n_tokens"))
 
 
+@query("page_chunks")
+def _(spark, d):
+    """Documents as pages of five lines, cut by their headings and across page ends."""
+    lines = structure.units(table(spark, d, "documents"), "doc_id", "text").withColumn("page", F.expr("place div 5").cast("int"))
+    units = lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "unit"))), lambda x: x["unit"]), "\n\n").alias("text"))
+    return pages.chunk(units, "doc_id", "page", "text").drop("fragment")
+
+
+@query("contents_anchors", f"""WITH l AS (SELECT doc_id, trim(unnest(list_filter(string_split(text, chr(10)), lambda s: length(trim(s)) > 0))) AS line, generate_subscripts(list_filter(string_split(text, chr(10)), lambda s: length(trim(s)) > 0), 1) - 1 AS place FROM documents), u AS (SELECT doc_id, {sql_key('line')} AS k FROM l GROUP BY ALL HAVING count(*) = 1)
+SELECT l.doc_id, place::INTEGER AS no, (place // 5)::INTEGER AS unit, (place % 5)::INTEGER AS paragraph, true AS found FROM l JOIN u ON l.doc_id = u.doc_id AND {sql_key('line')} = k WHERE place % 5 = 3 AND length(line) BETWEEN 30 AND 110 AND regexp_matches(line, '^[a-zA-Z ]+[.]?$') AND NOT regexp_matches(line, '^[dDiIvVxXlLcC]+ ')""")
+def _(spark, d):
+    """Every fourth of five lines of a page, where it stands once in its document, as an entry of the contents."""
+    lines = structure.units(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "place", F.trim("unit").alias("line"))
+    lines = lines.withColumns({"page": F.expr("place div 5").cast("int"), "n": F.count(F.lit(1)).over(Window.partitionBy("doc_id", T.key(F.col("line"))))})
+    paras = lines.select("doc_id", "page", (F.col("place") % 5).cast("int").alias("paragraph"), F.col("line").alias("text"))
+    entries = lines.where((F.col("n") == 1) & (F.col("place") % 5 == 3) & F.length("line").between(30, 110) & F.col("line").rlike("^[a-zA-Z ]+[.]?$") & ~F.col("line").rlike("^[dDiIvVxXlLcC]+ "))
+    found = pages.anchored_contents(entries.select("doc_id", "place", "line", "page"), paras, "doc_id", "place", "line", "page")
+    return found.select("doc_id", "no", "unit", "paragraph", "found")
+
+
 @query("passages")
 def _(spark, d):
     return structure.passages(table(spark, d, "documents"), ["thing", "threat", "of", "other"], "doc_id", "text")
@@ -245,7 +265,7 @@ def _(spark, d):
     return graph.resolve(p, "p_partkey", "p_name", "p_brand", "fic", "linked", "p_retailprice")
 
 
-ENTITY = "'n' || c_custkey // 6 || CASE WHEN c_custkey % 6 < 2 THEN ' ' || chr(97 + c_custkey % 6) || ' z' || c_custkey // 6 ELSE '' END"
+ENTITY = "'n' || c_custkey // 6 || CASE WHEN c_custkey % 6 < 2 THEN ' ' || chr((97 + c_custkey % 6)::INTEGER) || ' z' || c_custkey // 6 WHEN c_custkey % 6 = 2 THEN '' ELSE ' y' || c_custkey % 6 END"
 
 
 @query("entity_merges", f"""WITH RECURSIVE e AS (SELECT c_custkey AS k, {ENTITY} AS name, c_nationkey AS doc, CASE WHEN c_custkey % 6 IN (2, 3) THEN c_custkey // 6 END AS q, 'n' || c_custkey // 6 AS alias, c_custkey % 6 AS r, c_acctbal AS m FROM customer),
@@ -256,7 +276,7 @@ def _(spark, d):
     """Customers as entities: links by catalogue number, and by a form of one word within one nation."""
     six = F.expr("c_custkey div 6").cast("string")
     r = F.col("c_custkey") % 6
-    name = F.concat(F.lit("n"), six, F.when(r < 2, F.concat(F.lit(" "), F.when(r == 0, "a").otherwise("b"), F.lit(" z"), six)).otherwise(""))
+    name = F.concat(F.lit("n"), six, F.when(r < 2, F.concat(F.lit(" "), F.when(r == 0, "a").otherwise("b"), F.lit(" z"), six)).when(r == 2, "").otherwise(F.concat(F.lit(" y"), r.cast("string"))))
     e = table(spark, d, "customer").select("c_custkey", "c_nationkey", name.alias("name"), F.lit("work").alias("kind"), F.when(r.isin(2, 3), six).alias("q"), F.when(r == 0, F.array(F.concat(F.lit("n"), six))).otherwise(F.array().cast("array<string>")).alias("alias"), F.col("c_acctbal").alias("m"), F.lit(None).cast("boolean").alias("fic"))
     return graph.merged(e, e.select("c_custkey", F.col("c_nationkey").alias("doc")), "c_custkey", "doc", "name", "kind", "alias", "q", "m", "fic")
 

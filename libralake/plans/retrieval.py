@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import dense, fusion, lexical, metrics
+from ..session import shared_folder
 from .registry import SQL_STOP, query, sql_fold, sql_key, sql_tokens, table
 
 QUERY = "thing that threat of other notion"
@@ -69,15 +70,11 @@ COLUMNS = {"text": 1.0, "context": 0.35, "section": 0.6, "normalised": 0.9}
 
 def index_of(spark, d) -> lexical.Index:
     """The stored lists of all documents over four columns, built once in a session."""
-    import tempfile
     import uuid
 
     held = (spark.sparkContext.applicationId, d)
     if held not in _indexes:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = f"{(base or tempfile.mkdtemp(prefix='libralake-index-')).rstrip('/')}/libralake/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
         head = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
         cols = {"text": F.col("text"), "context": F.concat_ws(" ", "source", "lang"), "section": head, "normalised": F.upper(head)}
         _indexes[held] = lexical.build(table(spark, d, "documents"), path, columns=cols)

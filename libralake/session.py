@@ -2,8 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder of a local session without the setting.
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """This application's part of the folder named by ``spark.checkpoint.dir``; only local sessions without the setting get a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="libralake-tables-"))
+        base = _own[0]
+    return f"{base.rstrip('/')}/libralake/{spark.sparkContext.applicationId}"
+
 
 def local_session(threads: int = 8, driver_memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
     """A local session with adaptive execution and UTC."""
