@@ -22,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-import tokenizers
 from pyspark.sql import DataFrame
 
 from ._arrow import filled, slices
@@ -95,8 +94,8 @@ class WordBpe(Remembered):
         self.number = {i: str(i) for i in self.name}
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(pattern).findall
-        self.split_any = tokenizers.pre_tokenizers.Split(tokenizers.Regex(pattern), "removed", invert=True).pre_tokenize_str
-        self.lowered_any = tokenizers.Tokenizer.from_file(path).normalizer.normalize_str
+        self.pattern, self.normalizer = pattern, spec["normalizer"]
+        self.library = None
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def forget(self) -> None:
@@ -112,7 +111,18 @@ class WordBpe(Remembered):
             elif _SETTLED.fullmatch(part):
                 yield from map(self.words.__getitem__, self.split(_lowered(part)))
             else:
-                yield from (self.words[piece] for piece, _ in self.split_any(self.lowered_any(part)))
+                yield from map(self.words.__getitem__, self._library_pieces(part))
+
+    def _library_pieces(self, text: str) -> list[str]:
+        """The words of a text by the library's own tables, which are loaded without its vocabulary, and only where a text needs them."""
+        if self.library is None:
+            import tokenizers
+
+            light = {"version": "1.0", "added_tokens": [], "normalizer": self.normalizer, "model": {"type": "BPE", "vocab": {}, "merges": []}}
+            split = tokenizers.pre_tokenizers.Split(tokenizers.Regex(self.pattern), "removed", invert=True)
+            self.library = (tokenizers.Tokenizer.from_str(json.dumps(light)).normalizer.normalize_str, split.pre_tokenize_str)
+        lowered, split = self.library
+        return [piece for piece, _ in split(lowered(text))]
 
     def compute(self, run: str) -> bytes:
         if not _SETTLED.fullmatch(run):
