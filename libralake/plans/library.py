@@ -360,6 +360,26 @@ def _(spark, d):
     return clusters.place(xy.join(sample.select("vec_id"), "vec_id", "left_anti").select("vec_id", "label", "embedding"), sample, "label", "vec_id", "embedding")
 
 
+@query("umap_layout")
+def _(spark, d):
+    """All vectors on a map: the fuzzy neighbour graph laid out by attraction and repulsion."""
+    return clusters.umap(table(spark, d, "embeddings"), "vec_id", "embedding", 15, 5, 30)
+
+
+@query("fuzzy_neighbours", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT a.vec_id AS key, b.vec_id AS other, round(sqrt(greatest(0, 2 - 2 * list_cosine_similarity(a.v, b.v))), 9) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id), r AS (SELECT key, other, row_number() OVER (PARTITION BY key ORDER BY d, other) AS r FROM n) SELECT key, other, r::INTEGER AS rank FROM r WHERE r <= 5""")
+def _(spark, d):
+    """The neighbour graph behind the map, five neighbours a point."""
+    g = clusters.neighbour_graph(table(spark, d, "embeddings"), "vec_id", "embedding", 5)
+    return g.select("key", "other", F.row_number().over(Window.partitionBy("key").orderBy(F.round("distance", 9), "other")).alias("rank"))
+
+
+@query("document_map", "WITH r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r, greatest(1, ceil(count(*) OVER (PARTITION BY label) / 40))::INTEGER AS s FROM embeddings) SELECT label, vec_id, true AS inside FROM r WHERE r % s = 0")
+def _(spark, d):
+    """Each label's vectors on their own two axes, 40 of them at most."""
+    m = clusters.document_map(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 40)
+    return m.select("label", "vec_id", ((F.abs("x") <= 1) & (F.abs("y") <= 1) & (F.col("share_x") >= F.col("share_y"))).alias("inside"))
+
+
 @query("forgotten_documents", "WITH o AS (SELECT user_id AS doc_id, max(ts) AS last_open FROM events WHERE event_type = 'view' GROUP BY 1), h AS (SELECT user_id AS doc_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1) SELECT doc_id, last_open, (CASE WHEN last_open IS NULL THEN 1 ELSE 2 END + coalesce(n, 0))::BIGINT AS weight FROM documents LEFT JOIN o USING (doc_id) LEFT JOIN h USING (doc_id) WHERE last_open IS NULL OR last_open < TIMESTAMP '2024-01-25'")
 def _(spark, d):
     import datetime
