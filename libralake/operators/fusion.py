@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import numbered
+
 # Weight of each route by intent.
 INTENT_WEIGHTS = {
     "conceptual": {"lexical": 0.35, "dense": 1.0, "visual": 0.0},
@@ -66,7 +68,7 @@ def collapse(rows: DataFrame, identity: Column, order: list[Column], routes: str
 def interleave(lists: DataFrame, key: str, list_col: str = "route", rank: str = "rank") -> DataFrame:
     """Round-robin merge of ranked lists: by rank, then list; the first place of a key counts."""
     first = lists.groupBy(key).agg(F.min(F.struct(rank, list_col)).alias("_p"))
-    return first.select(key, F.col(f"_p.{rank}").alias("round"), F.col(f"_p.{list_col}").alias("from_list")).withColumn("place", F.row_number().over(Window.orderBy("round", "from_list")))
+    return numbered(first.select(key, F.col(f"_p.{rank}").alias("round"), F.col(f"_p.{list_col}").alias("from_list")), "place", "round", "from_list")
 
 
 def literal_first(exact: DataFrame, similar: DataFrame, key: str) -> DataFrame:

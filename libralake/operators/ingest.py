@@ -55,7 +55,14 @@ def people_in_title(title: Column) -> Column:
 def loops(text: Column, least_lines: int = 8, longer_than: int = 3, most: int = 6, share: float = 0.4) -> Column:
     """Whether a reading is stuck: one line in too many of them, or a run of characters repeated on and on."""
     lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: F.length(s) > longer_than)
-    top = F.array_max(F.transform(F.array_distinct(lines), lambda s: F.size(F.filter(lines, lambda t: t == s))))
+    # Equal lines stand together once sorted: the longest run is the most frequent line.
+    none = F.struct(F.lit("").alias("line"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(acc: Column, s: Column) -> Column:
+        run = F.when(acc["line"] == s, acc["run"] + 1).otherwise(1)
+        return F.struct(s.alias("line"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+
+    top = F.aggregate(F.array_sort(lines), none, step, lambda acc: acc["best"])
     by_line = (F.size(lines) >= least_lines) & (top >= most) & (top > share * F.size(lines))
     return F.coalesce(by_line, F.lit(False)) | text.rlike(r"(?s)(.{4,40}?)\1{12,}")
 

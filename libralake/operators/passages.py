@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,7 +46,7 @@ def best_window(text: str, terms: set[str], size: int = 280) -> tuple[int, int]:
     at = [m.start() for m in re.finditer(r"[^\W_]+", low) if any(m[0].startswith(t) and len(m[0]) <= len(t) + 3 for t in terms)]
     if not at:
         return 0, min(size, len(text))
-    best = max(at, key=lambda p: (sum(p <= q < p + size * 3 // 4 for q in at), -p))
+    best = max(at, key=lambda p: (bisect_left(at, p + size * 3 // 4) - bisect_left(at, p), -p))
     start = max(0, min(best - size // 4, len(text) - size))
     return start, min(len(text), start + size)
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def last_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each key: the one that comes last; partial maxima before the shuffle."""
@@ -57,3 +61,19 @@ def next_free_suffix(rows: DataFrame, base: str, order: list[str], out: str) ->
     many = F.count(F.lit(1)).over(Window.partitionBy(base))
     letter = F.when(n <= 26, F.char(F.lit(96) + n)).otherwise(F.concat(F.lit("z"), n.cast("string")))
     return rows.withColumn(out, F.when(many > 1, F.concat(base, letter)).otherwise(F.col(base)))
+
+
+def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """Adds the place of every row, from 1, in an order over the whole table, without a task that sees all rows.
+
+    Rows are dealt by ranges of the order and numbered within a range; the sizes of the ranges before it, one row a partition, are added.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    path = f"{shared_folder(spark)}/numbered-{uuid.uuid4().hex}"
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id())
+    dealt.write.parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path).withColumn("_p", F.shiftright("_i", 33))
+    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", F.coalesce(before, F.lit(0)).alias("_b"))
+    return dealt.join(F.broadcast(sizes), "_p").withColumn(name, (F.col("_b") + F.col("_i").bitwiseAND((1 << 33) - 1) + 1).cast("int")).drop("_p", "_i", "_b")

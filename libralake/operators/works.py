@@ -63,10 +63,17 @@ def card_similarity(cosine: Column | None = None, jaccard: Column | None = None)
     return F.when(alike >= 0.2, F.round(alike * 0.6, 2))
 
 
-def pairs(works: DataFrame, work: str, keys: Column) -> DataFrame:
-    """a, b (a < b): works that share a key (an array for each work), each pair once; no others are ever compared."""
+def pairs(works: DataFrame, work: str, keys: Column, per_part: int = 1000) -> DataFrame:
+    """a, b (a < b): works that share a key (an array for each work), each pair once; no others are ever compared.
+
+    One side of a key with many works is parted, so that no task makes more than ``per_part`` works meet all others of a key.
+    """
     each = works.select(work, F.explode(F.array_distinct(keys)).alias("_k")).where("_k is not null and _k <> ''")
-    return each.withColumnRenamed(work, "a").join(each.withColumnRenamed(work, "b"), "_k").where("a < b").select("a", "b").distinct()
+    parts = each.groupBy("_k").agg(F.ceil(F.count(F.lit(1)) / per_part).cast("int").alias("_n"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
+    each = each.join(parts, "_k")
+    left = each.select(F.col(work).alias("a"), "_k", F.pmod(F.xxhash64(work), F.col("_n")).alias("_p"))
+    right = each.select(F.col(work).alias("b"), "_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n").cast("long") - 1)).alias("_p"))
+    return left.join(right, ["_k", "_p"]).where("a < b").select("a", "b").distinct()
 
 
 def correspondences(anchors: DataFrame, alignments: DataFrame, pair: str, start: str, end: str, width: float) -> DataFrame:

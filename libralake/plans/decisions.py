@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import citations, dense, filters, folios, fusion, graph, ingest, intervals, media, structure, tables
+from ..operators import citations, dense, filters, folios, fusion, graph, ingest, intervals, layout, media, structure, tables
 from .registry import query, sql_fold, sql_key, sql_tokens, table
 from .works import SQL_LINES, pick
 
@@ -157,10 +157,18 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", s.cast("double").alias("score"))
 
 
-@query("author_keys", f"SELECT s_suppkey, ['cervantes m', 'gogh v', 'lopez m', 'carter j'][1 + s_suppkey % 4] AS k FROM supplier")
+SQL_LAST = "'Ruiz' || chr((97 + c_custkey % 26)::INTEGER) || chr((97 + c_custkey // 26 % 26)::INTEGER)"
+
+
+@query("author_keys", f"SELECT c_custkey, lower({SQL_LAST}) || ' ' || chr((97 + c_nationkey)::INTEGER) AS k FROM customer")
 def _(spark, d):
-    name = pick(["de Cervantes, Miguel", "van Gogh, Vincent", "María López", "J. C. Carter"], 1 + F.col("s_suppkey") % 4)
-    return table(spark, d, "supplier").select("s_suppkey", ingest.author_key(name).alias("k"))
+    """Names of customers in four ways of writing them, by their last name and nation."""
+    letter = lambda n, base: F.char((F.lit(base) + n).cast("int"))
+    last = F.concat(F.lit("Ruiz"), letter(F.col("c_custkey") % 26, 97), letter(F.expr("c_custkey div 26") % 26, 97))
+    first = F.concat(letter(F.col("c_nationkey"), 65), F.lit("na"))
+    ways = F.array(F.format_string("de %s, %s", last, first), F.format_string("van %s, %s", last, first), F.format_string("%s %s", first, last), F.format_string("%s. C. %s", letter(F.col("c_nationkey"), 65), last))
+    name = F.element_at(ways, (F.col("c_custkey") % 4 + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", ingest.author_key(name).alias("k"))
 
 
 @query("clean_authors", "SELECT s_suppkey, ['Maria Lopez Garcia|', 'Ana Ruiz;Juan Perez|Canal Norte', 'Museo del Prado|', '|'][1 + s_suppkey % 4] AS who FROM supplier")
@@ -259,7 +267,7 @@ b AS (SELECT unit, arg_min(frag, (standing IS NULL, coalesce(standing, 0), place
 SELECT frag::VARCHAR AS frag, unit, place::INTEGER AS place, md5(text) AS digest, rank FROM h JOIN b USING (unit) UNION ALL SELECT 'u:' || unit, unit, -1, md5('plate ' || unit), rank FROM h WHERE unit NOT IN (SELECT unit FROM f) AND unit % 7 = 0""")
 def _(spark, d):
     e = table(spark, d, "embeddings").where("label < 3")
-    hits = e.select(F.col("vec_id").alias("unit"), (F.row_number().over(Window.orderBy("label", "vec_id")) - 1).alias("rank"))
+    hits = tables.numbered(e.select(F.col("vec_id").alias("unit"), "label"), "rank", "label", "unit").select("unit", (F.col("rank") - 1).alias("rank"))
     u = structure.units(table(spark, d, "documents"), "doc_id", "text").where("doc_id % 7 > 0")
     n = F.length("unit")
     frags = u.select(F.col("doc_id").alias("unit"), "place", (F.col("doc_id") * 1000 + F.col("place")).alias("frag"), F.when(n % 3 == 0, n).alias("standing"), F.col("unit").alias("text"))
@@ -268,6 +276,15 @@ def _(spark, d):
     return got.select("frag", "unit", "place", F.md5("text").alias("digest"), "rank")
 
 
+@query("page_layout", "WITH n AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem) SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY n % 2 = 0, n) - 1)::INTEGER AS place, 'body' AS zone, l_partkey::VARCHAR AS text FROM n")
+def _(spark, d):
+    """Order lines printed in two columns, far enough apart to be blocks of their own, in reading order."""
+    n = F.col("n")
+    numbered = table(spark, d, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")))
+    words = numbered.select("l_orderkey", F.col("l_partkey").cast("string").alias("text"), F.when(n % 2 == 1, 0.1).otherwise(0.6).alias("x"), (0.2 + F.floor((n + 1) / 2) * 0.018).alias("y"), F.lit(0.3).alias("w"), F.lit(0.008).alias("h"), F.lit(8.0).alias("size"))
+    return layout.laid_out(layout.lines(words, ["l_orderkey"]), ["l_orderkey"]).select("l_orderkey", "place", "zone", "text")
+
+
 @query("figure_search", """WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 1), r AS (SELECT embedding FROM embeddings WHERE vec_id = 2), s AS (SELECT e.vec_id, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS s, 'text' AS route FROM embeddings e, q UNION ALL SELECT e.vec_id, round(list_sum(list_transform(list_zip(e.embedding, r.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / sqrt(list_sum(list_transform(r.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6), 'image' FROM embeddings e, r),
 k AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY s DESC, vec_id) AS rank FROM s QUALIFY rank <= 30) SELECT vec_id, round(sum(1 / (10 + rank)), 6) AS score, string_agg(route, '+' ORDER BY route) AS routes FROM k GROUP BY 1""")
 def _(spark, d):
