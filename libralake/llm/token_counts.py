@@ -7,7 +7,9 @@ are not looked at.
 No piece holds a word mark after another character, so a text parts before every
 word mark (and at each character outside all pieces, such as a line feed) into
 segments that are encoded independently.  The table of a segment holds the count
-of each of its prefixes; totals of segments are remembered per task in a cache bounded in bytes.
+of each of its prefixes.  Texts are handled a slice of bounded size at a time: the
+slice's distinct segments are put in order, and segments that begin alike share the
+table of their common prefix.  Nothing is kept from slice to slice but decisions on pairs of pieces.
 ``prefix_table`` stores the count of every prefix of a text; ``fitting`` and ``counted`` answer
 truncation and budget questions from it with SQL functions, without the text.
 """
@@ -17,25 +19,33 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import filled, slices
-from .bpe_dp import PrefixBpe, Remembered
+from .bpe_dp import PrefixBpe
 
 MARK = "▁"
-_SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-_ODD = re.compile(f"  |^ |{MARK}")
+_WORD = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
+#: Bytes of text whose segments are counted together: the more, the more of them begin alike.
+TOGETHER = 16 << 20
+#: Segments that are Python strings at once.
+CHUNK = 1 << 16
+#: Pairs of pieces whose decision is remembered: about 40 MB.
+MOST_PAIRS = 600_000
 
 
-class PieceCounter(Remembered):
-    """Maps a segment to its number of tokens."""
+def _bytes(ch: str) -> int:
+    return len(ch.encode("utf-8", "surrogatepass"))
 
-    most_bytes = 64 << 20
+
+class PieceCounter:
+    """Counts tokens by words: segments with a mark at the front, or a line feed and the segment after it, which has none."""
 
     def __init__(self, path: str):
-        super().__init__()
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -45,10 +55,8 @@ class PieceCounter(Remembered):
                 ranks[sp.id_to_piece(i)] = -sp.get_score(i)
         if any(MARK in p.lstrip(MARK) for p in ranks):
             raise ValueError("pieces reach over word marks")
-        self.dp = PrefixBpe(ranks, lambda a, b: ranks.get(a + b))
+        self.dp = PrefixBpe(ranks, lambda a, b: ranks.get(a + b), most_pairs=MOST_PAIRS)
         self.known = frozenset(p for p in ranks if len(p) == 1)
-        #: Characters that stand next to each other in some piece; nothing merges between two others.
-        self.near = frozenset(x for p in ranks for x in zip(p, p[1:]))
 
     def runs(self, segment: str) -> Iterator[tuple[str, bool]]:
         """The segment parted into runs of known characters and single unknown ones."""
@@ -67,56 +75,72 @@ class PieceCounter(Remembered):
         out = [0]
         for run, known in self.runs(segment):
             base = out[-1]
-            out += [base + c for c in self.dp.prefix_counts(run)[1:]] if known else [base + len(run.encode("utf-8", "surrogatepass"))]
+            out += [base + c for c in self.dp.prefix_counts(run)[1:]] if known else [base + _bytes(run)]
         return out
 
-    def compute(self, segment: str) -> int:
-        if len(segment) > 2 and segment[-1] in ".,;:!?" and (segment[-2], segment[-1]) not in self.near:
-            return self[segment[:-1]] + self[segment[-1]]
-        n = 0
-        for run, known in self.runs(segment):
-            n += self.dp.prefix_counts(run)[-1] if known else len(run.encode("utf-8", "surrogatepass"))
-        return n
+    @staticmethod
+    def words(text: str) -> list[str]:
+        return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+
+    def split(self, texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+        """Words of all texts, without their first mark, and the row that each list of them is for."""
+        odd = pc.equal(texts, "")
+        for found in (pc.starts_with(texts, " "), pc.match_substring(texts, "  "), pc.match_substring(texts, MARK)):
+            odd = pc.or_(odd, found)
+        # In other texts every space is a mark of its own.
+        plain = pc.split_pattern(pc.replace_substring(texts.filter(pc.invert(odd)), "\n", " \n"), " ")
+        lists = pa.array([[w.removeprefix(MARK) for w in self.words(t)] for t in texts.filter(odd).to_pylist()], plain.type)
+        odd = odd.to_numpy(zero_copy_only=False)
+        return pa.concat_arrays([plain, lists]), np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+
+    def totals(self, words: pa.Array) -> np.ndarray:
+        """Tokens of each of these distinct words."""
+        order = pc.sort_indices(words)
+        in_order = (w for i in range(0, len(order), CHUNK) for w in words.take(order[i : i + CHUNK]).to_numpy(zero_copy_only=False))
+        out = np.zeros(len(words), np.int64)
+        out[order.to_numpy()] = np.fromiter(self.dp.totals(in_order, _bytes), np.int64, len(words))
+        return out
 
-    def segments(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if _ODD.search(text):
-            return _SEGMENT.findall(MARK + text.replace(" ", MARK))
-        return (MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ")
+    def fitted(self, texts: pa.Array, budget: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each text, and code points of its longest prefix that has at most ``budget`` tokens."""
+        lists, rows = self.split(texts)
+        coded = lists.flatten().dictionary_encode()
+        bare, at = coded.dictionary, coded.indices.to_numpy()
+        words = pc.if_else(pc.starts_with(bare, "\n"), bare, pc.binary_join_element_wise(pa.scalar(MARK, bare.type), bare, pa.scalar("", bare.type)))
+        before = np.concatenate([[0], np.cumsum(self.totals(words)[at])])
+        offs = lists.offsets.to_numpy()
+        n, fit = np.zeros(len(texts), np.int64), pc.utf8_length(texts).to_numpy().astype(np.int64)
+        n[rows] = before[offs[1:]] - before[offs[:-1]]
+        lengths = pc.utf8_length(words).to_numpy()
+        for i in np.flatnonzero(n[rows] > budget):
+            first, most = offs[i], before[offs[i]] + budget
+            # The word in which the budget ends.
+            k = int(np.searchsorted(before, most, "right")) - 1
+            inner = self.prefix_counts(words[at[k]].as_py())
+            best = max(j for j, c in enumerate(inner) if before[k] + c <= most)
+            # The first mark stands for no character of the text.
+            fit[rows[i]] = max(0, int(lengths[at[first:k]].sum()) + best - 1)
+        return n, fit
 
     def count(self, text: str) -> int:
-        return sum(map(self.__getitem__, self.segments(text)))
+        return int(self.fitted(pa.array([text]), 0)[0][0])
 
     def every_prefix(self, text: str) -> list[int]:
         """Tokens of the first 0, 1, 2, ... code points of the text."""
         out, before = [0], 0
-        for i, seg in enumerate(self.segments(text)):
-            inner = self.prefix_counts(seg)
+        for i, word in enumerate(self.words(text)):
+            inner = self.prefix_counts(word)
             # The first mark stands for no character of the text.
             out += [before + c for c in inner[1 if i else 2 :]]
             before += inner[-1]
         return out
 
-    def fitting_prefix(self, text: str, budget: int) -> int:
-        """Code points of the longest prefix of the text that has at most ``budget`` tokens."""
-        used = at = 0
-        for seg in self.segments(text):
-            n = self[seg]
-            if used + n > budget:
-                # The first mark stands for no character of the text.
-                inner = self.prefix_counts(seg)
-                best = max(i for i, c in enumerate(inner) if used + c <= budget)
-                return max(0, at + best - 1)
-            used, at = used + n, at + len(seg)
-        return len(text)
-
 
 _held: dict[str, PieceCounter] = {}
 
 
 def held(path: str) -> PieceCounter:
-    """The counter of this process: what it remembers serves all tasks of a worker."""
+    """The counter of this process: its tables of pieces serve all tasks of a worker."""
     if path not in _held:
         _held[path] = PieceCounter(path)
     return _held[path]
@@ -128,25 +152,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, key: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = held(path)
-        try:
-            for batch in slices(batches, text):
-                yield rows(counter, batch)
-        finally:
-            counter.forget()
-
-    def rows(counter: PieceCounter, batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = filled(batch.column(text)).to_pylist()
-        n = [counter.count(t) for t in texts]
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column(key),
-                pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
-                pa.array(n, pa.int64()),
-                pa.array([c > limit for c in n]),
-                pa.array([counter.fitting_prefix(t, limit) if c > limit else len(t) for t, c in zip(texts, n)], pa.int64()),
-            ],
-            schema=schema,
-        )
+        for batch in slices(batches, text, TOGETHER):
+            texts = filled(batch.column(text))
+            n, fit = counter.fitted(texts, limit)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pc.binary_length(texts).cast(pa.int64()), pa.array(n), pa.array(n > limit), pa.array(fit)], schema=schema)
 
     src = docs.select(docs[key].cast("long").alias(key), docs[text].cast("string").alias(text))
     return src.mapInArrow(run, f"{key} long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
@@ -158,11 +167,8 @@ def prefix_table(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = held(path)
-        try:
-            for batch in slices(batches, text, 1 << 20):
-                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(map(counter.every_prefix, filled(batch.column(text)).to_pylist()), schema.field(1).type)], schema=schema)
-        finally:
-            counter.forget()
+        for batch in slices(batches, text, 1 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(map(counter.every_prefix, filled(batch.column(text)).to_pylist()), schema.field(1).type)], schema=schema)
 
     src = docs.select(docs[key].cast("long").alias(key), docs[text].cast("string").alias(text))
     return src.mapInArrow(run, f"{key} long, counts array<int>")

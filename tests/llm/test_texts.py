@@ -110,6 +110,64 @@ def test_prefix_counts(texts):
             assert counter.prefix_counts("▁" + t)[2:] == [len(lib.encode(t[: i + 1])) for i in range(len(t))]
 
 
+def test_texts_of_all_kinds_are_counted_together(texts):
+    import pyarrow as pa
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    counter = token_counts.PieceCounter(PIECE)
+    mixed = [*texts[:-1], "a\n", "\n", "\na", "a\n b", "a \nb", "\n\n▁x", "\n  x\n\n y", "a▁\n▁", "w" * 5000, "日本語" * 300, "\ue000\ue000 a\ue000b", "  \n  \n"]
+    for kind in (pa.string(), pa.large_string()):
+        n, fit = counter.fitted(pa.array(mixed, kind), 7)
+        for t, k, f in zip(mixed, n.tolist(), fit.tolist()):
+            assert k == len(lib.encode(t)), repr(t)
+            if len(t) < 100:
+                assert f == max(i for i in range(len(t) + 1) if len(lib.encode(t[:i])) <= 7), repr(t)
+
+
+def test_words_that_begin_alike_share_their_table():
+    import sentencepiece
+
+    class Asked(dict):
+        times = 0
+
+        def get(self, *a):
+            self.times += 1
+            return super().get(*a)
+
+    counter = token_counts.PieceCounter(PIECE)
+    counter.dp._fits = asked = Asked()
+    text = " ".join(f"internationalisation{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz")
+    assert counter.count(text) == len(sentencepiece.SentencePieceProcessor(model_file=PIECE).encode(text))
+    # 676 words of 22 characters; only some 750 prefixes of them differ.
+    assert asked.times < 3000
+
+
+def test_pairs_are_decided_as_merging_decides():
+    dp, asked = token_counts.PieceCounter(PIECE).dp, 0
+    rank, names = dp.rank, dp.names
+
+    def counting(a, b):
+        nonlocal asked
+        asked += 1
+        return rank(a, b)
+
+    dp.rank = counting
+    rng = random.Random(3)
+    long = [i for i, t in enumerate(names) if len(t) > 5]
+    pairs = [(rng.choice(long), rng.choice(long)) for _ in range(300)] + [(rng.randrange(len(names)), rng.randrange(len(names))) for _ in range(3000)]
+    # Halves of pieces as well, whose merge over the seam comes late.
+    number = {t: i for i, t in enumerate(names)}
+    pairs += [(number[t[:k]], number[t[k:]]) for t in rng.sample(names, 3000) for k in range(1, len(t)) if t[:k] in number and t[k:] in number]
+    got = [dp._decide(a, b) for a, b in pairs]
+    assert got == [dp.merge(names[a] + names[b]) == [names[a], names[b]] for a, b in pairs]
+    assert True in got and False in got
+    asked = 0
+    assert got == [dp._decide(a, b) for a, b in pairs]
+    # The merges of a token by itself are not gone through again for each of its pairs.
+    assert asked < 9 * len(pairs)
+
+
 _ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])|(?:[sS][eE][cC][rR][eE][tT])|(?:[tT][oO][kK][eE][nN])|(?:[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
