@@ -150,8 +150,8 @@ def resolve(entities: DataFrame, key: str, name: str, kind: str, fictional: str,
 def merge_links(entities: DataFrame, places: DataFrame, key: str, doc: str, name: str, kind: str, aliases: str, linked: str, n_mentions: str) -> DataFrame:
     """rule, a, b: which entities of one kind may be one.
 
-    1: one catalogue record.  2: a form of one is the name of another and fits its own name; a form of one word only where both
-    stand in one document.  3: a person known by the last word alone, with the only full name of a shared document that ends in it and is
+    1: one catalogue record.  2: a form of one is the name of another and fits its own name, or has only words of it, however short;
+    a form of one word only where both stand in one document.  3: a person known by the last word alone, with the only full name of a shared document that ends in it and is
     mentioned as often.  4: first and last word of the only longer name that has all the words.
     """
     e = entities.select(F.col(key).alias("id"), F.col(kind).alias("kind"), F.col(name).alias("name"), T.key(F.col(name)).alias("k"), F.col(aliases).alias("forms"), F.col(linked).alias("link"), F.col(n_mentions).alias("m"))
@@ -161,7 +161,8 @@ def merge_links(entities: DataFrame, places: DataFrame, key: str, doc: str, name
     named = e.where("link is not null").select("kind", "link", "id")
     one = named.join(named.groupBy("kind", "link").agg(F.min("id").alias("a")), ["kind", "link"]).where("a <> id").select(F.lit(1).alias("rule"), "a", F.col("id").alias("b"))
     forms = e.select("id", "kind", "name", F.explode("forms").alias("form"))
-    forms = forms.where(compatible(F.col("form"), F.col("name"))).select(F.col("id").alias("a"), "kind", T.key(F.col("form")).alias("k"))
+    part = (F.size(T.tokens(F.col("form"))) > 0) & (F.size(F.array_except(T.tokens(F.col("form")), T.tokens(F.col("name")))) == 0)
+    forms = forms.where(compatible(F.col("form"), F.col("name")) | part).select(F.col("id").alias("a"), "kind", T.key(F.col("form")).alias("k"))
     met = forms.join(e.groupBy("kind", "k").agg(F.max("id").alias("b")), ["kind", "k"]).where("a <> b")
     long = met.where("instr(k, ' ') > 0").select("a", "b")
     short = met.where("instr(k, ' ') = 0").select("a", "b").distinct()
@@ -211,11 +212,14 @@ def constrained(links: DataFrame, nodes: DataFrame) -> DataFrame:
 def merged(entities: DataFrame, places: DataFrame, key: str, doc: str, name: str, kind: str, aliases: str, linked: str, n_mentions: str, fictional: str) -> DataFrame:
     """key, winner of every entity, after all rules of ``merge_links``; people known as real and as fictional are never one.
 
-    The winner is linked before unlinked, then has more words, more mentions, the smaller key.
+    The winner is linked before unlinked, then has more words, more mentions (an unknown number is the least), the smaller key.
+    Of rows with one key the best counts, rows without a key are no entities.
     """
+    entities = entities.where(F.col(key).isNotNull())
     links = merge_links(entities, places, key, doc, name, kind, aliases, linked, n_mentions)
-    rank = F.struct(F.col(linked).isNull().alias("l"), (-F.size(F.split(T.key(F.col(name)), " "))).alias("w"), (-F.col(n_mentions)).alias("m"), F.col(key).alias("k"))
-    nodes = entities.select(F.col(key).alias("key"), rank.alias("rank"), F.when(F.col(kind) == "person", F.col(fictional)).alias("fic"))
+    much = F.col(n_mentions).cast("double")
+    rank = F.struct(F.col(linked).isNull().alias("l"), (-F.size(F.split(T.key(F.col(name)), " "))).alias("w"), much.isNull().alias("u"), (~F.isnan(much)).alias("n"), (-much).alias("m"), F.col(key).alias("k"))
+    nodes = entities.select(F.col(key).alias("key"), rank.alias("rank"), F.when(F.col(kind) == "person", F.col(fictional)).alias("fic")).groupBy("key").agg(F.min("rank").alias("rank"), F.bool_or("fic").alias("fic"))
     return constrained(links, nodes).withColumnRenamed("key", key)
 
 

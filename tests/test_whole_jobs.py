@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 import re
 
+import duckdb
+
 from libralake.operators import bibliography, structure
-from libralake.plans.catalogue import QUERIES
+from libralake.plans.catalogue import ORACLE_SQL, QUERIES
 
 
 def looped(text):
@@ -94,6 +96,17 @@ def test_lens_query(spark, tmp_path):
     assert got == [*texts.values(), "essay"]
 
 
+def test_merge_query(spark, tmp_path):
+    """Forms of two letters count; unknown numbers of mentions are the least, those that are no numbers the most; keys come once; rows without a key are no entities."""
+    nan = float("nan")
+    rows = [(0, 1, 2.0), (2, 1, None), (3, 2, -5.0), (14, 1, None), (12, 1, 9.0), (15, 1, None), (20, 1, 1.0), (20, 1, 9.0), (21, 1, 2.0), (26, 1, 7.0), (27, 1, nan), (30, 1, 3.0), (33, 1, nan), (32, 2, 4.0), (None, 1, 1.0)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got = sorted((r.c_custkey, r.winner) for r in QUERIES["entity_merges"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert got == sorted(con.execute(ORACLE_SQL["entity_merges"]).fetchall()) and len(got) == 13 and (0, 3) in got
+
+
 def test_title_query(spark, tmp_path):
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice("abcdefgh") * 4 + str(rng.randrange(40)) for _ in range(30))) for i in range(60)]
