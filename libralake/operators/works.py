@@ -63,17 +63,26 @@ def card_similarity(cosine: Column | None = None, jaccard: Column | None = None)
     return F.when(alike >= 0.2, F.round(alike * 0.6, 2))
 
 
-def pairs(works: DataFrame, work: str, keys: Column, per_part: int = 1000) -> DataFrame:
+def pairs(works: DataFrame, work: str, keys: Column, per_part: int = 1000, carried: tuple[str, ...] = ()) -> DataFrame:
     """a, b (a < b): works that share a key (an array for each work), each pair once; no others are ever compared.
 
     One side of a key with many works is parted, so that no task makes more than ``per_part`` works meet all others of a key.
+    Pairs are made under the smallest of their common keys, so that none is made twice and the pairs, which can be many, are
+    neither dealt out nor stored.  ``carried`` columns of both come along as a_ and b_ columns; each row is then a work of its own.
     """
-    each = works.select(work, F.explode(F.array_distinct(keys)).alias("_k")).where("_k is not null and _k <> ''")
+    own = F.array_distinct(F.filter(keys, lambda k: k.isNotNull() & (k != "")))
+    each = works.where(F.col(work).isNotNull()).select(F.col(work).alias("_w"), own.alias("_ks"), *carried)
+    if not carried:
+        # Rows of one work have their keys together.
+        each = each.groupBy("_w").agg(F.array_distinct(F.flatten(F.collect_list("_ks"))).alias("_ks"))
+    each = each.withColumn("_k", F.explode("_ks"))
     parts = each.groupBy("_k").agg(F.ceil(F.count(F.lit(1)) / per_part).cast("int").alias("_n"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
-    each = each.join(parts, "_k")
-    left = each.select(F.col(work).alias("a"), "_k", F.pmod(F.xxhash64(work), F.col("_n")).alias("_p"))
-    right = each.select(F.col(work).alias("b"), "_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n").cast("long") - 1)).alias("_p"))
-    return left.join(right, ["_k", "_p"]).where("a < b").select("a", "b").distinct()
+    # Keys of a work beside the one it meets under; most works have none.
+    each = each.join(parts, "_k").withColumn("_ks", F.when(F.size("_ks") > 1, F.col("_ks")))
+    left = each.select(F.col("_w").alias("a"), "_k", F.col("_ks").alias("_ka"), F.pmod(F.xxhash64("_w"), F.col("_n")).alias("_p"), *[F.col(c).alias(f"a_{c}") for c in carried])
+    right = each.select(F.col("_w").alias("b"), "_k", F.col("_ks").alias("_kb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n").cast("long") - 1)).alias("_p"), *[F.col(c).alias(f"b_{c}") for c in carried])
+    first = F.col("_ka").isNull() | F.col("_kb").isNull() | (F.array_min(F.array_intersect("_ka", "_kb")) == F.col("_k"))
+    return left.join(right, ["_k", "_p"]).where((F.col("a") < F.col("b")) & first).select("a", "b", *[f"a_{c}" for c in carried], *[f"b_{c}" for c in carried])
 
 
 def correspondences(anchors: DataFrame, alignments: DataFrame, pair: str, start: str, end: str, width: float) -> DataFrame:
