@@ -51,12 +51,16 @@ def _(spark, d):
 @query("work_relations", f"""WITH k AS (SELECT p_partkey AS key, p_name AS title, p_brand AS author, 1900 + p_size AS year, p_type AS lang FROM part), p AS (SELECT a.key AS a_key, b.key AS b_key, {sql_key('a.author')} = {sql_key('b.author')} AS sa, a.lang <> b.lang AS ol, a.year <> b.year AS oy, b.key % 50 = 7 AND a.key = b.key - 7 AS part FROM k a JOIN k b ON {sql_key('a.title')} = {sql_key('b.title')} AND a.key < b.key AND a.year // 10 = b.year // 10)
 SELECT a_key, b_key, CASE WHEN part THEN 'part_of' WHEN sa AND ol THEN 'translation' WHEN sa AND oy THEN 'edition' WHEN sa THEN 'same_work' END AS relation, CASE WHEN part THEN 0.95 WHEN sa AND ol THEN 0.8 WHEN sa AND oy THEN 0.75 WHEN sa THEN 0.9 END::DOUBLE AS weight FROM p WHERE part OR sa""")
 def _(spark, d):
-    """Signals of metadata over pairs of works with one title of one decade."""
-    p = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_brand").alias("author"), (1900 + F.col("p_size")).alias("year"), F.col("p_type").alias("lang"), F.when(F.col("p_partkey") % 50 == 7, F.col("p_partkey") - 7).alias("parent"))
-    both = works.pairs(p, "p_partkey", F.array(F.concat_ws("/", T.key(F.col("title")), F.floor(F.col("year") / 10).cast("string"))))
-    side = lambda s: p.select(F.col("p_partkey").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("title", "author", "year", "lang", "parent")])
-    rows = both.join(side("a"), "a").join(side("b"), "b").withColumnsRenamed({"a": "a_key", "b": "b_key"})
-    return ingest.relation_signals(rows).select("a_key", "b_key", "relation", "weight")
+    """Signals of metadata over pairs of works with one title of one decade: those of one author, and parts with their wholes."""
+    kept, author, title = ("titled", "named", "year", "lang", "parent"), T.key(F.col("p_brand")), T.key(F.col("p_name"))
+    p = table(spark, d, "part").select("p_partkey", (1900 + F.col("p_size")).alias("year"), F.col("p_type").alias("lang"), F.when(F.col("p_partkey") % 50 == 7, F.col("p_partkey") - 7).alias("parent"), F.coalesce(author, F.lit("")).alias("by"), (F.length(title) > 0).alias("titled"), author.isNotNull().alias("named"), title.alias("block"))
+    p = p.withColumn("block", F.concat("block", F.lit("/"), F.floor(F.col("year") / 10).cast("string")))
+    # Titles and authors of a block are the same, so nothing is compared for each pair.
+    one = works.pairs(p, "p_partkey", F.array(F.concat("block", F.lit("/"), "by")), carried=kept)
+    side = lambda s: p.select(F.col("p_partkey").alias(s), F.col("block").alias(f"{s}_block"), F.col("by").alias(f"{s}_by"), *[F.col(c).alias(f"{s}_{c}") for c in kept])
+    part = side("b").where("b_parent is not null").join(side("a"), F.col("b_parent") == F.col("a")).where("a < b and a_block = b_block and a_by <> b_by")
+    rows = one.unionByName(part.select(*one.columns)).withColumnsRenamed({"a": "a_key", "b": "b_key"})
+    return ingest.relation_signals(rows, F.col("a_titled"), F.col("a_named") & F.col("b_named")).select("a_key", "b_key", "relation", "weight")
 
 
 @query("entity_overlap", """WITH own AS (SELECT DISTINCT l_suppkey AS doc, l_partkey AS e FROM lineitem), n AS (SELECT count(DISTINCT doc) AS n FROM own), idf AS (SELECT e, ln(1 + n / count(*)) AS w FROM own, n GROUP BY e, n), mass AS (SELECT doc, e, w FROM own JOIN idf USING (e)), t AS (SELECT doc, sum(w) AS t FROM mass GROUP BY 1), p AS (SELECT s_suppkey AS a, s_suppkey + 1 AS b FROM supplier),

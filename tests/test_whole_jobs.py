@@ -6,8 +6,9 @@ import random
 import re
 
 import duckdb
+from pyspark.sql import functions as F
 
-from libralake.operators import bibliography, ingest, structure
+from libralake.operators import bibliography, ingest, structure, works
 from libralake.plans.catalogue import ORACLE_SQL, QUERIES
 
 
@@ -123,6 +124,42 @@ def test_resolve_sends_no_titles(spark, tmp_path, monkeypatch):
     assert got[0] == got[1] == [("17", 17), ("9999", 9999), ("title", 0), ("é", 0)]
 
 
+def dealt_by_pair(df):
+    """Whether pairs are dealt out again once they are made."""
+    return re.search(r"hashpartitioning\((?:a|a_key)#", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_pairs_once(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i % 90, [rng.choice(["x", "y", "z", "w", "", None]) for _ in range(rng.randrange(4))], i) for i in range(100)] + [(None, ["x"], 0)]
+    df = spark.createDataFrame(rows, "k int, ks array<string>, n int")
+    own = {}
+    for k, ks, _ in rows:
+        own.setdefault(k, set()).update(x for x in ks if x)
+    want = sorted((a, b) for a in own for b in own if a is not None and b is not None and a < b and own[a] & own[b])
+    for part in (1000, 3):
+        got = works.pairs(df, "k", F.col("ks"), part)
+        assert sorted(map(tuple, got.collect())) == want and not dealt_by_pair(got)
+    more = works.pairs(df.where("n < 90"), "k", F.col("ks"), 3, ("n",))
+    assert more.columns == ["a", "b", "a_n", "b_n"] and all(r.a_n == r.a and r.b_n == r.b for r in more.collect())
+    spark.createDataFrame([(i, "A name" if i % 3 else None, i % 2, "B") for i in range(20)], "p_partkey long, p_name string, p_size int, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = QUERIES["work_pairs"](spark, str(tmp_path))
+    assert got.count() == sum(a % 3 > 0 and b % 3 > 0 and a % 2 == b % 2 for a in range(20) for b in range(a + 1, 20)) and not dealt_by_pair(got)
+
+
+def test_relation_query(spark, tmp_path):
+    """Relations of works as in the SQL, also where author, title or year is away; works of other authors are not compared."""
+    rng = random.Random(7)
+    rows = [(i, rng.choice(["Red ring", "red Ring", "rod", None]), rng.choice(["A", "a.", "B", None]), rng.choice([1, 3, 12]), rng.choice(["T", "U"])) for i in range(150)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    df = QUERIES["work_relations"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    cur = con.execute(ORACLE_SQL["work_relations"])
+    columns = [c[0] for c in cur.description]
+    assert sorted(map(tuple, df.select(*columns).collect())) == sorted(cur.fetchall()) and not dealt_by_pair(df)
+
+
 def test_title_query(spark, tmp_path):
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice("abcdefgh") * 4 + str(rng.randrange(40)) for _ in range(30))) for i in range(60)]
