@@ -78,11 +78,12 @@ def pairs(works: DataFrame, work: str, keys: Column, per_part: int = 1000, carri
     each = each.withColumn("_k", F.explode("_ks"))
     parts = each.groupBy("_k").agg(F.ceil(F.count(F.lit(1)) / per_part).cast("int").alias("_n"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
     # Keys of a work beside the one it meets under; most works have none.
-    each = each.join(parts, "_k").withColumn("_ks", F.when(F.size("_ks") > 1, F.col("_ks")))
+    each = each.hint("merge").join(parts, "_k").withColumn("_ks", F.when(F.size("_ks") > 1, F.col("_ks")))
     left = each.select(F.col("_w").alias("a"), "_k", F.col("_ks").alias("_ka"), F.pmod(F.xxhash64("_w"), F.col("_n")).alias("_p"), *[F.col(c).alias(f"a_{c}") for c in carried])
     right = each.select(F.col("_w").alias("b"), "_k", F.col("_ks").alias("_kb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n").cast("long") - 1)).alias("_p"), *[F.col(c).alias(f"b_{c}") for c in carried])
     first = F.col("_ka").isNull() | F.col("_kb").isNull() | (F.array_min(F.array_intersect("_ka", "_kb")) == F.col("_k"))
-    return left.join(right, ["_k", "_p"]).where((F.col("a") < F.col("b")) & first).select("a", "b", *[f"a_{c}" for c in carried], *[f"b_{c}" for c in carried])
+    # Files say little about the size of what is read: no side is gathered in one place.
+    return left.hint("merge").join(right, ["_k", "_p"]).where((F.col("a") < F.col("b")) & first).select("a", "b", *[f"a_{c}" for c in carried], *[f"b_{c}" for c in carried])
 
 
 def correspondences(anchors: DataFrame, alignments: DataFrame, pair: str, start: str, end: str, width: float) -> DataFrame:

@@ -219,9 +219,17 @@ def _(spark, d):
 SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w)), 6) AS sim FROM b a JOIN b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w)) >= 0.25""")
 def _(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    q = p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("b_name"), "p_brand", "p_size")
-    sim = T.title_similarity(F.col("p_name"), F.col("b_name"))
-    return p.withColumnRenamed("p_partkey", "a").join(q, ["p_brand", "p_size"]).where("a < b").withColumn("sim", F.round(sim, 6)).where("sim >= 0.25").select("a", "b", "sim")
+    group = ["p_brand", "p_size"]
+    # Names of a group are compared once each, and only where they share a word, as alike ones must; then their parts meet.
+    words = F.array_sort(F.array_distinct(F.filter(T.tokens(F.col("p_name")), lambda t: F.length(t) > 2)))
+    p = p.select("p_partkey", *group, words.alias("w"))
+    names = p.select(*group, "w").distinct()
+    each = names.withColumn("t", F.explode("w"))
+    met = each.join(each.withColumnRenamed("w", "v"), [*group, "t"]).groupBy(*group, "w", "v").agg(F.count(F.lit(1)).alias("n"))
+    alike = met.withColumn("sim", F.round(F.col("n") / F.greatest(F.size("w"), F.size("v")), 6)).where(F.col("n") / F.greatest(F.size("w"), F.size("v")) >= 0.25).select(*group, "w", "v", "sim")
+    # Files say little about the size of what is read: no side is gathered in one place.
+    left = p.withColumnRenamed("p_partkey", "a").hint("merge").join(alike, [*group, "w"]).select(*group, "v", "a", "sim")
+    return left.hint("merge").join(p.select(*group, F.col("w").alias("v"), F.col("p_partkey").alias("b")), [*group, "v"]).where("a < b").select("a", "b", "sim")
 
 
 @query("dice_bigrams", """WITH p AS (SELECT p_partkey, lower(p_type) AS t FROM part), g AS (SELECT p_partkey, t, substr(t, i, 2) AS g FROM p, range(1, 200) r(i) WHERE i < length(t)), c AS (SELECT p_partkey, g, count(*) AS n FROM g GROUP BY ALL), z AS (SELECT p_partkey, sum(n) AS z FROM c GROUP BY 1)

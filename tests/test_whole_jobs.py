@@ -160,6 +160,20 @@ def test_relation_query(spark, tmp_path):
     assert sorted(map(tuple, df.select(*columns).collect())) == sorted(cur.fetchall()) and not dealt_by_pair(df)
 
 
+def test_similar_titles_query(spark, tmp_path):
+    """Pairs as in the SQL; names, not parts, are compared, and no part is broadcast."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(["of", rng.choice(["red", "ring", "bolt"]), *rng.choices(["red", "ring", "of", "bolt", "old", "rod"], k=rng.randrange(6))]), rng.choice(["A", "B"]), rng.choice([1, 2, None])) for i in range(300)] + [(400, None, "A", 1)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    df = QUERIES["title_similarity_pairs"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = sorted(con.execute(ORACLE_SQL["title_similarity_pairs"]).fetchall())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, df.select("a", "b", "sim").collect())) == want and len(want) > 3000
+    assert plan.count("SortMergeJoin") >= 2 and "intersect" not in plan
+
+
 def test_title_query(spark, tmp_path):
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice("abcdefgh") * 4 + str(rng.randrange(40)) for _ in range(30))) for i in range(60)]
