@@ -63,28 +63,68 @@ def place(points: DataFrame, sample: DataFrame, by: str, key: str, vector: str,
     return points.join(held, by).withColumn("_near", near).select(key, mean("x").alias(x), mean("y").alias(y))
 
 
-#: Points of a cell that are compared in one task with as many others.
-BLOCK = 4096
+#: Points of a cell that are compared in one task with as many others, at most; and how many parts smaller cells of some size have.
+BLOCK, PARTS, PART = 65_536, 8, 4096
 
 
-def neighbour_graph(vectors: DataFrame, key: str, vector: str, k: int = 15, per_cell: int = 20_000, probe: int = 4, seed: int = 7) -> DataFrame:
+def nearest(x: np.ndarray, y: np.ndarray, k: int, apart: tuple[np.ndarray, np.ndarray] | None = None, rows: int = 256, cols: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``x``, rows of ``y`` and distances of the k nearest of ``y`` to each of ``x``, on the unit sphere; equal distances (9 places) go to the first.
+
+    Products of single precision, less what they can be off, tell which pairs may be among the k; only those are computed in double
+    precision.  ``apart`` has a number for each row of either: equal ones never meet.
+    """
+    nx, ny = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+    a, b = (x / np.sqrt(nx)[:, None]).astype(np.float32), (y / np.sqrt(ny)[:, None]).astype(np.float32)
+    off = (x.shape[1] + 16) * 2.4e-7
+    out = []
+    for i in range(0, len(a), rows):
+        n = min(rows, len(a) - i)
+        at, to, dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        least = np.full(n, -3.0, np.float32)
+        for j in range(0, len(b), cols):
+            g = a[i : i + n] @ b[j : j + cols].T
+            if apart is not None:
+                g[apart[0][i : i + n, None] == apart[1][None, j : j + cols]] = -9.0
+            if g.shape[1] > k and (least < -2).any():
+                least = np.maximum(least, np.partition(g, -k, axis=1)[:, -k] - off)
+            hit = np.flatnonzero(g >= np.maximum(least, -2.0)[:, None])
+            if not len(hit):
+                continue
+            r, c = np.divmod(hit, g.shape[1])
+            c += j
+            d = np.concatenate([np.einsum("ij,ij->i", x[i + r[s : s + 65_536]], y[c[s : s + 65_536]]) for s in range(0, len(r), 65_536)]) / np.sqrt(nx[i + r] * ny[c])
+            at, to, dist = np.concatenate([at, r]), np.concatenate([to, c]), np.concatenate([dist, np.sqrt(np.maximum(0.0, 2 - 2 * np.minimum(d, 1.0)))])
+            order = np.lexsort((to, np.round(dist, 9), at))
+            at, to, dist = at[order], to[order], dist[order]
+            rank = np.arange(len(at)) - np.searchsorted(at, at)
+            last = rank == k - 1
+            least[at[last]] = np.maximum(least[at[last]], (1 - dist[last] ** 2 / 2 - off).astype(np.float32))
+            at, to, dist = at[rank < k], to[rank < k], dist[rank < k]
+        out.append((at + i, to, dist))
+    return tuple(np.concatenate(o) for o in zip(*out))
+
+
+def neighbour_graph(vectors: DataFrame, key: str, vector: str, k: int = 15, per_cell: int | None = None, probe: int = 4, seed: int = 7) -> DataFrame:
     """key, other, distance: the k nearest points of every point (Euclidean, vectors scaled to length 1).
 
-    Up to ``per_cell`` points the graph is exact; beyond, points are dealt to cells by k-means and look into their ``probe`` nearest
-    cells.  Large cells are compared block by block, so that no task holds more than two blocks.
+    The graph is exact: all points meet all others, in tiles of two blocks, so that no task holds more.  Only where ``per_cell`` is given
+    and there are more points, they are dealt to cells by k-means and look into their ``probe`` nearest cells.
     """
-    src = vectors.select(F.col(key).alias("key"), V.unit(F.transform(F.col(vector), lambda x: x.cast("double"))).alias("v")).where("v is not null")
-    n_cells = max(1, -(-src.count() // per_cell))
+    unit = V.unit(F.transform(F.col(vector), lambda x: x.cast("double")))
+    src = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).where(unit.isNotNull())
+    n_cells = 1 if per_cell is None else max(1, -(-src.count() // per_cell))
     if n_cells == 1:
         target, asked = src.withColumn("cell", F.lit(0)), src.withColumn("cell", F.lit(0))
     else:
-        model = KMeans(k=n_cells, seed=seed, featuresCol="_v", predictionCol="cell").fit(src.withColumn("_v", array_to_vector("v")))
+        flat = src.withColumn("_u", V.unit(F.transform("v", lambda x: x.cast("double"))))
+        model = KMeans(k=n_cells, seed=seed, featuresCol="_v", predictionCol="cell").fit(flat.withColumn("_v", array_to_vector("_u")))
         # One centre a cell.
         centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-        near = F.slice(F.sort_array(F.transform(centres, lambda c, i: F.struct((-V.dot(F.col("v"), c)).alias("d"), i.alias("cell")))), 1, probe)
-        asked = src.withColumn("cell", F.explode(F.transform(near, lambda x: x["cell"])))
-        target = src.withColumn("cell", near[0]["cell"])
-    parts = F.broadcast(target.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")))
+        near = F.slice(F.sort_array(F.transform(centres, lambda c, i: F.struct((-V.dot(F.col("_u"), c)).alias("d"), i.alias("cell")))), 1, probe)
+        asked = flat.withColumn("cell", F.explode(F.transform(near, lambda x: x["cell"]))).drop("_u")
+        target = flat.withColumn("cell", near[0]["cell"]).drop("_u")
+    n = F.count(F.lit(1))
+    parts = F.broadcast(target.groupBy("cell").agg(F.greatest(F.ceil(n / BLOCK), F.least(F.lit(PARTS), F.ceil(n / PART))).cast("int").alias("parts")))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     own = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     q = asked.join(parts, "cell").withColumn("a", own).withColumn("b", every).select("cell", "a", "b", "key", "v")
@@ -93,17 +133,13 @@ def neighbour_graph(vectors: DataFrame, key: str, vector: str, k: int = 15, per_
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"key": [], "other": [], "distance": []})
-        x, y = np.stack(left["v"].to_numpy()), np.stack(right["w"].to_numpy())
+        # Equal distances go to the smaller key.
+        right = right.sort_values("other", kind="stable")
+        x, y = np.stack(left["v"].to_numpy()).astype(float), np.stack(right["w"].to_numpy()).astype(float)
         mine, others = left["key"].to_numpy(), right["other"].to_numpy()
-        out = []
-        for i in range(0, len(x), 512):
-            d = np.sqrt(np.maximum(0.0, 2 - 2 * x[i : i + 512] @ y.T))
-            d[mine[i : i + 512, None] == others[None, :]] = np.inf
-            # Equal distances go to the smaller key.
-            near = np.stack([np.lexsort((others, row))[:k] for row in np.round(d, 9)])
-            out.append(pd.DataFrame({"key": np.repeat(mine[i : i + 512], near.shape[1]), "other": others[near].ravel(), "distance": np.take_along_axis(d, near, 1).ravel()}))
-        found = pd.concat(out)
-        return found[np.isfinite(found["distance"])]
+        same = np.split(pd.factorize(np.concatenate([mine, others]))[0], [len(mine)]) if left["a"].iloc[0] == left["b"].iloc[0] else None
+        at, to, d = nearest(x, y, k, same)
+        return pd.DataFrame({"key": mine[at], "other": others[to], "distance": d})
 
     kind = dict(src.dtypes)["key"]
     found = q.groupBy("cell", "a", "b").cogroup(t.groupBy("cell2", "a2", "b2")).applyInPandas(run, f"key {kind}, other {kind}, distance double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from libralake.operators import clusters
 
@@ -37,6 +38,32 @@ def test_neighbour_graph(spark, monkeypatch):
         assert len(found & want) / len(want) >= least and len(got) == 1500
 
 
+def test_neighbours_are_exact(spark, monkeypatch):
+    """All neighbours of random points, which cells would lose, over many tiles; repeated vectors are at no distance and go by their keys."""
+    x = np.random.default_rng(9).normal(0, 1, (700, 24))
+    x[600:] = x[600]
+    near, _ = exact(x[:600], 4)
+    for block, parts in ((100, 1), (65_536, 8)):
+        monkeypatch.setattr(clusters, "BLOCK", block)
+        monkeypatch.setattr(clusters, "PARTS", parts, raising=False)
+        monkeypatch.setattr(clusters, "PART", 90, raising=False)
+        got = {}
+        for r in clusters.neighbour_graph(frame(spark, x), "vec_id", "embedding", 4).orderBy("key", F.round("distance", 9), "other").collect():
+            got.setdefault(r.key, []).append((r.other, r.distance))
+        assert all([o for o, _ in got[i] if o < 600] == near[i].tolist()[: sum(o < 600 for o, _ in got[i])] for i in range(600))
+        assert all(got[i] == [(o, 0.0) for o in range(600, 605) if o != i][:4] for i in range(600, 700))
+
+
+def test_tiles_equal_brute_force():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(0, 1, (70, 8)), rng.normal(0, 1, (300, 8))
+    y[250:] = y[:50]
+    d = np.round(np.sqrt(np.maximum(0, 2 - 2 * (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T)), 9)
+    for k, cols in ((3, 64), (70, 64), (400, 128)):
+        at, to, _ = clusters.nearest(x, y, k, None, 32, cols)
+        assert [to[at == i].tolist() for i in range(70)] == [np.lexsort((np.arange(300), r))[:k].tolist() for r in d]
+
+
 def test_fuzzy_weights():
     _, dist = exact(points(200)[1], 15)
     w = clusters.fuzzy_weights(dist)
