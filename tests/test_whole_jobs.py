@@ -180,3 +180,14 @@ def test_title_query(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.ref_id: (r.doc_id, r.rule) for r in QUERIES["reference_titles"](spark, str(tmp_path)).collect()}
     assert all(got.get(i) == (i, "title") for i in range(60) if i % 3 != 1)
+
+
+def test_title_query_of_copies(spark, tmp_path):
+    """Texts without words are no error; copies meet the smallest key of their title and year."""
+    text = "Natural selection preserves favourable variations of every species here"
+    rows = [(i, text if i % 5 else f"Other words about thing{i} stand here, never twice seen") for i in range(300)] + [(300, "... --- !"), (301, ""), (302, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.ref_id: (r.doc_id, r.rule) for r in QUERIES["reference_titles"](spark, str(tmp_path)).collect()}
+    for i in range(300):
+        near = [k for k in range(300) if k % 5 and abs(k % 100 - i % 100 - (5 if i % 3 == 1 else 0)) <= 1]
+        assert i % 5 == 0 or got.get(i) == ((min(near), "title") if near else None)
